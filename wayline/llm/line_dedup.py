@@ -53,7 +53,7 @@ class LineRuns:
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch of ``h1, h2, doc``, rows of which may repeat."""
-        new = lines.groupBy(*_HASH, "doc").agg().groupBy(*_HASH)
+        new = lines.select(*_HASH, "doc").distinct().groupBy(*_HASH)
         new = new.agg(F.max("doc").alias("keeper"), F.count("*").alias("n_docs"))
         runs = self.runs()
         if runs is not None:
