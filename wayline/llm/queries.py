@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import byte_bpe, chat, html_text, line_dedup, simhash, toxicity, warc
+from wayline.llm import ann, byte_bpe, chat, decontaminate, html_text, langid, line_dedup, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,6 +95,11 @@ FROM measured GROUP BY conv_id
 """
 
 
+@query
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 @query
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
@@ -115,6 +120,21 @@ FROM heads
 """
 
 
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    return langid.identify(docs, langid.train(docs), declared="lang", host="source")
+
+
+@query
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over pages: declared markup language, address and host next to the page's main text."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang")
+    texts = html_text.extract(pages.withColumn("declared", langid.declared_language(F.col("html"))))
+    return langid.identify(texts, langid.train(docs), keys=("page_id",), declared="declared", url="url")
+
+
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -143,6 +163,12 @@ FROM judged GROUP BY doc_id
 """
 
 
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+
+
 @query
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
