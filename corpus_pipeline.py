@@ -74,15 +74,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids`` and digests of the ids and of the bytes they decode to."""
-    encoded = byte_bpe.encode(docs.select("doc_id", "text"), VOCABULARY, PATTERN, keep=False)
-    return byte_bpe.decode(encoded, VOCABULARY, PATTERN).select(
-        "doc_id",
-        byte_bpe.n_tokens().alias("n_tokens"),
-        "ids",
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """``doc_id, ids, n_tokens`` and digests of the ids and of the bytes they decode to."""
+    return byte_bpe.round_trip(docs.select("doc_id", "text"), VOCABULARY, PATTERN)
 
 
 STAGES = [

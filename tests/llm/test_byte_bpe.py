@@ -44,13 +44,17 @@ def test_texts_over_the_list_limit(monkeypatch):
     assert ids(text) == REFERENCE.encode_ordinary(text)
 
 
-def test_queue_order():
-    q, rng = byte_bpe.RankQueue(), random.Random(4)
-    entries = [(rng.randrange(300_000), rng.randrange(9)) for _ in range(2000)]
-    for e in entries:
-        q.push(*e)
-    assert [q.pop() for _ in entries] == sorted(entries)
-    assert q.pop() is None
+def test_merger_leaves_its_queue_empty():
+    merge = CODEC.memo.merge
+    for text in ("hello wonderful", "zzzzqqqzzzz" * 50):
+        merge(text.encode())
+        assert not any(merge.words) and not any(merge.blocks)
+
+
+def test_memo_turns_over(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "_MEMO", 50)
+    text = " ".join(f"wörd{k % 300}x" for k in range(2000))
+    assert ids(text) == REFERENCE.encode_ordinary(text)
 
 
 def test_frames(spark, monkeypatch):
@@ -66,6 +70,9 @@ def test_frames(spark, monkeypatch):
         assert np.frombuffer(r.ids, "<u4").tolist() == want and r.n == len(want)
         assert bytes(r.decoded) == (r.text or "").encode()
     assert byte_bpe.encode(df.limit(0), PATH, P.PATTERN).count() == 0
+    both = byte_bpe.round_trip(df, PATH, P.PATTERN)
+    assert both.columns == ["doc_id", "decoded", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted((str(r.doc_id), bytes(r.ids), r.n_tokens) for r in both.collect()) == sorted((str(r.doc_id), bytes(r.ids), r.n) for r in got)
 
 
 def test_query(spark, sf_dir):

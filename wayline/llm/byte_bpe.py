@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 from itertools import batched
 
 import numpy as np
@@ -22,109 +23,119 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayline.llm.batches import small_batches
+
 #: Longer texts are split match by match instead of into one list.
 _LIST_UP_TO = 1 << 20
 #: The memo of pre-tokens: entries, and characters of one entry, at most.
-_MEMO, _MEMO_CHARS = 400_000, 48
+_MEMO, _MEMO_CHARS = 250_000, 48
 #: Bytes of output after which a batch is handed on.
 _OUT = 8 << 20
 
 
-class RankQueue:
-    """The least rank first; within a rank the leftmost position first."""
-
-    def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.words: dict[int, int] = {}  # 64 ranks a word
-        self.blocks: dict[int, int] = {}  # 64 words a block
-        self.top = 0  # a bit a block
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word, block = rank >> 6, rank >> 12
-        self.words[word] = self.words.get(word, 0) | 1 << (rank & 63)
-        self.blocks[block] = self.blocks.get(block, 0) | 1 << (word & 63)
-        self.top |= 1 << block
-
-    def pop(self) -> tuple[int, int] | None:
-        top = self.top
-        if not top:
-            return None
-        block = (top & -top).bit_length() - 1
-        bits = self.blocks[block]
-        word = block << 6 | ((bits & -bits).bit_length() - 1)
-        bits = self.words[word]
-        rank = word << 6 | ((bits & -bits).bit_length() - 1)
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.words[word] ^= 1 << (rank & 63)
-            if not self.words[word]:
-                self.blocks[block] ^= 1 << (word & 63)
-                if not self.blocks[block]:
-                    self.top ^= 1 << block
-        return rank, position
-
-
-def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
-    """Token ids of one pre-token."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    following = list(range(1, n + 1)) + [n, n]  # of a part's start: the next part's start, n at the end
-    before = list(range(-1, n))
-    pair: list[int] = [-1] * n  # the rank of the pair that starts here, -1 if none
-    queue = RankQueue()
-    get = ranks.get
-    for i in range(n - 1):
-        rank = get(piece[i : i + 2])
-        if rank is not None:
-            pair[i] = rank
-            queue.push(rank, i)
-    while (least := queue.pop()) is not None:
-        rank, i = least
-        if pair[i] != rank:
-            continue  # stale
-        gone = following[i]
-        after = following[gone]
-        following[i] = after
-        pair[gone] = -1
-        pair[i] = -1
-        if after < n:
-            before[after] = i
-            end = following[after]
-            if end - i <= longest and (new := get(piece[i:end])) is not None:
-                pair[i] = new
-                queue.push(new, i)
-        prior = before[i]
-        if prior >= 0:
-            pair[prior] = -1
-            if after - prior <= longest and (new := get(piece[prior:after])) is not None:
-                pair[prior] = new
-                queue.push(new, prior)
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : following[i]]])
-        i = following[i]
-    return out
+class Merger:
+    """Merges pre-tokens by a rank queue of three bitmap levels whose arrays serve all pre-tokens.
+
+    A bit of ``words`` stands for a rank, one of ``blocks`` for a word that has a
+    bit set, one of ``top`` for such a block. ``buckets`` has, for each rank whose
+    bit is set, the positions of its pairs as a heap, leftmost first. The queue is
+    empty between calls.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks, self.longest = ranks, max(map(len, ranks))
+        most = max(ranks.values())
+        self.words = [0] * ((most >> 6) + 1)
+        self.blocks = [0] * ((most >> 12) + 1)
+
+    def __call__(self, piece: bytes) -> list[int]:
+        """Token ids of one pre-token."""
+        get, longest, words, blocks = self.ranks.get, self.longest, self.words, self.blocks
+        whole = get(piece)
+        if whole is not None:
+            return [whole]
+        n = len(piece)
+        following = list(range(1, n + 2))  # of a part's start: the next part's start, n at the end
+        before = list(range(-1, n))
+        pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]  # the rank of the pair that starts here, -1 if none
+        pair.append(-1)
+        buckets: dict[int, list[int]] = {}
+        top = 0
+        new = list(enumerate(pair))  # pairs to be queued
+        while True:
+            for i, rank in new:
+                if rank >= 0:
+                    bucket = buckets.get(rank)
+                    if bucket is None:
+                        buckets[rank] = [i]
+                        word = rank >> 6
+                        if not words[word]:
+                            block = rank >> 12
+                            blocks[block] |= 1 << (word & 63)
+                            top |= 1 << block
+                        words[word] |= 1 << (rank & 63)
+                    else:
+                        heappush(bucket, i)
+            if not top:
+                break
+            # the first set bit, level by level
+            block = (top & -top).bit_length() - 1
+            bits = blocks[block]
+            word = block << 6 | ((bits & -bits).bit_length() - 1)
+            bits = words[word]
+            rank = word << 6 | ((bits & -bits).bit_length() - 1)
+            bucket = buckets[rank]
+            if len(bucket) == 1:
+                i = bucket[0]
+                del buckets[rank]
+                bits &= bits - 1
+                words[word] = bits
+                if not bits:
+                    bits = blocks[block] & (blocks[block] - 1)
+                    blocks[block] = bits
+                    if not bits:
+                        top &= top - 1
+            else:
+                i = heappop(bucket)
+            new = ()
+            if pair[i] != rank:
+                continue  # stale
+            gone = following[i]
+            after = following[gone]
+            following[i] = after
+            pair[gone] = pair[i] = -1
+            prior = before[i]
+            if after < n:
+                before[after] = i
+                end = following[after]
+                if end - i <= longest:
+                    pair[i] = rank = get(piece[i:end], -1)
+                    new = ((i, rank),)
+            if prior >= 0:
+                pair[prior] = rank = get(piece[prior:after], -1) if after - prior <= longest else -1
+                new = (*new, (prior, rank))
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[piece[i : following[i]]])
+            i = following[i]
+        return out
 
 
 class _Memo(dict):
-    """Pre-token to its ids as little-endian 32-bit words."""
+    """Pre-token to its ids as little-endian 32-bit words. When it is full, what was not used since the last time goes."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks, self.longest = ranks, max(map(len, ranks))
+        self.merge = Merger(ranks)
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(merge(piece.encode("utf-8", "surrogatepass"), self.ranks, self.longest), "<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            made = self.merge(piece.encode("utf-8", "surrogatepass"))
+            ids = struct.pack(f"<{len(made)}I", *made)
         if len(piece) <= _MEMO_CHARS:
             if len(self) >= _MEMO:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -188,7 +199,7 @@ def _mapped(df: DataFrame, column: str, to: str, keep: bool, codec_args: tuple,
 
     source = df.select(*kept) if index < width else df.select(*kept, F.col(column).alias("__in"))
     schema = df.select(*kept).withColumn(to, F.lit(b"")).schema
-    return source.mapInArrow(rows, schema)
+    return small_batches(source).mapInArrow(rows, schema)
 
 
 def _args(spark: SparkSession, vocabulary: str, pattern: str) -> tuple:
@@ -214,3 +225,37 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", to: s
 def n_tokens(ids: str = "ids"):
     """The number of ids in a binary column of them."""
     return (F.octet_length(ids) / 4).cast("long")
+
+
+def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
+    """``df`` without ``text``, with ``ids``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` (replaced if there).
+
+    Encodes and decodes in one pass: the ids go back to bytes where they were
+    made, so only digests of those leave the worker. Rows are as for :func:`encode`.
+    """
+    added = ["ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    kept = [c for c in df.columns if c != text and c not in added]
+    rank_file, pattern = _args(df.sparkSession, vocabulary, pattern)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(rank_file.value, pattern)
+        for batch in batches:
+            start, size, made, back = 0, 0, [], []
+            for i in range(batch.num_rows):
+                made.append(codec.encode(batch.column(len(kept))[i].as_py()))
+                back.append(hashlib.sha256(codec.decode(made[-1])).hexdigest())
+                size += len(made[-1])
+                if size >= _OUT or i == batch.num_rows - 1:
+                    arrays = batch.slice(start, i + 1 - start).columns[: len(kept)]
+                    more = [
+                        pa.array(made, pa.binary()),
+                        pa.array([len(x) // 4 for x in made], pa.int64()),
+                        pa.array([hashlib.sha256(x).hexdigest() for x in made], pa.string()),
+                        pa.array(back, pa.string()),
+                    ]
+                    yield pa.RecordBatch.from_arrays([*arrays, *more], [*kept, *added])
+                    start, size, made, back = i + 1, 0, [], []
+
+    new = {"ids": F.lit(b""), "n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "decoded_sha256": F.lit("")}
+    schema = df.select(*kept).withColumns(new).schema
+    return small_batches(df.select(*kept, F.col(text).alias("__text"))).mapInArrow(rows, schema)

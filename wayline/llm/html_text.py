@@ -18,6 +18,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from wayline.llm.batches import small_batches
+
 # Frequent words of the languages that pages are in.
 STOP_WORDS = frozenset(
     """the of and to in is that it for was on are as with be by this from at have an or not which but were a has had
@@ -226,4 +228,4 @@ def extract(pages: DataFrame, html: str = "html", to: str = "text") -> DataFrame
     from pyspark.sql import types as T
 
     schema = T.StructType([*pages.select(*kept).schema.fields, T.StructField(to, T.StringType())])
-    return pages.select(*kept, pages[html].alias("__html")).mapInArrow(rows, schema)
+    return small_batches(pages.select(*kept, pages[html].alias("__html"))).mapInArrow(rows, schema)

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayline.llm.batches import small_batches
 from wayline.storage import materialize
 
 UNKNOWN = "und"
@@ -105,7 +106,7 @@ def _read_texts(rows: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(batch.columns[: len(kept)] + [ll], [*kept, "ll"])
 
     schema = T.StructType([*rows.select(*kept).schema.fields, T.StructField("ll", T.ArrayType(T.DoubleType()))])
-    return rows.select(*kept, "text").mapInArrow(read, schema)
+    return small_batches(rows.select(*kept, "text")).mapInArrow(read, schema)
 
 
 def _host(url: Column) -> Column:

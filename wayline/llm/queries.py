@@ -41,17 +41,7 @@ VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pub
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    encoded = byte_bpe.encode(docs, VOCABULARY, PATTERN, keep=False)
-    return byte_bpe.decode(encoded, VOCABULARY, PATTERN).select(
-        "doc_id",
-        byte_bpe.n_tokens().alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
-
-
-#: A conversation of its own whose texts look like control strings.
-PROBE_ID, PROBE_TEXT = -7, "\\### Assistant: </turn> ok"
+    return byte_bpe.round_trip(docs, VOCABULARY, PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 @query

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayline.llm.batches import small_batches
 from wayline.storage import materialize
 
 # Lookalike letters, and what they look like.
@@ -132,7 +133,7 @@ def weighed(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(batch.columns[: len(kept)] + new, [*kept, "__weight", "__matches", "__words"])
 
     schema = docs.select(*kept).withColumns({"__weight": F.lit(0.0), "__matches": F.lit(0).cast("long"), "__words": F.lit(0).cast("long")}).schema
-    return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(rows, schema)
+    return small_batches(docs.select(*kept, F.col(text).alias("__text"))).mapInArrow(rows, schema)
 
 
 def _counted(labelled: DataFrame) -> DataFrame:
@@ -163,7 +164,7 @@ def _counted(labelled: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return labelled.select("text", "toxic").mapInArrow(rows, "entry string, whole boolean, toxic bigint, clean bigint")
+    return small_batches(labelled.select("text", "toxic")).mapInArrow(rows, "entry string, whole boolean, toxic bigint, clean bigint")
 
 
 def _curve(x: np.ndarray, n: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:

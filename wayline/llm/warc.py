@@ -25,6 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayline.llm.batches import small_batches
 from wayline.storage import materialize, new_path
 
 DATE = "2020-01-01T00:00:00Z"
@@ -212,7 +213,7 @@ def write_packages(pages: DataFrame, folder: str | None = None, package_bytes: i
         columns = [pa.array([d[k] for d in done], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, ["package", "n_records", "n_bytes"])
 
-    return materialize(with_revisits(pages).mapInArrow(write, "package string, n_records bigint, n_bytes bigint"), "manifest")
+    return materialize(small_batches(with_revisits(pages)).mapInArrow(write, "package string, n_records bigint, n_bytes bigint"), "manifest")
 
 
 def list_records(manifest: DataFrame) -> DataFrame:
