@@ -1,0 +1 @@
+"""Plans put together from operators."""
