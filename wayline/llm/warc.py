@@ -237,7 +237,8 @@ def list_records(manifest: DataFrame) -> DataFrame:
                     )
 
     # a package's directory is a task of its own, however few files the manifest has
-    return manifest.select("package").repartition("package").mapInArrow(look, "package string, offset bigint, length bigint")
+    found = manifest.select("package").repartition("package").mapInArrow(look, "package string, offset bigint, length bigint")
+    return materialize(found, "records")
 
 
 def _spans(rows: Iterator[tuple[str, int, int]]) -> Iterator[tuple[str, list[tuple[int, int]]]]:
@@ -287,7 +288,8 @@ def read_records(records: DataFrame, payload: bool = True) -> DataFrame:
         if made:
             yield batch_of(made)
 
-    # stretches of a package stay together; one package is read by many tasks
-    stretch = F.floor(F.col("offset") / F.lit(16 * _SPAN))
-    dealt = records.repartition("package", stretch).sortWithinPartitions("package", "offset")
+    # stretches of a package stay together; one package is read by many tasks, by the bytes they will read
+    stretch = F.floor(F.col("offset") / F.lit(_SPAN))
+    total = records.agg(F.sum("length")).first()[0] or 0
+    dealt = records.repartition(max(1, -(-total // (4 * _SPAN))), "package", stretch).sortWithinPartitions("package", "offset")
     return dealt.mapInArrow(read, schema)
