@@ -9,7 +9,8 @@ for the language that its text alone says. A row's own count is left out when
 its evidence is weighed.
 
 Besides the languages learned there is the class UNKNOWN, a uniform model, for
-texts in none of them.
+texts in none of them. Only letters count: numbers, addresses and the like are in
+any language.
 """
 
 from __future__ import annotations
@@ -34,16 +35,21 @@ EFFECTIVE = 50
 #: Pseudo counts that a host takes from its domain and a domain from the whole.
 KAPPA = 20.0
 _SLICE = 1 << 20
+#: The uniform model's part in each language's model: a trigram never seen says little.
+UNIFORM = 0.1
+#: Bytes that stand for themselves, letters and what is beyond ASCII; all others are blanks.
+_KEEP = np.array([b if chr(b).isalpha() or b > 127 else 32 for b in range(256)], np.uint8)
 
 
 def _codes(text: str | None) -> Iterator[np.ndarray]:
-    """Hashed trigrams of the UTF-8 bytes of a text in lower case, in slices."""
-    data = np.frombuffer(f" {text or ''} ".lower().encode("utf-8", "surrogatepass"), np.uint8)
+    """Hashed trigrams of the UTF-8 bytes of a text in lower case, in slices; digits and signs are blanks, and no trigram spans one."""
+    data = _KEEP[np.frombuffer(f" {text or ''} ".lower().encode("utf-8", "surrogatepass"), np.uint8)]
     if not text:
         return
     for k in range(0, len(data) - 2, _SLICE):
         b = data[k : k + _SLICE + 2].astype(np.uint32)
-        yield ((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)) >> np.uint32(32 - BITS)
+        grams = (b[:-2] << 16 | b[1:-1] << 8 | b[2:])[b[1:-1] != 32]
+        yield (grams * np.uint32(2654435761)) >> np.uint32(32 - BITS)
 
 
 @dataclass
@@ -90,8 +96,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", max_rows:
         drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < per_million)
         sums = drawn.mapInArrow(count, "k int, code int, n bigint").groupBy("k", "code").agg(F.sum("n").alias("n")).toPandas()
         counts[sums["k"], sums["code"]] = sums["n"]  # at most 2**BITS for each language
-    smooth = counts + 0.25
-    return Model(languages, np.log(smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float32).copy())
+    seen = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    return Model(languages, np.log((1 - UNIFORM) * seen + UNIFORM / (1 << BITS)).T.astype(np.float32).copy())
 
 
 def _read_texts(rows: DataFrame, model: Model) -> DataFrame:
