@@ -187,13 +187,14 @@ def learn(
     text: str = "text",
     toxic: str = "toxic",
     min_docs: int = 3,
+    min_precision: float = 0.9,
     max_entries: int = 20_000,
     exceptions: tuple[str, ...] = EXCEPTIONS,
 ) -> Lexicon:
     """A lexicon from labelled texts; rows with a null label are left out.
 
-    An entry is taken if at least ``min_docs`` toxic documents hold it, it is
-    more often in toxic than in clean documents, and its share of toxic documents
+    An entry is taken if at least ``min_docs`` toxic documents hold it, of all that
+    hold it at least ``min_precision`` are toxic, and its share of toxic documents
     is further above the general one than chance explains among all entries (a
     Chernoff bound, divided by the number of entries). Only the ``max_entries``
     best supported are kept. Without toxic or without clean rows the lexicon is
@@ -212,7 +213,7 @@ def learn(
     apart = share * F.log(share / F.lit(base)) + F.when(share < 1, (1 - share) * F.log((1 - share) / F.lit(1 - base))).otherwise(0.0)
     chosen = (
         counts.withColumn("evidence", n * apart)
-        .where((share > max(base, 0.5)) & (F.col("evidence") >= math.log(10.0 * tested)))
+        .where((share >= max(base, min_precision)) & (F.col("evidence") >= math.log(10.0 * tested)))
         .withColumn("weight", F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0)))
         .where("weight > 0")
         .orderBy(F.desc("evidence"), "entry", "whole")
