@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from wayline.functions.circular import direction_bin
 from wayline.operators import binning as B
 from wayline.operators import decoding as D
-from wayline.operators import detection, joins, maps
+from wayline.operators import detection, joins, maps, tracking
 from wayline.operators import sequence as S
 from wayline.sources import adapters as A
+from wayline.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -598,3 +599,78 @@ def vr_trial_epochs(spark: SparkSession, sf: str) -> DataFrame:
     rewards = A.events(spark, sf).where("tet = 'purchase'").select("i", "cell", F.col("t_s").alias("end_s"))
     trials = S.previous(rewards, F.col("end_s"), "start_s", keys=("cell",)).withColumn("start_s", F.coalesce("start_s", F.lit(0.0)))
     return trials.withColumn("duration_s", F.col("end_s") - F.col("start_s")).select("i", "cell", *r6("start_s", "end_s", "duration_s"))
+
+
+# -- tracking, fits and streams ------------------------------------------------
+
+
+@query(
+    """, m AS (SELECT cell, avg(x) AS mx, avg(y) AS my FROM pos JOIN ev USING (i) GROUP BY 1
+), c AS (SELECT cell, mx, my, x - mx AS u, y - my AS v FROM pos JOIN ev USING (i) JOIN m USING (cell)
+), s AS (SELECT cell, mx, my, count(*)::DOUBLE AS n, sum(u * u) AS uu, sum(v * v) AS vv, sum(u * v) AS uv,
+                sum(u * u * u + u * v * v) AS p, sum(v * v * v + v * u * u) AS q FROM c GROUP BY 1, 2, 3
+), f AS (SELECT *, (p * vv - q * uv) / nullif(2 * (uu * vv - uv * uv), 0) AS a, (q * uu - p * uv) / nullif(2 * (uu * vv - uv * uv), 0) AS b FROM s)
+SELECT cell, n::BIGINT AS n, round(mx + a, 4) AS cx, round(my + b, 4) AS cy, round(sqrt(a * a + b * b + (uu + vv) / n), 4) AS r FROM f WHERE n > 4"""
+)
+def circle_fit(spark: SparkSession, sf: str) -> DataFrame:
+    at = A.positions(spark, sf).join(A.events(spark, sf).select("i", "cell"), "i")
+    fit = tracking.fit_circle(at, ("cell",)).where("n > 4")
+    return fit.select("cell", "n", *[(F.round(c, 4) + 0.0).alias(c) for c in ("cx", "cy", "r")])
+
+
+@query()
+def jump_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Each cell's events as a track of its own."""
+    at = A.positions(spark, sf, masked=True).join(A.events(spark, sf).select("i", "cell"), "i")
+    return tracking.jump_filter(at, 2.0, ("cell",))
+
+
+@query(
+    """, b AS (SELECT least(greatest(floor((speed - 5) / 400) + 1, 0), 11) AS b, avg(v) AS m FROM kin JOIN ev USING (i) GROUP BY 1)
+SELECT count(*) AS n, round(regr_slope(m, b), 6) AS slope, round(regr_intercept(m, b), 6) AS intercept FROM b WHERE b BETWEEN 1 AND 10"""
+)
+def speed_freq_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean signal by speed bin and the line through the inner bins."""
+    b = F.least(F.greatest(F.floor((F.col("speed") - 5) / 400) + 1, F.lit(0)), F.lit(11))
+    means = _kin(spark, sf).join(A.events(spark, sf).select("i", "v"), "i").groupBy(b.alias("b")).agg(F.avg("v").alias("m")).where("b between 1 and 10")
+    line = means.agg(F.count("*").alias("n"), F.regr_slope("m", "b").alias("slope"), F.regr_intercept("m", "b").alias("intercept"))
+    return line.select("n", *r6("slope", "intercept"))
+
+
+@query(
+    """, a AS (SELECT i, cell, t_s, last_value(CASE WHEN tet = 'purchase' THEN t_s END IGNORE NULLS) OVER (PARTITION BY cell ORDER BY i) AS p,
+       first_value(CASE WHEN tet = 'purchase' THEN t_s END IGNORE NULLS) OVER (PARTITION BY cell ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM ev)
+SELECT i, cell, round(CASE WHEN q IS NULL OR t_s - p <= q - t_s THEN t_s - p ELSE t_s - q END, 6) AS since FROM a WHERE p IS NOT NULL OR q IS NOT NULL"""
+)
+def nearest_fixed_trial(spark: SparkSession, sf: str) -> DataFrame:
+    """Time since, or if negative until, the nearest event of one type of the same cell; ties to the earlier."""
+    mark = F.when(F.col("tet") == "purchase", F.col("t_s"))
+    e = S.last_known(A.events(spark, sf), mark, "p", keys=("cell",))
+    e = S.last_known(e, mark, "q", keys=("cell",), ahead=True).where("p is not null or q is not null")
+    before, after = F.col("t_s") - F.col("p"), F.col("q") - F.col("t_s")
+    return e.withColumn("since", F.when(F.col("q").isNull() | (before <= after), before).otherwise(-after)).select("i", "cell", *r6("since"))
+
+
+def _timed(spark: SparkSession, sf: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return e.select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("tet"), F.col("user_id").alias("cell"), F.col("value").alias("v"))
+
+
+@query(" SELECT tet, (floor(t_s / 600) * 600)::BIGINT AS start_s, count(*) AS n, round(avg(v), 6) AS mean_v FROM ev GROUP BY 1, 2")
+def windowed_activity(spark: SparkSession, sf: str) -> DataFrame:
+    """The streaming operator's batch form."""
+    w = streams.windowed_counts(_timed(spark, sf))
+    start = (F.unix_timestamp("start") - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp"))).alias("start_s")
+    return w.select("tet", start, "n", *r6("mean_v"))
+
+
+@query(
+    """, g AS (SELECT cell, i, t_s, coalesce(t_s - lag(t_s) OVER (PARTITION BY cell ORDER BY i) >= 7200, true) AS st FROM ev
+), s AS (SELECT *, sum(st::INT) OVER (PARTITION BY cell ORDER BY i) AS k FROM g)
+SELECT cell, round(min(t_s), 3) AS start_s, count(*) AS n FROM s GROUP BY cell, k"""
+)
+def cell_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """The streaming operator's batch form."""
+    s = streams.sessions(_timed(spark, sf), "2 hours")
+    start = F.unix_micros("start") / 1e6 - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp"))
+    return s.select("cell", F.round(start, 3).alias("start_s"), "n")
