@@ -297,10 +297,10 @@ def segmented_cumsum(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """, d AS (SELECT i, coalesce(sqrt(power(x - lag(x) OVER (ORDER BY i), 2) + power(y - lag(y) OVER (ORDER BY i), 2)), 0) AS d FROM pos)
-SELECT i, round(sum(d) OVER (ORDER BY i), 4) AS path FROM d"""
+SELECT i, round(sum(d) OVER (ORDER BY i), 2) AS path FROM d"""
 )
 def path_len_cum(spark: SparkSession, sf: str) -> DataFrame:
-    return S.path_length(A.positions(spark, sf)).select("i", (F.round("path", 4) + 0.0).alias("path"))
+    return S.path_length(A.positions(spark, sf)).select("i", (F.round("path", 2) + 0.0).alias("path"))
 
 
 @query(" SELECT i, v FROM (SELECT i, v, lag(v) OVER (ORDER BY i) AS a, lead(v) OVER (ORDER BY i) AS b FROM ev) WHERE v > a AND v > b")
@@ -667,10 +667,9 @@ def windowed_activity(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     """, g AS (SELECT cell, i, t_s, coalesce(t_s - lag(t_s) OVER (PARTITION BY cell ORDER BY i) >= 7200, true) AS st FROM ev
 ), s AS (SELECT *, sum(st::INT) OVER (PARTITION BY cell ORDER BY i) AS k FROM g)
-SELECT cell, round(min(t_s), 3) AS start_s, count(*) AS n FROM s GROUP BY cell, k"""
+SELECT cell, round(min(t_s) * 1000000)::BIGINT AS start_us, count(*) AS n FROM s GROUP BY cell, k"""
 )
 def cell_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """The streaming operator's batch form."""
     s = streams.sessions(_timed(spark, sf), "2 hours")
-    start = F.unix_micros("start") / 1e6 - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp"))
-    return s.select("cell", F.round(start, 3).alias("start_s"), "n")
+    return s.select("cell", (F.unix_micros("start") - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))).alias("start_us"), "n")
