@@ -33,3 +33,72 @@ def test_series_across_chunks(spark):
         if chunk == 3:
             first = got
         assert got == first
+
+
+def test_clean_track_matches_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n, fs, ppm = 400, 50.0, 300.0
+    centre = np.cumsum(rng.normal(0, 2, (n, 2)), axis=0) + 250
+    led = np.stack([centre + 6, centre - 6], axis=1)
+    pix = np.stack([rng.normal(60, 5, n), rng.normal(20, 5, n)], axis=1)
+    for a in (100, 101, 250):
+        led[a], pix[a] = led[a, ::-1].copy(), pix[a, ::-1].copy()
+    led[rng.random(n) < 0.1, 0] += 300
+    gone = rng.random((n, 2)) < 0.1
+    rows = [("r", i, k, None if gone[i, k] else float(led[i, k, 0]), float(led[i, k, 1]), float(pix[i, k])) for i in range(n) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "trial string, i long, led int, px double, py double, npix double").repartition(3)
+
+    p = led.copy()
+    p[gone | (p < 0).any(axis=2) | (p[:, :, 0] > 700) | (p[:, :, 1] > 500)] = np.nan
+    d = lambda a, b: np.hypot(*(p[1:, a] - p[:-1, b]).T)
+    cross = np.append((d(0, 0) - d(0, 1) > 5) | (d(1, 1) - d(1, 0) > 5), False)
+    m, s = pix.mean(axis=0), pix.std(axis=0)
+    swap = cross & ((m[0] - pix[:, 0]) / s[0] > (pix[:, 0] - m[1]) / s[1])
+    assert swap.any()
+    p[swap] = p[swap][:, ::-1]
+    for k in (0, 1):
+        last = None
+        for i in range(n):
+            if np.isnan(p[i, k, 0]):
+                continue
+            if last is not None and ((p[i, k] - p[last, k]) ** 2).sum() > (4.0 * ppm / fs * (i - last)) ** 2:
+                p[i, k] = np.nan
+            else:
+                last = i
+    p = p * 100 / ppm
+    x1, x2 = np.nanpercentile(p[:, 0, 0], [0.5, 99.5])
+    y1, y2 = np.nanpercentile(p[:, 0, 1], [0.5, 99.5])
+    out = (p[:, :, 0] < x1) | (p[:, :, 0] > x2) | (p[:, :, 1] < y1) | (p[:, :, 1] > y2)
+    p[out] = np.nan
+    p -= [x1 - 0.01 * (x2 - x1), y1 - 0.01 * (y2 - y1)]
+    known = ~np.isnan(p[:, :, 0])
+    weight = known.sum(axis=0) / known.sum()
+    for k in (0, 1):
+        for c in (0, 1):
+            v = np.interp(np.arange(n), np.flatnonzero(known[:, k]), p[known[:, k], k, c])
+            v = np.pad(v, (10, 9), "edge")
+            p[:, k, c] = [v[i : i + 20].mean() for i in range(n)]
+    want = (p * weight[None, :, None]).sum(axis=1)
+    got = tracking.clean(df, ("trial",), fs, ppm, (700, 500), shape="rectangle").orderBy("i").collect()
+    assert np.allclose([(r.x, r.y) for r in got], want) and np.allclose([r.w for r in got], (x2 - x1) * 1.02)
+    assert np.allclose([r.dir for r in got], np.arctan2(p[:, 1, 0] - p[:, 0, 0], p[:, 1, 1] - p[:, 0, 1]))
+
+
+def test_circle_box_and_rigid(spark):
+    import math
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(6000):
+        r, t = 40 * math.sqrt(rng.random()), rng.uniform(0, 2 * math.pi)
+        rows.append((1, i, 50 + r * math.cos(t), 60 + r * math.sin(t)))
+    df = spark.createDataFrame(rows, "trial int, i long, x double, y double")
+    c = tracking.arc_circle(df, ("trial",)).first()
+    assert abs(c.cx - 50) < 2 and abs(c.cy - 60) < 2 and abs(c.r - 40) < 2
+    boxed = tracking.in_fixed_box(tracking.in_circle(df, tracking.arc_circle(df, ("trial",)), ("trial",)), width=60.0)
+    known = boxed.where("x is not null")
+    assert boxed.count() == 6000 and 0 < known.count() < 6000 and known.where("x < 0 or x >= 60").count() == 0
+    turned = tracking.rigid(df.limit(1), 100, 120, degrees=90).first()
+    assert math.isclose(turned.x, max(50 - (rows[0][3] - 60), 0)) and math.isclose(turned.y, max(60 + rows[0][2] - 50, 0))

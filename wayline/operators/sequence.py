@@ -8,8 +8,10 @@ for each chunk. ``keys`` name the series, where there are several.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -97,10 +99,10 @@ def close_gaps(spans: DataFrame, length: int, first: str = "first_i", last: str
     return running_sum(before, apart, to, order=first).withColumn(to, F.col(to).cast("long")).drop("__e")
 
 
-def interpolate(df: DataFrame, column: str, to: str, order: str = "i") -> DataFrame:
+def interpolate(df: DataFrame, column: str, to: str, order: str = "i", keys: tuple[str, ...] = ()) -> DataFrame:
     """Linear between the nearest known samples, constant beyond the first and last."""
     known = F.when(F.col(column).isNotNull(), F.struct(F.col(order).alias("i"), F.col(column).alias("v")))
-    out = last_known(last_known(df, known, "__a", order=order), known, "__b", order=order, ahead=True)
+    out = last_known(last_known(df, known, "__a", keys, order), known, "__b", keys, order, ahead=True)
     a, b = F.col("__a"), F.col("__b")
     between = a["v"] + (b["v"] - a["v"]) * ratio(F.col(order) - a["i"], b["i"] - a["i"])
     return out.withColumn(to, F.coalesce(F.col(column), between, a["v"], b["v"])).drop("__a", "__b")
@@ -153,3 +155,40 @@ def smooth(df: DataFrame, value: str, weights: list[float], to: str) -> DataFram
         return out
 
     return framed(mirrored, {to: total}, r, r, order="j").where("own").drop("__n", "j", "own")
+
+
+def boxcar(df: DataFrame, value: str, width: int, to: str, keys: tuple[str, ...]) -> DataFrame:
+    """Mean of ``width`` samples around each, the end samples repeated; an even width reaches further back. ``i`` is dense from 0."""
+    back, on = width // 2, width - width // 2 - 1
+    ends = df.groupBy(*keys).agg(F.min_by(value, "i").alias("__f"), F.max_by(value, "i").alias("__l"), F.max("i").alias("__m"))
+    near = framed(df, {"__s": lambda w: F.sum(value).over(w.rowsBetween(-back, on))}, back, on, keys).join(ends, list(keys))
+    missing = F.greatest(back - F.col("i"), F.lit(0)) * F.col("__f") + F.greatest(F.col("i") + on - F.col("__m"), F.lit(0)) * F.col("__l")
+    return near.withColumn(to, (F.col("__s") + missing) / width).drop("__s", "__f", "__l", "__m")
+
+
+def scan(df: DataFrame, keys: tuple[str, ...], order: str, step: Callable, schema: str, ahead: bool = False) -> DataFrame:
+    """For recurrences that no window expresses: runs through each series in order, a batch at a time.
+
+    ``step(rows, state)`` takes consecutive rows of one series as pandas and what it
+    gave back for the rows before (None at the start of a series), and returns a
+    table and the next state. A series is never held whole; ``ahead`` runs from its end.
+    """
+    names = list(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, None
+        for b in batches:
+            k = b[names]
+            same = ((k == k.shift()) | (k.isna() & k.shift().isna())).all(axis=1).to_numpy()
+            starts = np.flatnonzero(~same[1:]) + 1
+            for a, z in zip([0, *starts], [*starts, len(b)]):
+                if z > a:
+                    part = b.iloc[a:z]
+                    key = tuple(None if pd.isna(v) else v for v in part.iloc[0][names])
+                    if key != at:
+                        at, state = key, None
+                    out, state = step(part, state)
+                    yield out
+
+    by = F.desc(order) if ahead else F.asc(order)
+    return df.repartition(*names).sortWithinPartitions(*names, by).mapInPandas(run, schema)

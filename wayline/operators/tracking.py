@@ -2,33 +2,171 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from wayline.functions.circular import ratio
+from wayline.operators import sequence as S
+from wayline.operators.sequence import scan
 
 
 def jump_filter(pos: DataFrame, step: float, keys: tuple[str, ...]) -> DataFrame:
-    """``keys, i, ok``: whether a sample is within reach of the last good one, ``step`` cm for each sample since then.
+    """``keys, i, ok``: whether a sample is within reach of the last good one, ``step`` for each sample since then.
+
+    A recurrence over the samples of a track, run through in order; tracks run side
+    by side. The first known sample is good, a masked one never is.
+    """
+    names = list(keys)
+
+    def see(rows: pd.DataFrame, last: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
+        ok = []
+        for i, x, y in zip(rows["i"], rows["x"], rows["y"]):
+            known = not (np.isnan(x) or np.isnan(y))
+            good = known and (last is None or (x - last[1]) ** 2 + (y - last[2]) ** 2 <= ((i - last[0]) * step) ** 2)
+            last = (i, x, y) if good else last
+            ok.append(good)
+        return rows[[*names, "i"]].assign(ok=ok), last
+
+    track = pos.select(*keys, "i", F.col("x").cast("double"), F.col("y").cast("double"))
+    schema = StructType([*[track.schema[k] for k in keys], track.schema["i"], StructField("ok", BooleanType())])
+    return scan(track, keys, "i", see, schema)
+
+
+def swap_lights(leds: DataFrame, keys: tuple[str, ...], reach: float = 5.0) -> DataFrame:
+    """``keys, i, led, px, py, npix`` with the two lights exchanged where they were taken for each other.
+
+    That is where the big light (0) is as small as the small one, in standard
+    deviations of either, and one light's next place is nearer to the other's place
+    by more than ``reach``. A missing place or size swaps nothing.
+    """
+    light = lambda n: F.max(F.when(F.col("led") == n, F.struct("px", "py", "npix")))
+    wide = leds.groupBy(*keys, "i").agg(light(0).alias("a"), light(1).alias("b"))
+    size = wide.groupBy(*keys).agg(*[f(c + ".npix").alias(f"__{n}{c}") for n, f in (("m", F.avg), ("s", F.stddev_pop)) for c in "ab"])
+    near = S.framed(wide, {"__na": lambda w: F.lead("a").over(w), "__nb": lambda w: F.lead("b").over(w)}, 0, 1, keys).join(size, list(keys))
+    gap = lambda p, q: F.hypot(F.col(p)["px"] - F.col(q)["px"], F.col(p)["py"] - F.col(q)["py"])
+    crossed = (gap("__na", "a") - gap("__na", "b") > reach) | (gap("__nb", "b") - gap("__nb", "a") > reach)
+    shrunken = ratio(F.col("__ma") - F.col("a.npix"), F.col("__sa")) > ratio(F.col("a.npix") - F.col("__mb"), F.col("__sb"))
+    swap = F.coalesce(crossed & shrunken, F.lit(False))
+    first, second = F.when(swap, F.col("b")).otherwise(F.col("a")), F.when(swap, F.col("a")).otherwise(F.col("b"))
+    return near.select(*keys, "i", F.posexplode(F.array(first, second)).alias("led", "p")).select(*keys, "i", "led", "p.px", "p.py", "p.npix")
+
+
+def fit_rectangle(pos: DataFrame, keys: tuple[str, ...], edge: float = 0.5) -> DataFrame:
+    """``keys, x1, x2, y1, y2``: percentiles ``edge`` and 100 - ``edge``. Places are of pixels, so few values differ."""
+    q = F.array(F.lit(edge / 100), F.lit(1 - edge / 100))
+    at = pos.groupBy(*keys).agg(F.percentile("x", q).alias("qx"), F.percentile("y", q).alias("qy"))
+    return at.select(*keys, F.col("qx")[0].alias("x1"), F.col("qx")[1].alias("x2"), F.col("qy")[0].alias("y1"), F.col("qy")[1].alias("y2"))
+
 
-    A recurrence over the samples of a track, folded by SQL's ``aggregate``; tracks
-    run side by side. The first known sample is good, a masked one never is.
+def arc_circle(pos: DataFrame, keys: tuple[str, ...], edge: float = 2.0, arc: float = 15.0, ring: float = 1.0, dwell: float = 0.25 / 360) -> DataFrame:
+    """``keys, cx, cy, r``: the circle through each arc's outermost ring that holds more than ``dwell`` of all samples.
+
+    An arc without such a ring counts with the outermost ring of the track.
     """
-    none = F.lit(None).cast("struct<i:bigint,x:double,y:double>")
-
-    def see(state: Column, s: Column) -> Column:
-        last = state["last"]
-        d2 = F.pow(s["x"] - last["x"], 2) + F.pow(s["y"] - last["y"], 2)
-        near = last.isNull() | (d2 <= F.pow((s["i"] - last["i"]) * step, 2))
-        good = s["x"].isNotNull() & s["y"].isNotNull() & near
-        return F.struct(
-            F.when(good, F.struct(s["i"].alias("i"), s["x"].alias("x"), s["y"].alias("y"))).otherwise(last).alias("last"),
-            F.concat(state["done"], F.array(F.struct(s["i"].alias("i"), good.alias("ok")))).alias("done"),
-        )
-
-    start = F.struct(none.alias("last"), F.array().cast("array<struct<i:bigint,ok:boolean>>").alias("done"))
-    tracks = pos.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("xs"))
-    return tracks.select(*keys, F.inline(F.aggregate("xs", start, see)["done"]))
+    box = fit_rectangle(pos, keys, edge).select(*keys, ((F.col("x1") + F.col("x2")) / 2).alias("__x"), ((F.col("y1") + F.col("y2")) / 2).alias("__y"))
+    at = pos.join(box, list(keys))
+    x, y = F.col("x") - F.col("__x"), F.col("y") - F.col("__y")
+    n_arcs = int(360 / arc)
+    bins = at.select(*keys, "__x", "__y", F.floor(F.hypot(x, y) / ring).alias("r"), F.least(F.floor((F.degrees(F.atan2(y, x)) + 180) / arc), F.lit(n_arcs - 1)).alias("t"))
+    held = bins.groupBy(*keys, "__x", "__y", "r", "t").agg(F.count("*").alias("n"))
+    whole = held.groupBy(*keys, "__x", "__y").agg(F.sum("n").alias("__n"), F.max("r").alias("__r")).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_arcs - 1))).alias("t"))
+    arcs = whole.join(held.select(*keys, "r", "t", "n"), [*keys, "t"], "left").groupBy(*keys, "__x", "__y", "t", "__r")
+    outer = arcs.agg(F.max(F.when(F.col("n") > dwell * F.col("__n"), F.col("r"))).alias("r")).withColumn("r", (F.coalesce("r", "__r") + 1) * ring)
+    angle = F.radians(F.col("t") * arc) - math.pi
+    return fit_circle(outer.select(*keys, (F.col("__x") + F.col("r") * F.cos(angle)).alias("x"), (F.col("__y") + F.col("r") * F.sin(angle)).alias("y")), keys).drop("n")
+
+
+def keep_where(pos: DataFrame, inside: Column) -> DataFrame:
+    """``pos`` with places masked (x and y null) unless ``inside`` holds."""
+    return pos.withColumns({c: F.when(inside, F.col(c)) for c in ("x", "y")})
+
+
+def in_rectangle(pos: DataFrame, box: DataFrame, keys: tuple[str, ...], padding: float = 1.02) -> DataFrame:
+    """Places outside the rectangle masked, the others moved so that it lies in the middle of a box ``w`` by ``h``, 2 % larger."""
+    w, h = (F.col("x2") - F.col("x1")), (F.col("y2") - F.col("y1"))
+    out = keep_where(pos.join(box, list(keys)), F.col("x").between(F.col("x1"), F.col("x2")) & F.col("y").between(F.col("y1"), F.col("y2")))
+    moved = {"x": F.col("x") - F.col("x1") + (padding - 1) * w / 2, "y": F.col("y") - F.col("y1") + (padding - 1) * h / 2, "w": w * padding, "h": h * padding}
+    return out.withColumns(moved).drop("x1", "x2", "y1", "y2")
+
+
+def in_circle(pos: DataFrame, circle: DataFrame, keys: tuple[str, ...], padding: float = 1.02) -> DataFrame:
+    """As :func:`in_rectangle`, for a circle."""
+    out = keep_where(pos.join(circle, list(keys)), F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) <= F.col("r"))
+    half = F.col("r") * padding
+    return out.withColumns({"x": F.col("x") - F.col("cx") + half, "y": F.col("y") - F.col("cy") + half, "w": 2 * half, "h": 2 * half}).drop("cx", "cy", "r")
+
+
+def in_fixed_box(pos: DataFrame, width: float | None = None, height: float | None = None) -> DataFrame:
+    """Centres the box ``w`` by ``h`` in one of fixed size, along either axis or both; what falls outside is masked."""
+    inside = F.lit(True)
+    for c, side, size in (("x", "w", width), ("y", "h", height)):
+        if size is not None:
+            pos = pos.withColumn(c, F.col(c) - (F.col(side) - size) / 2).withColumn(side, F.lit(float(size)))
+            inside = inside & (F.col(c) >= 0) & (F.col(c) < size)
+    return keep_where(pos, inside)
+
+
+def combine_lights(leds: DataFrame, weights: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``keys, i, x, y, dir``: the lights' weighted mean and the angle from the first to the second, x first; null with one light."""
+    place = lambda n, c: F.max(F.when(F.col("led") == n, F.col(c)))
+    both = leds.join(weights, [*keys, "led"]).groupBy(*keys, "i")
+    mean = [F.sum(F.col("__w") * F.col(c)).alias(c) for c in ("x", "y")]
+    return both.agg(*mean, F.atan2(place(1, "x") - place(0, "x"), place(1, "y") - place(0, "y")).alias("dir"))
+
+
+def light_weights(leds: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``keys, led, __w``: each light's share of the places known."""
+    known = leds.groupBy(*keys, "led").agg(F.count("x").alias("n"))
+    total = known.groupBy(*keys).agg(F.sum("n").alias("t"))
+    return known.join(total, list(keys)).select(*keys, "led", ratio(F.col("n"), F.col("t")).alias("__w"))
+
+
+def clean(
+    leds: DataFrame, keys: tuple[str, ...], fs: float, ppm: float, window: tuple[float, float], shape: str | None = None, fixed: tuple[float | None, float | None] = (None, None),
+    swap: bool = True, max_speed: float | None = 4.0, smoothing_ms: float = 400.0,
+) -> DataFrame:
+    """``keys, i, x, y, dir, w, h`` in cm from raw lights (``keys, i, led, px, py, npix``).
+
+    In order: places known by half or outside the camera window masked, lights
+    exchanged back, jumps faster than ``max_speed`` (m/s) masked, pixels to cm, a
+    ``circle`` or ``rectangle`` fitted to the first light and what lies outside it
+    masked, a fixed box, weights, gaps filled in, smoothing, lights combined.
+    """
+    w, h = window
+    seen = F.col("px").between(0, w) & F.col("py").between(0, h)
+    raw = leds.select(*keys, "i", "led", F.when(seen, F.col("px")).alias("px"), F.when(seen, F.col("py")).alias("py"), "npix")
+    if swap:
+        raw = swap_lights(raw, keys)
+    pos = raw.select(*keys, "i", "led", F.col("px").alias("x"), F.col("py").alias("y"))
+    if max_speed is not None:
+        ok = jump_filter(pos, max_speed * ppm / fs, (*keys, "led"))
+        pos = keep_where(pos.join(ok, [*keys, "led", "i"]), F.col("ok")).drop("ok")
+    cm = pos.withColumns({"x": F.col("x") * 100 / ppm, "y": F.col("y") * 100 / ppm, "w": F.lit(float(int(w * 100 / ppm))), "h": F.lit(float(int(h * 100 / ppm)))})
+    first = cm.where("led = 0 and x is not null")
+    if shape == "circle":
+        cm = in_circle(cm.drop("w", "h"), arc_circle(first, keys), keys)
+    elif shape == "rectangle":
+        cm = in_rectangle(cm.drop("w", "h"), fit_rectangle(first, keys), keys)
+    cm = in_fixed_box(cm, *fixed)
+    weights = light_weights(cm, keys)
+    each = (*keys, "led")
+    for c in ("x", "y"):
+        cm = S.interpolate(cm, c, c, keys=each)
+        cm = S.boxcar(cm, c, max(int(fs * smoothing_ms / 1000), 1), c, each)
+    sizes = cm.groupBy(*keys).agg(F.max("w").alias("w"), F.max("h").alias("h"))
+    return combine_lights(cm, weights, keys).join(sizes, list(keys))
+
+
+def rigid(pos: DataFrame, w: float, h: float, dx: float = 0.0, dy: float = 0.0, degrees: float = 0.0) -> DataFrame:
+    """Turned about the middle of the box, moved, and kept at 0 or above."""
+    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    u, v = F.col("x") - w / 2, F.col("y") - h / 2
+    return pos.withColumns({"x": F.greatest(c * u - s * v + w / 2 + dx, F.lit(0.0)), "y": F.greatest(s * u + c * v + h / 2 + dy, F.lit(0.0))})
 
 
 def fit_circle(points: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
