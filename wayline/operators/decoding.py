@@ -1,17 +1,18 @@
 """State-space decoding of position from spikes.
 
 Place fields and likelihoods are joins and sums over (time bin, cell, position
-bin). The filter itself is a recurrence over time; a session's time bins are
-folded in order by SQL's ``aggregate`` over arrays of as many entries as there are
-position bins, so sessions run side by side and nothing leaves the JVM.
+bin). The filter and the smoother are recurrences over time: sessions run side by
+side, each in order and a batch at a time, with one vector of states carried along.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayline.operators.sequence import previous
+from wayline.operators.sequence import framed, previous, scan
 
 
 def transitions(states: DataFrame, n_bins: int, spread: float) -> DataFrame:
@@ -41,30 +42,88 @@ def map_decode(ll: DataFrame) -> DataFrame:
     return ll.groupBy("t").agg(F.min(F.struct((-F.col("ll")).alias("ll"), "gx")).alias("m")).select("t", F.col("m.gx").alias("gx"))
 
 
+def _posterior(ll: DataFrame, session: str) -> str:
+    return f"{session} {ll.schema[session].dataType.simpleString()}, t bigint, p array<double>"
+
+
 def forward_filter(ll: DataFrame, moves: list[list[float]], session: str = "session") -> DataFrame:
-    """``session, t, p``: causal posterior over position bins; ``p`` is an array in order of bins.
+    """``session, t, p``: causal posterior over states; ``p`` is an array in order of states.
 
     ``ll`` has ``session, t`` and ``l``, an array of log likelihoods in order of
-    bins; ``moves[a][b]`` is the probability to go from a to b. The first time bin
+    states; ``moves[a][b]`` is the probability to go from a to b. The first time bin
     starts uniform.
     """
-    n = len(moves)
-    columns = F.array(*[F.array(*[F.lit(float(moves[a][b])) for a in range(n)]) for b in range(n)])
-    flat = F.array(*[F.lit(1.0 / n)] * n)
+    into = np.array(moves, dtype=float).T
+
+    def step(rows: pd.DataFrame, p: np.ndarray | None) -> tuple[pd.DataFrame, np.ndarray]:
+        done = []
+        for l in rows["l"]:
+            prior = np.full(len(into), 1 / len(into)) if p is None else into @ p
+            joint = prior * np.exp(np.asarray(l) - np.max(l))
+            p = joint / joint.sum()
+            done.append(p)
+        return rows[[session, "t"]].assign(p=done), p
+
+    return scan(ll.select(session, F.col("t").cast("long"), "l"), (session,), "t", step, _posterior(ll, session))
+
+
+def backward_smoother(causal: DataFrame, moves: list[list[float]], session: str = "session") -> DataFrame:
+    """``session, t, p``: acausal posterior, from the causal one run through from its end."""
+    out = np.array(moves, dtype=float)
+
+    def step(rows: pd.DataFrame, after: np.ndarray | None) -> tuple[pd.DataFrame, np.ndarray]:
+        done = []
+        for p in rows["p"]:
+            p = np.asarray(p)
+            if after is not None:
+                expected = out.T @ p
+                p = p * (out @ np.divide(after, expected, out=np.zeros_like(after), where=expected > 0))
+                p = p / p.sum()
+            after = p
+            done.append(p)
+        return rows[[session, "t"]].assign(p=done), after
+
+    return scan(causal.select(session, "t", "p"), (session,), "t", step, _posterior(causal, session), ahead=True)
+
+
+def movement_variance(pos: DataFrame, value: str, fs: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys, movement_var``: variance of the steps between samples, for a second."""
+    step = framed(pos, {"__d": lambda w: F.lead(value).over(w) - F.col(value)}, 0, 1, keys)
+    return step.groupBy(*keys).agg((F.var_samp("__d") * fs).alias("movement_var"))
+
+
+def random_walk(n_bins: int, size: float, variance: float) -> list[list[float]]:
+    """Transitions between bins of a line by a normal step; rows sum to 1."""
+    at = np.arange(n_bins) * size
+    w = np.exp(-0.5 * (at[:, None] - at[None, :]) ** 2 / variance)
+    return (w / w.sum(axis=1, keepdims=True)).tolist()
+
+
+def state_moves(kinds: list[list[list[list[float]]]], switch: list[list[float]]) -> list[list[float]]:
+    """Transitions on states times bins: ``kinds[a][b]`` between the bins of states a and b, weighted by ``switch[a][b]``."""
+    return np.block([[np.array(kinds[a][b]) * switch[a][b] for b in range(len(switch))] for a in range(len(switch))]).tolist()
+
+
+def event_states(n_bins: int, size: float, variance: float, stay: float = 0.98) -> list[list[float]]:
+    """Moves among continuous, fragmented and stationary states: a random walk, any bin alike, the same bin.
+
+    Between states any bin is as likely as the next, unless both are of the kinds that keep near.
+    """
+    walk, uniform, same = random_walk(n_bins, size, variance), np.full((n_bins, n_bins), 1 / n_bins).tolist(), np.eye(n_bins).tolist()
+    kinds = [[walk, uniform, walk], [uniform, uniform, uniform], [walk, uniform, same]]
+    leave = (1 - stay) / 2
+    return state_moves(kinds, [[stay if a == b else leave for b in range(3)] for a in range(3)])
+
+
+def spread(ll: DataFrame, n_states: int) -> DataFrame:
+    """``ll`` with its likelihoods of bins repeated for each state."""
+    return ll.withColumn("l", F.flatten(F.array_repeat("l", n_states)))
 
-    def step(state: Column, x: Column) -> Column:
-        prior = F.when(F.size(state["done"]) == 0, flat).otherwise(
-            F.transform(columns, lambda into: F.aggregate(F.zip_with(into, state["p"], lambda m, q: m * q), F.lit(0.0), lambda s, y: s + y))
-        )
-        top = F.array_max(x["l"])
-        joint = F.zip_with(prior, x["l"], lambda q, v: q * F.exp(v - top))
-        total = F.aggregate(joint, F.lit(0.0), lambda s, y: s + y)
-        p = F.transform(joint, lambda y: y / total)
-        return F.struct(p.alias("p"), F.concat(state["done"], F.array(F.struct(x["t"].alias("t"), p.alias("p")))).alias("done"))
 
-    start = F.struct(flat.alias("p"), F.array().cast("array<struct<t:bigint,p:array<double>>>").alias("done"))
-    runs = ll.groupBy(session).agg(F.array_sort(F.collect_list(F.struct("t", "l"))).alias("xs"))
-    return runs.select(session, F.explode(F.aggregate("xs", start, step)["done"]).alias("o")).select(session, "o.t", "o.p")
+def marginals(posterior: DataFrame, names: list[str], n_bins: int, session: str = "session") -> DataFrame:
+    """``session, t, state, p``: the posterior summed over bins, for each state."""
+    total = lambda k: F.aggregate(F.slice("p", k * n_bins + 1, n_bins), F.lit(0.0), lambda s, x: s + x)
+    return posterior.select(session, "t", F.inline(F.array(*[F.struct(F.lit(n).alias("state"), total(k).alias("p")) for k, n in enumerate(names)])))
 
 
 def median_error(decoded: DataFrame, truth: DataFrame) -> DataFrame:
@@ -77,5 +136,3 @@ def direction_mean(df: DataFrame, angle: Column, keys: list[str]) -> DataFrame:
     """``keys, n, mean, variance``: circular mean and one minus the mean resultant length."""
     c, s = F.avg(F.cos(angle)), F.avg(F.sin(angle))
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.atan2(s, c).alias("mean"), (1 - F.sqrt(c * c + s * s)).alias("variance"))
-
-

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wayline.functions.circular import direction_bin
 from wayline.operators import binning as B
 from wayline.operators import decoding as D
-from wayline.operators import detection, joins, maps, tracking
+from wayline.operators import detection, joins, maps, resampling, tracking
 from wayline.operators import sequence as S
 from wayline.sources import adapters as A
 from wayline.streaming import events as streams
@@ -577,14 +577,17 @@ def median_decode_error(spark: SparkSession, sf: str) -> DataFrame:
     return D.median_error(_decoded(spark, sf), truth)
 
 
+def _moves() -> list[list[float]]:
+    moves = [[(0.8 if a == b else 0.1 if abs(a - b) == 1 else 0.0) + 0.01 for b in range(11)] for a in range(11)]
+    return [[x / sum(row) for x in row] for row in moves]
+
+
 @query()
 def forward_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions of 100 time bins, so that they are decoded side by side."""
-    moves = [[(0.8 if a == b else 0.1 if abs(a - b) == 1 else 0.0) + 0.01 for b in range(11)] for a in range(11)]
-    moves = [[x / sum(row) for x in row] for row in moves]
     ll = _likelihoods(spark, sf).groupBy("t").agg(F.array_sort(F.collect_list(F.struct("gx", "ll"))).alias("s"))
     rows = ll.select(F.expr("t div 100").alias("session"), "t", F.transform("s", lambda x: x["ll"]).alias("l"))
-    return D.forward_filter(rows, moves)
+    return D.forward_filter(rows, _moves())
 
 
 # -- sessions ----------------------------------------------------------------
@@ -673,3 +676,73 @@ def cell_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """The streaming operator's batch form."""
     s = streams.sessions(_timed(spark, sf), "2 hours")
     return s.select("cell", (F.unix_micros("start") - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))).alias("start_us"), "n")
+
+
+# -- tracked lights, resampling ----------------------------------------------
+
+
+def _track(spark: SparkSession, sf: str) -> DataFrame:
+    """One track of all samples, masked where the signal is low."""
+    return A.positions(spark, sf, masked=True).withColumn("trial", F.lit(1))
+
+
+@query(" SELECT round(quantile_cont(x, 0.005), 6) AS x1, round(quantile_cont(x, 0.995), 6) AS x2, round(quantile_cont(y, 0.005), 6) AS y1, round(quantile_cont(y, 0.995), 6) AS y2 FROM mpos")
+def track_rectangle(spark: SparkSession, sf: str) -> DataFrame:
+    return tracking.fit_rectangle(_track(spark, sf), ("trial",)).select(*r6("x1", "x2", "y1", "y2"))
+
+
+@query(
+    """, e AS (SELECT i, x, min_by(x, i) OVER () AS f, max_by(x, i) OVER () AS l, max(i) OVER () AS m FROM pos)
+SELECT i, round((sum(x) OVER (ORDER BY i ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) + greatest(10 - i, 0) * f + greatest(i + 9 - m, 0) * l) / 20, 6) AS x FROM e"""
+)
+def track_smoothed(spark: SparkSession, sf: str) -> DataFrame:
+    at = A.positions(spark, sf).withColumn("trial", F.lit(1))
+    return S.boxcar(at, "x", 20, "x", ("trial",)).select("i", *r6("x"))
+
+
+_LIGHTS = """, a AS (SELECT i, x AS ax, y AS ay, k::DOUBLE AS an, y AS bx, x AS by_, v AS bn FROM mpos JOIN ev USING (i)
+), n AS (SELECT *, lead(ax) OVER w AS cx, lead(ay) OVER w AS cy, lead(bx) OVER w AS dx, lead(by_) OVER w AS dy, avg(an) OVER () AS ma, stddev_pop(an) OVER () AS sa,
+        avg(bn) OVER () AS mb, stddev_pop(bn) OVER () AS sb FROM a WINDOW w AS (ORDER BY i)
+), s AS (SELECT *, coalesce((sqrt(power(cx - ax, 2) + power(cy - ay, 2)) - sqrt(power(cx - bx, 2) + power(cy - by_, 2)) > 5
+        OR sqrt(power(dx - bx, 2) + power(dy - by_, 2)) - sqrt(power(dx - ax, 2) + power(dy - ay, 2)) > 5) AND (ma - an) / sa > (an - mb) / sb, false) AS sw FROM n)
+SELECT i, 0 AS led, round(CASE WHEN sw THEN bx ELSE ax END, 6) AS px, round(CASE WHEN sw THEN by_ ELSE ay END, 6) AS py FROM s
+UNION ALL SELECT i, 1, round(CASE WHEN sw THEN ax ELSE bx END, 6), round(CASE WHEN sw THEN ay ELSE by_ END, 6) FROM s"""
+
+
+@query(_LIGHTS)
+def track_swapped_lights(spark: SparkSession, sf: str) -> DataFrame:
+    at = _track(spark, sf).join(A.events(spark, sf).select("i", "k", "v"), "i")
+    light = lambda n, x, y, size: F.struct(F.lit(n).alias("led"), F.col(x).alias("px"), F.col(y).alias("py"), F.col(size).cast("double").alias("npix"))
+    leds = at.select("trial", "i", F.inline(F.array(light(0, "x", "y", "k"), light(1, "y", "x", "v"))))
+    return tracking.swap_lights(leds, ("trial",)).select("i", "led", *r6("px", "py"))
+
+
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return A.positions(spark, sf)
+
+
+_DRAW = "('0x' || substr(md5('0:' || rep || ':' || i), 1, 15))::BIGINT"
+
+
+@query(
+    f""", k AS (SELECT unnest(range(1, 21)) AS rep), h AS (SELECT rep, y, row_number() OVER (PARTITION BY rep ORDER BY {_DRAW}) - 1 AS i FROM pos, k
+), r AS (SELECT rep, corr(pos.x, h.y) AS r FROM h JOIN pos USING (i) GROUP BY rep)
+SELECT round((SELECT corr(x, y) FROM pos), 6) AS r, avg((abs(r) > abs((SELECT corr(x, y) FROM pos)))::INT) AS p FROM r"""
+)
+def pearson_permutations(spark: SparkSession, sf: str) -> DataFrame:
+    return resampling.permutation_test(_pairs(spark, sf), 20).select(*r6("r"), "p")
+
+
+@query(
+    f""", k AS (SELECT unnest(range(1, 21)) AS rep), d AS (SELECT rep, {_DRAW} % (SELECT count(*) FROM pos) AS i FROM pos, k
+), r AS (SELECT rep, sign(count(*) * sum(x * y) - sum(x) * sum(y)) AS s FROM d JOIN pos USING (i) GROUP BY rep)
+SELECT round((SELECT corr(x, y) FROM pos), 6) AS r, avg((s <> (SELECT sign(corr(x, y)) FROM pos))::INT) AS p FROM r"""
+)
+def pearson_sign_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    return resampling.sign_bootstrap(_pairs(spark, sf), 20).select(*r6("r"), "p")
+
+
+@query()
+def acausal_posterior(spark: SparkSession, sf: str) -> DataFrame:
+    """Smoothed posterior of the sessions of ``forward_filter``."""
+    return D.backward_smoother(forward_filter(spark, sf), _moves())
