@@ -15,12 +15,14 @@ def _corr(df: DataFrame, keys: list, a: str, b: str) -> DataFrame:
     return sums.select(*names, F.col("n").cast("long").alias("n"), correlation(*[F.col(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")]).alias("r"))
 
 
-def autocorrelation(m: DataFrame) -> DataFrame:
-    """``dy, dx, n, r``: correlation of a map with itself at each offset where two bins or more overlap."""
-    a = m.where("rate is not null").select(F.col("gy").alias("ay"), F.col("gx").alias("ax"), F.col("rate").alias("a"))
-    b = m.where("rate is not null").select("gy", "gx", F.col("rate").alias("b"))
-    pairs = a.crossJoin(F.broadcast(b)).select((F.col("gy") - F.col("ay")).alias("dy"), (F.col("gx") - F.col("ax")).alias("dx"), "a", "b")  # bins of one map
-    out = _corr(pairs, ["dy", "dx"], "a", "b").where("n > 1")
+def autocorrelation(m: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys, dy, dx, n, r``: correlation of a map with itself at each offset where two bins or more overlap."""
+    known = m.where("rate is not null")
+    a = known.select(*keys, F.col("gy").alias("ay"), F.col("gx").alias("ax"), F.col("rate").alias("a"))
+    b = known.select(*keys, "gy", "gx", F.col("rate").alias("b"))
+    both = a.join(b, list(keys)) if keys else a.crossJoin(F.broadcast(b))  # bins of one map
+    pairs = both.select(*keys, (F.col("gy") - F.col("ay")).alias("dy"), (F.col("gx") - F.col("ax")).alias("dx"), "a", "b")
+    out = _corr(pairs, [*keys, "dy", "dx"], "a", "b").where("n > 1")
     return out.withColumn("r", F.greatest(F.least("r", F.lit(1.0)), F.lit(-1.0)))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wayline.functions.circular import direction_bin
 from wayline.operators import binning as B
 from wayline.operators import decoding as D
-from wayline.operators import detection, joins, maps, resampling, tracking
+from wayline.operators import detection, fields, joins, maps, resampling, tracking
 from wayline.operators import sequence as S
 from wayline.sources import adapters as A
 from wayline.streaming import events as streams
@@ -746,3 +746,39 @@ def pearson_sign_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
 def acausal_posterior(spark: SparkSession, sf: str) -> DataFrame:
     """Smoothed posterior of the sessions of ``forward_filter``."""
     return D.backward_smoother(forward_filter(spark, sf), _moves())
+
+
+# -- fields and grids ----------------------------------------------------------
+
+
+def _shifted_maps(spark: SparkSession, sf: str, shifts: list[int]) -> DataFrame:
+    """Rate maps of one cell's spikes moved around the recording."""
+    pos, spk = A.positions(spark, sf), A.spikes(spark, sf).where(F.col("tet") == CELL)
+    bins = [B.xy_bin(F.col(c), SIZE).alias("g" + c) for c in "yx"]
+    dwell = pos.groupBy(*bins).agg(F.count("*").alias("dwell"))
+    moved = fields.circular_shifts(spk, pos.count(), shifts)
+    hits = joins.gather(moved, pos).groupBy("shift", *bins).agg(F.count("*").alias("n"))
+    every = dwell.select("*", F.explode(F.array(*[F.lit(s) for s in shifts])).alias("shift"))
+    return every.join(hits, ["shift", "gy", "gx"], "left").select("shift", "gy", "gx", (F.coalesce("n", F.lit(0)) * FS / F.col("dwell")).alias("rate"))
+
+
+@query(
+    """, sh AS (SELECT unnest([0, 100, 200]) AS shift), dw AS (SELECT floor(y / 10)::INT AS gy, floor(x / 10)::INT AS gx, count(*) AS dwell FROM pos GROUP BY 1, 2
+), mv AS (SELECT shift, (i + shift) % (SELECT count(*) FROM pos) AS i FROM ev, sh WHERE tet = 'click'
+), hit AS (SELECT shift, floor(y / 10)::INT AS gy, floor(x / 10)::INT AS gx, count(*) AS n FROM mv JOIN pos USING (i) GROUP BY 1, 2, 3)
+SELECT shift, gy, gx, round(coalesce(n, 0) * 50.0::DOUBLE / dwell, 6) AS rate FROM dw CROSS JOIN sh LEFT JOIN hit USING (shift, gy, gx)"""
+)
+def shifted_ratemaps(spark: SparkSession, sf: str) -> DataFrame:
+    return _shifted_maps(spark, sf, [0, 100, 200]).select("shift", "gy", "gx", *r6("rate"))
+
+
+@query()
+def map_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return fields.find_fields(_shifted_maps(spark, sf, [0]), ("shift",), SIZE, least_cm2=100.0)
+
+
+@query()
+def gridness_shuffles(spark: SparkSession, sf: str) -> DataFrame:
+    """Grid measures of a cell and of its spikes moved around the recording (shift 0 is the cell itself)."""
+    maps_ = _shifted_maps(spark, sf, [0, *range(100, 1000, 100)])
+    return fields.grid_measures(maps.autocorrelation(maps_, ("shift",)), ("shift",), SIZE)
