@@ -42,6 +42,33 @@ def test_evidence(spark, model):
         assert all(0 < r.confidence <= 1 for r in got)
 
 
+def test_rare_labels_and_copies(spark):
+    """A language with few rows among very many is learned on all of them; a repeated text counts once."""
+    rng = random.Random(3)
+    rare = [f"{c}q{d}ux" for c in "aeiou" for d in "bcdfg"]
+    rows = [(text(rng, EN, 8), "en") for _ in range(3000)] + [(text(rng, rare), "xx") for _ in range(3)]
+    labelled = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    few = langid.train(labelled, max_rows=100)
+    whole = langid.train(labelled.where("lang = 'xx'"))
+    assert (few.logs[:, few.languages.index("xx")] == whole.logs[:, 0]).all()
+    copies = labelled.unionByName(spark.createDataFrame([rows[-1]] * 50 + [rows[0]] * 2000, "text string, lang string"))
+    assert (langid.train(copies, max_rows=100).logs == few.logs).all()
+
+
+def test_many_labels(spark):
+    """No label falls to the unknown language for being one of many."""
+    rng = random.Random(4)
+    words = {f"l{k:02}": [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{c}{d}" for c in "aeiou" for d in "bdfk"] for k in range(70)}
+    rows = [(text(rng, w), lang) for lang, w in words.items() for _ in range(3)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string").repartition(3)
+    model = langid.train(df)
+    assert len(model.languages) == 70
+    got = langid.identify(df, model, declared="lang").join(df, "doc_id").collect()
+    assert len(got) == 210 and all(r.language == r.lang and r.accepted for r in got)
+    with pytest.raises(ValueError):
+        langid.train(df, max_languages=64)
+
+
 def test_empty_tables(spark, model):
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert langid.identify(df, model, declared="lang").count() == 0

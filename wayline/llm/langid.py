@@ -66,34 +66,38 @@ class Model:
         return np.append(total, -n * BITS * math.log(2)) / (1 + n / EFFECTIVE)
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = 8000, max_languages: int = 64) -> Model:
-    """Trigram models from a sample of labelled rows, of ``max_rows`` on average, drawn by hash.
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = 8000, max_languages: int = 500) -> Model:
+    """Trigram models from labelled rows: of each language all distinct texts, or some ``max_rows`` drawn by hash where there are more.
 
-    The ``max_languages`` most frequent labels are learned (ties: by name). Rows
-    with a null label or a null or empty text say nothing. Without any there is
-    no language but the unknown one.
+    Every label is learned; a model is 2**BITS floats for each. ``max_languages``
+    says how many there may be; more raise an error. Rows with a null label or a
+    null or empty text say nothing. Without any there is no language but the
+    unknown one.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text <> ''")
-    by = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    by = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).limit(max_languages + 1).collect()
+    if len(by) > max_languages:
+        raise ValueError(f"more than {max_languages} labels")
     languages = tuple(sorted(r.lang for r in by))
-    total = sum(r["count"] for r in by)
-    per_million = 1_000_000 if total <= max_rows else int(1e6 * max_rows / total) + 1
     index = {x: k for k, x in enumerate(languages)}
+    part = {r.lang: 1_000_000 if r.n <= 1.1 * max_rows else int(1e6 * max_rows / r.n) + 1 for r in by}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(languages), 1 << BITS), np.int64)
+        counts: dict[int, np.ndarray] = {}
         for batch in batches:
             for t, which in zip(batch.column(0), batch.column(1).to_pylist()):
-                if which in index:
-                    for codes in _codes(t.as_py()):
-                        counts[index[which]] += np.bincount(codes, minlength=1 << BITS)
-        at = np.nonzero(counts)
-        columns = [pa.array(at[0].astype(np.int32)), pa.array(at[1].astype(np.int32)), pa.array(counts[at])]
-        yield pa.RecordBatch.from_arrays(columns, ["k", "code", "n"])
+                own = counts.setdefault(index[which], np.zeros(1 << BITS, np.int64))
+                for codes in _codes(t.as_py()):
+                    own += np.bincount(codes, minlength=1 << BITS)
+        for k, own in counts.items():
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(own[at])], ["k", "code", "n"])
 
     counts = np.zeros((len(languages), 1 << BITS))
     if languages:
-        drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < per_million)
+        shares = F.create_map(*[F.lit(x) for two in part.items() for x in two])
+        drawn = rows.where(F.pmod("h", F.lit(1_000_000)) < shares[F.col("lang")]).select("text", "lang").distinct()
         sums = drawn.mapInArrow(count, "k int, code int, n bigint").groupBy("k", "code").agg(F.sum("n").alias("n")).toPandas()
         counts[sums["k"], sums["code"]] = sums["n"]  # at most 2**BITS for each language
     seen = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
