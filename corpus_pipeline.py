@@ -53,11 +53,15 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates keeps the document with the smallest id.
 
-    Rows without an id can't be named and stay. Should the kept id repeat, its
-    rows with one text are one row.
+    Rows without an id can't be named and stay. Where an id repeats, each of its
+    texts is judged by itself. Should the kept id repeat, its rows with one text
+    are one row.
     """
-    groups = materialize(simhash.near_duplicates(docs.select("doc_id", "text")), "groups")
-    left = _without(docs, groups.where("doc_id <> component_id").select("doc_id"), ["doc_id"])
+    keyed = docs.select("*", *_key())
+    own = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "k1", "k2"))  # ordered by doc_id first
+    found = simhash.near_duplicates(keyed.select(own.alias("own"), "text"), id_col="own")
+    groups = materialize(found.select("own.*", F.col("component_id.doc_id").alias("component_id")), "groups")
+    left = _without(keyed, groups.where("doc_id <> component_id").select("k1", "k2"), ["k1", "k2"])
     twice = materialize(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     if twice.isEmpty():
         return left.select(*COLUMNS)

@@ -53,3 +53,11 @@ def test_odd_rows_pass_all_stages(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf_dir)
     assert empty.count() == 0
+
+
+def test_near_dedup_judges_each_text_of_a_repeated_id(spark):
+    one, other = " ".join(f"one{k}" for k in range(60)), " ".join(f"other{k}" for k in range(60))
+    rows = [(1, one), (2, one), (2, other), (3, other + " end"), (None, one)]
+    docs = spark.createDataFrame([(d, t, "en", "src0", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert {(1, one), (2, other), (None, one)} <= got and (2, one) not in got
