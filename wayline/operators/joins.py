@@ -14,6 +14,10 @@ from wayline.functions.circular import ratio
 from wayline.operators.sequence import last_known
 
 
+#: Half microseconds of time in a chunk of an as-of join: some two minutes of samples.
+_SPAN = 1 << 28
+
+
 def gather(spikes: DataFrame, pos: DataFrame) -> DataFrame:
     """Spikes with the columns of their position sample."""
     return spikes.join(pos.withColumnRenamed("i", "pos_i"), "pos_i")
@@ -45,9 +49,9 @@ def as_of_linear(grid: DataFrame, samples: DataFrame, value: str, to: str) -> Da
     both = grid.select("t_s", F.lit(None).cast("struct<t_s:double,v:double>").alias("s"), F.lit(True).alias("own")).unionByName(known)
     # the order column of a chunked window: time in microseconds, samples before grid points
     ordered = both.withColumn("__o", F.round(F.col("t_s") * 1e6).cast("long") * 2 + F.col("own").cast("int"))
-    ordered = last_known(ordered, F.col("s"), "a", order="__o", chunk=1 << 32)
+    ordered = last_known(ordered, F.col("s"), "a", order="__o", chunk=_SPAN)
     later = ordered.withColumn("__o", F.round(F.col("t_s") * 1e6).cast("long") * 2 + 1 - F.col("own").cast("int"))
-    out = last_known(later, F.col("s"), "b", order="__o", ahead=True, chunk=1 << 32).where("own")
+    out = last_known(later, F.col("s"), "b", order="__o", ahead=True, chunk=_SPAN).where("own")
     a, b = F.col("a"), F.col("b")
     line = a["v"] + (b["v"] - a["v"]) * F.coalesce(ratio(F.col("t_s") - a["t_s"], b["t_s"] - a["t_s"]), F.lit(0.0))
     return out.select("t_s", line.alias(to))

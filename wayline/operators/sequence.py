@@ -67,15 +67,15 @@ def last_known(df: DataFrame, value: Column, to: str, keys: tuple[str, ...] = ()
     boxed = df.withColumn("__v", value)
     pick = F.min_by if ahead else F.max_by
     end = pick("__v", F.when(F.col("__v").isNotNull(), F.col(order)))
+    # ahead means backwards: a frame that only grows is kept up row by row, one that shrinks is made anew for each
+    by = F.desc if ahead else F.asc
 
     def carried(w: WindowSpec) -> Column:
-        frame = w.rowsBetween(1, Window.unboundedFollowing) if ahead else w.rowsBetween(Window.unboundedPreceding, -1)
-        return (F.first if ahead else F.last)("__end", True).over(frame)
+        return F.last("__end", True).over(w.orderBy(by("__c")).rowsBetween(Window.unboundedPreceding, -1))
 
     out = _with_carry(boxed, end, carried, keys, order, chunk)
-    w = Window.partitionBy(*keys, "__c").orderBy(order)
-    own = F.first("__v", True).over(w.rowsBetween(0, Window.unboundedFollowing)) if ahead else F.last("__v", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn(to, F.coalesce(own, F.col("__carry"))).drop("__v", "__c", "__carry")
+    w = Window.partitionBy(*keys, "__c").orderBy(by(order)).rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumn(to, F.coalesce(F.last("__v", True).over(w), F.col("__carry"))).drop("__v", "__c", "__carry")
 
 
 def zscore(df: DataFrame, value: str, to: str = "z") -> DataFrame:
