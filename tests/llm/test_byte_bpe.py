@@ -38,17 +38,39 @@ def test_random_letters():
         assert ids(text) == REFERENCE.encode_ordinary(text)
 
 
-def test_texts_over_the_list_limit(monkeypatch):
-    monkeypatch.setattr(byte_bpe, "_LIST_UP_TO", 10)
-    text = "Some words, and 12 numbers \n\n more" * 50
-    assert ids(text) == REFERENCE.encode_ordinary(text)
+def test_texts_over_the_limit(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "_AT_ONCE", 10)
+    text = "Some words, and 12 numbers \n\n more zqzqxj" * 50
+    for codec in (CODEC, byte_bpe.Codec(open(PATH, "rb").read(), P.PATTERN)):
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == REFERENCE.encode_ordinary(text)
+
+
+def test_pre_tokens_of_one_run_stay_apart():
+    rng = random.Random(5)
+    pieces = ["".join(rng.choice("abetné日\0") for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    got = CODEC.merge([p.encode() for p in pieces])
+    whole = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=CODEC.ranks, special_tokens={})
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole.encode_ordinary(p) for p in pieces]
+
+
+def test_many_texts_at_once():
+    texts = ["", None, "hello wonderful", " x" * 30, "zq" * 400, ""]
+    assert CODEC.encode_many(texts) == [CODEC.encode(t) for t in texts]
 
 
 def test_merger_leaves_its_queue_empty():
-    merge = CODEC.memo.merge
-    for text in ("hello wonderful", "zzzzqqqzzzz" * 50):
-        merge(text.encode())
-        assert not any(merge.words) and not any(merge.blocks)
+    merge = CODEC.merge
+    merge([b"hello wonderful", b"zzzzqqqzzzz" * 50])
+    assert not any(merge.words) and not any(merge.blocks)
+
+
+def test_ranks_that_go_back():
+    # merging "ab" (3) makes "abc" (0 by its bytes), which comes before the "ab" still queued
+    ranks = {b"abc": 0, b"abcab": 1, b"cab": 2, b"ab": 3} | {bytes([b]): 10 + b for b in range(256)}
+    whole = tiktoken.Encoding("back", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    merge = byte_bpe.Merger(ranks)
+    pieces = ["abcabcab", "abab", "cabcabab" * 40, "aabbcc"]
+    assert [np.frombuffer(g, "<u4").tolist() for g in merge([p.encode() for p in pieces])] == [whole.encode_ordinary(p) for p in pieces]
 
 
 def test_memo_turns_over(monkeypatch):
@@ -58,7 +80,7 @@ def test_memo_turns_over(monkeypatch):
 
 
 def test_frames(spark, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "_OUT", 64)
+    monkeypatch.setattr(byte_bpe, "_AT_ONCE", 64)
     rows = [(1, None, "k"), (2, "", "k"), (3, "hello wörld", "k"), (3, "hello wörld", "k"), (None, "x" * 5000, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, decoded string").repartition(2)
     out = byte_bpe.decode(byte_bpe.encode(df, PATH, P.PATTERN), PATH, P.PATTERN)
