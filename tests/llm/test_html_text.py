@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 from wayline.llm import html_text
 
 LONG = "It is not for us to say that the end of the day was as it should have been, but on that day all of them were with us and it had to be so. " * 2
@@ -21,15 +25,107 @@ def test_main_part_without_stop_words_is_kept():
     assert html_text.main_text("<article><p>" + "reer " * 60 + "</article><footer>x</footer>") == ("reer " * 60).strip()
 
 
+def renamed(page):
+    return re.sub(r"<(/?)(?:article|main)\b", r"<\1div", page)
+
+
+def slow(blocks):
+    """Both passes block by block, each time over the whole page."""
+    declares = any(b.inside for b in blocks)
+    outside = [b.other or (declares and not b.inside) for b in blocks]
+
+    def alone(i):
+        b = blocks[i]
+        words = re.findall(r"\w+", b.text.lower())
+        share = len([w for w in words if w in html_text.STOP_WORDS]) / max(1, len(words))
+        if outside[i] or ("©" in b.text and len(b.text) < 200):
+            return "bad", share
+        if b.linked / len(b.text) > 0.4 and not (b.links <= 2 and re.fullmatch("p|h[1-6]", b.tag)):
+            return "bad", share
+        if len(b.text) < 70:
+            return "short", share
+        return ("good" if share >= 0.25 and len(b.text) >= 200 else "doubtful"), share
+
+    first = [alone(i) for i in range(len(blocks))]
+    out = []
+    for i, (label, share) in enumerate(first):
+        if label not in ("good", "bad"):
+            voters = [(abs(j - i), j, first[j][0]) for j in range(len(blocks)) if first[j][0] in ("good", "bad") and not outside[j]]
+            near = [v for v in voters if v[0] == min(voters)[0]]
+            labels = [v[2] for v in near]
+            if not near:
+                label = "good"
+            elif len(set(labels)) == 1:
+                label = labels[0]
+            elif re.fullmatch("h[1-6]", blocks[i].tag):
+                label = max(near, key=lambda v: v[1])[2]
+            else:
+                label = "good" if label == "doubtful" and share >= 0.12 else "bad"
+        out.append(label)
+    return out
+
+
+def parsed(page):
+    p = html_text._Blocks()
+    p.feed(page)
+    p.close()
+    for b in p.blocks:
+        b.text = " ".join("".join(b.pieces).split())
+    return [b for b in p.blocks if b.text]
+
+
+def test_rules_against_a_slow_version():
+    rng = random.Random(11)
+    text = lambda n, share: " ".join(rng.choice(["the", "of", "and"]) if rng.random() < share else rng.choice(["zorb", "kleen", "Quint"]) for _ in range(n))
+    part = lambda tag, inner: f"<{tag}>{inner}</{tag.split()[0]}>"
+
+    def block():
+        inner = text(rng.choice([1, 5, 20, 60]), rng.choice([0, 0.1, 0.2, 0.5]))
+        kind = rng.random()
+        if kind < 0.3:
+            inner = " ".join(part('a href="x"', text(3, 0.3)) for _ in range(rng.randint(1, 4))) + text(rng.randint(0, 8), 0.3)
+        return part(rng.choice(["p", "li", "h2", "div", "td"]), inner + rng.choice(["", "", " ©"]))
+
+    seen = set()
+    for k in range(400):
+        parts = [part(rng.choice(["div", "div", "nav", "aside", 'div class="ad"', *(["article"] if k % 2 else [])]), "".join(block() for _ in range(rng.randint(1, 6)))) for _ in range(rng.randint(1, 5))]
+        blocks = parsed("<body>" + "".join(parts) + "</body>")
+        want = slow(blocks)
+        html_text.classify(blocks)
+        assert [b.label for b in blocks] == want
+        seen |= set(want)
+    assert seen == {"good", "bad"}
+
+
+def test_ties():
+    menu, good = '<ul><li><a href="/">Home of all</a></li></ul>', f"<p>{LONG}</p>"
+    body = LONG.strip()
+    assert html_text.main_text(menu + "<h2>Head</h2>" + good) == f"Head\n\n{body}"
+    assert html_text.main_text(good + "<h2>Head</h2>" + menu) == body
+    assert html_text.main_text(menu + "<p>Short.</p>" + good) == body
+    middling = "it is as the one that was on them for all of us and by the way so " * 2
+    assert html_text.main_text(menu + f"<p>{middling}</p>" + good) == f"{middling.strip()}\n\n{body}"
+    assert html_text.main_text(menu + f"<p>{'zorb kleen ' * 12}</p>" + good) == body
+
+
+def test_work_is_linear_in_the_page():
+    took = []
+    for n in (20_000, 80_000):
+        for page in ("<b></i>" * n, "<b>" * n + "<p></p>" * n, "<p><div>" + "<b>" * n + "<p></p>" * n, "<li>x" * n):
+            t = time.process_time()
+            html_text.main_text(page)
+            took.append(time.process_time() - t)
+    assert sum(took[4:]) < 16 * max(0.2, sum(took[:4]))
+
+
 def test_odd_pages():
     for page in (None, "", "   ", "<", "</p>", "<p", "<article>", "<!--", "<script>x", "\x00"):
-        assert html_text.main_text(page) in ("", "<", "\x00", "�")
+        assert html_text.main_text(page) in ("", "<", "<p", "\x00", "�")
     assert html_text.main_text("<article>" + "<div>" * 3000 + "deep") == "deep"
 
 
 def test_pages(spark, sf_dir):
     from html import unescape
-    import re
 
     from wayline.llm.queries import QUERIES
 
@@ -40,6 +136,7 @@ def test_pages(spark, sf_dir):
         article = re.search(r"<article>(.*)</article>", pages[r.page_id], re.S)[1]
         blocks = [" ".join(unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
         assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+        assert html_text.main_text(renamed(pages[r.page_id])) == r.text
 
 
 def test_frames(spark):

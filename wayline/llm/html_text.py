@@ -1,22 +1,25 @@
 """Main text of HTML pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags; parts that declare themselves to
-be something else (menus, forms, adverts, comments ...) are left out at once. The
-first pass decides blocks by stop-word density, length and link density; the
-second lets short or doubtful blocks inherit the label of their nearest decided
-neighbours. A page that declares its main part by ``article`` or ``main`` is
-taken at its word: what is outside is decided against, and a block inside is at
-worst doubtful.
+A page is cut into blocks at block-level tags; what is no text (scripts, styles,
+form controls, media, hidden elements) makes none. The first pass looks at each
+block by itself: link density, stop-word density and length make it good, bad,
+short or doubtful. What a page declares is one feature of this: a block in a menu,
+advert, comment section and the like, or outside the part that it declares by
+``article`` or ``main``, is bad. In the second pass short and doubtful blocks
+inherit the label of the nearest block that its own text decided; a block that was
+bad by declaration says nothing about what stands next to it.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from wayline.llm.batches import small_batches
 
@@ -34,11 +37,11 @@ BLOCK = frozenset(
     tfoot th thead tr ul""".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-LEFT_OUT = frozenset(
-    """head title nav aside footer form script style noscript template svg math iframe object canvas button select textarea
-    dialog menu video audio""".split()
-)
+NO_TEXT = frozenset("head title script style noscript template svg math iframe object canvas button select textarea video audio".split())
+OTHER = frozenset("nav aside footer form dialog menu".split())
 MAIN = frozenset(["article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_ENDS_LIKE = frozenset("p li dt dd tr td th option".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _WHOLE = frozenset(["html", "body", "main"])
 _CUES = re.compile(
@@ -54,67 +57,76 @@ GOOD, BAD, SHORT, DOUBTFUL = "good", "bad", "short", "doubtful"
 
 
 class Block:
-    __slots__ = ("inside", "label", "linked", "pieces", "text")
+    """One block: its text, how much of it stands in links, the element it is in, and what the page declares about it."""
+
+    __slots__ = ("inside", "label", "linked", "links", "other", "pieces", "tag", "text")
 
-    def __init__(self, inside: bool) -> None:
+    def __init__(self, tag: str, inside: bool, other: bool) -> None:
         self.pieces: list[str] = []
-        self.linked, self.inside, self.label, self.text = 0, inside, "", ""
+        self.tag, self.inside, self.other = tag, inside, other
+        self.linked = self.links = 0
+        self.label = self.text = ""
 
 
 class _Blocks(HTMLParser):
-    """The blocks of a page in order, without the parts that are left out."""
+    """The blocks of a page in order. Each tag costs the elements that it opens or closes, whatever is open."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool]] = []  # open elements, and whether each is left out
-        self.out = self.links = self.mains = 0
+        self.stack: list[tuple[str, bool, bool]] = []  # open elements: no text there, declared to be something else
+        self.open: Counter[str] = Counter()
+        self.containers: list[int] = []  # places of the block-level ones in the stack
+        self.no_text = self.other = self.mains = 0
         self.blocks: list[Block] = []
         self.block: Block | None = None
 
-    def _pop(self) -> None:
-        tag, left_out = self.stack.pop()
-        self.out -= left_out
-        self.links -= tag == "a"
-        self.mains -= tag in MAIN
-        if tag in BLOCK:
-            self.block = None
+    def _pop_to(self, place: int) -> None:
+        while len(self.stack) > place:
+            tag, no_text, other = self.stack.pop()
+            self.open[tag] -= 1
+            self.no_text -= no_text
+            self.other -= other
+            self.mains -= tag in MAIN
+            if tag in BLOCK:
+                self.containers.pop()
+                self.block = None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
             self.block = None
-            if self.stack and self.stack[-1][0] == "p" and tag != "p":
-                self._pop()
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-            self._close_open(tag)
+            if self.containers:
+                nearest = self.stack[self.containers[-1]][0]
+                # a paragraph ends where a block begins, an element of a list or table where the next begins
+                if nearest == "p" and (tag == "p" or len(self.stack) - 1 == self.containers[-1]) or nearest == tag and tag in _ENDS_LIKE:
+                    self._pop_to(self.containers[-1])
         if tag in VOID:
             if tag == "br":
                 self.handle_data(" ")
             return
-        left_out = tag in LEFT_OUT or (tag == "header" and not self.mains) or bool(attrs) and self._declared(tag, attrs)
-        self.stack.append((tag, left_out))
-        self.out += left_out
-        self.links += tag == "a"
+        hidden, declared = self._declared(tag, attrs) if attrs else (False, False)
+        no_text = tag in NO_TEXT or hidden
+        other = declared or tag in OTHER or tag == "header" and not self.mains
+        if tag in BLOCK:
+            self.containers.append(len(self.stack))
+        elif tag == "a" and self.block is not None:
+            self.block.links += 1
+        self.stack.append((tag, no_text, other))
+        self.open[tag] += 1
+        self.no_text += no_text
+        self.other += other
         self.mains += tag in MAIN
 
-    def _close_open(self, tag: str) -> None:
-        """An open element of the same kind ends where the next begins, unless another container lies between."""
-        for k in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[k][0]
-            if name == tag:
-                while len(self.stack) > k:
-                    self._pop()
-                return
-            if name in BLOCK:
-                return
-
-    def _declared(self, tag: str, attrs: list) -> bool:
+    def _declared(self, tag: str, attrs: list) -> tuple[bool, bool]:
+        """Whether the attributes hide an element, and whether they declare it to be something else than main text."""
         a = {k: v or "" for k, v in attrs}
-        if a.get("role", "").lower() in _ROLES or tag not in _WHOLE and ("hidden" in a or a.get("aria-hidden") == "true" or _HIDES.search(a.get("style", ""))):
-            return True
+        if tag not in _WHOLE and ("hidden" in a or a.get("aria-hidden") == "true" or _HIDES.search(a.get("style", ""))):
+            return True, False
+        if a.get("role", "").lower() in _ROLES:
+            return False, True
         if tag in _WHOLE or tag == "article" and not self.mains and "comment" not in a.get("class", ""):
-            return False
+            return False, False
         named = f"{a.get('class', '')} {a.get('id', '')}"
-        return bool(_CUES.search(named)) or not self.mains and bool(_OUTER_CUES.search(named))
+        return False, bool(_CUES.search(named)) or not self.mains and bool(_OUTER_CUES.search(named))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -124,68 +136,86 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.block = None
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                while len(self.stack) > k:
-                    self._pop()
-                return
+        if self.open[tag]:
+            place = len(self.stack) - 1
+            while self.stack[place][0] != tag:
+                place -= 1
+            self._pop_to(place)
 
     def handle_data(self, data: str) -> None:
-        if self.out:
+        if self.no_text:
             return
         if self.block is None:
             if data.isspace():
                 return
-            self.block = Block(bool(self.mains))
+            tag = self.stack[self.containers[-1]][0] if self.containers else ""
+            self.block = Block(tag, self.mains > 0, self.other > 0)
+            self.block.links = int(self.open["a"] > 0)
             self.blocks.append(self.block)
         self.block.pieces.append(data)
-        if self.links:
+        if self.open["a"]:
             self.block.linked += len(data.strip())
 
 
-def classify(
-    blocks: list[Block], short: int = 70, long: int = 200, stop_low: float = 0.12, stop_high: float = 0.25, links: float = 0.4
-) -> None:
-    """Labels for the blocks of one page, of which none is empty."""
-    declared = any(b.inside for b in blocks)
+def first_pass(
+    block: Block, declares: bool, short: int = 70, long: int = 200, stop_low: float = 0.12, stop_high: float = 0.25, links: float = 0.4
+) -> tuple[str, bool]:
+    """The label of a block by itself, and whether stop words make main text of it likelier than not.
+
+    ``declares``: the page has an ``article`` or ``main``. Mostly links, and more
+    than two of them or not in a paragraph or heading: bad. Many stop words in a
+    long text: good. A text without them may be of another language or a list of
+    names, so it is doubtful, as is one of middling length.
+    """
+    size = len(block.text)
+    words = _WORD.findall(block.text.lower())
+    density = sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
+    likely = density >= stop_low
+    if block.other or declares and not block.inside or "©" in block.text and size < long:
+        return BAD, likely
+    if block.linked > links * size and (block.links > 2 or block.tag != "p" and block.tag not in HEADINGS):
+        return BAD, likely
+    if size < short:
+        return SHORT, likely
+    return (GOOD if density >= stop_high and size >= long else DOUBTFUL), likely
+
+
+def classify(blocks: list[Block], **thresholds: float) -> None:
+    """Labels for the blocks of one page, of which none is empty.
+
+    Second pass: a short or doubtful block takes the label of the nearest block
+    before or after it that its own text decided. Of two equally near ones that
+    differ, a heading follows the later, a doubtful block its stop words, and a
+    short one is bad. Where no text on the page decided anything, nothing speaks
+    against it, and it is good.
+    """
+    declares = any(b.inside for b in blocks)
+    likely = []
     for b in blocks:
-        size = len(b.text)
-        words = _WORD.findall(b.text.lower())
-        density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        linked = b.linked / size
-        if declared and not b.inside:
-            b.label = BAD
-        elif linked > links:
-            b.label = BAD if not b.inside or linked > 0.9 and size < short else DOUBTFUL
-        elif size < short:
-            b.label = BAD if not b.inside and "©" in b.text else SHORT
-        elif density >= stop_high and size >= long:
-            b.label = GOOD
-        elif density >= stop_low or b.inside:
-            b.label = DOUBTFUL
-        else:
-            b.label = BAD
-    decided = [b.label if b.label in (GOOD, BAD) else "" for b in blocks]
+        b.label, more = first_pass(b, declares, **thresholds)
+        likely.append(more)
+    # what a declaration decided has no vote
+    votes = [b.label if b.label in (GOOD, BAD) and not b.other and (b.inside or not declares) else "" for b in blocks]
     before: list[tuple[int, str]] = []
     last = (-1, "")
-    for i, d in enumerate(decided):
-        last = (i, d) if d else last
+    for i, vote in enumerate(votes):
+        last = (i, vote) if vote else last
         before.append(last)
-    last = (-1, "")
+    after = (-1, "")
     for i in range(len(blocks) - 1, -1, -1):
-        last = (i, decided[i]) if decided[i] else last
+        after = (i, votes[i]) if votes[i] else after
         b = blocks[i]
-        if decided[i]:
+        if b.label in (GOOD, BAD):
             continue
-        near = [(abs(at - i), label) for at, label in (before[i], last) if at >= 0]
-        if b.inside:  # neighbours outside the main part say nothing about it
-            near = [x for x in near if x[1] == GOOD]
-        least = min((x[0] for x in near), default=None)
-        labels = {x[1] for x in near if x[0] == least}
-        if len(labels) == 1:
-            b.label = labels.pop()
-        else:  # two that differ, or none
-            b.label = GOOD if b.inside or b.label == DOUBTFUL else BAD
+        (k, left), (m, right) = before[i], after
+        if not left and not right:
+            b.label = GOOD
+        elif not right or left and i - k < m - i:
+            b.label = left
+        elif not left or m - i < i - k or left == right or b.tag in HEADINGS:
+            b.label = right
+        else:
+            b.label = GOOD if b.label == DOUBTFUL and likely[i] else BAD
 
 
 def main_text(html: str | None) -> str:
@@ -225,7 +255,5 @@ def extract(pages: DataFrame, html: str = "html", to: str = "text") -> DataFrame
                     yield pa.RecordBatch.from_arrays(part.columns[: len(kept)] + [pa.array(made, pa.string())], [*kept, to])
                     made, start, size = [], i + 1, 0
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*pages.select(*kept).schema.fields, T.StructField(to, T.StringType())])
     return small_batches(pages.select(*kept, pages[html].alias("__html"))).mapInArrow(rows, schema)
