@@ -52,3 +52,20 @@ def test_probe_and_no_python(spark, sf_dir):
     assert df.where("conv_id = -7").first().n_turns == 2
     plan = df._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and plan.count("Exchange hashpartitioning(conv") == 1
+
+
+def test_derived_log_uses_every_kind_and_folds_to_its_rows(spark):
+    rows = [(c, t, "assistant" if t % 2 else "user", "é<#\\" * (t % 5) if t % 3 else None) for c in (1, 2) for t in range(30)] + [(1, 7, None, "twice"), (1, 7, None, "twice")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    log = chat.log_of(turns)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == set(chat.KINDS)
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.read_back(chat.format_chats(log.repartition(5))).collect()}
+    key = lambda r: (r[1], r[2] or "", r[3] or "")
+    assert got == {c: [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == c), key=key)] for c in (1, 2)}
+
+
+def test_very_long_conversation_and_text(spark):
+    rows = [(1, t, "assistant", f"text {t} <") for t in range(20_000)] + [(2, 0, "assistant", "#" * 2_000_000)]
+    back = chat.read_back(chat.format_chats(chat.log_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))
+    got = {r.conv_id: (len(r.turns), r.loss_text) for r in back.collect()}
+    assert got == {1: (20_000, "".join(r[3] for r in rows[:-1])), 2: (1, "#" * 2_000_000)}

@@ -38,9 +38,8 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def _partitioned(events: DataFrame) -> DataFrame:
-    """The log's own columns with nulls filled in, dealt out by conversation."""
-    n = events.sparkSession.conf.get("spark.sql.shuffle.partitions")
+def _log(events: DataFrame) -> DataFrame:
+    """The log's own columns with nulls filled in."""
     return events.select(
         F.col("conv_id").alias("conv"),
         F.col("seq").alias("seq"),
@@ -48,7 +47,7 @@ def _partitioned(events: DataFrame) -> DataFrame:
         F.col("msg").cast("string").alias("msg"),
         F.coalesce(F.col("role"), F.lit("")).alias("role"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
-    ).repartition(int(n), "conv")
+    )
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -71,7 +70,7 @@ def fold(events: DataFrame) -> DataFrame:
     events. An unknown kind raises. Extra columns are ignored.
     """
     known = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    log = _partitioned(events).withColumn(
+    log = _log(events).withColumn(
         "rank", F.when(known > 0, known).otherwise(F.raise_error(F.concat(F.lit("unknown kind of event: "), "kind")))
     )
     whole = Window.partitionBy("conv")
@@ -100,38 +99,89 @@ def render(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) ->
     ``messages`` has ``conv, at, role, text``. A span covers the escaped text of
     a turn of ``loss_roles``: start and end, counted from 0, end excluded.
     """
-    turn = F.struct("at", escape(F.col("role")).alias("role"), escape(F.col("text")).alias("text"), F.col("role").isin(*loss_roles).alias("loss"))
-    turns = messages.groupBy("conv").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    escaped = messages.select("conv", "at", escape(F.col("role")).alias("r"), escape(F.col("text")).alias("t"), F.col("role").isin(*loss_roles).alias("loss"))
     fixed = len(OPEN) + len(MIDDLE) + len(CLOSE)
-    length = lambda t: F.char_length(t["role"]) + F.char_length(t["text"]) + F.lit(fixed)
-    head = lambda t: F.char_length(t["role"]) + F.lit(len(OPEN) + len(MIDDLE))
-    start = F.struct(F.lit(0).cast("long").alias("to"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-
-    def add(state: Column, t: Column) -> Column:
-        begin = state["to"] + head(t)
-        span = F.struct(begin.alias("start"), (begin + F.char_length(t["text"])).alias("end"))
-        return F.struct(
-            (state["to"] + length(t)).alias("to"),
-            F.when(t["loss"], F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"),
-        )
-
-    text = F.array_join(
-        F.transform("turns", lambda t: F.concat(F.lit(OPEN), t["role"], F.lit(MIDDLE), t["text"], F.lit(CLOSE))), ""
-    )
-    return turns.select(F.col("conv").alias("conv_id"), text.alias("formatted"), F.aggregate("turns", start, add)["spans"].alias("loss_spans"))
+    size = F.char_length("r") + F.char_length("t") + F.lit(fixed)
+    earlier = Window.partitionBy("conv").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum(size).over(earlier), F.lit(0)) + F.char_length("r") + F.lit(len(OPEN) + len(MIDDLE))
+    placed = escaped.withColumn("begin", begin)
+    turns = placed.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("at", "r", "t", "loss", "begin"))).alias("turns"))
+    text = F.array_join(F.transform("turns", lambda t: F.concat(F.lit(OPEN), t["r"], F.lit(MIDDLE), t["t"], F.lit(CLOSE))), "")
+    span = lambda t: F.struct(t["begin"].alias("start"), (t["begin"] + F.char_length(t["t"])).alias("end"))
+    spans = F.transform(F.filter("turns", lambda t: t["loss"]), span)
+    return turns.select(F.col("conv").alias("conv_id"), text.alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """``rendered`` with ``turns`` (role, text) and ``loss_text``, both from ``formatted`` and ``loss_spans`` alone."""
+    """``conv_id, formatted, loss_spans`` with ``turns`` (role, text) and ``loss_text``, read from the output alone.
+
+    ``conv_id`` names a row. Turns and spans become rows, lie in one order by
+    their place in the text, and each turn meets the span that begins where its
+    text does: work is near linear in a conversation's length.
+    """
     pieces = F.split(F.col("formatted"), CLOSE, -1)
-    raw = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+    none = F.lit(None)
+    whole = F.struct(F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("pos"), F.col("formatted").alias("s"), F.col("loss_spans").alias("spans"), none.cast("bigint").alias("end"))
+    spans_type = rendered.schema["loss_spans"].dataType
+    span = lambda x: F.struct(F.lit(1).alias("kind"), x["start"].alias("pos"), none.cast("string").alias("s"), none.cast(spans_type).alias("spans"), x["end"].alias("end"))
+    turn = lambda x, i: F.struct(F.lit(2).alias("kind"), i.cast("long").alias("pos"), x.alias("s"), none.cast(spans_type).alias("spans"), none.cast("bigint").alias("end"))
+    parts = F.concat(F.array(whole), F.transform("loss_spans", span), F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), turn))
+    rows = rendered.select("conv_id", F.inline(parts))
+    sides = F.split(F.substr(F.col("s"), F.lit(len(OPEN) + 1)), MIDDLE, 2)
+    is_turn = F.col("kind") == 2
+    rows = rows.withColumns({"r": F.when(is_turn, sides[0]), "t": F.when(is_turn, sides[1])})
+    earlier = Window.partitionBy("conv_id").orderBy("kind", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.when(is_turn, F.char_length("s") + len(CLOSE))).over(earlier), F.lit(0))
+    rows = rows.withColumn("place", F.when(is_turn, before + F.char_length("r") + len(OPEN) + len(MIDDLE)).when(F.col("kind") == 1, F.col("pos")))
+    by_place = Window.partitionBy("conv_id").orderBy("place", "kind")
+    last = F.lag(F.struct("kind", "place", "end")).over(by_place)
+    rows = rows.withColumn("last", last)
+    meets = is_turn & (F.col("last.kind") == 1) & (F.col("last.place") == F.col("place"))
+    under = F.when(meets, unescape(F.substr(F.col("t"), F.lit(1), (F.col("last.end") - F.col("place")).cast("int"))))
+    made = F.struct("pos", unescape(F.col("r")).alias("role"), unescape(F.col("t")).alias("text"), under.alias("loss"))
+    back = rows.groupBy("conv_id").agg(
+        F.max(F.when(F.col("kind") == 0, F.col("s"))).alias("formatted"),
+        F.flatten(F.collect_list("spans")).alias("loss_spans"),
+        F.array_sort(F.collect_list(F.when(is_turn, made))).alias("turns"),
+    )
+    return back.select(
+        "conv_id",
+        "formatted",
+        "loss_spans",
+        F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"),
+        F.array_join(F.transform("turns", lambda t: t["loss"]), "").alias("loss_text"),
+    )
+
 
-    def turn(piece: Column) -> Column:
-        sides = F.split(F.substr(piece, F.lit(len(OPEN) + 1)), MIDDLE, 2)
-        return F.struct(unescape(sides[0]).alias("role"), unescape(sides[1]).alias("text"))
+def log_of(turns: DataFrame) -> DataFrame:
+    """An event log ``conv_id, seq, kind, msg, role, text`` that folds to the rows ``conv_id, turn, role, text``.
 
-    under = F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
-    return rendered.withColumn("turns", F.transform(raw, turn)).withColumn("loss_text", F.array_join(under, ""))
+    As a chat service would have logged them, by a row's number in its
+    conversation (by turn, then role and text, nulls first): every fourth came
+    whole; every fourth was streamed in three deltas; every fourth was a draft that
+    an edit replaced after the next turn had begun; every fourth was a draft, had
+    an answer, and was regenerated, in two deltas, so that draft and answer went.
+    """
+    numbered = turns.withColumn("at", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
+    text = F.coalesce("text", F.lit(""))
+    n = F.char_length(text)
+    third = F.ceil(n / 3).cast("int")
+    part = lambda a, size: F.substr(text, a + 1, size)
+    steps: list[list[tuple[int, str, Column | str]]] = [
+        [(0, "message", text)],
+        [(0, "delta", part(F.lit(0), third)), (1, "delta", part(third, third)), (2, "delta", part(third * 2, n))],
+        [(0, "delta", F.lit("Let me think")), (1, "delta", F.lit(" ...")), (12, "edit", text)],
+        [(0, "delta", F.lit("Not this")), (1, "answer", F.lit("No, again.")), (2, "regenerate", part(F.lit(0), third)), (3, "delta", part(third, n))],
+    ]
+    event = lambda seq, kind, what: F.struct(
+        (F.col("at") * 10 + seq).alias("seq"), F.lit("message" if kind == "answer" else kind).alias("kind"), what.alias("text")
+    )
+    logged = None
+    for k, some in enumerate(steps):
+        events = F.array(*[event(*s) for s in some])
+        logged = F.when(F.col("at") % 4 == k, events) if logged is None else logged.when(F.col("at") % 4 == k, events)
+    log = numbered.select("conv_id", F.col("at").cast("string").alias("msg"), "role", F.inline(logged))
+    return log.select("conv_id", "seq", "kind", "msg", "role", "text")
 
 
 def format_chats(events: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:

@@ -57,10 +57,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(PROBE_TEXT).alias("text"),
     )
-    events = rows.unionByName(probe).select(
-        "conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("msg"), "role", "text"
-    )
-    back = chat.read_back(chat.format_chats(events))
+    back = chat.read_back(chat.format_chats(chat.log_of(rows.unionByName(probe))))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
