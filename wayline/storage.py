@@ -7,18 +7,23 @@ so a lost executor costs a task retry and never a table.
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in tests on one machine.
+#: Used only where the session names no folder and runs on one machine, as in tests.
 LOCAL_DEFAULT = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; sets the default where none is set."""
+    """The shared folder of this session; sets the default where none is set, which only one machine may do without."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("a cluster must name a shared folder in spark.checkpoint.dir")
         named = LOCAL_DEFAULT
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -40,8 +45,41 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Write ``df`` bucketed and sorted by ``keys``, so that joins on them merge the files as they lie.
+
+    There are as many buckets as shuffle partitions. A row's bucket is that of a
+    shuffle by ``keys``: if ``df`` comes from one, each bucket is one file.
+    """
+    spark = df.sparkSession
+    path, table = new_path(spark, name), f"wayline_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with sorted_scans(spark):
+        df.write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._wayline_path, out._wayline_table = path, table
+    return out
+
+
+_FILE_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+@contextmanager
+def sorted_scans(spark: SparkSession) -> Iterator[None]:
+    """Jobs planned inside take a bucket that is one file for sorted, as :func:`bucketed` wrote it."""
+    before = spark.conf.get(_FILE_ORDER, None)
+    spark.conf.set(_FILE_ORDER, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_FILE_ORDER) if before is None else spark.conf.set(_FILE_ORDER, before)
+
+
 def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`materialize` that nothing reads any more."""
+    """Delete the files of a table made by :func:`materialize` or :func:`bucketed` that nothing reads any more."""
+    table = getattr(df, "_wayline_table", None)
+    if table:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
     path = getattr(df, "_wayline_path", None)
     if path:
         jvm = df.sparkSession._jvm
