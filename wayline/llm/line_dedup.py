@@ -1,13 +1,18 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 Documents are taken in batches from the largest ids down. A run holds line
-hashes in sorted order, each with the document that keeps the line and the
-number of documents of its batch that hold it. A batch's hashes are
-merge-anti-joined with the runs: those that no run has are first sightings, kept
-by the largest document of the batch, and become a run of their own; the rest
-are repeats and only add to a count. When a level has FANOUT runs they are
-compacted into one of the next level. So every hash is in one run at most, and
-each is rewritten once a level.
+hashes, each with the document that keeps the line and the number of documents
+and lines of its batch that hold it; it is bucketed by hash and sorted within
+buckets. A batch's hashes are shuffled once and merge-joined with the runs as
+they lie: those that no run has are first sightings, kept by the largest document
+of the batch, and become a run of their own; the rest are repeats and only add to
+counts. When a level has ``fanout`` runs, an outer merge join compacts them into
+one of the next level. So every hash is in one run at most, and each is rewritten
+once a level.
+
+Lines that make up a good part of all are joined by a broadcast of their hashes,
+of which there are at most HOT a partition, the others by shuffle: no task gets
+all lines of one kind.
 
 DataFrame operations only; a line's hash has 128 bits.
 """
@@ -17,12 +22,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayline.storage import discard, materialize
+from wayline.storage import bucketed, discard, materialize, sorted_scans
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HASH = ["h1", "h2"]
+#: Hashes of so frequent lines that there are at most this many for each shuffle partition go by broadcast.
+HOT = 4
 #: Stands for a null id, below all others.
 _NO_ID = -(2**63)
 
@@ -43,56 +50,57 @@ class LineRuns:
         self.fanout = fanout
         self.levels: list[list[DataFrame]] = []
         self.repeats: list[DataFrame] = []
+        self.tables: list[DataFrame] = []
 
-    def runs(self) -> DataFrame | None:
-        every = [run for level in self.levels for run in level]
-        out = None
-        for run in every:
-            out = run if out is None else out.unionByName(run)
-        return out
+    def runs(self) -> list[DataFrame]:
+        return [run for level in self.levels for run in level]
+
+    def _write(self, rows: DataFrame, name: str) -> DataFrame:
+        self.tables.append(bucketed(rows, name, _HASH))
+        return self.tables[-1]
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch of ``h1, h2, doc``, rows of which may repeat."""
-        new = lines.select(*_HASH, "doc").distinct().groupBy(*_HASH)
-        new = new.agg(F.max("doc").alias("keeper"), F.count("*").alias("n_docs"))
-        runs = self.runs()
-        if runs is not None:
-            new = materialize(new, "batch")
-            self.repeats.append(materialize(new.join(runs, _HASH, "left_semi").select(*_HASH, "n_docs"), "repeats"))
-            fresh = new.join(runs, _HASH, "left_anti")
-            self._put(0, fresh)
-            discard(new)
-        else:
-            self._put(0, new)
-
-    def _put(self, level: int, rows: DataFrame) -> None:
-        run = materialize(rows.sortWithinPartitions(*_HASH), f"run{level}")
+        new = lines.groupBy(*_HASH, "doc").agg(F.count("*").alias("n")).groupBy(*_HASH)
+        new = new.agg(F.max("doc").alias("keeper"), F.count("*").alias("n_docs"), F.sum("n").alias("n_lines"))
+        seen = F.lit(False)
+        for k, run in enumerate(self.runs()):
+            new = new.join(run.select(*_HASH, F.lit(True).alias(f"in{k}")), _HASH, "left")
+            seen = seen | F.col(f"in{k}").isNotNull()
+        batch = self._write(new.select(*_HASH, "keeper", "n_docs", "n_lines", seen.alias("seen")), "batch")
+        if self.runs():
+            self.repeats.append(batch.where("seen").select(*_HASH, "n_docs", "n_lines"))
+        self._put(0, batch.where("not seen").drop("seen"))
+
+    def _put(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
             merged = full[0]
-            for other in full[1:]:
-                merged = merged.unionByName(other)
-            self._put(level + 1, merged.repartition(*_HASH))
-            for old in full:
-                discard(old)
+            for other in full[1:]:  # no hash is in both
+                mine, theirs = merged.alias("a"), other.alias("b")
+                both = mine.join(theirs, [F.col(f"a.{h}") == F.col(f"b.{h}") for h in _HASH], "full")
+                merged = both.select(*[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in other.columns])
+            self._put(level + 1, self._write(merged, f"run{level + 1}"))
 
     def repeated(self, at_least: int) -> DataFrame:
-        """``h1, h2, keeper`` of hashes that ``at_least`` documents hold."""
-        runs = self.runs()
-        if not self.repeats:
-            return runs.where(F.col("n_docs") >= at_least).select(*_HASH, "keeper")
-        more = self.repeats[0]
-        for other in self.repeats[1:]:
-            more = more.unionByName(other)
-        more = more.groupBy(*_HASH).agg(F.sum("n_docs").alias("more"))
-        return (
-            runs.join(more, _HASH, "left")
-            .where(F.col("n_docs") + F.coalesce("more", F.lit(0)) >= at_least)
-            .select(*_HASH, "keeper")
-        )
+        """``h1, h2, keeper, n_lines`` of hashes that ``at_least`` documents hold."""
+        out = None
+        for run in self.runs():
+            docs, lines = F.col("n_docs"), F.col("n_lines")
+            for k, more in enumerate(self.repeats):
+                run = run.join(more.select(*_HASH, F.col("n_docs").alias(f"d{k}"), F.col("n_lines").alias(f"l{k}")), _HASH, "left")
+                docs, lines = docs + F.coalesce(f"d{k}", F.lit(0)), lines + F.coalesce(f"l{k}", F.lit(0))
+            some = run.where(docs >= at_least).select(*_HASH, "keeper", lines.alias("n_lines"))
+            out = some if out is None else out.unionByName(some)
+        with sorted_scans(out.sparkSession):
+            return materialize(out, "repeated")
+
+    def discard(self) -> None:
+        for table in self.tables:
+            discard(table)
 
 
 def dedup_lines(
@@ -134,12 +142,17 @@ def dedup_lines(
     for k in range(len(edges) + 1):
         some = lines if k == 0 else lines.where(F.col("doc") <= edges[k - 1])
         runs.add((some.where(F.col("doc") > edges[k]) if k < len(edges) else some).select(*_HASH, "doc"))
-    drops = (
-        lines.join(runs.repeated(min_docs), _HASH)
-        .where("doc < keeper")
-        .groupBy("doc", "t1", "t2")
-        .agg(F.collect_set("pos").alias("__drop"))
-    )
+    repeated = runs.repeated(min_docs)
+    runs.discard()
+    # what more than a share of a partition's lines has: at most HOT hashes a partition, 24 bytes each
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    much = lines.count() / (HOT * partitions)
+    hot = F.broadcast(repeated.where(F.col("n_lines") > much).select(*_HASH, "keeper"))
+    rest = repeated.where(F.col("n_lines") <= much).select(*_HASH, "keeper")
+    at = ["doc", "t1", "t2", "pos"]
+    found = lines.join(hot, _HASH).where("doc < keeper").select(*at)
+    found = found.unionByName(lines.join(hot, _HASH, "left_anti").join(rest, _HASH).where("doc < keeper").select(*at))
+    drops = found.groupBy("doc", "t1", "t2").agg(F.collect_set("pos").alias("__drop"))
     keyed = docs.select("*", doc.alias("__doc"), *[c.alias(f"__{n}") for c, n in zip(_row_key(body), ("t1", "t2"))])
     drops = drops.select(*[F.col(c).alias(f"__{c}") for c in ("doc", "t1", "t2")], "__drop")
     split = F.split(body, "\n", -1)
