@@ -1,4 +1,6 @@
+import math
 import random
+import time
 import zlib
 
 from wayline.llm import toxicity
@@ -60,6 +62,50 @@ def test_learns_words_and_beginnings(spark):
     assert got[600] >= 0.7
 
 
+def test_learning_and_score_by_brute_force(spark, monkeypatch):
+    rng = random.Random(9)
+    filler = [f"w{k}x" for k in range(60)]
+    rows = []
+    for d in range(400):
+        toxic = int(d % 7 == 0)
+        words = [rng.choice(filler) for _ in range(rng.randrange(5, 40))] + (["grmbl", "zorn" + rng.choice(filler)] if toxic else ["tame"] * (d % 2))
+        rows.append((" ".join(words), toxic))
+    docs, n_toxic = [(set(toxicity._WORD.findall(toxicity.fold(t))), y) for t, y in rows], sum(y for _, y in rows)
+    n_clean, counts = len(rows) - n_toxic, {}
+    for words, y in docs:
+        for e in {(w, True) for w in words if len(w) > 2} | {(w[:k], False) for w in words for k in range(4, 8) if len(w) >= k}:
+            counts.setdefault(e, [0, 0])[y] += 1
+    tested, base, want = sum(c[1] >= 3 for c in counts.values()), n_toxic / len(rows), {}
+    for e, (clean, toxic) in counts.items():
+        n, share = clean + toxic, toxic / (clean + toxic)
+        evidence = n * (share * math.log(share / base) + ((1 - share) * math.log((1 - share) / (1 - base)) if share < 1 else 0)) if toxic else 0
+        if toxic >= 3 and share >= 0.9 and evidence >= math.log(10 * tested):
+            want[e] = math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
+    df = spark.createDataFrame(rows, "text string, toxic int")
+    lexicon = toxicity.learn(df)
+    got = {(e, True): w for e, w in lexicon.words.items()} | {(e, False): w for e, w in lexicon.beginnings.items()}
+    assert got.keys() == want.keys() and len(want) > 3 and all(abs(got[e] - want[e]) < 1e-9 for e in want)
+    scores = sorted((r.score, r.n_matches) for r in toxicity.score(df, lexicon).collect())
+    one = toxicity.score(df.limit(1), lexicon).first()
+    rate = math.log1p(100 * brute(rows[0][0], lexicon) / (len(rows[0][0].split()) + 20))
+    assert abs(one.score - 1 / (1 + math.exp(-(lexicon.intercept + lexicon.slope * rate)))) < 1e-9
+    # a lexicon of several parts finds the same
+    monkeypatch.setattr(toxicity, "PART", 2)
+    parted = toxicity.learn(df)
+    assert parted.n_parts > 1 and not parted.words
+    assert abs(parted.slope - lexicon.slope) < 1e-6
+    again = sorted((r.score, r.n_matches) for r in toxicity.score(df, parted).collect())
+    assert all(a[1] == b[1] and abs(a[0] - b[0]) < 1e-6 for a, b in zip(scores, again)) and len(scores) == len(again)
+
+
+def test_many_exceptions_take_one_pass():
+    lexicon = toxicity.Lexicon({"trash": 2.0})
+    text = "trash can trash " * 40_000
+    t = time.process_time()
+    assert toxicity.weigh(text, lexicon.automaton())[1] == 40_000
+    assert time.process_time() - t < 10
+
+
 def test_one_class_and_empty(spark):
     df = spark.createDataFrame([(1, "a b", 0)], "doc_id long, text string, toxic int")
     for some in (df, df.limit(0)):

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline.llm.batches import small_batches
-from wayline.storage import materialize
+from wayline.storage import discard, materialize
 
 # Lookalike letters, and what they look like.
 LOOKALIKES = {
@@ -63,15 +63,33 @@ def fold(text: str | None) -> str:
     return t.replace("i", "l")
 
 
+#: Entries of one automaton: some 100 MB in a worker. A larger lexicon is matched in several passes.
+PART = 200_000
+
+
 @dataclass
 class Lexicon:
-    """Entries with weights, exception phrases and the curve that turns a rate into a probability."""
+    """Entries with weights, exception phrases and the curve that turns a rate into a probability.
+
+    More than PART learned entries stay in ``table`` (``entry, whole, weight,
+    part``), from which they are taken part by part.
+    """
 
     words: dict[str, float] = field(default_factory=dict)  # folded whole words
     beginnings: dict[str, float] = field(default_factory=dict)  # folded beginnings of words
     exceptions: tuple[str, ...] = EXCEPTIONS
     intercept: float = -3.0
     slope: float = 1.0
+    table: DataFrame | None = None
+    n_parts: int = 1
+
+    def parts(self) -> Iterator[Lexicon]:
+        """Lexicons of at most about PART entries, which together have all."""
+        if self.table is None:
+            yield self
+            return
+        for k in range(self.n_parts):
+            yield _of_rows(self.table.where(F.col("part") == k).collect(), self.exceptions)
 
     def automaton(self) -> ahocorasick.Automaton | None:
         found: dict[str, list] = {}
@@ -90,12 +108,14 @@ class Lexicon:
         return out
 
 
-def weigh(text: str | None, automaton: ahocorasick.Automaton | None) -> tuple[float, int, int]:
-    """Weights found in a text, matches, words. Of entries that begin at one place the heaviest counts."""
-    t = fold(text)
-    n = len(t.split())
+def _of_rows(rows: list, exceptions: tuple[str, ...]) -> Lexicon:
+    return Lexicon({r.entry: r.weight for r in rows if r.whole}, {r.entry: r.weight for r in rows if not r.whole}, exceptions)
+
+
+def _matches(t: str, automaton: ahocorasick.Automaton | None) -> list[tuple[int, float]]:
+    """Place and weight of the heaviest entry that begins at each place of a folded text, exceptions left out."""
     if automaton is None or not t:
-        return 0.0, 0, n
+        return []
     best: dict[int, float] = {}
     spared: list[tuple[int, int]] = []
     size = len(t)
@@ -109,10 +129,25 @@ def weigh(text: str | None, automaton: ahocorasick.Automaton | None) -> tuple[fl
         weight = max(beginning, word if closed else 0.0)
         if weight > best.get(start, 0.0):
             best[start] = weight
-    for a, b in spared:
-        for at in [x for x in best if a <= x <= b]:
-            del best[at]
-    return sum(best.values()), len(best), n
+    found = sorted(best.items())
+    if not spared:
+        return found
+    spared.sort()
+    kept, k, reach = [], 0, -1  # one pass over both in order of place
+    for start, weight in found:
+        while k < len(spared) and spared[k][0] <= start:
+            reach = max(reach, spared[k][1])
+            k += 1
+        if start > reach:
+            kept.append((start, weight))
+    return kept
+
+
+def weigh(text: str | None, automaton: ahocorasick.Automaton | None) -> tuple[float, int, int]:
+    """Weights found in a text, matches, words. Of entries that begin at one place the heaviest counts."""
+    t = fold(text)
+    found = _matches(t, automaton)
+    return sum(w for _, w in found), len(found), len(t.split())
 
 
 def _rate(total: Column, n_words: Column) -> Column:
@@ -120,22 +155,64 @@ def _rate(total: Column, n_words: Column) -> Column:
     return F.log1p(F.lit(100.0) * total / (n_words + F.lit(20.0)))
 
 
+_ADDED = ("__weight", "__matches", "__words")
+
+
 def weighed(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
-    """``docs`` without ``text``, with ``__weight, __matches, __words`` added."""
+    """``docs`` without ``text``, with ``__weight, __matches, __words`` added.
+
+    A lexicon of several parts takes a pass for each: what was found so far goes
+    along with a row, and the heaviest match at each place stays.
+    """
     kept = [c for c in docs.columns if c != text]
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most max_entries entries
+    context = docs.sparkSession.sparkContext
+    if lexicon.table is not None:
+        return _in_passes(docs, lexicon, text, kept)
+    shared = context.broadcast(lexicon)  # at most PART entries, if learned
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value.automaton()
         for batch in batches:
             got = [weigh(t.as_py(), automaton) for t in batch.column(len(kept))]
             new = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.float64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays(batch.columns[: len(kept)] + new, [*kept, "__weight", "__matches", "__words"])
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(kept)] + new, [*kept, *_ADDED])
 
-    schema = docs.select(*kept).withColumns({"__weight": F.lit(0.0), "__matches": F.lit(0).cast("long"), "__words": F.lit(0).cast("long")}).schema
+    types = ("double", "bigint", "bigint")
+    schema = docs.select(*kept, *[F.lit(None).cast(t).alias(c) for c, t in zip(_ADDED, types)]).schema
     return small_batches(docs.select(*kept, F.col(text).alias("__text"))).mapInArrow(rows, schema)
 
 
+def _in_passes(docs: DataFrame, lexicon: Lexicon, text: str, kept: list[str]) -> DataFrame:
+    n = len(kept)
+    none = F.lit(None).cast("array<struct<at:int,weight:double>>")
+    state = docs.select(*kept, F.col(text).alias("__text"), none.alias("__found"), F.lit(0).cast("bigint").alias("__words"))
+    schema, kind = state.schema, pa.list_(pa.struct([("at", pa.int32()), ("weight", pa.float64())]))
+    before = None
+    for part in lexicon.parts():
+        shared = docs.sparkSession.sparkContext.broadcast(part)
+
+        def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            automaton = shared.value.automaton()
+            for batch in batches:
+                found, words = [], []
+                for t, old in zip(batch.column(n), batch.column(n + 1)):
+                    folded = fold(t.as_py())
+                    best = {x["at"]: x["weight"] for x in old.as_py() or ()}
+                    for at, weight in _matches(folded, automaton):
+                        best[at] = max(weight, best.get(at, 0.0))
+                    found.append([{"at": at, "weight": w} for at, w in sorted(best.items())])
+                    words.append(len(folded.split()))
+                arrays = [*batch.columns[: n + 1], pa.array(found, kind), pa.array(words, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, [*kept, "__text", "__found", "__words"])
+
+        state = materialize(small_batches(state).mapInArrow(rows, schema), "matched")
+        if before is not None:
+            discard(before)
+        before = state
+    total = F.aggregate("__found", F.lit(0.0), lambda a, x: a + x["weight"])
+    return state.select(*kept, total.alias("__weight"), F.size("__found").cast("long").alias("__matches"), "__words")
+
+
 def _counted(labelled: DataFrame) -> DataFrame:
     """``entry, whole, toxic, clean``: documents of each class that hold a word or a word's beginning."""
 
@@ -188,7 +265,6 @@ def learn(
     toxic: str = "toxic",
     min_docs: int = 3,
     min_precision: float = 0.9,
-    max_entries: int = 20_000,
     exceptions: tuple[str, ...] = EXCEPTIONS,
 ) -> Lexicon:
     """A lexicon from labelled texts; rows with a null label are left out.
@@ -196,9 +272,10 @@ def learn(
     An entry is taken if at least ``min_docs`` toxic documents hold it, of all that
     hold it at least ``min_precision`` are toxic, and its share of toxic documents
     is further above the general one than chance explains among all entries (a
-    Chernoff bound, divided by the number of entries). Only the ``max_entries``
-    best supported are kept. Without toxic or without clean rows the lexicon is
-    empty and its curve gives the general share.
+    Chernoff bound, divided by the number of entries); all that pass are taken.
+    Repeated rows are separate documents. Without toxic or without clean rows the
+    lexicon is empty and its curve gives the general share. ``labelled`` is read
+    three times.
     """
     rows = labelled.where(F.col(toxic).isNotNull()).select(F.col(text).alias("text"), (F.col(toxic) != 0).cast("int").alias("toxic"))
     n_toxic, n_all = rows.agg(F.sum("toxic"), F.count("*")).first()
@@ -216,11 +293,15 @@ def learn(
         .where((share >= max(base, min_precision)) & (F.col("evidence") >= math.log(10.0 * tested)))
         .withColumn("weight", F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0)))
         .where("weight > 0")
-        .orderBy(F.desc("evidence"), "entry", "whole")
-        .limit(max_entries)
-        .collect()
+        .select("entry", "whole", "weight")
     )
-    lexicon = Lexicon({r.entry: r.weight for r in chosen if r.whole}, {r.entry: r.weight for r in chosen if not r.whole}, exceptions)
+    chosen = materialize(chosen, "lexicon")
+    n_chosen = chosen.count()
+    if n_chosen <= PART:
+        lexicon = _of_rows(chosen.collect(), exceptions)
+    else:
+        n_parts = -(-n_chosen // PART)
+        lexicon = Lexicon(exceptions=exceptions, table=chosen.withColumn("part", F.pmod(F.xxhash64("entry"), F.lit(n_parts))), n_parts=n_parts)
     at = weighed(rows, lexicon).groupBy(F.round(_rate(F.col("__weight"), F.col("__words")), 2).alias("x"))
     bins = at.agg(F.count("*").alias("n"), F.sum("toxic").alias("y")).collect()  # as many as there are rounded rates, below 2000
     x, n, y = (np.array([float(r[k]) for r in bins]) for k in range(3))
@@ -245,13 +326,13 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def join_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "toxic", small: int = 2_000_000) -> DataFrame:
+def join_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "toxic") -> DataFrame:
     """``text, toxic`` of the labelled documents that may be learned from.
 
     Labels that repeat count once, the toxic one wins; null ids and labels drop
-    out. The labels are broadcast if there are at most ``small`` (16 bytes each).
+    out, rows of ``docs`` that repeat stay. Spark broadcasts the labels only below
+    its own limit of bytes.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(id_col))
-    known = materialize(known.groupBy(id_col).agg(F.max(label).alias("toxic")), "labels")
-    side = F.broadcast(known) if known.count() <= small else known
-    return docs.select(id_col, "text").join(side, id_col).select("text", "toxic")
+    known = known.groupBy(id_col).agg(F.max(label).alias("toxic"))
+    return docs.where(~held_out(id_col)).select(id_col, "text").join(known, id_col).select("text", "toxic")
