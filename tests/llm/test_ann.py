@@ -57,3 +57,11 @@ def test_recall_of_the_query(spark):
 
 def test_chi_square():
     assert abs(ann.chi_square_inverse(0.95, 10) - 18.307) < 1e-3
+
+
+def test_ids_that_repeat_with_other_vectors(spark):
+    big = (2**62 // 20) * 20
+    rows = [(big, [1.0, 0.0]), (big, [0.0, 1.0]), (big + 1, [1.0, 0.1]), (big + 2, [0.1, 1.0]), (big + 2, [1.0, 1.0]), (big + 3, [1.0, 0.1])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=2).collect()
+    assert sorted((r.rank, r.vec_id - big, round(r.score, 6)) for r in got) == [(1, 1, 1.0), (1, 2, 1.0), (2, 2, 1.0), (2, 2, 1.0)]
+    assert {r.query_id for r in got} == {big}

@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 
 from wayline.storage import discard, materialize
 
-DIMS = 10
-CONFIDENCE = 0.95
+DIMS = 16
+CONFIDENCE = 0.87
 LEAF, MAX_LEAVES, SAMPLE = 4096, 1 << 14, 100_000
 FIRST = 2
+#: Vectors that so many queries share that there are at most this many for each shuffle partition go by broadcast.
+HOT = 4
 _BLOCK = 8192
 
 
@@ -113,6 +115,7 @@ def _kernel(width: int, k: int, bound: float):
         order = np.argsort(ids)  # so that ties fall to the smaller id
         ids, vecs, proj = ids[order], _matrix(points["vec"], width)[order], _matrix(points["proj"], DIMS)[order]
         norms = (proj**2).sum(1)
+        slack = 1e-9 * max(1.0, float(np.abs(vecs).max()) ** 2 * width)
         qvec, qproj, d2 = _matrix(queries["vec"], width), _matrix(queries["proj"], DIMS), queries["d2"].to_numpy()
         qid, scores, found, verified = queries["qid"].to_numpy(), [], [], []
         for a in range(0, len(qid), 256):
@@ -123,11 +126,12 @@ def _kernel(width: int, k: int, bound: float):
             all_scores = q @ vecs.T if dense else None
             for i in range(len(q)):
                 at = np.flatnonzero(near[i])
-                s = all_scores[i, at] if dense else vecs[at] @ q[i]
                 if len(at) > k:
-                    floor = np.partition(s, len(s) - k)[len(s) - k]
-                    keep = s >= floor
-                    at, s = at[keep], s[keep]
+                    rough = all_scores[i, at] if dense else vecs[at] @ q[i]
+                    floor = np.partition(rough, len(rough) - k)[len(rough) - k]
+                    at = at[rough >= floor - slack]
+                # one order of summing, whatever the batch, so that equal products stay equal
+                s = (vecs[at] * q[i]).sum(axis=1)
                 best = np.argsort(-s, kind="stable")[:k]
                 verified.append(int(near[i].sum()))
                 scores.append(s[best])
@@ -173,11 +177,12 @@ def nearest(
     classes = materialize(classes, "classes")
     norm = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
     n, top, clash = classes.agg(F.count("*"), F.max(norm), F.max("nth")).first()
+    if clash and clash > 1:  # then by place in a sorted table, which keeps the order of smallest ids too
+        classes = materialize(classes.orderBy("first", "nth").withColumn("cid", F.monotonically_increasing_id()), "classes")
+    else:
+        classes = classes.withColumn("cid", F.col("first"))
     if not n:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    # ids of classes keep the order of their smallest ids; without clashes they are those
-    cid = F.col("first") if clash == 1 else F.col("first") * clash + F.col("nth") - 1
-
     project = np.random.default_rng(seed).standard_normal((width + 1, DIMS))
 
     def augmented(vecs: np.ndarray, query: bool = False) -> np.ndarray:
@@ -195,7 +200,7 @@ def nearest(
             proj = augmented(_matrix(b.column(1), width))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(proj), pa.array(planted.value.leaf(proj))], ["cid", "vec", "proj", "leaf"])
 
-    points = materialize(classes.select(cid.alias("cid"), "vec").mapInArrow(index, "cid bigint, vec array<double>, proj array<double>, leaf bigint"), "points")
+    points = materialize(classes.select("cid", "vec").mapInArrow(index, "cid bigint, vec array<double>, proj array<double>, leaf bigint"), "points")
     sides = [f(F.element_at("proj", j + 1)) for j in range(DIMS) for f in (F.min, F.max)]
     boxes = points.groupBy("leaf").agg(F.count("*").alias("n"), F.array(*sides).alias("sides")).orderBy("leaf").collect()  # MAX_LEAVES at most
     tree.ids = np.array([b.leaf for b in boxes])
@@ -207,14 +212,14 @@ def nearest(
 
     # queries: one for each class that holds one
     asked = rows.where(F.pmod("id", F.lit(every)) == 0).select("id", "vec")
-    wanted = asked.select("vec").distinct().join(classes, "vec").select(cid.alias("qid"), "vec")
+    wanted = asked.groupBy("vec").agg(F.count("*").alias("owners")).join(classes, "vec").select(F.col("cid").alias("qid"), "vec", "owners")
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(augmented(_matrix(b.column(1), width), True))], ["qid", "vec", "proj"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(augmented(_matrix(b.column(1), width), True)), b.column(2)], ["qid", "vec", "proj", "owners"])
 
-    queries = materialize(wanted.mapInArrow(start, "qid bigint, vec array<double>, proj array<double>"), "queries")
-    state = queries.select("*", F.lit(None).cast("array<struct<s:double,id:bigint>>").alias("best"))
+    queries = materialize(wanted.mapInArrow(start, "qid bigint, vec array<double>, proj array<double>, owners bigint"), "queries")
+    state = queries.select("qid", "vec", "proj", F.lit(None).cast("array<struct<s:double,id:bigint>>").alias("best"))
 
     def route(first: int, last: int):
         """Each query's leaves from place ``first`` to ``last`` by distance, as far as the stopping test lets it go."""
@@ -246,12 +251,15 @@ def nearest(
         kth = F.try_element_at("best", F.lit(k + 1))["s"]
         routed = state.select("qid", "vec", "proj", kth.alias("kth")).mapInArrow(route(place, place + size), "qid bigint, vec array<double>, proj array<double>, d2 double, leaf bigint, block bigint")
         routed = materialize(routed, "visits")
-        busy = routed.groupBy("leaf", "block").count().agg(F.max("count"), F.sum("count")).first()
-        if not busy[1]:
+        # queries at a leaf go to all its blocks; those of a busy leaf are cut into groups, and its points copied for each
+        busy = routed.where("block = 0").groupBy("leaf").agg(F.ceil(F.count("*") / _BLOCK).alias("groups"))
+        busy = F.broadcast(materialize(busy, "busy"))  # MAX_LEAVES rows at most
+        if busy.isEmpty():
             break  # every query has stopped
-        groups = -(-busy[0] // _BLOCK)
-        here = routed.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(groups)))
-        there = cut.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))))
+        here = routed.join(busy, "leaf").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("groups")))
+        here = here.select("qid", "vec", "proj", "d2", "leaf", "block", "part")
+        there = cut.join(busy, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)))
+        there = there.select("cid", "vec", "proj", "leaf", "block", "part")
         key = ["leaf", "block", "part"]
         found = here.groupBy(*key).cogroup(there.groupBy(*key)).applyInArrow(
             _kernel(width, k + 1, bound), "qid bigint, scores array<double>, found array<bigint>, verified bigint"
@@ -269,12 +277,20 @@ def nearest(
         state = after
         place, size = place + size, max(size * 4, FIRST)
 
-    # from classes back to ids
-    named = classes.select(cid.alias("id"), "ids")
+    # from classes back to ids: all that a class was found with, best first
+    named = classes.select(F.col("cid").alias("id"), "ids")
     hits = state.select("qid", F.explode("best").alias("b")).select("qid", "b.s", "b.id").join(named, "id")
-    hits = hits.select("qid", "s", F.explode("ids").alias("vec_id"))
-    owners = asked.join(classes.select("vec", cid.alias("qid")), "vec").select(F.col("id").alias("query_id"), "qid", F.monotonically_increasing_id().alias("row"))
-    owners = materialize(owners, "owners")
-    by = Window.partitionBy("query_id", "row").orderBy(F.desc("s"), "vec_id")
-    out = owners.join(hits, "qid").where("vec_id <> query_id").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-    return out.select("query_id", "rank", "vec_id", F.col("s").alias("score"))
+    hits = hits.select("qid", F.explode("ids").alias("vec_id"), "s").groupBy("qid")
+    hits = hits.agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "vec_id"))).alias("hits"))
+    known = queries.select("qid", "vec", "owners").join(hits, "qid")
+    known = materialize(known, "hits")
+    # classes that hold a good part of all queries, at most HOT a partition, are broadcast
+    much = asked.count() / (HOT * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    hot = F.broadcast(known.where(F.col("owners") > much).select("vec", "hits"))
+    mine = asked.select(F.col("id").alias("query_id"), "vec")
+    found = mine.join(hot, "vec").select("query_id", "hits")
+    rest = known.where(F.col("owners") <= much).select("vec", "hits")
+    found = found.unionByName(mine.join(hot, "vec", "left_anti").join(rest, "vec").select("query_id", "hits"))
+    others = F.slice(F.filter("hits", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    ranked = found.select("query_id", F.posexplode(others).alias("at", "x"))
+    return ranked.select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", (-F.col("x.s")).alias("score"))
