@@ -26,14 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayline.llm.skew import uneven_join
 from wayline.storage import discard, materialize
 
 DIMS = 16
 CONFIDENCE = 0.87
 LEAF, MAX_LEAVES, SAMPLE = 4096, 1 << 14, 100_000
 FIRST = 2
-#: Vectors that so many queries share that there are at most this many for each shuffle partition go by broadcast.
-HOT = 4
 _BLOCK = 8192
 
 
@@ -284,13 +283,8 @@ def nearest(
     hits = hits.agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "vec_id"))).alias("hits"))
     known = queries.select("qid", "vec", "owners").join(hits, "qid")
     known = materialize(known, "hits")
-    # classes that hold a good part of all queries, at most HOT a partition, are broadcast
-    much = asked.count() / (HOT * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    hot = F.broadcast(known.where(F.col("owners") > much).select("vec", "hits"))
     mine = asked.select(F.col("id").alias("query_id"), "vec")
-    found = mine.join(hot, "vec").select("query_id", "hits")
-    rest = known.where(F.col("owners") <= much).select("vec", "hits")
-    found = found.unionByName(mine.join(hot, "vec", "left_anti").join(rest, "vec").select("query_id", "hits"))
+    found = uneven_join(mine, known.select("vec", "hits", "owners"), ["vec"], "owners", asked.count())
     others = F.slice(F.filter("hits", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     ranked = found.select("query_id", F.posexplode(others).alias("at", "x"))
     return ranked.select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", (-F.col("x.s")).alias("score"))

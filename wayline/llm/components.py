@@ -2,6 +2,8 @@
 
 Every round is a partial aggregation and an equi-join, so a node with very many
 links costs no more than its rows, and neither links nor labels leave the executors.
+The rows of such a node are joined with one row of labels; Spark's adaptive skew
+join, which the session must not turn off, splits them over tasks.
 """
 
 from __future__ import annotations

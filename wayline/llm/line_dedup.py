@@ -11,8 +11,8 @@ one of the next level. So every hash is in one run at most, and each is rewritte
 once a level.
 
 Lines that make up a good part of all are joined by a broadcast of their hashes,
-of which there are at most HOT a partition, the others by shuffle: no task gets
-all lines of one kind.
+of which there can't be many, the others by shuffle: no task gets all lines of one
+kind.
 
 DataFrame operations only; a line's hash has 128 bits.
 """
@@ -22,14 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayline.llm.skew import uneven_join
 from wayline.storage import bucketed, discard, materialize, sorted_scans
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HASH = ["h1", "h2"]
-#: Hashes of so frequent lines that there are at most this many for each shuffle partition go by broadcast.
-HOT = 4
 #: Stands for a null id, below all others.
 _NO_ID = -(2**63)
 
@@ -144,14 +143,7 @@ def dedup_lines(
         runs.add((some.where(F.col("doc") > edges[k]) if k < len(edges) else some).select(*_HASH, "doc"))
     repeated = runs.repeated(min_docs)
     runs.discard()
-    # what more than a share of a partition's lines has: at most HOT hashes a partition, 24 bytes each
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    much = lines.count() / (HOT * partitions)
-    hot = F.broadcast(repeated.where(F.col("n_lines") > much).select(*_HASH, "keeper"))
-    rest = repeated.where(F.col("n_lines") <= much).select(*_HASH, "keeper")
-    at = ["doc", "t1", "t2", "pos"]
-    found = lines.join(hot, _HASH).where("doc < keeper").select(*at)
-    found = found.unionByName(lines.join(hot, _HASH, "left_anti").join(rest, _HASH).where("doc < keeper").select(*at))
+    found = uneven_join(lines, repeated, _HASH, "n_lines", lines.count()).where("doc < keeper")
     drops = found.groupBy("doc", "t1", "t2").agg(F.collect_set("pos").alias("__drop"))
     keyed = docs.select("*", doc.alias("__doc"), *[c.alias(f"__{n}") for c, n in zip(_row_key(body), ("t1", "t2"))])
     drops = drops.select(*[F.col(c).alias(f"__{c}") for c in ("doc", "t1", "t2")], "__drop")

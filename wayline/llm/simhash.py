@@ -10,7 +10,8 @@ segment, at most 1 over two, at most 2 over all three. The chain's first two
 segments are the index: the first exact, the second with no or one position
 masked, which makes 66 keys a fingerprint, each of more than 40 fixed bits. So
 candidates stay few however many fingerprints there are, and what shares a key
-differs at most in the third segment and the masked bit, at most 2**23 values.
+differs at most in the third segment and the masked bit, at most 2**23 values
+(64 MB, some 400 MB while one task compares them).
 Within a key the chain is continued and the full distance checked.
 """
 

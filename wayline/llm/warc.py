@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayline.llm.batches import small_batches
+from wayline.llm.skew import uneven_join
 from wayline.storage import materialize, new_path
 
 DATE = "2020-01-01T00:00:00Z"
@@ -167,21 +168,22 @@ def read_directory(source: pa.NativeFile, size: int) -> dict[str, tuple[int, int
 # -- tables ----------------------------------------------------------------
 
 
-def with_revisits(pages: DataFrame, small: int = 200_000) -> DataFrame:
+def with_revisits(pages: DataFrame) -> DataFrame:
     """``page_id, url, payload, digest, refers_to`` from ``page_id, url, html``.
 
     Of pages with equal payloads of at least MIN_REVISIT bytes that with the
     smallest id is the response (all its rows, should it repeat; a null id comes
-    after all others), the rest refer to it. Only digests go through the shuffle;
-    those that repeat are joined by broadcast if they are at most ``small``.
+    after all others), the rest refer to it. Digests alone are grouped; of those
+    that repeat, the most common are joined by broadcast, the rest by shuffle or,
+    if Spark finds them few, by broadcast too.
     """
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", body.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     first = rows.where(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    first = materialize(first.where("n > 1 and first is not null").select("digest", "first"), "first-pages")
-    side = F.broadcast(first) if first.count() <= small else first
+    first = materialize(first.where("n > 1 and first is not null"), "first-pages")
     other = F.col("page_id").isNull() | (F.col("page_id") > F.col("first"))
-    return rows.join(side, "digest", "left").select("page_id", "url", "payload", "digest", F.when(other, F.col("first")).alias("refers_to"))
+    joined = uneven_join(rows, first, ["digest"], "n", pages.count(), "left")
+    return joined.select("page_id", "url", "payload", "digest", F.when(other, F.col("first")).alias("refers_to"))
 
 
 def write_packages(pages: DataFrame, folder: str | None = None, package_bytes: int = 1 << 30, level: int = 1) -> DataFrame:
@@ -217,7 +219,11 @@ def write_packages(pages: DataFrame, folder: str | None = None, package_bytes: i
 
 
 def list_records(manifest: DataFrame) -> DataFrame:
-    """``package, offset, length`` of every record of the packages, from their directories and indexes."""
+    """``package, offset, length`` of every record of the packages, from their directories and indexes.
+
+    An empty manifest has no records; a package without the two members, or one
+    that is no ZIP archive, raises.
+    """
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,7 +262,11 @@ def _spans(rows: Iterator[tuple[str, int, int]]) -> Iterator[tuple[str, list[tup
 
 
 def read_records(records: DataFrame, payload: bool = True) -> DataFrame:
-    """``page_id, url, payload_bytes, payload_digest, record_type, refers_to`` and, if asked for, ``payload``."""
+    """``page_id, url, payload_bytes, payload_digest, record_type, refers_to`` and, if asked for, ``payload``.
+
+    No records give an empty result; records that repeat are read again; one that
+    is not where it should be raises.
+    """
     schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", payload binary" * payload
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.binary()] * payload
     names = [x.split()[0] for x in schema.split(", ")]
