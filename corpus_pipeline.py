@@ -37,6 +37,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The model is trained on a bounded sample of the documents' own ``lang``; the
     evidence is the text, ``lang`` as what is declared, and ``source`` as the host.
+    Rows that repeat fare alike; a null or empty text is judged by what is declared
+    and its host alone, so it goes where those say nothing. An empty table stays empty.
     """
     model = langid.train(docs)
     keyed = docs.select("*", *_key())
@@ -45,7 +47,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops repeated lines from texts; every document stays."""
+    """Drops repeated lines from texts; every row stays, with null texts as empty ones.
+
+    Rows of one id count as one document; see :func:`line_dedup.dedup_lines`.
+    """
     kept = line_dedup.dedup_lines(docs.select(*COLUMNS))
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
 
@@ -78,7 +83,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, ids, n_tokens`` and digests of the ids and of the bytes they decode to."""
+    """``doc_id, ids, n_tokens`` and digests of the ids and of the bytes they decode to, for each row.
+
+    A null or empty text has no ids.
+    """
     return byte_bpe.round_trip(docs.select("doc_id", "text"), VOCABULARY, PATTERN)
 
 
