@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,14 +20,69 @@ def _corr(df: DataFrame, keys: list, a: str, b: str) -> DataFrame:
 
 
 def autocorrelation(m: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``keys, dy, dx, n, r``: correlation of a map with itself at each offset where two bins or more overlap."""
-    known = m.where("rate is not null")
-    a = known.select(*keys, F.col("gy").alias("ay"), F.col("gx").alias("ax"), F.col("rate").alias("a"))
-    b = known.select(*keys, "gy", "gx", F.col("rate").alias("b"))
-    both = a.join(b, list(keys)) if keys else a.crossJoin(F.broadcast(b))  # bins of one map
-    pairs = both.select(*keys, (F.col("gy") - F.col("ay")).alias("dy"), (F.col("gx") - F.col("ax")).alias("dx"), "a", "b")
-    out = _corr(pairs, [*keys, "dy", "dx"], "a", "b").where("n > 1")
-    return out.withColumn("r", F.greatest(F.least("r", F.lit(1.0)), F.lit(-1.0)))
+    """``keys, dy, dx, n, r``: correlation of a map with itself at each offset where two known bins or more overlap.
+
+    One map is one group, of bounded size; all offsets' sums come from its Fourier
+    transforms. ``r`` is null where a side has no variance (below 1e-10 of the map's).
+    """
+    names = list(keys)
+
+    def correlate(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows[rows["rate"].notna()]
+        if rows.empty:
+            return pd.DataFrame({**{k: [] for k in names}, "dy": [], "dx": [], "n": [], "r": []})
+        y, x, v = (rows[c].to_numpy() for c in ("gy", "gx", "rate"))
+        h, w = int(y.max() - y.min()) + 1, int(x.max() - x.min()) + 1
+        ones, a = np.zeros((h, w)), np.zeros((h, w))
+        scale = v.std() or 1.0
+        ones[y - y.min(), x - x.min()] = 1
+        a[y - y.min(), x - x.min()] = (v - v.mean()) / scale  # centred, so that little cancels
+        size = [1 << (2 * k - 1).bit_length() for k in (h, w)]
+        f1, fa, faa = (np.fft.rfft2(t, size) for t in (ones, a, a * a))
+        lag = lambda p, q: np.roll(np.fft.irfft2(np.conj(p) * q, size), (h - 1, w - 1), (0, 1))[: 2 * h - 1, : 2 * w - 1]
+        n = np.rint(lag(f1, f1))
+        sa, sb, saa, sbb, sab = lag(fa, f1), lag(f1, fa), lag(faa, f1), lag(f1, faa), lag(fa, fa)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            va, vb = saa - sa * sa / n, sbb - sb * sb / n
+            r = (sab - sa * sb / n) / np.sqrt(va * vb)
+        r[~((va > 1e-10) & (vb > 1e-10))] = np.nan
+        dy, dx = np.nonzero(n > 1)
+        made = {k: [rows[k].iloc[0]] * len(dy) for k in names}
+        return pd.DataFrame({**made, "dy": dy - h + 1, "dx": dx - w + 1, "n": n[dy, dx].astype(np.int64), "r": np.clip(r[dy, dx], -1, 1)})
+
+    part = m.select(*keys, F.col("gy").cast("int").alias("gy"), F.col("gx").cast("int").alias("gx"), F.col("rate").cast("double").alias("rate"))
+    types = [f"{k} {part.schema[k].dataType.simpleString()}" for k in keys]
+    out = part.groupBy(*keys).applyInPandas(correlate, ", ".join([*types, "dy int, dx int, n bigint, r double"]))
+    return out.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
+
+
+def boundaries(m: DataFrame, label: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``m`` with ``boundary``: whether one of a bin's four neighbours in the map has another label (null is one too)."""
+    sides = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, 0), (0, -1), (-1, 0))])
+    names = [*keys, "gy", "gx"]
+    around = m.select(*keys, "gy", "gx", F.struct(F.col(label).alias("v")).alias("__n"), F.inline(sides))
+    around = around.select(*keys, (F.col("gy") + F.col("dy")).alias("gy"), (F.col("gx") + F.col("dx")).alias("gx"), "__n")
+    met = m.select(*names, label).join(around, names)
+    other = met.groupBy(*names).agg(F.max(~F.col(label).eqNullSafe(F.col("__n.v"))).alias("boundary"))
+    return m.join(other, names, "left").withColumn("boundary", F.coalesce("boundary", F.lit(False)))
+
+
+def gravity(m: DataFrame, bin_cm: float, width_cm: float = 16.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys, gy, gx, simple, fy, fx`` for each known bin: its pull towards others, as a sum and as a force.
+
+    The sum of ``rate * other / d^2`` over bins up to ``width_cm`` away along each
+    axis, and of the same along the line between them, rows and columns apart; a
+    bin pulls towards the smaller index where the other lies there.
+    """
+    w = math.ceil(width_cm / bin_cm)
+    apart = [(dy, dx, bin_cm**2 * (dy * dy + dx * dx)) for dy in range(-w, w + 1) for dx in range(-w, w + 1) if dy or dx]
+    taps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(1 / d2).alias("s"), F.lit(dy * d2**-1.5).alias("ky"), F.lit(dx * d2**-1.5).alias("kx")) for dy, dx, d2 in apart])
+    known = m.where("rate is not null").select(*keys, "gy", "gx", "rate")
+    spread = known.select(*keys, F.col("rate").alias("b"), "gy", "gx", F.inline(taps))
+    spread = spread.select(*keys, (F.col("gy") + F.col("dy")).alias("gy"), (F.col("gx") + F.col("dx")).alias("gx"), "b", "s", "ky", "kx")
+    sums = spread.groupBy(*keys, "gy", "gx").agg(*[F.sum(F.col("b") * F.col(c)).alias(c) for c in ("s", "ky", "kx")])
+    both = known.join(sums, [*keys, "gy", "gx"], "left")
+    return both.select(*keys, "gy", "gx", *[(F.col("rate") * F.coalesce(c, F.lit(0.0))).alias(to) for c, to in (("s", "simple"), ("ky", "fy"), ("kx", "fx"))])
 
 
 def stability(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -136,16 +136,28 @@ def crossings(df: DataFrame, value: str, level: float, up: bool = True) -> DataF
     return near.where(hit).select("i", (F.col("i") + (F.lit(level) - a) / (b - a)).alias("at"))
 
 
-def smooth(df: DataFrame, value: str, weights: list[float], to: str) -> DataFrame:
-    """Weighted sum over a centred window; the series is reflected at its ends (the end sample repeats)."""
+def smooth(df: DataFrame, value: str, weights: list[float], to: str, edge: str = "reflect") -> DataFrame:
+    """Weighted sum over a centred window.
+
+    Beyond its ends the series is reflected (the end sample repeats), or, if
+    ``edge`` is ``nearest``, goes on with its end samples.
+    """
     r = len(weights) // 2
     n = df.agg((F.max("i") + 1).alias("__n"))
     ends = df.crossJoin(F.broadcast(n))
-    mirrored = ends.select("*", F.inline(F.filter(F.array(
-        F.struct(F.col("i").alias("j"), F.lit(True).alias("own")),
-        F.when(F.col("i") < r, F.struct((-1 - F.col("i")).alias("j"), F.lit(False).alias("own"))),
-        F.when(F.col("i") >= F.col("__n") - r, F.struct((2 * F.col("__n") - 1 - F.col("i")).alias("j"), F.lit(False).alias("own"))),
-    ), lambda s: s.isNotNull())))
+    own = F.array(F.struct(F.col("i").alias("j"), F.lit(True).alias("own")))
+    other = lambda j: F.struct(j.cast("long").alias("j"), F.lit(False).alias("own"))
+    none = F.array().cast("array<struct<j:bigint,own:boolean>>")
+    if edge == "reflect":  # as often as it takes to fill r samples
+        turns = F.sequence(F.lit(-1).cast("bigint") - F.floor(F.lit(r) / F.col("__n")), F.floor(F.lit(r) / F.col("__n")) + 1)
+        copies = F.flatten(F.transform(turns, lambda t: F.array(t * 2 * F.col("__n") + F.col("i"), t * 2 * F.col("__n") - 1 - F.col("i"))))
+        near = F.filter(copies, lambda j: (j >= -r) & (j < F.col("__n") + r) & ~j.between(F.lit(0), F.col("__n") - 1))
+        spread = F.when((F.col("i") < r) | (F.col("i") >= F.col("__n") - r), F.transform(near, other)).otherwise(none)
+    else:
+        low = F.when((F.col("i") == 0) & (F.lit(r) > 0), F.transform(F.sequence(F.lit(-r).cast("bigint"), F.lit(-1).cast("bigint")), other)).otherwise(none)
+        high = F.when((F.col("i") == F.col("__n") - 1) & (F.lit(r) > 0), F.transform(F.sequence(F.col("__n"), F.col("__n") + r - 1), other)).otherwise(none)
+        spread = F.concat(low, high)
+    mirrored = ends.select("*", F.inline(F.concat(own, spread)))
 
     def total(w: WindowSpec) -> Column:
         parts = [F.lit(x) * (F.lag(value, -k) if k <= 0 else F.lead(value, k)).over(w) for k, x in zip(range(-r, r + 1), weights)]
@@ -154,7 +166,7 @@ def smooth(df: DataFrame, value: str, weights: list[float], to: str) -> DataFram
             out = out + p
         return out
 
-    return framed(mirrored, {to: total}, r, r, order="j").where("own").drop("__n", "j", "own")
+    return framed(mirrored, {to: total}, r, r, order="j", chunk=max(CHUNK, r + 1)).where("own").drop("__n", "j", "own")
 
 
 def boxcar(df: DataFrame, value: str, width: int, to: str, keys: tuple[str, ...]) -> DataFrame:

@@ -155,6 +155,57 @@ def ratemap_norm_counts(spark: SparkSession, sf: str) -> DataFrame:
 _UNNORMED = _smoothed(_BOX) + ", u AS (SELECT gy, gx, CASE WHEN seen THEN spk / nullif(dwell, 0) END AS r FROM s)"
 
 
+@query(_UNNORMED + " SELECT gy, gx, round(r, 6) AS rate FROM u")
+def ratemap_norm_pos(spark: SparkSession, sf: str) -> DataFrame:
+    return _map(spark, sf, B.boxcar(3), "pos").select("gy", "gx", *r6("rate"))
+
+
+@query(
+    _UNNORMED
+    + """, k AS (SELECT * FROM u WHERE r IS NOT NULL)
+, n AS (SELECT u.gy, u.gx, k.r, row_number() OVER (PARTITION BY u.gy, u.gx ORDER BY power(u.gy - k.gy, 2) + power(u.gx - k.gx, 2), k.gy, k.gx) AS rk FROM u, k)
+SELECT gy, gx, round(r * 50, 6) AS rate FROM n WHERE rk = 1"""
+)
+def ratemap_nodwell_interp(spark: SparkSession, sf: str) -> DataFrame:
+    return B.fill_unvisited(_map(spark, sf, B.boxcar(3)), "nearest").select("gy", "gx", *r6("rate"))
+
+
+@query(
+    """, m AS (SELECT i, x, y, tet, v FROM pos JOIN ev USING (i) WHERE k < 90)
+, dw AS (SELECT floor(y / 10)::INT AS gy, floor(x / 10)::INT AS gx, count(*)::DOUBLE AS dwell FROM m GROUP BY 1, 2)
+, g AS (SELECT (r // 11)::INT AS gy, (r % 11)::INT AS gx FROM range(121) t(r)), t AS (SELECT DISTINCT tet FROM m)
+, c AS (SELECT tet, floor(y / 10)::INT AS gy, floor(x / 10)::INT AS gx, sum(v) AS spk FROM m GROUP BY 1, 2, 3)
+SELECT t.tet, g.gy, g.gx, round(coalesce(spk, 0) / dwell * 50, 6) AS rate FROM t CROSS JOIN g LEFT JOIN dw USING (gy, gx) LEFT JOIN c USING (tet, gy, gx)"""
+)
+def ratemap_cells_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    """All cells' maps at once; spikes weighted by the signal, a part of the samples masked."""
+    e = A.events(spark, sf).select("i", "k", "v")
+    pos = A.positions(spark, sf).join(e, "i")
+    m = B.rate_map(pos, joins.gather(A.spikes(spark, sf), pos), SIZE, SHAPE, FS, None, keys=("tet",), weight=F.col("v"), mask=F.col("k") < 90)
+    return m.select("tet", "gy", "gx", *r6("rate"))
+
+
+@query(
+    _UNNORMED
+    + """ SELECT i, round(r * 50, 6) AS rate FROM pos LEFT JOIN u ON u.gy = floor(y / 10) AND u.gx = floor(x / 10)"""
+)
+def rate_at_xy(spark: SparkSession, sf: str) -> DataFrame:
+    return B.rate_at(A.positions(spark, sf), _map(spark, sf, B.boxcar(3)), SIZE).select("i", *r6("rate"))
+
+
+@query(
+    f""", g AS (SELECT (r // 11)::INT AS gy, (r % 11)::INT AS gx FROM range(121) t(r))
+, d AS (SELECT gy, gx, power((gx + 0.5::DOUBLE) * 10 - x, 2) + power((gy + 0.5::DOUBLE) * 10 - y, 2) AS d2, (tet = '{CELL}')::INT AS s FROM g, pos JOIN ev USING (i))
+, q AS (SELECT gy, gx, d2, count(*)::DOUBLE AS w, sum(s)::DOUBLE AS s FROM d WHERE d2 <= 225 GROUP BY 1, 2, 3)
+, c AS (SELECT gy, gx, d2, sum(w) OVER o AS w, sum(s) OVER o AS s FROM q WINDOW o AS (PARTITION BY gy, gx ORDER BY d2))
+, f AS (SELECT gy, gx, min(d2) AS d2, arg_min(s / w, d2) AS r FROM c WHERE d2 > 0 AND s * w * w * d2 > 2500 * 50.0::DOUBLE * 50 GROUP BY 1, 2)
+SELECT gy, gx, round(r * 50, 6) AS rate, round(sqrt(d2), 6) AS radius FROM g LEFT JOIN f USING (gy, gx)"""
+)
+def adaptive_ratemap(spark: SparkSession, sf: str) -> DataFrame:
+    m = B.adaptive_map(A.positions(spark, sf), _spike_pos(spark, sf), SIZE, SHAPE, FS)
+    return m.select("gy", "gx", *r6("rate", "radius"))
+
+
 @query(_UNNORMED + " SELECT gy, gx, round(r / max(r) OVER (), 6) AS rate FROM u")
 def ratemap_norm_max(spark: SparkSession, sf: str) -> DataFrame:
     return _map(spark, sf, B.boxcar(3), "max").select("gy", "gx", *r6("rate"))
@@ -257,12 +308,8 @@ def islands(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     _ISL
     + """, p AS (SELECT label, min(i) AS a, max(i) AS b FROM l WHERE label > 0 GROUP BY 1
-), g AS (SELECT *, sum(coalesce(a - lag(b) OVER (ORDER BY a) - 1 >= 3, true)::INT) OVER (ORDER BY a) AS e
-         FROM (SELECT * FROM p))
-SELECT e::BIGINT AS event, min(a) AS first_i, max(b) AS last_i FROM g GROUP BY 1""".replace(
-        "sum(coalesce(a - lag(b) OVER (ORDER BY a) - 1 >= 3, true)::INT) OVER (ORDER BY a) AS e\n         FROM (SELECT * FROM p)",
-        "sum(st::INT) OVER (ORDER BY a) AS e FROM (SELECT *, coalesce(a - lag(b) OVER (ORDER BY a) - 1 >= 3, true) AS st FROM p)",
-    )
+), q AS (SELECT *, coalesce(a - lag(b) OVER (ORDER BY a) - 1 >= 3, true) AS st FROM p), g AS (SELECT *, sum(st::INT) OVER (ORDER BY a) AS e FROM q)
+SELECT e::BIGINT AS event, min(a) AS first_i, max(b) AS last_i FROM g GROUP BY 1"""
 )
 def islands_closed(spark: SparkSession, sf: str) -> DataFrame:
     spans = S.islands(A.events(spark, sf), F.col("v") >= 50).where("label > 0").groupBy("label").agg(F.min("i").alias("first_i"), F.max("i").alias("last_i"))
@@ -449,13 +496,33 @@ _SUMS = "count(*)::DOUBLE AS n, sum(a) AS sa, sum(b) AS sb, sum(a * a) AS saa, s
 
 @query(
     _RATE
-    + f""", pr AS (SELECT q.gy - p.gy AS dy, q.gx - p.gx AS dx, p.r AS a, q.r AS b FROM rm p, rm q WHERE p.r IS NOT NULL AND q.r IS NOT NULL
-), m AS (SELECT dy, dx, {_SUMS} FROM pr GROUP BY 1, 2)
-SELECT dy, dx, n::BIGINT AS n, {_R.replace(", 6)", ", 4)")} AS r FROM m WHERE n > 2"""
+    + """, pr AS (SELECT q.gy - p.gy AS dy, q.gx - p.gx AS dx, p.r AS a, q.r AS b FROM rm p, rm q WHERE p.r IS NOT NULL AND q.r IS NOT NULL
+), m AS (SELECT dy, dx, count(*) AS n, var_pop(a) AS va, var_pop(b) AS vb, corr(a, b) AS r FROM pr GROUP BY 1, 2), u AS (SELECT var_pop(r) AS v FROM rm)
+SELECT dy::INT AS dy, dx::INT AS dx, n, round(CASE WHEN n * va > 1e-10 * v AND n * vb > 1e-10 * v THEN greatest(least(r, 1), -1) END, 6) AS r FROM m, u WHERE n > 1"""
 )
 def spatial_ac(spark: SparkSession, sf: str) -> DataFrame:
-    # with two bins the sign of a difference of rounding errors decides; three on are compared
-    return maps.autocorrelation(_map(spark, sf, B.boxcar(3))).where("n > 2").select("dy", "dx", "n", (F.round("r", 4) + 0.0).alias("r"))
+    return maps.autocorrelation(_map(spark, sf, B.boxcar(3))).select("dy", "dx", "n", *r6("r"))
+
+
+@query(
+    f""", {_CELLS}, q AS (SELECT gy, gx, least(spk, 3) AS v FROM c)
+SELECT q.gy, q.gx, coalesce(bool_or(p.v <> q.v), false) AS boundary FROM q LEFT JOIN q p ON abs(p.gy - q.gy) + abs(p.gx - q.gx) = 1 GROUP BY 1, 2"""
+)
+def boundary_mask(spark: SparkSession, sf: str) -> DataFrame:
+    m = _map(spark, sf, None, "counts").select("gy", "gx", F.least("spk", F.lit(3.0)).alias("v"))
+    return maps.boundaries(m, "v").select("gy", "gx", "boundary")
+
+
+@query(
+    _RATE
+    + """, kn AS (SELECT * FROM rm WHERE r IS NOT NULL)
+, pr AS (SELECT p.gy, p.gx, p.r, q.r AS b, (p.gy - q.gy) AS dy, (p.gx - q.gx) AS dx, 100.0::DOUBLE * (power(p.gy - q.gy, 2) + power(p.gx - q.gx, 2)) AS d2
+         FROM kn p JOIN kn q ON abs(p.gy - q.gy) <= 2 AND abs(p.gx - q.gx) <= 2 AND (p.gy, p.gx) <> (q.gy, q.gx))
+SELECT gy, gx, round(r * sum(b / d2), 5) AS simple, round(r * sum(b * dy * power(d2, -1.5)), 5) AS fy, round(r * sum(b * dx * power(d2, -1.5)), 5) AS fx FROM pr GROUP BY gy, gx, r"""
+)
+def gravity(spark: SparkSession, sf: str) -> DataFrame:
+    g = maps.gravity(_map(spark, sf, B.boxcar(3)), SIZE)
+    return g.select("gy", "gx", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("simple", "fy", "fx")])
 
 
 def _half(spark: SparkSession, sf: str, odd: bool) -> DataFrame:
