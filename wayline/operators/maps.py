@@ -56,6 +56,67 @@ def autocorrelation(m: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return out.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
 
 
+def windowed_autocorrelation(
+    spikes: DataFrame, pos: DataFrame, window: int, step: int, size: float, extent: tuple[float, float], smooth: int = 5, least: int = 100, keys: tuple[str, ...] = (), radial: bool = False
+) -> DataFrame:
+    """``keys, dy, dx, rate`` (``keys, d, rate`` if ``radial``): how often a cell fires again, by displacement since a spike.
+
+    Of the samples up to ``window`` before and after a spike every ``step``-th
+    gives a displacement of dwell; later spikes of the cell within the window one
+    of spikes, which counts for both directions. Displacements are rounded to bins
+    of ``size``, up to the arena's ``extent`` (height, width). Bins with ``least``
+    samples or fewer are null; both counts are smoothed by a boxcar of ``smooth``
+    bins that repeats the border. A spike meets the samples of the window's own and
+    next stretch of the recording; pairs are counted where they are made.
+    """
+    names = list(keys)
+    last = pos.agg(F.max("i").alias("__last"))
+    width = 2 * window + 1
+    fired = spikes.select(*keys, F.col("pos_i").alias("a")).withColumn("s", F.monotonically_increasing_id())
+    fired = fired.join(pos.select(F.col("i").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), "a").crossJoin(F.broadcast(last))
+    low, high = F.greatest(F.col("a") - window, F.lit(0)), F.least(F.col("a") + window + 1, F.col("__last"))
+    fired = fired.where("ax is not null and ay is not null").select(*keys, "s", "a", "ax", "ay", low.alias("low"), high.alias("high"))
+    near = fired.withColumn("__b", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))))
+    dy, dx = (F.col("y") - F.col("ay")) / size, (F.col("x") - F.col("ax")) / size
+    if radial:
+        by = [F.floor(F.hypot(dy, dx) + 0.5).cast("int").alias("d")]
+    else:
+        by = [F.floor(d + 0.5).cast("int").alias(n) for d, n in ((dy, "dy"), (dx, "dx"))]
+    place = [c for c in (["d"] if radial else ["dy", "dx"])]
+    at = pos.where("x is not null and y is not null").select("i", "x", "y", F.floor(F.col("i") / width).alias("__b"))
+    inside = (F.col("i") >= F.col("low")) & (F.col("i") < F.col("high"))
+    dwell = near.join(at, "__b").where(inside & ((F.col("i") - F.col("low")) % step == 0)).groupBy(*keys, *by).agg(F.count("*").cast("double").alias("dwell"))
+    again = fired.select(*keys, F.col("s").alias("t"), F.col("a").alias("i"), F.col("ax").alias("x"), F.col("ay").alias("y"), F.floor(F.col("a") / width).alias("__b"))
+    later = (F.col("i") > F.col("a")) | (F.col("i") == F.col("a")) & (F.col("t") > F.col("s"))
+    pairs = near.join(again, [*names, "__b"]).where(later & (F.col("i") < F.col("high")))
+    spk = pairs.groupBy(*keys, *by).agg(F.count("*").cast("double").alias("spk"))
+    half = (math.ceil(math.hypot(*extent) / size),) if radial else tuple(math.ceil(e / size) for e in extent)
+
+    def divide(rows: pd.DataFrame) -> pd.DataFrame:
+        shape = tuple(2 * h + 1 for h in half)
+        both = np.zeros((2, *shape))
+        index = tuple(rows[c].to_numpy() + (0 if radial else h) for c, h in zip(place, half))
+        for k, c in enumerate(("dwell", "spk")):
+            np.add.at(both[k], index, rows[c].fillna(0).to_numpy())
+        dwell, spk = both[0], both[1] * 2 if radial else both[1] + both[1][::-1, ::-1]
+        gone = dwell <= least
+        if smooth > 1:
+            r = smooth // 2
+            for axis in range(len(shape)):
+                pad = [(r, smooth - 1 - r) if k == axis else (0, 0) for k in range(len(shape))]
+                dwell, spk = (np.apply_along_axis(lambda v: np.convolve(v, np.ones(smooth) / smooth, "valid"), axis, np.pad(t, pad, mode="edge")) for t in (dwell, spk))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rate = np.where(gone, np.nan, spk / dwell).ravel()
+        made = {k: [rows[k].iloc[0]] * rate.size for k in names}
+        spots = {c: g.ravel() - (0 if radial else h) for c, g, h in zip(place, np.indices(shape), half)}
+        return pd.DataFrame({**made, **spots, "rate": rate})
+
+    counts = dwell.join(spk, [*names, *place], "full").select(*keys, *place, "dwell", "spk")
+    types = [f"{k} {counts.schema[k].dataType.simpleString()}" for k in names] + [f"{c} int" for c in place]
+    out = counts.groupBy(*keys).applyInPandas(divide, ", ".join([*types, "rate double"]))
+    return out.withColumn("rate", F.when(~F.isnan("rate"), F.col("rate")))
+
+
 def boundaries(m: DataFrame, label: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """``m`` with ``boundary``: whether one of a bin's four neighbours in the map has another label (null is one too)."""
     sides = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, 0), (0, -1), (-1, 0))])

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from wayline.functions.circular import ratio
 from wayline.operators.binning import gaussian_taps
 from wayline.operators.detection import find_events
-from wayline.operators.sequence import CHUNK, smooth
+from wayline.operators.sequence import CHUNK, framed, smooth
+from wayline.storage import materialize
 
 #: Seconds of signal on each side from which a sample's analytic value is made.
 ANALYTIC_S = 10.0
@@ -44,13 +45,14 @@ def in_chunks(
     keys: tuple[str, ...] = (),
     order: str = "i",
     chunk: int = CHUNK,
+    edge: str = "odd",
 ) -> DataFrame:
     """``keys, order`` and the columns ``made`` that ``kernel`` gives for each sample.
 
     ``kernel(x, inside)`` gets a stretch of the signal with ``halo`` samples on each
     side and gives arrays as long. Beyond the signal's ends, where ``inside`` does
-    not hold, ``x`` is the signal turned about its end sample (an odd extension).
-    A null sample counts as 0. No task holds more than a chunk and its halos.
+    not hold, ``x`` is the signal turned about its end sample (an odd extension) or,
+    if ``edge`` is ``nearest``, the end sample. A null sample counts as 0. No task holds more than a chunk and its halos.
     """
     at = F.floor(F.col(order) / F.lit(chunk))
     place = F.pmod(F.col(order), F.lit(chunk))
@@ -71,7 +73,7 @@ def in_chunks(
         x = rows["__v"].to_numpy(float)
         first, last = np.flatnonzero(home)[[0, -1]]
         before, after = max(0, halo - first), max(0, halo - (len(x) - 1 - last))
-        ends = {"mode": "reflect", "reflect_type": "odd"} if len(x) > 1 else {"mode": "edge"}
+        ends = {"mode": "reflect", "reflect_type": "odd"} if len(x) > 1 and edge == "odd" else {"mode": "edge"}
         inside = np.pad(np.ones(len(x), bool), (before, after))
         found = kernel(np.pad(x, (before, after), **ends), inside)
         out = rows.loc[home, [*names, order]]
@@ -140,8 +142,6 @@ def theta(
 
 
 def _with_freq(both: DataFrame, fs: float, band: tuple[float, float], keys: tuple[str, ...], order: str, chunk: int) -> DataFrame:
-    from wayline.operators.sequence import framed
-
     near = framed(both, {"__next": lambda w: F.lead("phase").over(w)}, 0, 1, keys, order, chunk)
     step = F.coalesce(F.col("__next") - F.col("phase"), F.lit(0.0))
     wrapped = step - 2 * math.pi * F.round(step / (2 * math.pi))
@@ -204,7 +204,7 @@ def ripple_events(
     ``least_s`` is what parts two events and what an event must exceed.
     """
     keep = ["i", *([speed] if speed else [])]
-    amp = ripple_amplitude(lfp, value, fs, band, smooth_ms=smooth_ms).join(lfp.select(*keep), "i")
+    amp = materialize(ripple_amplitude(lfp, value, fs, band, smooth_ms=smooth_ms).join(lfp.select(*keep), "i"), "ripples")  # read several times
     found = find_events(amp, "amp", speed, peak, max_speed, int(least_s * fs), int(least_s * fs))
     return found.withColumns({"start_s": F.col("first_i") / fs, "end_s": F.col("last_i") / fs})
 
@@ -289,10 +289,35 @@ def band_peak(power: DataFrame, smoothing_hz: float, band: tuple[float, float],
     """
     step = power.where("i = 1").agg(F.max("freq")).first()[0] or 1.0
     sigma = max(smoothing_hz / step, 1e-9)
-    soft = smooth(power, "power", gaussian_taps(sigma), "soft", edge="nearest")
+    taps = np.array(gaussian_taps(sigma))
+    soft = in_chunks(power, F.col("power"), lambda x, inside: {"soft": _convolved(x, taps)}, {"soft": "double"}, len(taps) // 2, edge="nearest")
+    soft = soft.withColumn("freq", F.col("i") * step)
     inside = (F.col("freq") > band[0]) & (F.col("freq") < band[1])
     best = soft.where(inside).agg(F.max(F.struct(F.col("soft"), (-F.col("freq")).alias("f"))).alias("best"))
     best = best.select((-F.col("best.f")).alias("peak_freq"), F.col("best.soft").alias("peak_power"))
     near = F.abs(F.col("freq") - F.col("peak_freq")) < width / 2
     joined = soft.crossJoin(F.broadcast(best))  # one row
     return joined.groupBy("peak_freq", "peak_power").agg(ratio(F.avg(F.when(near, F.col("soft"))), F.avg(F.when(~near, F.col("soft")))).alias("s2n"))
+
+
+def bad_as(value: Column, bad: Column, to: float | None = None) -> Column:
+    """A signal with bad samples replaced by ``to``, null by default; a null flag is not bad."""
+    return F.when(F.coalesce(bad, F.lit(False)), F.lit(to).cast("double")).otherwise(value.cast("double"))
+
+
+def low_spectrum(df: DataFrame, value: str, most: int, length: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys, ky, kx, re, im``: a map's two-dimensional transform at the frequencies -most to most, of a period ``length``.
+
+    Only few frequencies are asked for, so each is a sum over bins: partial sums
+    where the bins lie. Null bins count as 0.
+    """
+    span = F.sequence(F.lit(-most), F.lit(most))
+    some = df.select(*keys, "gy", "gx", F.coalesce(F.col(value), F.lit(0.0)).alias("v"), F.explode(span).alias("ky")).select("*", F.explode(span).alias("kx"))
+    angle = (F.col("ky") * F.col("gy") + F.col("kx") * F.col("gx")) * (-2 * math.pi / length)
+    return some.groupBy(*keys, "ky", "kx").agg(F.sum(F.col("v") * F.cos(angle)).alias("re"), F.sum(F.col("v") * F.sin(angle)).alias("im"))
+
+
+def slope_taps(width: int, order: int = 2) -> list[float]:
+    """Weights whose centred sum is the slope of the least-squares polynomial through ``width`` (odd) samples."""
+    at = np.arange(width) - width // 2
+    return np.linalg.pinv(np.vander(at.astype(float), order + 1, increasing=True))[1].tolist()
