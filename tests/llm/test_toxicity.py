@@ -124,3 +124,15 @@ def test_query_on_held_out_labels(spark):
     pairs = [(a.score, b.score) for a in judged if a.toxic for b in judged if not b.toxic]
     auc = sum((a > b) + 0.5 * (a == b) for a, b in pairs) / len(pairs)
     assert auc > 0.8 and not any(r.predicted for r in judged if not r.toxic)
+
+
+def test_labels_meet_their_documents(spark, monkeypatch):
+    docs = spark.createDataFrame([(d, f"t{d}") for d in [*range(300), 5, None]], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, 0, d % 2) for d in range(0, 400, 3)] + [(6, 0, 1), (None, 0, 1), (9, 0, None)], "doc_id long, quality int, toxic int")
+    may = lambda d: zlib.crc32(str(d).encode()) % 3 != 1
+    known = {d: d % 2 for d in range(0, 400, 3) if may(d)} | ({6: 1} if may(6) else {})
+    want = sorted((f"t{d}", known[d]) for d in [*range(300), 5] if d in known)
+    for bits in (1 << 23, 64, 8192):
+        monkeypatch.setattr(toxicity, "FILTER_BITS", bits)
+        assert sorted(tuple(r) for r in toxicity.join_labels(docs, labels).collect()) == want
+    assert toxicity.join_labels(docs, labels.limit(0)).count() == 0

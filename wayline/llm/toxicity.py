@@ -326,13 +326,27 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+#: Bits of the filter that keeps most documents without a label from being shuffled: 1 MB, whatever the tables' size.
+FILTER_BITS = 1 << 23
+
+
+def _may_hold(docs: DataFrame, known: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without most rows whose id is not in ``known``: ids set bits by a hash, those bits are broadcast."""
+    bit = F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS))
+    word, mark = F.floor(bit / 64).alias("__word"), F.expr(f"shiftleft(1L, int(pmod(pmod(xxhash64({id_col}), {FILTER_BITS}), 64)))")
+    words = known.select(word, mark.alias("__m")).groupBy("__word").agg(F.bit_or("__m").alias("__bits"))  # FILTER_BITS / 64 rows at most
+    met = docs.select("*", word).join(F.broadcast(words), "__word")
+    return met.where(F.col("__bits").bitwiseAND(mark) != 0).drop("__word", "__bits")
+
+
 def join_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "toxic") -> DataFrame:
     """``text, toxic`` of the labelled documents that may be learned from.
 
     Labels that repeat count once, the toxic one wins; null ids and labels drop
-    out, rows of ``docs`` that repeat stay. Spark broadcasts the labels only below
-    its own limit of bytes.
+    out, rows of ``docs`` that repeat stay. Joined by shuffle at every size; texts
+    without a label are mostly left out before it.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(id_col))
-    known = known.groupBy(id_col).agg(F.max(label).alias("toxic"))
-    return docs.where(~held_out(id_col)).select(id_col, "text").join(known, id_col).select("text", "toxic")
+    known = materialize(known.groupBy(id_col).agg(F.max(label).alias("toxic")), "labels")
+    rows = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(id_col, "text")
+    return _may_hold(rows, known, id_col).join(known.hint("merge"), id_col).select("text", "toxic")
