@@ -1,17 +1,21 @@
 """State-space decoding of position from spikes.
 
 Place fields and likelihoods are joins and sums over (time bin, cell, position
-bin). The filter and the smoother are recurrences over time: sessions run side by
-side, each in order and a batch at a time, with one vector of states carried along.
+bin). The filter and the smoother are recurrences over time: sessions, and chunks of a
+long one, run side by side, and only a vector of states goes from chunk to chunk.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayline.functions.circular import ratio
 from wayline.operators.sequence import framed, previous, scan
 
 
@@ -42,48 +46,114 @@ def map_decode(ll: DataFrame) -> DataFrame:
     return ll.groupBy("t").agg(F.min(F.struct((-F.col("ll")).alias("ll"), "gx")).alias("m")).select("t", F.col("m.gx").alias("gx"))
 
 
-def _posterior(ll: DataFrame, session: str) -> str:
-    return f"{session} {ll.schema[session].dataType.simpleString()}, t bigint, p array<double>"
+#: Time bins of a series that one task runs through.
+CHUNK = 1 << 12
+
+
+def _recurrence(rows: DataFrame, session: str, matrix: Callable[[np.ndarray, bool], np.ndarray], size: int, ahead: bool, chunk: int) -> DataFrame:
+    """``session, t, p`` of the recurrence p = matrix(v, end) p, scaled to a sum of 1, over ``session, t, v``.
+
+    It starts uniform, from the end if ``ahead``; ``end`` is true for the row it
+    starts at. A step is linear but for its scale, so chunks of a series are first
+    multiplied out side by side, their small products are run through in order,
+    and then all chunks run from where those before them end. A series of one
+    chunk takes the last step only.
+    """
+    t = F.floor(F.col("t") / F.lit(chunk))
+    ends = rows.groupBy(session).agg((F.max if ahead else F.min)("t").alias("__end"), (F.min(t) < F.max(t)).alias("__many"))
+    cut = rows.join(ends, session).select(session, "t", "v", (F.col("t") == F.col("__end")).alias("end"), t.alias("c"), "__many")
+    kind = rows.schema[session].dataType.simpleString()
+
+    def ordered(g: pd.DataFrame) -> Iterator[np.ndarray]:
+        g = g.sort_values("t", ascending=not ahead)
+        return (matrix(np.asarray(v, float), bool(end)) for v, end in zip(g["v"], g["end"]))
+
+    def product(g: pd.DataFrame) -> pd.DataFrame:
+        m = np.eye(size)
+        for step in ordered(g):
+            m = step @ m
+            m /= m.max() or 1.0
+        return pd.DataFrame([{session: g[session].iloc[0], "c": g["c"].iloc[0], "m": m.ravel()}])
+
+    blocks = cut.where("__many").select(session, "t", "v", "end", "c").groupBy(session, "c").applyInPandas(product, f"{session} {kind}, c bigint, m array<double>")
+
+    def carry(some: pd.DataFrame, p: np.ndarray | None) -> tuple[pd.DataFrame, np.ndarray]:
+        before = []
+        p = np.full(size, 1 / size) if p is None else p
+        for m in some["m"]:
+            before.append(p)
+            p = np.asarray(m).reshape(size, size) @ p
+            p = p / p.sum()
+        return some[[session, "c"]].assign(before=before), p
+
+    starts = scan(blocks, (session,), "c", carry, f"{session} {kind}, c bigint, before array<double>", ahead)
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        before = g["before"].iloc[0]
+        p, done = np.full(size, 1 / size) if before is None else np.asarray(before), []
+        for step in ordered(g):
+            p = step @ p
+            p = p / p.sum()
+            done.append(p)
+        return g.sort_values("t", ascending=not ahead)[[session, "t"]].assign(p=done)
 
+    met = cut.drop("__many").join(starts, [session, "c"], "left")
+    return met.groupBy(session, "c").applyInPandas(run, f"{session} {kind}, t bigint, p array<double>")
 
-def forward_filter(ll: DataFrame, moves: list[list[float]], session: str = "session") -> DataFrame:
+
+def forward_filter(ll: DataFrame, moves: list[list[float]], session: str = "session", chunk: int = CHUNK) -> DataFrame:
     """``session, t, p``: causal posterior over states; ``p`` is an array in order of states.
 
     ``ll`` has ``session, t`` and ``l``, an array of log likelihoods in order of
     states; ``moves[a][b]`` is the probability to go from a to b. The first time bin
-    starts uniform.
+    starts uniform. ``chunk`` changes the work done, not the result.
     """
     into = np.array(moves, dtype=float).T
 
-    def step(rows: pd.DataFrame, p: np.ndarray | None) -> tuple[pd.DataFrame, np.ndarray]:
-        done = []
-        for l in rows["l"]:
-            prior = np.full(len(into), 1 / len(into)) if p is None else into @ p
-            joint = prior * np.exp(np.asarray(l) - np.max(l))
-            p = joint / joint.sum()
-            done.append(p)
-        return rows[[session, "t"]].assign(p=done), p
+    def step(l: np.ndarray, first: bool) -> np.ndarray:
+        seen = np.exp(l - l.max())
+        return np.diag(seen) if first else seen[:, None] * into
 
-    return scan(ll.select(session, F.col("t").cast("long"), "l"), (session,), "t", step, _posterior(ll, session))
+    return _recurrence(ll.select(session, F.col("t").cast("long").alias("t"), F.col("l").alias("v")), session, step, len(into), False, chunk)
 
 
-def backward_smoother(causal: DataFrame, moves: list[list[float]], session: str = "session") -> DataFrame:
+def backward_smoother(causal: DataFrame, moves: list[list[float]], session: str = "session", chunk: int = CHUNK) -> DataFrame:
     """``session, t, p``: acausal posterior, from the causal one run through from its end."""
     out = np.array(moves, dtype=float)
 
-    def step(rows: pd.DataFrame, after: np.ndarray | None) -> tuple[pd.DataFrame, np.ndarray]:
-        done = []
-        for p in rows["p"]:
-            p = np.asarray(p)
-            if after is not None:
-                expected = out.T @ p
-                p = p * (out @ np.divide(after, expected, out=np.zeros_like(after), where=expected > 0))
-                p = p / p.sum()
-            after = p
-            done.append(p)
-        return rows[[session, "t"]].assign(p=done), after
+    def step(p: np.ndarray, last: bool) -> np.ndarray:
+        if last:
+            return np.outer(p, np.ones(len(p)))
+        expected = out.T @ p
+        return p[:, None] * np.divide(out, expected[None, :], out=np.zeros_like(out), where=expected > 0)
+
+    return _recurrence(causal.select(session, "t", F.col("p").alias("v")), session, step, len(out), True, chunk)
+
+
+def place_bins(spark: SparkSession, low: float, high: float, movement_var: float) -> DataFrame:
+    """``gx, centre``: bins of a line as wide as the root of the movement's variance."""
+    size = math.sqrt(movement_var)
+    n = max(1, math.ceil((high - low) / size))
+    return spark.range(n).select(F.col("id").cast("int").alias("gx"), (F.lit(low) + (F.col("id") + 0.5) * size).alias("centre"))
 
-    return scan(causal.select(session, "t", "p"), (session,), "t", step, _posterior(causal, session), ahead=True)
+
+def kernel_fields(spike_pos: DataFrame, pos: DataFrame, bins: DataFrame, fs: float, bandwidth: float = 3.0, least: float = 1e-15, fine: float = 0.1) -> DataFrame:
+    """``cell, gx, rate``: spikes a second at each place bin, by Gaussian kernel densities of spikes and samples.
+
+    ``spike_pos`` has ``cell, x``, ``pos`` has ``x``, ``bins`` ``gx, centre``, a
+    bounded number. Positions are first counted in steps of ``fine``, so what is
+    spread over the bins doesn't grow with the recording. Null positions don't
+    count; ``least`` is the smallest rate.
+    """
+    near = lambda c: F.exp(-0.5 * F.pow((F.col(c) - F.col("centre")) / bandwidth, 2))
+    step = (F.round(F.col("x") / fine) * fine).alias("at")
+    stay = pos.where("x is not null").groupBy(step).agg(F.count("*").alias("n"))
+    hit = spike_pos.where("x is not null").groupBy("cell", step).agg(F.count("*").alias("n"))
+    small = F.broadcast(bins.select("gx", "centre"))
+    dwell = stay.crossJoin(small).groupBy("gx").agg(F.sum(F.col("n") * near("at")).alias("dwell"))
+    spk = hit.crossJoin(small).groupBy("cell", "gx").agg(F.sum(F.col("n") * near("at")).alias("spk"))
+    rate = F.greatest(F.coalesce(ratio(F.col("spk") * fs, F.col("dwell")), F.lit(0.0)), F.lit(least))
+    return spk.join(F.broadcast(dwell), "gx").select("cell", "gx", rate.alias("rate"))
 
 
 def movement_variance(pos: DataFrame, value: str, fs: float, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -23,13 +23,13 @@ FS, SIZE, SHAPE = A.FS, 10.0, (11, 11)
 CELL = "click"
 
 
-def query(oracle: str | None = None, prelude: bool = True):
+def query(oracle: str | None = None, recursive: bool = False):
     """Registers a query; an oracle goes on from the adapters' common table expressions."""
 
     def add(fn):
         QUERIES[fn.__name__] = fn
         if oracle:
-            ORACLES[fn.__name__] = (A.SQL + "\n" if prelude else "") + oracle
+            ORACLES[fn.__name__] = (A.SQL.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else A.SQL) + "\n" + oracle
         return fn
 
     return add
@@ -649,14 +649,55 @@ def _moves() -> list[list[float]]:
     return [[x / sum(row) for x in row] for row in moves]
 
 
-@query()
-def forward_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """Sessions of 100 time bins, so that they are decoded side by side."""
+_FILTER = (
+    _LL
+    + f""", mv AS (SELECT {_moves()}::DOUBLE[][] AS m), lt AS (SELECT t, list(exp(ll - mx) ORDER BY gx) AS l FROM (SELECT *, max(ll) OVER (PARTITION BY t) AS mx FROM ll) GROUP BY t
+), cf AS (SELECT t, list_transform(l, lambda x: x / list_sum(l)) AS p FROM lt WHERE t = 0
+    UNION ALL SELECT t, list_transform(q, lambda x: x / list_sum(q)) FROM (
+        SELECT lt.t, list_transform(range(1, 12), lambda b: l[b] * list_sum(list_transform(range(1, 12), lambda a: p[a] * m[a][b]))) AS q FROM cf JOIN lt ON lt.t = cf.t + 1, mv)
+)"""
+)
+
+
+def _causal(spark: SparkSession, sf: str) -> DataFrame:
+    """All time bins as one session."""
     ll = _likelihoods(spark, sf).groupBy("t").agg(F.array_sort(F.collect_list(F.struct("gx", "ll"))).alias("s"))
-    rows = ll.select(F.expr("t div 100").alias("session"), "t", F.transform("s", lambda x: x["ll"]).alias("l"))
+    rows = ll.select(F.lit(1).alias("session"), "t", F.transform("s", lambda x: x["ll"]).alias("l"))
     return D.forward_filter(rows, _moves())
 
 
+def _by_bin(posterior: DataFrame) -> DataFrame:
+    return posterior.select("t", F.posexplode("p").alias("gx", "p")).select("t", "gx", *r6("p"))
+
+
+@query(_FILTER + " SELECT t, unnest(range(0, 11))::INT AS gx, round(unnest(p), 6) AS p FROM cf", recursive=True)
+def forward_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return _by_bin(_causal(spark, sf))
+
+
+@query(
+    _FILTER
+    + """, z AS (SELECT t, p FROM cf WHERE t = (SELECT max(t) FROM cf)
+    UNION ALL SELECT t, list_transform(q, lambda x: x / list_sum(q)) FROM (
+        SELECT cf.t, list_transform(range(1, 12), lambda a: cf.p[a] * list_sum(list_transform(range(1, 12), lambda b: m[a][b] * z.p[b]
+            / list_sum(list_transform(range(1, 12), lambda c: cf.p[c] * m[c][b]))))) AS q FROM z JOIN cf ON cf.t = z.t - 1, mv)
+) SELECT t, unnest(range(0, 11))::INT AS gx, round(unnest(p), 6) AS p FROM z""",
+    recursive=True,
+)
+def acausal_posterior(spark: SparkSession, sf: str) -> DataFrame:
+    return _by_bin(D.backward_smoother(_causal(spark, sf), _moves()))
+
+
+@query(
+    """, b AS (SELECT (r)::INT AS gx, 5 + 10 * r AS c FROM range(10) t(r)), q AS (SELECT i, tet, round(x / 0.1) * 0.1 AS x FROM pos JOIN ev USING (i))
+, d AS (SELECT gx, sum(exp(-0.5 * power((x - c) / 3, 2))) AS w FROM q, b GROUP BY 1), s AS (SELECT tet AS cell, gx, sum(exp(-0.5 * power((x - c) / 3, 2))) AS n FROM q, b GROUP BY 1, 2)
+SELECT cell, gx, round(n * 50 / w, 6) AS rate FROM s JOIN d USING (gx)"""
+)
+def place_fields_kde(spark: SparkSession, sf: str) -> DataFrame:
+    spk = _spike_pos(spark, sf, None).withColumn("cell", F.col("tet"))
+    return D.kernel_fields(spk, A.positions(spark, sf), D.place_bins(spark, 0.0, 100.0, 100.0), FS).select("cell", "gx", *r6("rate"))
+
+
 # -- sessions ----------------------------------------------------------------
 
 
@@ -809,12 +850,6 @@ def pearson_sign_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return resampling.sign_bootstrap(_pairs(spark, sf), 20).select(*r6("r"), "p")
 
 
-@query()
-def acausal_posterior(spark: SparkSession, sf: str) -> DataFrame:
-    """Smoothed posterior of the sessions of ``forward_filter``."""
-    return D.backward_smoother(forward_filter(spark, sf), _moves())
-
-
 # -- fields and grids ----------------------------------------------------------
 
 
