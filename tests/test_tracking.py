@@ -1,6 +1,11 @@
+import math
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from wayline.operators import sequence, tracking
+from wayline.operators import tracking as T
 
 
 def test_jump_filter_matches_a_loop(spark):
@@ -102,3 +107,26 @@ def test_circle_box_and_rigid(spark):
     assert boxed.count() == 6000 and 0 < known.count() < 6000 and known.where("x < 0 or x >= 60").count() == 0
     turned = tracking.rigid(df.limit(1), 100, 120, degrees=90).first()
     assert math.isclose(turned.x, max(50 - (rows[0][3] - 60), 0)) and math.isclose(turned.y, max(60 + rows[0][2] - 50, 0))
+
+
+def test_ellipse(spark):
+    t = np.linspace(0, 2 * np.pi, 50, endpoint=False)
+    along, across = 30 * np.cos(t), 10 * np.sin(t)
+    x, y = 100 + along * np.cos(0.5) - across * np.sin(0.5), -20 + along * np.sin(0.5) + across * np.cos(0.5)
+    rows = [("a", float(p), float(q)) for p, q in zip(x, y)] + [("line", float(k), float(k)) for k in range(20)] + [("few", 1.0, 2.0), ("few", None, 2.0)]
+    got = {r.cell: r for r in T.fit_ellipse(spark.createDataFrame(rows, "cell string, x double, y double"), ("cell",)).collect()}
+    e = got["a"]
+    assert np.allclose([e.cx, e.cy, e.major, e.minor, e.angle], [100, -20, 30, 10, 0.5], atol=1e-6)
+    assert got["line"].cx is None and got["few"].major is None and got["few"].n == 1
+    df = spark.createDataFrame(rows[:50], "cell string, x double, y double")
+    u, v = T.circled(F.col("x"), F.col("y"), (e.cx, e.cy, e.major, e.minor, e.angle))
+    r = [math.hypot(p.u - 100, p.v + 20) for p in df.select(u.alias("u"), v.alias("v")).collect()]
+    assert np.allclose(r, math.sqrt(300))
+
+
+def test_track_edges(spark):
+    pos = spark.createDataFrame([(i, float(i % 100), float(i // 100)) for i in range(1000)], "i long, x double, y double")
+    edges = T.fit_track(pos, ends=10, margin=5.0)
+    assert len(edges) == 3 and edges[0].ax == -5 and edges[2].bx == 104 and math.isclose(edges[1].base, 109)
+    at = pos.select(T.nearest_edge(F.col("x"), F.col("y"), edges).alias("s")).select("s.edge", "s.linear")
+    assert at.where("edge is null").count() == 0

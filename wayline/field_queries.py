@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.operators import binning as B
-from wayline.operators import grids, joins, maps, shapes
+from wayline.operators import grids, joins, maps, resampling, rhythm, shapes, tracking
 from wayline.queries import CELL, FS, SHAPE, SIZE, _half, _map, query, r6
 from wayline.sources import adapters as A
 
@@ -121,3 +121,34 @@ def position_in_field(spark: SparkSession, sf: str) -> DataFrame:
 def circ_mean_60(spark: SparkSession, sf: str) -> DataFrame:
     a = F.col("k") * math.radians(3.6) * 6
     return A.events(spark, sf).groupBy("cell").agg((F.degrees(F.atan2(F.sum(F.sin(a)), F.sum(F.cos(a)))) / 6).alias("mean")).select(*r6("mean"), "cell")
+
+
+@query()
+def rhythmicity_mle(spark: SparkSession, sf: str) -> DataFrame:
+    """Rhythm of each kind of event, a minute of the recording read as a millisecond."""
+    fast = A.spikes(spark, sf).withColumn("t_s", F.col("t_s") / 60_000)
+    return rhythm.rhythmicity(fast, keys=("tet",))
+
+
+@query(
+    """, g AS (SELECT tet, i // 50 AS label, avg(v) AS m FROM ev WHERE tet IN ('click', 'view') AND i >= 50 GROUP BY 1, 2
+), b AS (SELECT tet, label, floor(m / 20)::BIGINT AS bin FROM g), n AS (SELECT bin, least(count(*) FILTER (WHERE tet = 'click'), count(*) FILTER (WHERE tet = 'view')) AS n FROM b GROUP BY 1
+), r AS (SELECT *, row_number() OVER (PARTITION BY tet, bin ORDER BY ('0x' || substr(md5('0:' || CASE WHEN tet = 'click' THEN 'a' ELSE 'b' END || ':' || label), 1, 15))::BIGINT, label) AS rk FROM b JOIN n USING (bin))
+SELECT CASE WHEN tet = 'click' THEN 'a' ELSE 'b' END AS side, label, row_number() OVER (PARTITION BY tet ORDER BY label) AS "to" FROM r WHERE rk <= n"""
+)
+def matched_resample(spark: SparkSession, sf: str) -> DataFrame:
+    """Stretches of two kinds of event, matched by their mean signal."""
+    e = A.events(spark, sf).select("tet", F.expr("i div 50").alias("label"), F.col("v").alias("value"))
+    return resampling.matched(e.where(F.col("tet") == "click"), e.where(F.col("tet") == "view"), 20.0)
+
+
+@query()
+def pearson_binned(spark: SparkSession, sf: str) -> DataFrame:
+    return resampling.binned_bootstrap(A.positions(spark, sf))
+
+
+@query()
+def ellipse_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """The ellipse through each cell's positions."""
+    at = A.positions(spark, sf).join(A.events(spark, sf).select("i", "cell"), "i")
+    return tracking.fit_ellipse(at, ("cell",))

@@ -6,6 +6,8 @@ and trials are worked on side by side, each by a few numpy steps.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -147,3 +149,10 @@ def circular_shifts(spikes: DataFrame, n_pos: Column | int, shifts: list[int]) -
     n = n_pos if isinstance(n_pos, Column) else F.lit(n_pos)
     moved = spikes.select("*", F.explode(F.array(*[F.lit(s) for s in shifts])).alias("shift"))
     return moved.withColumn("pos_i", F.pmod(F.col("pos_i") + F.col("shift"), n))
+
+
+def random_shifts(n: int, count: int, least: int, seed: int = 0) -> list[int]:
+    """``count`` shifts around ``n`` samples, each ``least`` or more from none at all (a third of them, if there are few)."""
+    least = min(least, n // 3)
+    whole = max(1, n - 2 * least + 1)
+    return [least + int(hashlib.md5(f"{seed}:{k}".encode()).hexdigest()[:12], 16) % whole for k in range(count)]

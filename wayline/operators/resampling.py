@@ -6,7 +6,10 @@ hash of the replicate and the row number, which any rerun of a lost task repeats
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.functions.circular import correlation
@@ -62,3 +65,60 @@ def sign_bootstrap(rows: DataFrame, k: int = 1000, seed: int = 0) -> DataFrame:
     own = _sums(rows).select(F.col("r").alias("__r"))
     at = taken.groupBy("rep").agg(sign.alias("s")).crossJoin(F.broadcast(own))
     return at.agg(F.first("__r").alias("r"), F.avg((F.col("s") != F.signum("__r")).cast("double")).alias("p"))
+
+
+def mcnemar(counts: DataFrame) -> DataFrame:
+    """``counts`` with ``chi2`` and ``p`` for its columns ``b`` and ``c``, the pairs that changed one way and the other.
+
+    Below 25 of them the binomial law gives ``p`` and ``chi2`` is null.
+    """
+
+    @F.pandas_udf("double")
+    def binomial(b: pd.Series, c: pd.Series) -> pd.Series:
+        def p(x: int, n: int) -> float:
+            f = sum(math.comb(n, k) for k in range(x + 1)) / 2**n
+            return 2 * f if f < 0.5 else 2 * (1 - f)
+
+        return pd.Series([p(x, x + y) if x + y < 25 else math.erfc(abs(x - y) / math.sqrt(2 * (x + y))) for x, y in zip(b, c)])
+
+    b, c = F.col("b"), F.col("c")
+    chi2 = F.when(b + c >= 25, F.pow(b - c, 2) / (b + c))
+    return counts.withColumns({"chi2": chi2, "p": binomial("b", "c")})
+
+
+def matched(a: DataFrame, b: DataFrame, size: float, keys: str = "label", value: str = "value", seed: int = 0) -> DataFrame:
+    """``side, label, to``: groups of two samples taken so that each bin of group means has as many of either.
+
+    Rows with label 0 belong to no group. Which groups of the fuller side stay is
+    drawn by a hash; ``to`` numbers those that stay from 1, by label, on each side.
+    """
+    both = a.select(F.lit("a").alias("side"), keys, value).unionByName(b.select(F.lit("b").alias("side"), keys, value)).where(F.col(keys) != 0)
+    means = both.groupBy("side", keys).agg(F.floor(F.avg(value) / size).alias("bin"))
+    n = means.groupBy("bin").agg(F.least(F.count_if(F.col("side") == "a"), F.count_if(F.col("side") == "b")).alias("n"))
+    order = Window.partitionBy("side", "bin").orderBy(draw(seed, F.col("side"), F.col(keys)), keys)
+    kept = means.join(n, "bin").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n"))
+    return running_sum(kept, F.lit(1), "to", ("side",), keys).select("side", keys, F.col("to").cast("long").alias("to"))
+
+
+def binned_bootstrap(rows: DataFrame, k: int = 100, percent: float = 5.0, low: float = 0.0, high: float | None = None, seed: int = 0) -> DataFrame:
+    """``n_bins, r, low, high``: correlation when every bin of ``x`` counts alike, over ``k`` samples.
+
+    ``x`` from ``low`` to ``high`` (its largest value) is cut into bins of
+    ``percent`` of that range; from each bin that has any, as many rows as the
+    poorest has are drawn with replacement, ``k`` times. ``r`` is the mean, ``low``
+    and ``high`` the 2.5 and 97.5 percentiles of the samples' correlations.
+    """
+    top = high if high is not None else rows.agg(F.max("x")).first()[0]
+    if top is None or top <= low:
+        return rows.sparkSession.createDataFrame([(0, None, None, None)], "n_bins int, r double, low double, high double")
+    width = (top - low) * percent / 100
+    inside = rows.where(F.col("x").between(low, top)).select("i", "x", "y", F.least(F.floor((F.col("x") - low) / width), F.lit(math.ceil(100 / percent) - 1)).alias("bin"))
+    # numbers within a bin from 0, by the rows' own order
+    placed = running_sum(inside, F.lit(1), "at", ("bin",), "i").withColumn("at", F.col("at") - 1)
+    sizes = inside.groupBy("bin").agg(F.count("*").alias("n"))
+    poorest, n_bins = sizes.agg(F.min("n"), F.count("*")).first()
+    picks = sizes.select("bin", "n", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rep")).select("*", F.explode(F.sequence(F.lit(1), F.lit(poorest))).alias("d"))
+    picks = picks.select("bin", "rep", F.pmod(draw(seed, F.col("rep"), F.col("bin"), F.col("d")), F.col("n")).alias("at"))
+    r = _sums(picks.join(placed, ["bin", "at"]), "rep")
+    spread = F.percentile("r", F.array(F.lit(0.025), F.lit(0.975)))  # of k values
+    return r.agg(F.avg("r").alias("r"), spread.alias("s")).select(F.lit(n_bins).cast("int").alias("n_bins"), "r", F.col("s")[0].alias("low"), F.col("s")[1].alias("high"))

@@ -8,6 +8,7 @@ for each chunk. ``keys`` name the series, where there are several.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from wayline.functions.circular import direction, ratio
 CHUNK = 1 << 16
 
 
-def _chunk(order: str, chunk: int) -> Column:
+def _chunk(order: str, chunk: float) -> Column:
     return F.floor(F.col(order) / F.lit(chunk))
 
 
@@ -92,6 +93,72 @@ def islands(df: DataFrame, mask: Column, to: str = "label", order: str = "i") ->
     return running_sum(marked, start, "__n", order=order).withColumn(to, F.when(F.col("__m"), F.col("__n")).otherwise(0).cast("long")).drop("__m", "__p", "__n")
 
 
+def segmented_sum(df: DataFrame, value: Column, label: str, to: str, keys: tuple[str, ...] = (), order: str = "i") -> DataFrame:
+    """Sum of ``value`` since the run of equal labels began; null where the label is 0.
+
+    A run may be as long as the series: sums of the whole, less what stood before the run.
+    """
+    out = previous(df, F.col(label), "__p", keys, order)
+    out = running_sum(out.withColumn("__x", F.coalesce(value.cast("double"), F.lit(0.0))), F.col("__x"), "__s", keys, order)
+    begins = F.col("__p").isNull() | (F.col("__p") != F.col(label))
+    out = last_known(out, F.when(begins, F.col("__s") - F.col("__x")), "__0", keys, order)
+    return out.withColumn(to, F.when(F.col(label) != 0, F.col("__s") - F.col("__0"))).drop("__p", "__x", "__s", "__0")
+
+
+def label_changes(df: DataFrame, label: str, to: str, keys: tuple[str, ...] = (), order: str = "i", least: int = 1) -> DataFrame:
+    """Numbers the runs of one label other than 0, neighbours of another label being runs of their own.
+
+    Runs shorter than ``least`` rows are 0 and the rest numbered without gaps.
+    """
+    before = previous(df, F.col(label), "__p", keys, order)
+    inside = F.coalesce(F.col(label), F.lit(0)) != 0
+    begins = inside & ~F.col("__p").eqNullSafe(F.col(label))
+    runs = running_sum(before, begins.cast("int"), "__n", keys, order).withColumn("__n", F.when(inside, F.col("__n")).otherwise(0)).drop("__p")
+    long = runs.where("__n > 0").groupBy(*keys, "__n").agg(F.count("*").alias("__size"), F.min(order).alias("__first")).where(F.col("__size") >= least)
+    numbered = running_sum(long, F.lit(1), to, keys, "__first").select(*keys, "__n", F.col(to).cast("long").alias(to))
+    return runs.join(numbered, [*keys, "__n"], "left").withColumn(to, F.coalesce(to, F.lit(0).cast("long"))).drop("__n")
+
+
+#: Rows among which a percentile is looked for by counting values.
+FEW = 200_000
+
+
+def percentiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Percentiles of a whole column, interpolated between the two values around each; nulls don't count.
+
+    Bounds from Spark's approximate percentiles close in on each value, rows
+    between them being counted, until few are left: no task sorts the column.
+    """
+    rows = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    n, low, high = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return [None for _ in shares]
+
+    def ranked(k: int) -> float:
+        a, b, below, inside = low, high, 0, n  # a <= value <= b; rows below a; rows from a to b
+        while inside > FEW and a < b:
+            part = rows.where(F.col("v").between(a, b))
+            at = (k - below) / inside
+            near = [max(0.0, at - 0.001), min(1.0, at + 0.001)]
+            p, q = part.agg(F.percentile_approx("v", near, 10_000)).first()[0]
+            p, q = (a if near[0] == 0 else p), (b if near[1] == 1 else q)
+            less, some = part.agg(F.count_if(F.col("v") < p), F.count_if(F.col("v").between(p, q))).first()
+            if not below + less <= k < below + less + some or some == inside:
+                break
+            a, b, below, inside = p, q, below + less, some
+        counts = rows.where(F.col("v").between(a, b)).groupBy("v").count()
+        up_to = running_sum(counts.withColumn("__o", F.col("v")), F.col("count"), "c", order="__o", chunk=max((b - a) / 64, 5e-324) if b > a else 1.0)
+        return up_to.where(F.col("c") > k - below).agg(F.min("v")).first()[0]
+
+    out = []
+    for share in shares:
+        at = share * (n - 1)
+        k = math.floor(at)
+        first = ranked(k)
+        out.append(first if at == k else first + (ranked(k + 1) - first) * (at - k))
+    return out
+
+
 def close_gaps(spans: DataFrame, length: int, first: str = "first_i", last: str = "last_i", to: str = "event") -> DataFrame:
     """Numbers spans so that neighbours with less than ``length`` samples between them share a number."""
     before = previous(spans, F.col(last), "__e", order=first)

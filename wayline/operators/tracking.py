@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -183,3 +184,109 @@ def fit_circle(points: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     b = ratio(F.col("q") * F.col("uu") - F.col("p") * F.col("uv"), det)
     r = F.sqrt(a * a + b * b + (F.col("uu") + F.col("vv")) / F.col("n"))
     return m.select(*keys, F.col("n").cast("long").alias("n"), (F.col("__mx") + a).alias("cx"), (F.col("__my") + b).alias("cy"), r.alias("r"))
+
+
+@dataclass(frozen=True)
+class Edge:
+    """An edge of a track, from (ax, ay) to (bx, by), that begins at ``base`` along it."""
+
+    name: int
+    ax: float
+    ay: float
+    bx: float
+    by: float
+    base: float
+
+
+def nearest_edge(x: Column, y: Column, edges: list[Edge]) -> Column:
+    """``edge, linear`` of a position: the nearest edge, ties to the smaller name, and the place along the track."""
+    found = []
+    for e in edges:
+        ux, uy = e.bx - e.ax, e.by - e.ay
+        f = F.least(F.greatest(((x - e.ax) * ux + (y - e.ay) * uy) / F.lit(ux * ux + uy * uy), F.lit(0.0)), F.lit(1.0))
+        d = F.sqrt(F.pow(x - e.ax - f * ux, 2) + F.pow(y - e.ay - f * uy, 2))
+        found.append(F.struct(F.round(d, 9).alias("d"), F.lit(e.name).alias("edge"), (F.lit(e.base) + f * math.hypot(ux, uy)).alias("linear")))
+    return F.array_min(F.array(*found))
+
+
+def fit_track(pos: DataFrame, ends: int = 5000, margin: float = 15.0) -> list[Edge]:
+    """The three edges of a Z: between the corners of the extent of a recording's inner samples, ``margin`` further out.
+
+    ``pos`` has a dense ``i``; the first and last ``ends`` samples don't count, unless there are no others.
+    """
+    n = pos.agg(F.max("i")).first()[0] or 0
+    inner = pos.where(F.col("i").between(ends, n - ends)) if n > 2 * ends else pos
+    x1, x2, y1, y2 = inner.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    x1, x2, y1, y2 = x1 - margin, x2 + margin, y1 - margin, y2 + margin
+    nodes = [(x1, y1), (x2, y1), (x1, y2), (x2, y2)]
+    edges, base = [], 0.0
+    for k, (a, b) in enumerate(zip(nodes, nodes[1:])):
+        edges.append(Edge(k, *a, *b, base))
+        base += math.dist(a, b)
+    return edges
+
+
+#: The monomials of a conic, in order of its coefficients.
+_CONIC = ("xx", "xy", "yy", "x", "y", "one")
+
+
+def fit_ellipse(points: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys, n, cx, cy, major, minor, angle``: the ellipse of least algebraic distance, of half axes, in radians.
+
+    Sums of products of the centred coordinates are grouped on Spark; the conic
+    under the constraint of an ellipse is an eigenvector of a 3 by 3 matrix of them.
+    Null where there is none, as with fewer than six points or all on a line.
+    """
+    known = points.where("x is not null and y is not null")
+    means = known.groupBy(*keys).agg(F.avg("x").alias("__mx"), F.avg("y").alias("__my"), F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("__u"))
+    c = known.join(means, list(keys)) if keys else known.crossJoin(F.broadcast(means))
+    u = F.when(F.col("__u") > 0, F.col("__u")).otherwise(1.0)
+    x, y = (F.col("x") - F.col("__mx")) / u, (F.col("y") - F.col("__my")) / u
+    terms = {"xx": x * x, "xy": x * y, "yy": y * y, "x": x, "y": y, "one": F.lit(1.0)}
+    pairs = [(a, b) for k, a in enumerate(_CONIC) for b in _CONIC[k:]]
+    sums = c.groupBy(*keys, "__mx", "__my", u.alias("__u")).agg(F.count("*").alias("n"), F.array(*[F.sum(terms[a] * terms[b]) for a, b in pairs]).alias("s"))
+
+    @F.pandas_udf("cx double, cy double, major double, minor double, angle double")
+    def solve(n: pd.Series, s: pd.Series, mx: pd.Series, my: pd.Series, u: pd.Series) -> pd.DataFrame:
+        out = [_ellipse(k, np.asarray(v)) for k, v in zip(n, s)]
+        rows = [(p * f + a, q * f + b, w * f, h * f, t) for (p, q, w, h, t), a, b, f in zip(out, mx, my, u)]
+        return pd.DataFrame(rows, columns=["cx", "cy", "major", "minor", "angle"])
+
+    found = sums.select(*keys, "n", solve("n", "s", "__mx", "__my", "__u").alias("e")).select(*keys, "n", "e.*")
+    return found.select(*keys, "n", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("cx", "cy", "major", "minor", "angle")])
+
+
+def _ellipse(n: int, sums: np.ndarray) -> tuple[float, ...]:
+    none = (np.nan,) * 5
+    s = np.zeros((6, 6))
+    s[np.triu_indices(6)] = sums
+    s = s + np.triu(s, 1).T
+    quadratic, mixed, linear = s[:3, :3], s[:3, 3:], s[3:, 3:]
+    if n < 6 or np.linalg.cond(linear) > 1e12:
+        return none
+    back = -np.linalg.solve(linear, mixed.T)
+    m = quadratic + mixed @ back
+    values, vectors = np.linalg.eig(np.array([m[2] / 2, -m[1], m[0] / 2]))
+    vectors = np.real(vectors[:, np.abs(values.imag) < 1e-12])
+    good = [v for v in vectors.T if 4 * v[0] * v[2] - v[1] ** 2 > 1e-15]
+    if not good:
+        return none
+    a, b, c = good[0]
+    d, e, f = back @ good[0]
+    det = 4 * a * c - b * b
+    cx, cy = (b * e - 2 * c * d) / det, (b * d - 2 * a * e) / det
+    level = -(f + (d * cx + e * cy) / 2)
+    sizes, axes = np.linalg.eigh(np.array([[a, b / 2], [b / 2, c]]))
+    half = level / sizes
+    if not (half > 0).all():
+        return none
+    k = int(half.argmax())
+    return cx, cy, math.sqrt(half[k]), math.sqrt(half[1 - k]), math.atan2(axes[1, k], axes[0, k]) % math.pi
+
+
+def circled(x: Column, y: Column, ellipse: tuple[float, float, float, float, float]) -> tuple[Column, Column]:
+    """Coordinates that make an ellipse (cx, cy, major, minor, angle) a circle of the same area about its centre."""
+    cx, cy, major, minor, angle = ellipse
+    c, s, r = math.cos(angle), math.sin(angle), math.sqrt(major * minor)
+    along, across = ((x - cx) * c + (y - cy) * s) * (r / major), ((y - cy) * c - (x - cx) * s) * (r / minor)
+    return along * c - across * s + cx, along * s + across * c + cy

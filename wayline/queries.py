@@ -335,11 +335,8 @@ def running_max_mask(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_ISL + " SELECT i, round(CASE WHEN label > 0 THEN sum(v) OVER (PARTITION BY label ORDER BY i) END, 6) AS c FROM l JOIN ev USING (i)")
 def segmented_cumsum(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
     runs = S.islands(A.events(spark, sf), F.col("v") >= 50)
-    inside = runs.where("label > 0").withColumn("c", F.sum("v").over(Window.partitionBy("label").orderBy("i")))
-    return inside.select("i", "c").unionByName(runs.where("label = 0").select("i", F.lit(None).cast("double").alias("c"))).select("i", *r6("c"))
+    return S.segmented_sum(runs, F.col("v"), "label", "c").select("i", *r6("c"))
 
 
 @query(
@@ -428,14 +425,17 @@ def adjacent_spikes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """, grid AS (SELECT (r * 500)::DOUBLE AS t_s FROM range(0, 400) t(r)
+    """, grid AS (SELECT (unnest(range(a, b + 1)) * 500)::DOUBLE AS t_s FROM (SELECT ceil(min(t_s) / 500)::BIGINT AS a, floor(max(t_s) / 500)::BIGINT AS b FROM ev)
 ), a AS (SELECT g.t_s, p.t_s AS ta, p.v AS va FROM grid g ASOF LEFT JOIN ev p ON g.t_s >= p.t_s
 ), b AS (SELECT g.t_s, p.t_s AS tb, p.v AS vb FROM grid g ASOF LEFT JOIN ev p ON g.t_s <= p.t_s)
 SELECT t_s, round(va + (vb - va) * coalesce((t_s - ta) / nullif(tb - ta, 0), 0), 6) AS v FROM a JOIN b USING (t_s)"""
 )
 def asof_speed(spark: SparkSession, sf: str) -> DataFrame:
-    grid = spark.range(400).select((F.col("id") * 500).cast("double").alias("t_s"))
-    return joins.as_of_linear(grid, A.events(spark, sf), "v", "v").select("t_s", *r6("v"))
+    """The signal every 500 s, from the series' first time to its last."""
+    e = A.events(spark, sf)
+    span = e.agg(F.ceil(F.min("t_s") / 500).alias("a"), F.floor(F.max("t_s") / 500).alias("b"))
+    grid = span.select(F.explode(F.sequence("a", "b")).alias("k")).select((F.col("k") * 500).cast("double").alias("t_s"))
+    return joins.as_of_linear(grid, e, "v", "v").select("t_s", *r6("v"))
 
 
 _TRACK = [(0, 0.0, 0.0, 100.0, 0.0, 0.0), (1, 100.0, 0.0, 0.0, 99.0, 100.0), (2, 0.0, 99.0, 100.0, 99.0, 240.7)]
@@ -450,13 +450,9 @@ _EDGES = ", edge(e, ax, ay, gx, gy, base) AS (VALUES " + ", ".join(str(x) for x
 SELECT i, e AS edge, round(lin, 6) AS linear FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(d, 9), e) AS r FROM q) WHERE r = 1"""
 )
 def linearize_track(spark: SparkSession, sf: str) -> DataFrame:
-    edges = spark.createDataFrame(_TRACK, "e int, ax double, ay double, gx double, gy double, base double")
-    ux, uy = F.col("gx") - F.col("ax"), F.col("gy") - F.col("ay")
-    f = F.least(F.greatest(((F.col("x") - F.col("ax")) * ux + (F.col("y") - F.col("ay")) * uy) / (ux * ux + uy * uy), F.lit(0.0)), F.lit(1.0))
-    d = F.sqrt(F.pow(F.col("x") - F.col("ax") - f * ux, 2) + F.pow(F.col("y") - F.col("ay") - f * uy, 2))
-    near = A.positions(spark, sf).crossJoin(F.broadcast(edges)).select("i", F.struct(F.round(d, 9).alias("d"), "e", (F.col("base") + f * F.sqrt(ux * ux + uy * uy)).alias("linear")).alias("s"))
-    best = near.groupBy("i").agg(F.min("s").alias("s"))
-    return best.select("i", F.col("s.e").alias("edge"), F.col("s.linear").alias("linear")).select("i", "edge", *r6("linear"))
+    edges = [tracking.Edge(*e) for e in _TRACK]
+    at = A.positions(spark, sf).select("i", tracking.nearest_edge(F.col("x"), F.col("y"), edges).alias("s"))
+    return at.select("i", "s.edge", "s.linear").select("i", "edge", *r6("linear"))
 
 
 # -- behaviour and maps ------------------------------------------------------
@@ -477,16 +473,16 @@ def dir_variance_map(spark: SparkSession, sf: str) -> DataFrame:
 )
 def behaviour_props(spark: SparkSession, sf: str) -> DataFrame:
     k = _kin(spark, sf)
-    q = F.percentile("speed", F.array(F.lit(0.25), F.lit(0.75)))
-    props = k.agg(F.avg("speed").alias("mean_speed"), q[0].alias("q1"), q[1].alias("q3"), F.avg((F.col("speed") > 1000).cast("int")).alias("active"))
+    q1, q3 = S.percentiles(k, "speed", [0.25, 0.75])
+    props = k.agg(F.avg("speed").alias("mean_speed"), F.lit(q1).alias("q1"), F.lit(q3).alias("q3"), F.avg((F.col("speed") > 1000).cast("int")).alias("active"))
     return props.select(*r6("mean_speed", "q1", "q3", "active"))
 
 
 @query(" SELECT quantile_cont(x, 0.02) AS x_low, quantile_cont(x, 0.98) AS x_high, quantile_cont(y, 0.02) AS y_low, quantile_cont(y, 0.98) AS y_high FROM mpos")
 def rect_fit(spark: SparkSession, sf: str) -> DataFrame:
-    cut = F.array(F.lit(0.02), F.lit(0.98))
-    p = A.positions(spark, sf, masked=True).agg(F.percentile("x", cut).alias("a"), F.percentile("y", cut).alias("b"))
-    return p.select(F.expr("a[0]").alias("x_low"), F.expr("a[1]").alias("x_high"), F.expr("b[0]").alias("y_low"), F.expr("b[1]").alias("y_high"))
+    p = A.positions(spark, sf, masked=True)
+    found = (*S.percentiles(p, "x", [0.02, 0.98]), *S.percentiles(p, "y", [0.02, 0.98]))
+    return spark.createDataFrame([found], "x_low double, x_high double, y_low double, y_high double")
 
 
 _RATE = _smoothed(_BOX) + ", rm AS (SELECT gy, gx, CASE WHEN seen THEN spk / nullif(dwell / 50, 0) END AS r FROM s)"
@@ -582,13 +578,18 @@ def circ_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """, c AS (SELECT count(*) FILTER (WHERE v > 50 AND k <= 50) AS b, count(*) FILTER (WHERE v <= 50 AND k > 50) AS c FROM ev)
-SELECT b, c, round(power(abs(b - c) - 1, 2) / nullif(b + c, 0)::DOUBLE, 6) AS chi2 FROM c"""
+    """, c AS (SELECT cell, count(*) FILTER (WHERE v > 50 AND k <= 50) AS b, count(*) FILTER (WHERE v <= 50 AND k > 50) AS c FROM ev GROUP BY cell
+), bi AS (SELECT cell, b, b + c AS n, sum(CASE WHEN k <= b THEN exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1)) END) / power(2, b + c) AS f
+          FROM c, range(25) t(k) WHERE b + c < 25 AND k <= b + c GROUP BY 1, 2, 3
+), no AS (SELECT cell, sum(exp(-0.5 * power(z + (k + 0.5) * (12 - z) / 4000, 2)) * (12 - z)) / 4000 * 2 / sqrt(2 * pi()) AS p
+          FROM (SELECT cell, least(abs(b - c) / sqrt((b + c)::DOUBLE), 11.9) AS z FROM c WHERE b + c >= 25), range(4000) t(k) GROUP BY cell)
+SELECT c.cell, c.b, c.c, round(CASE WHEN c.b + c.c >= 25 THEN power(c.b - c.c, 2) / (c.b + c.c)::DOUBLE END, 6) AS chi2, round(coalesce(no.p, CASE WHEN f < 0.5 THEN 2 * f ELSE 2 * (1 - f) END), 4) AS p
+FROM c LEFT JOIN bi USING (cell) LEFT JOIN no USING (cell)"""
 )
 def mcnemar(spark: SparkSession, sf: str) -> DataFrame:
     one, two = F.col("v") > 50, F.col("k") > 50
-    n = A.events(spark, sf).agg(F.count_if(one & ~two).alias("b"), F.count_if(~one & two).alias("c"))
-    return n.withColumn("chi2", F.try_divide(F.pow(F.abs(F.col("b") - F.col("c")) - 1, 2), (F.col("b") + F.col("c")).cast("double"))).select("b", "c", *r6("chi2"))
+    n = A.events(spark, sf).groupBy("cell").agg(F.count_if(one & ~two).alias("b"), F.count_if(~one & two).alias("c"))
+    return resampling.mcnemar(n).select("cell", "b", "c", *r6("chi2"), (F.round("p", 4) + F.lit(0.0)).alias("p"))
 
 
 # -- decoding ----------------------------------------------------------------
@@ -833,21 +834,21 @@ _DRAW = "('0x' || substr(md5('0:' || rep || ':' || i), 1, 15))::BIGINT"
 
 
 @query(
-    f""", k AS (SELECT unnest(range(1, 21)) AS rep), h AS (SELECT rep, y, row_number() OVER (PARTITION BY rep ORDER BY {_DRAW}) - 1 AS i FROM pos, k
+    f""", k AS (SELECT unnest(range(1, 101)) AS rep), h AS (SELECT rep, y, row_number() OVER (PARTITION BY rep ORDER BY {_DRAW}) - 1 AS i FROM pos, k
 ), r AS (SELECT rep, corr(pos.x, h.y) AS r FROM h JOIN pos USING (i) GROUP BY rep)
 SELECT round((SELECT corr(x, y) FROM pos), 6) AS r, avg((abs(r) > abs((SELECT corr(x, y) FROM pos)))::INT) AS p FROM r"""
 )
 def pearson_permutations(spark: SparkSession, sf: str) -> DataFrame:
-    return resampling.permutation_test(_pairs(spark, sf), 20).select(*r6("r"), "p")
+    return resampling.permutation_test(_pairs(spark, sf)).select(*r6("r"), "p")
 
 
 @query(
-    f""", k AS (SELECT unnest(range(1, 21)) AS rep), d AS (SELECT rep, {_DRAW} % (SELECT count(*) FROM pos) AS i FROM pos, k
+    f""", k AS (SELECT unnest(range(1, 1001)) AS rep), d AS (SELECT rep, {_DRAW} % (SELECT count(*) FROM pos) AS i FROM pos, k
 ), r AS (SELECT rep, sign(count(*) * sum(x * y) - sum(x) * sum(y)) AS s FROM d JOIN pos USING (i) GROUP BY rep)
 SELECT round((SELECT corr(x, y) FROM pos), 6) AS r, avg((s <> (SELECT sign(corr(x, y)) FROM pos))::INT) AS p FROM r"""
 )
 def pearson_sign_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    return resampling.sign_bootstrap(_pairs(spark, sf), 20).select(*r6("r"), "p")
+    return resampling.sign_bootstrap(_pairs(spark, sf)).select(*r6("r"), "p")
 
 
 # -- fields and grids ----------------------------------------------------------
@@ -882,5 +883,6 @@ def map_fields(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def gridness_shuffles(spark: SparkSession, sf: str) -> DataFrame:
     """Grid measures of a cell and of its spikes moved around the recording (shift 0 is the cell itself)."""
-    maps_ = _shifted_maps(spark, sf, [0, *range(100, 1000, 100)])
+    n = A.positions(spark, sf).count()
+    maps_ = _shifted_maps(spark, sf, [0, *fields.random_shifts(n, 100, int(20 * FS))])
     return fields.grid_measures(maps.autocorrelation(maps_, ("shift",)), ("shift",), SIZE)
