@@ -1,5 +1,7 @@
 import random
+import re
 
+import numpy as np
 import pytest
 from wayline.llm import langid
 
@@ -85,3 +87,57 @@ def test_queries(spark):
     assert len(rows) == 1000 and sum(r.language == r.lang and r.accepted for r in rows) > 990
     pages = QUERIES["pages_language_id"](spark, sf).collect()
     assert len(pages) == 250 and sum(r.accepted for r in pages) > 245
+
+
+def fused(rows, model):
+    """Posteriors of ``(id, url, declared, text)`` row by row, from the counts of all rows."""
+    names = [*model.languages, langid.UNKNOWN]
+    ll = [model.likelihoods(t) for *_, t in rows]
+    says = [int(np.argmax(x)) for x in ll]
+    find = lambda pattern, s: (m[1].lower() if (m := re.search(pattern, s or "")) else "")
+    host = [find(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", u) or None for _, u, _, _ in rows]
+    domain = [find(r"([^.]+\.[^.]+)$", h) or None for h in host]
+    path = [find(r"^[^:]+://[^/]+/([A-Za-z]{2})(?:[-_][A-Za-z]{2})?(?:[/?#]|$)", u) for _, u, _, _ in rows]
+    suffix = [None if h is None else "/".join(x for x in (h.split(".")[-1], p) if x or x == h.split(".")[-1]) for h, p in zip(host, path)]
+    told = [find("^([A-Za-z]+)", (d or "").strip()) or None for _, _, d, _ in rows]
+    told = [d if d is None or d in names else "other" for d in told]
+    width, n = len(names), len(rows)
+    tally = lambda pick: np.array([sum(pick(j) and says[j] == k for j in range(n)) for k in range(width)], float)
+    whole = tally(lambda j: True)
+    share, values, out = (whole + 1) / (n + width), {d for d in told if d}, []
+    spoke = tally(lambda j: told[j] is not None)
+    for i in range(n):
+        own = np.eye(width)[says[i]]
+        others = lambda key: (tally(lambda j: key[j] == key[i]) if key[i] is not None else own) - own  # noqa: E731, B023
+        p = share
+        for key in (domain, host):
+            c = others(key)
+            p = (c + langid.KAPPA * p) / (c.sum() + langid.KAPPA)
+        score = ll[i] + np.log(p)
+        if suffix[i] is not None:
+            whole_suffix = tally(lambda j: suffix[j] == suffix[i])  # noqa: B023
+            score = score + np.log((whole_suffix - own + langid.KAPPA * whole_suffix.sum() / n) / (whole + langid.KAPPA))
+        if told[i]:
+            score = score + np.log((tally(lambda j: told[j] == told[i]) + 0.5) / (spoke + 0.5 * (len(values) + 1)))  # noqa: B023
+        q = np.exp(score - score.max())
+        out.append((names[int(score.argmax())], 1 / q.sum()))
+    return out
+
+
+def test_posteriors_by_brute_force(spark, model):
+    rng = random.Random(6)
+    rows = []
+    for k in range(60):
+        words = rng.choice([EN, DE, EN + DE])
+        url = rng.choice([None, "http://a.site.de/x", "https://b.other.com/en/1", "https://c.site.de/de", "http://solo.org", "nonsense"])
+        rows.append((k, url, rng.choice([None, "de", "en-GB", "fr", " "]), rng.choice([text(rng, words, 2), text(rng, words, 9), None, ""])))
+    df = spark.createDataFrame(rows, "doc_id long, url string, declared string, text string").repartition(3)
+    got = {r.doc_id: r for r in langid.identify(df, model, declared="declared", url="url").collect()}
+    for (k, *_), (language, confidence) in zip(rows, fused(rows, model)):
+        assert abs(got[k].confidence - confidence) < 1e-9 and (got[k].language == language or confidence < 0.500001)
+
+
+def test_very_long_text_and_text_alone(spark, model):
+    rng = random.Random(7)
+    df = spark.createDataFrame([(1, text(rng, DE, 300_000)), (2, text(rng, EN, 3)), (2, text(rng, EN, 3))], "doc_id long, text string")
+    assert [r.language for r in langid.identify(df, model).orderBy("doc_id").collect()] == ["de", "en", "en"]

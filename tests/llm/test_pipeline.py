@@ -61,3 +61,9 @@ def test_near_dedup_judges_each_text_of_a_repeated_id(spark):
     docs = spark.createDataFrame([(d, t, "en", "src0", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = {(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
     assert {(1, one), (2, other), (None, one)} <= got and (2, one) not in got
+
+
+def test_near_dedup_keeps_texts_that_no_other_row_has(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    docs = spark.createDataFrame([(d, t, "en", "src0", len(t)) for d, t in [(3, b), (5, a), (5, b), (7, c)]], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {(3, b), (5, a), (7, c)}

@@ -126,7 +126,7 @@ def _host(url: Column) -> Column:
 def _suffix(url: Column, host: Column) -> Column:
     """The address's top-level domain, with a first path segment that has the form of a language code."""
     path = F.lower(F.regexp_extract(url, r"^[^:]+://[^/]+/([A-Za-z]{2})(?:[-_][A-Za-z]{2})?(?:[/?#]|$)", 1))
-    return F.concat_ws("/", F.regexp_extract(host, r"([^.]+)$", 1), F.nullif(path, F.lit("")))
+    return F.nullif(F.concat_ws("/", F.regexp_extract(host, r"([^.]+)$", 1), F.nullif(path, F.lit(""))), F.lit(""))
 
 
 def _counts(rows: DataFrame, key: str, to: str, width: int, small: int) -> tuple[DataFrame, bool]:
