@@ -26,6 +26,6 @@ def direction_bin(angle: Column, bin_deg: float) -> Column:
     return F.pmod(F.floor((angle + math.pi) / math.radians(bin_deg)).cast("int"), F.lit(n))
 
 
-def correlation(n: Column, sa: Column, sb: Column, saa: Column, sbb: Column, sab: Column) -> Column:
-    """Pearson correlation from moments, null where a side has no variance."""
-    return ratio(n * sab - sa * sb, F.sqrt(F.greatest(n * saa - sa * sa, F.lit(0.0))) * F.sqrt(F.greatest(n * sbb - sb * sb, F.lit(0.0))))
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation of two columns as an aggregate, from centred sums; null where a side has no variance."""
+    return ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

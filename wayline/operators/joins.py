@@ -57,8 +57,19 @@ def as_of_linear(grid: DataFrame, samples: DataFrame, value: str, to: str) -> Da
     return out.select("t_s", line.alias(to))
 
 
+#: Targets that :func:`nearest_point` takes.
+TARGETS = 10_000
+
+
 def nearest_point(points: DataFrame, targets: DataFrame, distance: Column, name: str) -> DataFrame:
-    """Each point with its nearest of a few ``targets`` (a map's peaks, a track's edges), broadcast; ties to the smaller name."""
+    """Each point with ``to, distance`` of its nearest of a few ``targets`` (a map's peaks), ties to the smaller name.
+
+    ``distance`` is a column over both sides. At most TARGETS are taken, more raise
+    an error: they are broadcast, and each point is compared with all. Without any
+    target there is no row.
+    """
+    if targets.limit(TARGETS + 1).count() > TARGETS:
+        raise ValueError(f"more than {TARGETS} targets")
     keys = points.columns
     pairs = points.withColumn("__row", F.monotonically_increasing_id()).crossJoin(F.broadcast(targets)).withColumn("__d", distance)
     best = pairs.groupBy("__row").agg(*[F.first(k).alias(k) for k in keys], F.min(F.struct(F.col("__d").alias("distance"), F.col(name).alias("to"))).alias("near"))

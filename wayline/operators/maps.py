@@ -13,10 +13,7 @@ from wayline.functions.circular import correlation, ratio
 
 
 def _corr(df: DataFrame, keys: list, a: str, b: str) -> DataFrame:
-    x, y = F.col(a), F.col(b)
-    sums = df.groupBy(*keys).agg(F.count("*").cast("double").alias("n"), F.sum(x).alias("sa"), F.sum(y).alias("sb"), F.sum(x * x).alias("saa"), F.sum(y * y).alias("sbb"), F.sum(x * y).alias("sab"))
-    names = [c for c in sums.columns if c not in ("n", "sa", "sb", "saa", "sbb", "sab")]
-    return sums.select(*names, F.col("n").cast("long").alias("n"), correlation(*[F.col(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")]).alias("r"))
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), correlation(F.col(a), F.col(b)).alias("r"))
 
 
 def autocorrelation(m: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -24,9 +24,7 @@ def draw(seed: int, *parts: Column) -> Column:
 
 
 def _sums(rows: DataFrame, *keys: str) -> DataFrame:
-    x, y = F.col("x"), F.col("y")
-    s = rows.groupBy(*keys).agg(F.count("*").cast("double").alias("n"), *[F.sum(c).alias(a) for a, c in (("sa", x), ("sb", y), ("saa", x * x), ("sbb", y * y), ("sab", x * y))])
-    return s.withColumn("r", correlation(*[F.col(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")]))
+    return rows.groupBy(*keys).agg(correlation(F.col("x"), F.col("y")).alias("r"))
 
 
 def _replicates(rows: DataFrame, k: int) -> DataFrame:
@@ -60,7 +58,8 @@ def sign_bootstrap(rows: DataFrame, k: int = 1000, seed: int = 0) -> DataFrame:
     n = max(rows.count(), 1)
     drawn = _replicates(rows.select(F.col("i").alias("d")), k).select("rep", F.pmod(draw(seed, F.col("rep"), F.col("d")), F.lit(n)).alias("i"))
     taken = drawn.groupBy("rep", "i").count().join(rows, "i")
-    c, x, y = F.col("count"), F.col("x"), F.col("y")
+    mean = rows.agg(F.avg("x"), F.avg("y")).first()
+    c, x, y = F.col("count"), F.col("x") - F.lit(mean[0]), F.col("y") - F.lit(mean[1])  # centred, so that little cancels
     sign = F.signum(F.sum(c) * F.sum(c * x * y) - F.sum(c * x) * F.sum(c * y))
     own = _sums(rows).select(F.col("r").alias("__r"))
     at = taken.groupBy("rep").agg(sign.alias("s")).crossJoin(F.broadcast(own))

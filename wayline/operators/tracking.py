@@ -174,7 +174,7 @@ def fit_circle(points: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """``keys, n, cx, cy, r`` of the algebraic least-squares circle, from moments about the mean; null where points lie on a line."""
     n, s = F.count("*").cast("double"), F.sum
     means = points.groupBy(*keys).agg(F.avg("x").alias("__mx"), F.avg("y").alias("__my"))
-    centred = points.join(F.broadcast(means), list(keys)) if keys else points.crossJoin(F.broadcast(means))
+    centred = points.join(means, list(keys)) if keys else points.crossJoin(F.broadcast(means))  # one row
     u, v = F.col("x") - F.col("__mx"), F.col("y") - F.col("__my")
     m = centred.groupBy(*keys, "__mx", "__my").agg(
         n.alias("n"), s(u * u).alias("uu"), s(v * v).alias("vv"), s(u * v).alias("uv"), s(u * u * u + u * v * v).alias("p"), s(v * v * v + v * u * u).alias("q")

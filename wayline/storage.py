@@ -40,6 +40,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
+    _gone_at_exit(spark, path)
     out = spark.read.schema(schema).parquet(path)
     out._wayline_path = path
     return out
@@ -56,6 +57,7 @@ def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with sorted_scans(spark):
         df.write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    _gone_at_exit(spark, path)
     out = spark.table(table)
     out._wayline_path, out._wayline_table = path, table
     return out
@@ -75,6 +77,18 @@ def sorted_scans(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_FILE_ORDER) if before is None else spark.conf.set(_FILE_ORDER, before)
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Hadoop has them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _gone_at_exit(spark: SparkSession, path: str) -> None:
+    """What a result may still be read from stays until the driver's JVM ends in good order."""
+    fs, where = _file_system(spark, path)
+    fs.deleteOnExit(where)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialize` or :func:`bucketed` that nothing reads any more."""
     table = getattr(df, "_wayline_table", None)
@@ -82,6 +96,5 @@ def discard(df: DataFrame) -> None:
         df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
     path = getattr(df, "_wayline_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        fs, where = _file_system(df.sparkSession, path)
+        fs.delete(where, True)
