@@ -4,7 +4,7 @@ import math
 
 import duckdb
 import pytest
-from wayline import field_queries, signal_queries  # noqa: F401
+from wayline import field_queries, index_queries, signal_queries  # noqa: F401
 from wayline.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events".split()

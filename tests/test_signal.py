@@ -104,3 +104,27 @@ def test_next_known_value_is_linear_in_a_chunk(spark):
     t = time.time()
     assert S.last_known(df, F.col("v"), "next", ahead=True).where("next = floor(i / 1000) * 1000 + 999").count() == n // 1000 * 1000
     assert time.time() - t < 30
+
+
+def test_peaks_by_brute_force(spark):
+    from wayline.operators import peaks as P
+
+    rng = np.random.default_rng(9)
+    x = np.convolve(rng.random(1500) * 10, np.ones(7) / 7, "same").round(2)
+    df = frame(spark, x)
+    fs, reach = 5.0, 50
+    got = {r.i: (r.left, r.right, r["distinct"]) for r in P.find_peaks(df, "v", fs, 5.0).collect()}
+    low = np.where(x >= 5, x, 0)
+    at = [p for p in range(1, len(x) - 1) if low[p] > low[p - 1] and low[p] > low[p + 1]]
+    taken = np.zeros(len(x) + reach, bool)
+    for p in sorted(at, key=lambda p: (-x[p], -p)):
+        left = next((k for k in range(p - 1, max(0, p - reach) - 1, -1) if x[k] < x[p] / 2), max(0, p - reach))
+        right = next((k for k in range(p, min(len(x), p + reach)) if x[k] < x[p] / 2), p + reach)
+        assert got[p] == (left, right, not taken[left:right].any())
+        taken[left:right] = True
+    assert got.keys() == set(at) and any(d for *_, d in got.values())
+    pos = frame(spark, x).select("i", F.col("i").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    for r in P.peak_widths(P.find_peaks(df, "v", fs, 5.0), pos).collect():
+        left, right, _ = got[r.i]
+        assert r.width == min(right, len(x) - 1) - left
+    assert P.mean_and_sem(df, "v").first().n == 1500

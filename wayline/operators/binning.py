@@ -38,6 +38,15 @@ def counted(samples: DataFrame, size: float, to: str) -> DataFrame:
     return seen.groupBy(xy_bin(F.col("y"), size).alias("gy"), xy_bin(F.col("x"), size).alias("gx")).agg(F.count("*").cast("double").alias(to))
 
 
+def joint_activity(spikes: DataFrame, width: float, most: float | None = None) -> DataFrame:
+    """``b, n``: spikes of all cells by time bin, without cells that fire more than ``most`` times a second over the recording."""
+    if most is not None:
+        length = F.broadcast(spikes.agg(F.max("t_s").alias("__d")))
+        slow = spikes.groupBy("tet", "cell").agg(F.count("*").alias("n")).crossJoin(length).where(F.col("n") / F.col("__d") <= most)
+        spikes = spikes.join(slow.select("tet", "cell"), ["tet", "cell"], "left_semi")
+    return spikes.groupBy(F.floor(F.col("t_s") / width).alias("b")).agg(F.count("*").alias("n"))
+
+
 def stencil(cells: DataFrame, columns: list[str], offsets: list[tuple[int, int, float]], keys: tuple[str, ...] = ()) -> DataFrame:
     """Weighted sums over neighbouring bins; outside the map counts as 0. Bins that are not there get no row."""
     taps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(float(w)).alias("w")) for dy, dx, w in offsets])

@@ -30,6 +30,14 @@ def interval_join(points: DataFrame, spans: DataFrame, at: str, start: str, end:
     return p.join(s, "__b").where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))).drop("__b")
 
 
+def outside_spans(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, bucket: float) -> DataFrame:
+    """Points that no span holds, both ends included."""
+    p = points.withColumn("__b", F.floor(F.col(at) / bucket)).alias("p")
+    s = spans.select(start, end, F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))).alias("__b")).alias("s")
+    held = (F.col("p.__b") == F.col("s.__b")) & (F.col(f"p.{at}") >= F.col(f"s.{start}")) & (F.col(f"p.{at}") <= F.col(f"s.{end}"))
+    return p.join(s, held, "left_anti").drop("__b")
+
+
 def lag_pairs(spikes: DataFrame, window: float, keys: tuple[str, ...] = ("tet", "cell"), inclusive: bool = False) -> DataFrame:
     """``keys, lag`` of ordered pairs of one cell less than ``window`` apart, each spike with itself included.
 

@@ -373,12 +373,16 @@ _EVENTS = _EVENTS[: _EVENTS.index("SELECT event::BIGINT")] + """, me AS (
 ), es AS (SELECT event, tet, cell, t_s FROM span JOIN ev ON t_s BETWEEN ta AND tb)"""
 
 
-def _event_spikes(spark: SparkSession, sf: str) -> DataFrame:
+def _event_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """``event, ta, tb`` of the flagship's events."""
     e = A.events(spark, sf)
     found = detection.find_events(e, speed="k", max_speed=95.0)
     times = e.select(F.col("i").alias("first_i"), F.col("t_s").alias("ta")), e.select(F.col("i").alias("last_i"), F.col("t_s").alias("tb"))
-    spans = found.select("event", "first_i", "last_i").join(times[0], "first_i").join(times[1], "last_i").select("event", "ta", "tb")
-    return joins.interval_join(A.spikes(spark, sf), spans, "t_s", "ta", "tb", 3600.0)
+    return found.select("event", "first_i", "last_i").join(times[0], "first_i").join(times[1], "last_i").select("event", "ta", "tb")
+
+
+def _event_spikes(spark: SparkSession, sf: str) -> DataFrame:
+    return joins.interval_join(A.spikes(spark, sf), _event_spans(spark, sf), "t_s", "ta", "tb", 3600.0)
 
 
 @query(_EVENTS + " SELECT event, tet, cell, round(t_s, 6) AS t_s FROM es")
