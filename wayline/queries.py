@@ -734,7 +734,15 @@ def circle_fit(spark: SparkSession, sf: str) -> DataFrame:
     return fit.select("cell", "n", *[(F.round(c, 4) + 0.0).alias(c) for c in ("cx", "cy", "r")])
 
 
-@query()
+@query(
+    """, tr AS (SELECT cell, i, x, y, row_number() OVER (PARTITION BY cell ORDER BY i) AS r FROM mpos JOIN ev USING (i)
+), jf AS (SELECT cell, i, r, x IS NOT NULL AS ok, CASE WHEN x IS NOT NULL THEN i END AS li, x AS lx, y AS ly FROM tr WHERE r = 1
+    UNION ALL SELECT cell, i, r, g, CASE WHEN g THEN i ELSE li END, CASE WHEN g THEN x ELSE lx END, CASE WHEN g THEN y ELSE ly END FROM (
+        SELECT tr.*, li, lx, ly, tr.x IS NOT NULL AND (li IS NULL OR power(tr.x - lx, 2) + power(tr.y - ly, 2) <= power((tr.i - li) * 2.0, 2)) AS g
+        FROM jf JOIN tr ON tr.cell = jf.cell AND tr.r = jf.r + 1)
+) SELECT cell, i, ok FROM jf""",
+    recursive=True,
+)
 def jump_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Each cell's events as a track of its own."""
     at = A.positions(spark, sf, masked=True).join(A.events(spark, sf).select("i", "cell"), "i")
@@ -879,9 +887,23 @@ def shifted_ratemaps(spark: SparkSession, sf: str) -> DataFrame:
     return _shifted_maps(spark, sf, [0, 100, 200]).select("shift", "gy", "gx", *r6("rate"))
 
 
-@query()
+@query(
+    """, m AS (SELECT floor(y / 10)::INT AS gy, floor(x / 10)::INT AS gx, count(*) FILTER (WHERE tet = 'click') * 50.0::DOUBLE / count(*) AS rate FROM pos JOIN ev USING (i) GROUP BY 1, 2
+), bb AS (SELECT min(gy) AS a, max(gy) AS b, min(gx) AS c, max(gx) AS d FROM m), gr AS (SELECT unnest(range(a, b + 1)) AS gy, c, d FROM bb), gg AS (SELECT gy, unnest(range(c, d + 1)) AS gx FROM gr
+), v AS (SELECT gy, gx, coalesce(rate, 0) AS v FROM gg LEFT JOIN m USING (gy, gx)
+), nx AS (SELECT gy, gx, ty, tx FROM (SELECT p.gy, p.gx, q.gy AS ty, q.gx AS tx, row_number() OVER (PARTITION BY p.gy, p.gx ORDER BY q.v DESC, q.gy DESC, q.gx DESC) AS rk
+          FROM v p JOIN v q ON abs(p.gy - q.gy) <= 1 AND abs(p.gx - q.gx) <= 1) WHERE rk = 1
+), ro AS (SELECT gy, gx, ty, tx, 0 AS d FROM nx
+    UNION ALL SELECT ro.gy, ro.gx, nx.ty, nx.tx, d + 1 FROM ro JOIN nx ON nx.gy = ro.ty AND nx.gx = ro.tx WHERE nx.ty <> ro.ty OR nx.tx <> ro.tx
+), en AS (SELECT gy, gx, arg_max(ty, d) AS ty, arg_max(tx, d) AS tx FROM ro GROUP BY 1, 2
+), fl AS (SELECT en.*, v.v, top.v AS peak FROM en JOIN v USING (gy, gx) JOIN v top ON top.gy = ty AND top.gx = tx WHERE top.v > 0 AND v.v > 0.5 * top.v
+), nm AS (SELECT ty, tx, row_number() OVER (ORDER BY any_value(peak) DESC, ty DESC, tx DESC) AS label FROM fl GROUP BY ty, tx)
+SELECT 0 AS shift, gy::INT AS gy, gx::INT AS gx, round(v, 6) AS rate, label::INT AS label FROM fl JOIN nm USING (ty, tx)""",
+    recursive=True,
+)
 def map_fields(spark: SparkSession, sf: str) -> DataFrame:
-    return fields.find_fields(_shifted_maps(spark, sf, [0]), ("shift",), SIZE, least_cm2=100.0)
+    found = fields.find_fields(_shifted_maps(spark, sf, [0]), ("shift",), SIZE, least_cm2=100.0)
+    return found.select("shift", "gy", "gx", *r6("rate"), "label")
 
 
 @query()
