@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from wayline.operators import fields, maps
 
@@ -42,3 +43,50 @@ def test_fields_and_rotation(spark):
     assert np.allclose(fields.rotated(b, 0), b) and np.allclose(fields.rotated(b, 180), b[::-1, ::-1])
     flat = fields.measures(np.zeros((9, 9)), 1.0)
     assert flat["n_peaks"] == 0 and np.isnan(flat["gridness"])
+
+
+def test_components_and_areas(spark):
+    rng = np.random.default_rng(12)
+    inside = rng.random((12, 15)) < 0.4
+    got, seen = fields.components(inside), {}
+    for y, x in zip(*np.nonzero(inside)):  # flood one by one
+        if (y, x) in seen:
+            continue
+        stack, group = [(y, x)], {(y, x)}
+        while stack:
+            a, b = stack.pop()
+            for p in ((a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+                if p not in group and 0 <= p[0] < 12 and 0 <= p[1] < 15 and inside[p]:
+                    group.add(p)
+                    stack.append(p)
+        top = max(a * 15 + b for a, b in group)
+        seen |= {p: top for p in group}
+    assert all(got[p] == t for p, t in seen.items()) and (got[~inside] == -1).all()
+    a = np.zeros((6, 6))
+    a[1:3, 1:3], a[4, 4] = 5, 3
+    assert fields.extent_of(a, (1, 1)).sum() == 4
+    m = spark.createDataFrame([("c", y, x, float(a[y, x])) for y in range(6) for x in range(6)], "cell string, gy int, gx int, rate double")
+    both = fields.find_fields(m, ("cell",), 1.0, 0.5, 1.0, whole=True)
+    areas = {r.label: (r.area, r.cy, r.cx) for r in fields.field_areas(both, ("cell",), 1.0).collect()}
+    assert areas == {1: (4.0, 2.0, 2.0), 2: (1.0, 4.5, 4.5)}
+    s = fields.area_summary(fields.field_areas(both, ("cell",), 1.0), ("cell",)).first()
+    assert (s.n, s.median_area, s.mean_area) == (2, 2.5, 2.5) and np.isclose(s.geomean_area, 2.0)
+    assert {r.label for r in fields.find_fields(m, ("cell",), 1.0, 0.5, 1.0, whole=True, relative=(1, 0.6)).collect()} == {1}
+
+
+def test_triangles(spark):
+    p = [(0.0, 0.0), (10.0, 0.0), (5.0, 8.66), (15.0, 8.66), (100.0, 0.0)]
+    areas = spark.createDataFrame([("c", k + 1, 1.0, y, x) for k, (x, y) in enumerate(p)], "cell string, label int, area double, cy double, cx double")
+    got = fields.field_triangles(areas, ("cell",)).orderBy("a", "b").collect()
+    assert [(r.a, r.b, r.c) for r in got] == [(1, 2, 3), (2, 3, 4)] and all(abs(r.area - 43.3) < 0.1 and abs(r.side - 10) < 0.01 for r in got)
+    assert fields.field_triangles(areas.limit(2), ("cell",)).count() == 0
+
+
+def test_line_autocorrelation(spark):
+    d = np.arange(100)
+    rate = 1 + np.exp(-d / 60) * np.cos(2 * np.pi * d / 40)
+    ac = spark.createDataFrame([(int(k), float(v)) for k, v in zip(d, rate)], "d int, rate double")
+    r = fields.line_autocorrelation_properties(ac, 1.0, smoothing=7.0).first()
+    assert abs(r.scale - 40) < 2 and abs(r.trough - 20) < 2 and 0.1 < r.clusteriness < 0.4 and 0.3 < r.width < 1.1
+    flat = fields.line_autocorrelation_properties(ac.withColumn("rate", F.lit(1.0)), 1.0).first()
+    assert flat.scale is None and flat.width is None

@@ -48,7 +48,7 @@ def test_positions_and_trials(spark, folder):
     one = recordings.leds(recordings.contents(spark, d, "*.pos"), 1)
     assert one.count() == 68
     t = recordings.trials(recordings.contents(spark, d, "*.set"), recordings.contents(spark, d, "*.pos")).collect()
-    assert [tuple(r) for r in t] == [("r1", 13.0, 2, 50.0, 300.0, 690.0, 500.0)]
+    assert [tuple(r) for r in t] == [("r1", 13.0, 2, 50.0, 68, 300.0, 690.0, 500.0)]
     head = recordings.with_header(recordings.contents(spark, d, "*.set")).first().header
     assert head["experimenter"] == "é x" and head["empty"] == ""
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.operators import binning as B
-from wayline.operators import grids, joins, maps, resampling, rhythm, shapes, tracking
+from wayline.operators import fields, grids, joins, maps, resampling, rhythm, shapes, tracking
 from wayline.queries import CELL, FS, SHAPE, SIZE, _half, _map, query, r6
 from wayline.sources import adapters as A
 
@@ -152,3 +152,42 @@ def ellipse_fit(spark: SparkSession, sf: str) -> DataFrame:
     """The ellipse through each cell's positions."""
     at = A.positions(spark, sf).join(A.events(spark, sf).select("i", "cell"), "i")
     return tracking.fit_ellipse(at, ("cell",))
+
+
+@query(
+    f""", c AS (SELECT floor(y / 10)::INT AS gy, floor(x / 10)::INT AS gx, count(*) FILTER (WHERE tet = '{CELL}') AS n FROM pos JOIN ev USING (i) GROUP BY 1, 2
+), t AS (SELECT gy * 11 + gx AS name, (gx + 0.5::DOUBLE) * 10 AS tx, (gy + 0.5::DOUBLE) * 10 AS ty FROM c WHERE n > 0 AND n >= ALL (SELECT q.n FROM c q WHERE abs(q.gy - c.gy) <= 1 AND abs(q.gx - c.gx) <= 1)
+), d AS (SELECT i, name, round(sqrt(power(x - tx, 2) + power(y - ty, 2)), 9) AS d FROM pos JOIN ev USING (i), t WHERE tet = '{CELL}')
+SELECT i, name AS "to", round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, name) AS rk FROM d) WHERE rk = 1"""
+)
+def dist_to_peak(spark: SparkSession, sf: str) -> DataFrame:
+    """Each spike's nearest peak of its cell's map."""
+    peaks = maps.regional_maxima(_map(spark, sf, None, "counts").select("gy", "gx", F.col("spk").alias("rate")))
+    targets = peaks.select((F.col("gy") * 11 + F.col("gx")).alias("name"), ((F.col("gx") + 0.5) * SIZE).alias("tx"), ((F.col("gy") + 0.5) * SIZE).alias("ty"))
+    spikes = joins.gather(A.spikes(spark, sf).where(F.col("tet") == CELL), A.positions(spark, sf)).select(F.col("pos_i").alias("i"), "x", "y")
+    apart = F.round(F.sqrt(F.pow(F.col("x") - F.col("tx"), 2) + F.pow(F.col("y") - F.col("ty"), 2)), 9)
+    return joins.nearest_point(spikes, targets, apart, "name").select("i", "to", *r6("distance"))
+
+
+@query()
+def field_measures(spark: SparkSession, sf: str) -> DataFrame:
+    """Area and centre of each cell's fields: what is above half of a map's largest rate."""
+    pos = A.positions(spark, sf)
+    m = B.rate_map(pos, joins.gather(A.spikes(spark, sf), pos), SIZE, SHAPE, FS, B.boxcar(3), keys=("tet",)).where("rate is not null")
+    return fields.field_areas(fields.find_fields(m, ("tet",), SIZE, whole=True), ("tet",), SIZE)
+
+
+@query()
+def field_triangles(spark: SparkSession, sf: str) -> DataFrame:
+    pos = A.positions(spark, sf)
+    m = B.rate_map(pos, joins.gather(A.spikes(spark, sf), pos), SIZE, SHAPE, FS, None, keys=("tet",)).where("rate is not null")
+    return fields.field_triangles(fields.field_areas(fields.find_fields(m, ("tet",), SIZE, least_cm2=100.0), ("tet",), SIZE), ("tet",), 30.0)
+
+
+@query()
+def line_autocorrelation(spark: SparkSession, sf: str) -> DataFrame:
+    """Properties of a cell's radial autocorrelogram within two seconds."""
+    spikes, pos = A.spikes(spark, sf).where(F.col("tet") == CELL), A.positions(spark, sf)
+    ac = maps.windowed_autocorrelation(spikes, pos, 100, 2, 1.0, (110.0, 110.0), 1, 100, radial=True)
+    rate = spikes.count() / max(1, pos.count())
+    return fields.line_autocorrelation_properties(ac, rate)

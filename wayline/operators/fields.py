@@ -7,6 +7,8 @@ and trials are worked on side by side, each by a few numpy steps.
 from __future__ import annotations
 
 import hashlib
+import math
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -49,18 +51,55 @@ def extents(a: np.ndarray, share: float) -> np.ndarray:
     return np.where((peak > 0) & (v > share * peak), to, -1)
 
 
-def find_fields(m: DataFrame, keys: tuple[str, ...], bin_cm: float, share: float = 0.5, least_cm2: float = 40.0, value: str = "rate") -> DataFrame:
+def components(inside: np.ndarray) -> np.ndarray:
+    """For each bin where ``inside`` holds the last flat index of those it is connected with, over 8 neighbours; -1 elsewhere."""
+    h, w = inside.shape
+    to = np.where(inside, np.arange(inside.size).reshape(h, w), -1)
+    while True:
+        padded = np.pad(to, 1, constant_values=-1)
+        top = np.max([padded[dy : dy + h, dx : dx + w] for dy in range(3) for dx in range(3)], axis=0)
+        after = np.where(inside, top, -1)
+        if (after == to).all():
+            return to
+        to = after
+
+
+def extent_of(a: np.ndarray, peak: tuple[int, int], share: float = 0.5, level: float | None = None) -> np.ndarray:
+    """Whether each bin is connected with a peak by bins above ``share`` of it, or above a ``level``."""
+    v = np.nan_to_num(a)
+    of = components(v > (share * v[peak] if level is None else level))
+    return (of == of[peak]) & (of >= 0)
+
+
+def find_fields(
+    m: DataFrame, keys: tuple[str, ...], bin_cm: float, share: float = 0.5, least_cm2: float = 40.0, value: str = "rate", relative: tuple[int, float] | None = None, whole: bool = False
+) -> DataFrame:
     """``keys, gy, gx, rate, label``: bins above ``share`` of the maximum that ascent leads to; fields below ``least_cm2`` go.
 
-    Labels count from 1 by falling peak, ties by later bin first.
+    ``whole``: bins above ``share`` of the map's largest instead, a field being what
+    is connected. ``relative`` (k, x): fields below x of the k-th largest area
+    (of the smallest, if there are fewer) go too. Labels count from 1 by falling
+    peak, ties by later bin first.
     """
     names = list(keys)
 
+    def cut(a: np.ndarray) -> np.ndarray:
+        if not whole:
+            return extents(a, share)
+        v = np.nan_to_num(a)
+        of = components(v > share * v.max())
+        peak = {int(p): int(max(np.flatnonzero(of.ravel() == p), key=lambda k: (v.ravel()[k], k))) for p in np.unique(of[of >= 0])}
+        return np.vectorize(lambda p: peak.get(int(p), -1), otypes=[int])(of)
+
     def label(rows: pd.DataFrame) -> pd.DataFrame:
         a, y0, x0 = _dense(rows, "gy", "gx", value)
-        of, v = extents(a, share), np.nan_to_num(a).ravel()
+        of, v = cut(a), np.nan_to_num(a).ravel()
         ids, n = np.unique(of[of >= 0], return_counts=True)
-        large = sorted((int(p) for p, c in zip(ids, n) if c * bin_cm**2 >= least_cm2), key=lambda p: (-v[p], -p))
+        least = least_cm2 / bin_cm**2
+        if relative and (n >= least).any():
+            areas = sorted(n[n >= least], reverse=True)
+            least = max(least, relative[1] * areas[min(relative[0], len(areas)) - 1])
+        large = sorted((int(p) for p, c in zip(ids, n) if c >= least), key=lambda p: (-v[p], -p))
         number = {p: k + 1 for k, p in enumerate(large)}
         at = of[rows["gy"] - y0, rows["gx"] - x0]
         out = rows[[*names, "gy", "gx", value]].assign(label=[number.get(int(p), 0) for p in at])
@@ -156,3 +195,113 @@ def random_shifts(n: int, count: int, least: int, seed: int = 0) -> list[int]:
     least = min(least, n // 3)
     whole = max(1, n - 2 * least + 1)
     return [least + int(hashlib.md5(f"{seed}:{k}".encode()).hexdigest()[:12], 16) % whole for k in range(count)]
+
+
+def field_areas(found: DataFrame, keys: tuple[str, ...], bin_cm: float) -> DataFrame:
+    """``keys, label, area, cy, cx``: area in square cm and rate-weighted centre in cm of each field."""
+    r, at = F.col("rate"), lambda c: (F.sum(F.col("rate") * (F.col(c) + 0.5)) / F.sum("rate") * bin_cm)
+    return found.where(r.isNotNull()).groupBy(*keys, "label").agg((F.count("*") * bin_cm**2).alias("area"), at("gy").alias("cy"), at("gx").alias("cx"))
+
+
+def area_summary(areas: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys, n, median_area, mean_area, geomean_area`` over a map's fields."""
+    a = F.col("area").cast("double")
+    return areas.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(a, F.lit(0.5)).alias("median_area"), F.avg(a).alias("mean_area"), F.exp(F.avg(F.log(a))).alias("geomean_area"))
+
+
+def field_triangles(areas: DataFrame, keys: tuple[str, ...], tolerance: float = 15.0, relative: tuple[int, float] = (2, 0.6)) -> DataFrame:
+    """``keys, a, b, c, area, side``: triangles of neighbouring field centres that are nearly equilateral.
+
+    Neighbours are the corners of a triangle whose circumscribed circle holds no
+    other centre. All angles must be within ``tolerance`` of 60 degrees, and the
+    area at least a share of the k-th largest of those. ``side`` is the mean side.
+    A map has few fields.
+    """
+    names = list(keys)
+
+    def find(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("label")
+        p, label = rows[["cx", "cy"]].to_numpy(float), rows["label"].to_numpy()
+        out = []
+        for a, b, c in combinations(range(len(p)), 3):
+            u, v = p[b] - p[a], p[c] - p[a]
+            area = abs(u[0] * v[1] - u[1] * v[0]) / 2
+            sides = np.array([np.linalg.norm(p[b] - p[c]), np.linalg.norm(v), np.linalg.norm(u)])
+            if area <= 1e-9 * sides.max() ** 2:
+                continue
+            squares = sides**2
+            cosines = (squares.sum() - 2 * squares) / (2 * sides.prod() / sides)
+            if (np.abs(np.degrees(np.arccos(np.clip(cosines, -1, 1))) - 60) > tolerance).any():
+                continue
+            centre = p[a] + np.linalg.solve(2 * np.array([u, v]), [u @ u, v @ v])
+            r = np.linalg.norm(p[a] - centre)
+            others = np.delete(p, [a, b, c], axis=0)
+            if len(others) and (np.linalg.norm(others - centre, axis=1) < r * (1 - 1e-9)).any():
+                continue
+            out.append((label[a], label[b], label[c], area, sides.mean()))
+        made = pd.DataFrame(out, columns=["a", "b", "c", "area", "side"])
+        if len(made):
+            large = made["area"].sort_values(ascending=False).to_numpy()
+            made = made[made["area"] >= relative[1] * large[min(relative[0], len(large)) - 1]]
+        return made.assign(**{k: rows[k].iloc[0] for k in names})[[*names, *made.columns]]
+
+    part = areas.select(*keys, F.col("label").cast("int").alias("label"), "cx", "cy")
+    types = "".join(f"{k} {part.schema[k].dataType.simpleString()}, " for k in names)
+    return part.groupBy(*keys).applyInPandas(find, types + "a int, b int, c int, area double, side double")
+
+
+def crossings(x: np.ndarray, level: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Where a short series crosses a level, upwards and downwards, interpolated between samples."""
+    a, b = x[:-1], x[1:]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = np.arange(len(a)) + (level - a) / (b - a)
+    return at[(a < level) & (b >= level)], at[(a > level) & (b <= level)]
+
+
+def line_autocorrelation_properties(
+    ac: DataFrame, mean_rate: float, size: float = 1.0, most: float = 100.0, least: float = 5.0, smoothing: float = 31.0, level: float = 0.01, around: float = 5.0, keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """``keys, scale, trough, clusteriness, width`` of a radial autocorrelogram ``keys, d, rate``, up to ``most`` cm.
+
+    On the slope of a sliding parabola, in units of the mean rate for each sample:
+    the first fall after ``least`` cm ends at ``trough``, the next rise at ``scale``.
+    ``width`` is what lies between the last rise above ``level`` before the scale
+    and the first fall below it after, by the scale; ``clusteriness`` where a line
+    through the inner peak's flank is half as high as its top, by the scale. Null
+    where there is no such place. An autocorrelogram is one short series.
+    """
+    names = list(keys)
+    n, first, near = math.ceil(most / size), math.floor(least / size), math.ceil(around / size)
+    window = math.ceil(smoothing / size) | 1
+    taps = np.linalg.pinv(np.vander(np.arange(window) - window // 2.0, 3, increasing=True))[1]
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros(n)
+        short = rows[(rows["d"] < n) & rows["rate"].notna()]
+        a[short["d"]] = short["rate"] / mean_rate
+        slope = np.convolve(np.pad(a, window // 2, mode="reflect"), taps[::-1], "valid") if n > window // 2 else np.zeros(n)
+        out = dict.fromkeys(("scale", "trough", "clusteriness", "width"), np.nan)
+        ups, downs = crossings(slope[first:])
+        if len(ups):
+            trough = out["trough"] = ups[0] + first
+            later = downs[downs > ups[0]]
+            if len(later):
+                scale = out["scale"] = later[0] + first
+                before = crossings(slope[: math.ceil(scale) + 1], level)[0]
+                after = crossings(slope[max(0, math.floor(scale) - 1) :], -level)[1] + max(0, math.floor(scale) - 1)
+                if len(before) and len(after):
+                    out["width"] = (after[0] - before[-1]) / scale
+                top, low = a[1:near].mean(), a[max(0, int(trough) - math.ceil(near / 2)) : int(trough + math.ceil(near / 2))].mean()
+                falls = [crossings(a[: int(trough)], low + (top - low) * x)[1] for x in (0.9, 0.1)]
+                if len(falls[0]) and len(falls[1]):
+                    x = np.arange(math.ceil(falls[0][-1]), math.ceil(falls[1][0]))
+                    if len(x) > 1:
+                        k, c = np.polyfit(x, a[x], 1)
+                        out["clusteriness"] = ((top + low) / 2 - c) / k / scale
+        made = {**{c: rows[c].iloc[0] for c in names}, **out, "scale": out["scale"] * size, "trough": out["trough"] * size}
+        return pd.DataFrame([made])
+
+    part = ac.select(*keys, F.col("d").cast("int").alias("d"), F.col("rate").cast("double").alias("rate"))
+    types = "".join(f"{c} {part.schema[c].dataType.simpleString()}, " for c in names)
+    found = part.groupBy(*keys).applyInPandas(one, types + "scale double, trough double, clusteriness double, width double")
+    return found.select(*keys, *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("scale", "trough", "clusteriness", "width")])

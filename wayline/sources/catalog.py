@@ -13,11 +13,12 @@ COLUMNS = "Animal string, RecordLocs string, ExperimentN int, Trial1 string, Box
 
 
 def experiments(spark: SparkSession, path: str) -> DataFrame:
-    """The catalogue file with ``E1inCA1`` and ``E2inCA1``: whether a location's letter is C. Rows whose animal is no number go."""
+    """The catalogue file with ``E1inCA1`` and ``E2inCA1``: whether a location's letter is C. Rows whose animal is no number go; in order of animal."""
     rows = spark.read.schema(COLUMNS).csv(path)
     animal = F.col("Animal").try_cast("double").cast("int")
     rows = rows.withColumn("Animal", animal.cast("string")).where("Animal is not null")
-    return rows.withColumns({"E1inCA1": F.substring("RecordLocs", 1, 1) == "C", "E2inCA1": F.substring("RecordLocs", 2, 1) == "C"})
+    rows = rows.withColumns({"E1inCA1": F.substring("RecordLocs", 1, 1) == "C", "E2inCA1": F.substring("RecordLocs", 2, 1) == "C"})
+    return rows.orderBy(F.col("Animal").cast("int"))
 
 
 def sessions(listing: DataFrame) -> DataFrame:
@@ -86,3 +87,8 @@ def restored(spark: SparkSession, path: str, text: str) -> DataFrame:
     import json
 
     return spark.read.schema(StructType.fromJson(json.loads(text))).parquet(path)
+
+
+def trial_of(catalog: DataFrame, animal: str, experiment: int) -> DataFrame:
+    """The first row, by its trial, of an animal's experiment of a catalogue."""
+    return catalog.where((F.col("Animal") == animal) & (F.col("ExperimentN") == experiment)).orderBy("Trial1").limit(1)

@@ -148,6 +148,12 @@ def signal(files: DataFrame, fs: float) -> DataFrame:
     return S.framed(rows, near, r, r, keys=("path", "trial"), chunk=max(S.CHUNK, 2 * r + 1)).drop("full")
 
 
+def signal_rates(files: DataFrame) -> DataFrame:
+    """``path, trial, fs, n`` of EEG or EGF files, from their headers."""
+    n = F.coalesce(number("num_EEG_samples"), number("num_EGF_samples")).cast("long").alias("n")
+    return with_header(files).select("path", "trial", number("sample_rate").alias("fs"), n)
+
+
 def cuts(files: DataFrame) -> DataFrame:
     """``path, trial, tet, k, cell`` from cluster files of both formats; cell 0 is noise."""
     text = F.decode("content", "ISO-8859-1")
@@ -181,7 +187,7 @@ def sorted_spikes(spiked: DataFrame, clustered: DataFrame) -> DataFrame:
 
 
 def trials(settings: DataFrame, positions: DataFrame) -> DataFrame:
-    """``trial, duration_s, n_leds, pos_fs, ppm, window_w, window_h``, a row for each set file; columns of a missing position file are null."""
+    """``trial, duration_s, n_leds, pos_fs, n_pos, ppm, window_w, window_h``, a row for each set file; columns of a missing position file are null."""
     s = with_header(settings).select("trial", number("duration").alias("duration_s"), (F.coalesce(number("colactive_1"), F.lit(0.0)) + F.coalesce(number("colactive_2"), F.lit(0.0))).cast("int").alias("n_leds"))
-    p = with_header(positions).select("trial", number("sample_rate").alias("pos_fs"), number("pixels_per_metre").alias("ppm"), (number("window_max_x") - number("window_min_x")).alias("window_w"), (number("window_max_y") - number("window_min_y")).alias("window_h"))
+    p = with_header(positions).select("trial", number("sample_rate").alias("pos_fs"), number("num_pos_samples").cast("long").alias("n_pos"), number("pixels_per_metre").alias("ppm"), (number("window_max_x") - number("window_min_x")).alias("window_w"), (number("window_max_y") - number("window_min_y")).alias("window_h"))
     return s.join(p, "trial", "left")
