@@ -17,7 +17,8 @@ from wayline.sources import adapters as A
 def ideal_grid_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Best lattice of each cell type's spikes: 60 orientations, 20 scales, all shifts."""
     e = A.events(spark, sf).select("i", (F.col("tet") == CELL).cast("int").alias("spk"))
-    return grids.fit_ideal_grid(A.positions(spark, sf).join(e, "i"))
+    dealt = A.positions(spark, sf).join(e, "i").repartition(spark.sparkContext.defaultParallelism, "i")  # much to do for each row
+    return grids.fit_ideal_grid(dealt)
 
 
 _PEAKS = f""", c AS (SELECT floor(y / 10)::INT AS gy, floor(x / 10)::INT AS gx, count(*) FILTER (WHERE tet = '{CELL}')::DOUBLE AS w FROM pos JOIN ev USING (i) GROUP BY 1, 2

@@ -75,13 +75,17 @@ def widths(df: DataFrame, label: str, x: str = "x", y: str = "y") -> DataFrame:
                 h = _hull(rows[["x", "y"]].to_numpy())
                 yield pd.DataFrame({"label": [name] * len(h), "x": h[:, 0], "y": h[:, 1]})
 
-    def widest(rows: pd.DataFrame) -> pd.DataFrame:
-        h = _hull(rows[["x", "y"]].to_numpy())
-        d = max(float(np.sqrt(((h[k:] - h[k]) ** 2).sum(axis=1)).max()) for k in range(len(h)))
-        return pd.DataFrame([{"label": rows["label"].iloc[0], "width": d}])
+    @F.pandas_udf("double")
+    def widest(points: pd.Series) -> pd.Series:
+        def one(flat: np.ndarray) -> float:
+            h = _hull(np.asarray(flat).reshape(-1, 2))
+            return max(float(np.sqrt(((h[k:] - h[k]) ** 2).sum(axis=1)).max()) for k in range(len(h)))
 
-    found = part.mapInPandas(corners, f"label {kind}, x double, y double").groupBy("label").applyInPandas(widest, f"label {kind}, width double")
-    return found.withColumnRenamed("label", label)
+        return points.map(one)
+
+    kept = part.mapInPandas(corners, f"label {kind}, x double, y double")
+    found = kept.groupBy("label").agg(F.flatten(F.collect_list(F.array("x", "y"))).alias("points"))  # a few corners a batch
+    return found.select(F.col("label").alias(label), widest("points").alias("width"))
 
 
 def kth_largest(df: DataFrame, value: str, k: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wayline.operators.indexing import widths
 from wayline.operators.joins import interval_join
 from wayline.operators.signal import in_chunks
+from wayline.storage import materialize
 
 
 def find_peaks(rates: DataFrame, value: str, fs: float, least: float = 2.0, share: float = 0.5, most_s: float = 10.0, order: str = "i") -> DataFrame:
@@ -37,6 +38,7 @@ def find_peaks(rates: DataFrame, value: str, fs: float, least: float = 2.0, shar
     found = found.where(F.nanvl("a", F.lit(None)).isNotNull()).join(rates.select(order, F.col(value).alias("rate")), order)
     at = F.col(order)
     peaks = found.select(at.alias("i"), "rate", (at - F.col("a")).cast("long").alias("left"), (at + F.col("b")).cast("long").alias("right"))
+    peaks = materialize(peaks, "peaks")  # compared with itself
     # what may meet lies in the same or the next stretch of twice the reach
     spread = peaks.withColumn("__b", F.explode(F.array_distinct(F.array(F.floor(F.col("left") / (2 * reach)), F.floor(F.col("right") / (2 * reach))))))
     p, q = spread.alias("p"), spread.alias("q")
