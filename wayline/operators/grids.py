@@ -236,7 +236,8 @@ def drift(ll: DataFrame, mode: str = "peak") -> DataFrame:
     runs without one are null. A run has one row for each shift, a bounded number.
     """
     top = ll.groupBy("run").agg(F.max("ll").alias("__top"))
-    share = ll.join(top, "run").withColumn("w", F.exp(F.col("ll") - F.col("__top")))
+    # equal but for rounding is equal
+    share = ll.join(top, "run").withColumn("w", F.round(F.exp(F.col("ll") - F.col("__top")), 9))
     if mode == "mean":
         mean = lambda c: (F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c)
         return share.groupBy("run").agg(mean("dy"), mean("dx"), F.lit(None).cast("double").alias("p"))
