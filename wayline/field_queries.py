@@ -55,7 +55,7 @@ _DRIFT = f""", m AS (SELECT floor(y / 10)::INT AS gy, floor(x / 10)::INT AS gx,
 ), sm AS (SELECT i // 100 AS run, floor(y / 10)::INT AS gy, floor(x / 10)::INT AS gx, (tet = '{CELL}')::INT AS k FROM pos JOIN ev USING (i)
 ), mv AS (SELECT (r // 9 - 4)::INT AS dy, (r % 9 - 4)::INT AS dx FROM range(81) t(r)
 ), ll AS (SELECT run, dy, dx, sum(k * ln(r) - r) AS ll FROM sm, mv JOIN fm ON fm.gy = greatest(least(sm.gy + dy, 10), 0) AND fm.gx = greatest(least(sm.gx + dx, 10), 0) GROUP BY 1, 2, 3
-), w AS (SELECT *, round(exp(ll - max(ll) OVER (PARTITION BY run)), 9) AS w FROM ll)"""
+), w AS (SELECT *, exp(g) AS w FROM (SELECT *, round(ll - max(ll) OVER (PARTITION BY run), 6) AS g FROM ll))"""
 
 
 def _drift(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,9 +74,9 @@ def drift_mle(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     _DRIFT
-    + """, nb AS (SELECT a.run, a.dy, a.dx, a.w, max(b.w) AS mx FROM w a JOIN w b ON a.run = b.run AND abs(a.dy - b.dy) <= 1 AND abs(a.dx - b.dx) <= 1 GROUP BY 1, 2, 3, 4
-), rg AS (SELECT *, max(w) OVER (PARTITION BY run ORDER BY dy * dy + dx * dx RANGE UNBOUNDED PRECEDING) AS below, sum(w) OVER (PARTITION BY run) AS s FROM nb
-), pk AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY dy * dy + dx * dx, dy, dx) AS rk FROM rg WHERE w = mx AND w >= below)
+    + """, nb AS (SELECT a.run, a.dy, a.dx, a.w, a.g, max(b.g) AS mx FROM w a JOIN w b ON a.run = b.run AND abs(a.dy - b.dy) <= 1 AND abs(a.dx - b.dx) <= 1 GROUP BY 1, 2, 3, 4, 5
+), rg AS (SELECT *, max(g) OVER (PARTITION BY run ORDER BY dy * dy + dx * dx RANGE UNBOUNDED PRECEDING) AS below, sum(w) OVER (PARTITION BY run) AS s FROM nb
+), pk AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY dy * dy + dx * dx, dy, dx) AS rk FROM rg WHERE g = mx AND g >= below)
 SELECT r.run, dy::DOUBLE AS dy, dx::DOUBLE AS dx, round(w / s, 6) AS p FROM (SELECT DISTINCT run FROM w) r LEFT JOIN pk ON pk.run = r.run AND rk = 1"""
 )
 def drift_peaks(spark: SparkSession, sf: str) -> DataFrame:
@@ -180,7 +180,7 @@ def dist_to_peak(spark: SparkSession, sf: str) -> DataFrame:
     """, g AS (SELECT (r // 11)::INT AS gy, (r % 11)::INT AS gx FROM range(121) t(r)), t AS (SELECT DISTINCT tet FROM ev
 ), d AS (SELECT floor(y / 10)::INT AS gy, floor(x / 10)::INT AS gx, count(*) AS n FROM pos GROUP BY 1, 2), h AS (SELECT tet, floor(y / 10)::INT AS gy, floor(x / 10)::INT AS gx, count(*) AS n FROM pos JOIN ev USING (i) GROUP BY 1, 2, 3
 ), c AS (SELECT t.tet, g.gy, g.gx, coalesce(d.n, 0)::DOUBLE AS dwell, coalesce(h.n, 0)::DOUBLE AS spk FROM t CROSS JOIN g LEFT JOIN d USING (gy, gx) LEFT JOIN h USING (tet, gy, gx)
-), s AS (SELECT c.tet, c.gy, c.gx, sum(o.spk) / (sum(o.dwell) / 50) AS rate FROM c JOIN c o ON o.tet = c.tet AND abs(o.gy - c.gy) <= 1 AND abs(o.gx - c.gx) <= 1 WHERE c.dwell > 0 GROUP BY 1, 2, 3
+), s AS (SELECT c.tet, c.gy, c.gx, round(sum(o.spk) / (sum(o.dwell) / 50), 9) AS rate FROM c JOIN c o ON o.tet = c.tet AND abs(o.gy - c.gy) <= 1 AND abs(o.gx - c.gx) <= 1 WHERE c.dwell > 0 GROUP BY 1, 2, 3
 ), b AS (SELECT tet, gy, gx, rate FROM (SELECT *, max(rate) OVER (PARTITION BY tet) AS top FROM s) WHERE rate > 0.5 * top
 ), co AS (SELECT tet, gy, gx, gy AS oy, gx AS ox FROM b
     UNION SELECT co.tet, co.gy, co.gx, b.gy, b.gx FROM co JOIN b ON b.tet = co.tet AND abs(b.gy - co.oy) <= 1 AND abs(b.gx - co.ox) <= 1
@@ -194,6 +194,7 @@ def field_measures(spark: SparkSession, sf: str) -> DataFrame:
     """Area and centre of each cell's fields: what is above half of a map's largest rate."""
     pos = A.positions(spark, sf)
     m = B.rate_map(pos, joins.gather(A.spikes(spark, sf), pos), SIZE, SHAPE, FS, B.boxcar(3), keys=("tet",)).where("rate is not null")
+    m = m.withColumn("rate", F.round("rate", 9))  # a bin at exactly half is out, whatever the order of sums
     areas = fields.field_areas(fields.find_fields(m, ("tet",), SIZE, whole=True), ("tet",), SIZE)
     return areas.select("tet", "label", F.col("area").cast("double").alias("area"), *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("cy", "cx")])
 

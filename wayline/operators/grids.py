@@ -237,29 +237,30 @@ def drift(ll: DataFrame, mode: str = "peak") -> DataFrame:
     """
     top = ll.groupBy("run").agg(F.max("ll").alias("__top"))
     # equal but for rounding is equal
-    share = ll.join(top, "run").withColumn("w", F.round(F.exp(F.col("ll") - F.col("__top")), 9))
+    share = ll.join(top, "run").withColumn("g", F.round(F.col("ll") - F.col("__top"), 6)).withColumn("w", F.exp("g"))
     if mode == "mean":
         mean = lambda c: (F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c)
         return share.groupBy("run").agg(mean("dy"), mean("dx"), F.lit(None).cast("double").alias("p"))
 
     def nearest(rows: pd.DataFrame) -> pd.DataFrame:
         most = int(rows["dy"].max())
-        w = np.zeros((2 * most + 1, 2 * most + 1))
-        w[rows["dy"] + most, rows["dx"] + most] = rows["w"]
-        padded = np.pad(w, 1, constant_values=-1)
-        around = np.max([padded[a : a + len(w), b : b + len(w)] for a in range(3) for b in range(3)], axis=0)
+        g = np.full((2 * most + 1, 2 * most + 1), -np.inf)
+        g[rows["dy"] + most, rows["dx"] + most] = rows["g"]
+        padded, w = np.pad(g, 1, constant_values=-np.inf), np.exp(g)
+        around = np.max([padded[a : a + len(g), b : b + len(g)] for a in range(3) for b in range(3)], axis=0)
         y, x = np.mgrid[-most : most + 1, -most : most + 1]
         d = (y * y + x * x).ravel()
         order = np.argsort(d, kind="stable")
         reach = np.searchsorted(d[order], d, side="right") - 1
-        good = ((around == w).ravel() & (w.ravel() >= np.maximum.accumulate(w.ravel()[order])[reach]))[order]
+        below = np.maximum.accumulate(g.ravel()[order])[reach]
+        good = ((around == g).ravel() & np.isfinite(g.ravel()) & (g.ravel() >= below))[order]
         if not good.any():
             return pd.DataFrame([{"run": rows["run"].iloc[0], "dy": None, "dx": None, "p": None}])
         k = order[good.argmax()]
         return pd.DataFrame([{"run": rows["run"].iloc[0], "dy": float(y.ravel()[k]), "dx": float(x.ravel()[k]), "p": w.ravel()[k] / w.sum()}])
 
     run_type = ll.schema["run"].dataType.simpleString()
-    return share.select("run", "dy", "dx", "w").groupBy("run").applyInPandas(nearest, f"run {run_type}, dy double, dx double, p double")
+    return share.select("run", "dy", "dx", "g").groupBy("run").applyInPandas(nearest, f"run {run_type}, dy double, dx double, p double")
 
 
 def drift_summary(found: DataFrame) -> DataFrame:
