@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import ann, byte_bpe, chat, decontaminate, html_text, langid, line_dedup, simhash, toxicity, warc
+from wayline.llm import ann, byte_bpe, chat, decontaminate, html_text, langid, line_dedup, periodic, simhash, toxicity, warc
 from wayline.storage import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,31 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return html_text.extract(pages).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` in which the words of every tenth text, by the crc32 of its id, repeat from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.array_remove(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), "")
+    n, g = F.size(words).cast("long"), F.floor(h / 10)
+    a = g % F.greatest(n, F.lit(1))
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    unit = F.slice(words, (a + 1).cast("int"), p.cast("int"))
+    again = F.slice(F.flatten(F.array_repeat(unit, F.ceil((n - a) / p).cast("int"))), F.lit(1), (n - a).cast("int"))
+    changed = F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), again), " ")
+    return docs.withColumn("text", F.when((h % 10 == 0) & (F.size(words) > 0), changed).otherwise(F.col("text")))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_periods(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    most, line = periodic.strongest(F.col("runs")), lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    found = periodic.periodic_runs(docs).select("*", most.alias("most"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"most.{k}").alias(k) for k in ("start", "length", "period")],
+        F.floor(1000 * F.col("most.length") / F.col("most.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
