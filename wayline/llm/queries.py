@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import ann, byte_bpe, chat, decontaminate, html_text, langid, line_dedup, periodic, simhash, toxicity, warc
+from wayline.llm import ann, byte_bpe, chat, decontaminate, html_text, langid, line_dedup, manifest, periodic, simhash, toxicity, warc
 from wayline.storage import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,72 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*manifest.FIELDS)
+    altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    values = [F.replace("text", F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in manifest.FIELDS]
+    proved = manifest.manifest(docs, keep=[F.when(altered, manifest.row_digest(values)).alias("tampered")])
+    folded = proved.withColumn("folded_root", manifest.fold(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(manifest.siblings(F.col("proof")), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+ORACLES["op13_merkle_manifest"] = r"""
+WITH RECURSIVE polynomial AS (
+    SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab
+    FROM range(256) AS r(i)
+), marked AS (
+    SELECT *, coalesce('=' || source, '') AS grp,
+           xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+                           lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 2 = 0 AS altered
+    FROM documents, polynomial
+), shown AS (
+    SELECT doc_id, grp, altered, text,
+           coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+    FROM marked
+), leaves AS (
+    SELECT doc_id, grp, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+           CASE WHEN altered THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) END AS tampered
+    FROM shown
+), numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM leaves
+), tree AS (
+    SELECT grp, 0 AS level, idx, n, leaf AS digest FROM numbered
+    UNION ALL
+    SELECT grp, any_value(level) + 1, idx // 3, any_value((n + 2) // 3), sha256(string_agg(digest, '' ORDER BY idx))
+    FROM tree WHERE n > 1 GROUP BY grp, idx // 3
+), subroots AS (
+    SELECT grp, digest AS subroot, row_number() OVER (ORDER BY grp) - 1 AS sidx, count(*) OVER () AS n FROM tree WHERE n = 1
+), over AS (
+    SELECT 0 AS level, sidx AS idx, n, subroot AS digest FROM subroots
+    UNION ALL
+    SELECT any_value(level) + 1, idx // 3, any_value((n + 2) // 3), sha256(string_agg(digest, '' ORDER BY idx)) FROM over WHERE n > 1 GROUP BY idx // 3
+), steps AS (
+    SELECT grp, level, idx, coalesce(string_agg(digest, '') OVER b, '') AS before, coalesce(string_agg(digest, '') OVER a, '') AS after FROM tree WHERE n > 1
+    WINDOW b AS (PARTITION BY grp, level, idx // 3 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+           a AS (PARTITION BY grp, level, idx // 3 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
+), over_steps AS (
+    SELECT level, idx, coalesce(string_agg(digest, '') OVER b, '') AS before, coalesce(string_agg(digest, '') OVER a, '') AS after FROM over WHERE n > 1
+    WINDOW b AS (PARTITION BY level, idx // 3 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+           a AS (PARTITION BY level, idx // 3 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
+), paths AS (
+    SELECT d.grp, d.idx, s.level, s.before, s.after FROM numbered d JOIN steps s ON s.grp = d.grp AND s.idx = d.idx // power(3, s.level)::BIGINT
+    UNION ALL
+    SELECT d.grp, d.idx, 1000 + s.level, s.before, s.after
+    FROM numbered d JOIN subroots r ON r.grp = d.grp JOIN over_steps s ON s.idx = r.sidx // power(3, s.level)::BIGINT
+), proofs AS (
+    SELECT grp, idx, string_agg(before || after, '' ORDER BY level) AS proof, list(before || '|' || after ORDER BY level) AS walk FROM paths GROUP BY grp, idx
+), folded AS (
+    SELECT d.doc_id, d.leaf, r.subroot, (SELECT digest FROM over WHERE n = 1) AS root, sha256(coalesce(p.proof, '')) AS proof_sha256,
+           list_reduce(list_concat([coalesce(d.tampered, d.leaf)], coalesce(p.walk, [])),
+                       lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) AS folded_root
+    FROM numbered d JOIN subroots r ON r.grp = d.grp LEFT JOIN proofs p ON p.grp = d.grp AND p.idx = d.idx
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""
