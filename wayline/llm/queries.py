@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import ann, byte_bpe, chat, decontaminate, html_text, langid, line_dedup, manifest, periodic, simhash, toxicity, warc
+from wayline.llm import ann, byte_bpe, chat, decontaminate, html_text, langid, line_dedup, manifest, periodic, setsketch, simhash, toxicity, warc
 from wayline.storage import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -262,3 +262,8 @@ WITH RECURSIVE polynomial AS (
 )
 SELECT *, folded_root = root AS verified FROM folded
 """
+
+
+@query
+def op12_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
