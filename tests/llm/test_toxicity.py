@@ -3,7 +3,7 @@ import random
 import time
 import zlib
 
-from wayline.llm import toxicity
+from wayline.llm import filters, toxicity
 
 
 def test_folding():
@@ -132,7 +132,20 @@ def test_labels_meet_their_documents(spark, monkeypatch):
     may = lambda d: zlib.crc32(str(d).encode()) % 3 != 1
     known = {d: d % 2 for d in range(0, 400, 3) if may(d)} | ({6: 1} if may(6) else {})
     want = sorted((f"t{d}", known[d]) for d in [*range(300), 5] if d in known)
-    for bits in (1 << 23, 64, 8192):
-        monkeypatch.setattr(toxicity, "FILTER_BITS", bits)
+    for bits in (1 << 24, 64, 8192):
+        monkeypatch.setattr(filters, "MOST_BITS", bits)
         assert sorted(tuple(r) for r in toxicity.join_labels(docs, labels).collect()) == want
     assert toxicity.join_labels(docs, labels.limit(0)).count() == 0
+
+
+def test_folding_is_linear_in_the_text():
+    texts = ["б" * 999_999 + "o", "б" * 500_000 + "аo", "0" * 1_000_000, "字" * 1_000_000 + "ｂ", "@" * 1_000_000, "0@" * 500_000 + "a", "a|" * 500_000]
+    for text in texts:
+        began = time.perf_counter()
+        toxicity.fold(text)
+        assert time.perf_counter() - began < 5, text[:4]
+
+
+def test_folding_of_runs():
+    assert toxicity.fold("1d10t! $0 @!b 0") == "ldlot! $0 @!b 0"
+    assert toxicity.fold("бes") == "бes" and toxicity.fold("иdiоt ｂｅ") == "иdlot be"

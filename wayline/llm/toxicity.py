@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline.llm.batches import small_batches
+from wayline.llm.filters import may_hold
 from wayline.storage import discard, materialize
 
 # Lookalike letters, and what they look like.
@@ -43,23 +44,44 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "class clown", "clown fish"
 _WIDE = {0xFF41 + k: chr(97 + k) for k in range(26)}
 _LETTERS = {ord(k): v for k, v in LOOKALIKES.items()} | _WIDE
 _ODD = re.compile("[" + "".join(map(chr, _LETTERS)) + "]")
-_MIXED = re.compile(r"\w*(?:[a-z]" + _ODD.pattern + "|" + _ODD.pattern + r"[a-z])\w*|[ａ-ｚ]+")
+_BESIDE = re.compile("[a-z]" + _ODD.pattern + "|" + _ODD.pattern + "[a-z]")
+_RUN, _WIDE_RUN = re.compile(r"\w+"), re.compile("[ａ-ｚ]+")
 _HIDDEN = re.compile(f"[{INVISIBLE}]+")
-_SUBSTITUTE = re.compile(r"[0134578](?=[0134578@$!|]*[a-z])|(?<=[a-z0134578])[@$!|](?=[0134578@$!|]*[a-z])")
+_CODED = re.compile(r"[0134578@$!|]+")
 _STANDS_FOR = DIGITS | SIGNS
 _WORD = re.compile(r"[^\W_]+")
 PREFIXES = (4, 5, 6, 7)
 _FLUSH = 300_000
 
 
+def _latin(run: re.Match) -> str:
+    """A run of word characters in which a lookalike stands beside a Latin letter, in Latin; of others the wide letters alone."""
+    word = run.group()
+    if _BESIDE.search(word):
+        return word.translate(_LETTERS)
+    return _WIDE_RUN.sub(lambda m: m.group().translate(_WIDE), word)
+
+
+def _decoded(run: re.Match) -> str:
+    """A run of digits and signs before a letter as letters; a sign counts after a letter or digit only."""
+    text, end = run.string, run.end()
+    if not (end < len(text) and "a" <= text[end] <= "z"):
+        return run.group()
+    last, out = text[run.start() - 1] if run.start() else "", []
+    for c in run.group():
+        out.append(_STANDS_FOR[c] if c in DIGITS or "a" <= last <= "z" or last in DIGITS else c)
+        last = c
+    return "".join(out)
+
+
 def fold(text: str | None) -> str:
     """The form in which texts and entries meet; empty for null."""
     t = (text or "").lower()
     if not t.isascii():
         t = _HIDDEN.sub("", t)
         if _ODD.search(t):
-            t = _MIXED.sub(lambda m: m.group().translate(_LETTERS), t)
-    t = _SUBSTITUTE.sub(lambda m: _STANDS_FOR[m.group()], t)
+            t = _RUN.sub(_latin, t)
+    t = _CODED.sub(_decoded, t)
     return t.replace("i", "l")
 
 
@@ -326,19 +348,6 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-#: Bits of the filter that keeps most documents without a label from being shuffled: 1 MB, whatever the tables' size.
-FILTER_BITS = 1 << 23
-
-
-def _may_hold(docs: DataFrame, known: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` without most rows whose id is not in ``known``: ids set bits by a hash, those bits are broadcast."""
-    bit = F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS))
-    word, mark = F.floor(bit / 64).alias("__word"), F.expr(f"shiftleft(1L, int(pmod(pmod(xxhash64({id_col}), {FILTER_BITS}), 64)))")
-    words = known.select(word, mark.alias("__m")).groupBy("__word").agg(F.bit_or("__m").alias("__bits"))  # FILTER_BITS / 64 rows at most
-    met = docs.select("*", word).join(F.broadcast(words), "__word")
-    return met.where(F.col("__bits").bitwiseAND(mark) != 0).drop("__word", "__bits")
-
-
 def join_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "toxic") -> DataFrame:
     """``text, toxic`` of the labelled documents that may be learned from.
 
@@ -348,5 +357,6 @@ def join_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labe
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(id_col))
     known = materialize(known.groupBy(id_col).agg(F.max(label).alias("toxic")), "labels")
+    n_known = known.count()
     rows = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(id_col, "text")
-    return _may_hold(rows, known, id_col).join(known.hint("merge"), id_col).select("text", "toxic")
+    return may_hold(rows, known, [id_col], n_known).join(known.hint("merge"), id_col).select("text", "toxic")
