@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.operators import binning as B
-from wayline.operators import fields, grids, joins, maps, resampling, rhythm, shapes, tracking
+from wayline.operators import fields, grids, joins, maps, peaks, resampling, rhythm, shapes, tracking
+from wayline.operators import sequence as S
 from wayline.queries import CELL, FS, SHAPE, SIZE, _half, _map, query, r6
 from wayline.sources import adapters as A
 
@@ -206,6 +207,31 @@ def field_triangles(spark: SparkSession, sf: str) -> DataFrame:
     return fields.field_triangles(fields.field_areas(fields.find_fields(m, ("tet",), SIZE, least_cm2=100.0), ("tet",), SIZE), ("tet",), 30.0)
 
 
+@query(
+    """, a AS (SELECT i, x, y, round(avg(v) OVER (ORDER BY i ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING), 6) AS rate,
+       avg(k::DOUBLE) OVER (ORDER BY i ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS m FROM pos JOIN ev USING (i)
+), s AS (SELECT i, x, y, rate, CASE WHEN m < 45 THEN 0 WHEN m < 52 THEN 1 ELSE 2 END AS label FROM a
+), c AS (SELECT *, sum((label IS DISTINCT FROM p)::INT) OVER (ORDER BY i) AS g FROM (SELECT *, lag(label) OVER (ORDER BY i) AS p FROM s)
+), r AS (SELECT g, any_value(label) AS label, min(i) AS f, max(i) AS l, max(i) - min(i) + 1 AS n, max(rate) AS top, min(i) FILTER (WHERE rate = mx) AS peak
+         FROM (SELECT *, max(rate) OVER (PARTITION BY g) AS mx FROM c WHERE label > 0) GROUP BY g HAVING max(rate) > 40
+), b AS (SELECT r.g, max(s.i) FILTER (WHERE s.i >= f AND s.i < peak) AS a, min(s.i) FILTER (WHERE s.i > peak AND s.i <= l) AS b,
+         max(s.i) FILTER (WHERE s.i < f) AS lft, min(s.i) FILTER (WHERE s.i >= l) AS rgt
+         FROM r JOIN s ON s.i BETWEEN f - n AND l + n - 1 AND s.rate < top * 0.75 GROUP BY r.g
+), w AS (SELECT r.*, coalesce(a + 1, lft + 1) AS "start", coalesce(b - 1, rgt) AS "end" FROM r JOIN b USING (g)
+         WHERE (a IS NOT NULL OR f - 1 - lft < n * 0.4) AND (b IS NOT NULL OR rgt - l < n * 0.4)
+), d AS (SELECT g, max(sqrt(power(p.x - q.x, 2) + power(p.y - q.y, 2))) AS width FROM w JOIN s p ON p.i BETWEEN "start" AND "end" JOIN s q ON q.i BETWEEN p.i AND "end" GROUP BY g)
+SELECT row_number() OVER (ORDER BY f) AS run, label, f AS first, l AS last, peak AS i, top AS rate, "start", "end", round(width, 6) AS width FROM w JOIN d USING (g)"""
+)
+def run_peaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Peaks of a smoothed rate in runs through two regions."""
+    e = A.positions(spark, sf).join(A.events(spark, sf).select("i", "v", F.col("k").cast("double").alias("k")), "i")
+    mean = lambda c, r: lambda w: F.avg(c).over(w.rowsBetween(-r, r))
+    s = S.framed(e, {"rate": mean("v", 4), "m": mean("k", 7)}, 7, 7).withColumn("rate", F.round("rate", 6))
+    s = s.withColumn("label", F.when(F.col("m") < 45, 0).when(F.col("m") < 52, 1).otherwise(2))
+    found = peaks.find_run_peaks(s, least=40.0, share=0.75, wing=0.4)
+    return peaks.run_peak_widths(found, e).select("run", "label", "first", "last", "i", "rate", "start", "end", *r6("width"))
+
+
 @query()
 def line_autocorrelation(spark: SparkSession, sf: str) -> DataFrame:
     """Properties of a cell's radial autocorrelogram within two seconds."""
