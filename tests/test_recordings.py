@@ -74,6 +74,34 @@ def test_signal(spark, folder):
     assert [r.i for r in rows if r.is_bad] == list(range(1000 - 375, 1000 + 376))
 
 
+@pytest.mark.parametrize("records", [7, 1000, 1 << 20])
+def test_ranges_give_the_rows_of_whole_files(spark, folder, records):
+    d = folder[0]
+    same = lambda a, b: sorted(map(str, a.select(b.columns).collect())) == sorted(map(str, b.withColumn("path", F.regexp_replace("path", "^file:/*", "/")).collect()))
+    leds = recordings.read_leds(spark, d, 2, records=records)
+    assert same(leds, recordings.leds(recordings.contents(spark, d, "*.pos"), 2)) and leds.count() == 136
+    assert leds.rdd.getNumPartitions() >= 68 // records
+    for waves in (False, True):
+        got = recordings.read_spikes(spark, f"file://{d}", "r1.*", waves=waves, records=records)
+        assert same(got, recordings.spikes(recordings.contents(spark, d, "r1.*"), waves=waves)) and got.count() == 10
+    got = recordings.read_signal(spark, d, 250.0, records=records)
+    assert same(got, recordings.signal(recordings.contents(spark, d, "*.eeg"), 250.0)) and got.count() == 2990
+    assert recordings.read_leds(spark, d, 1, "*.none").count() == 0
+    assert recordings.read_leds(spark, f"{d}/r1.pos", 1).count() == 68
+
+
+def test_a_file_larger_than_a_row_may_be(spark, tmp_path):
+    n = 10_200_000  # spikes of 216 bytes: 2.2 GB, most of them a hole in the file
+    with open(tmp_path / "long.3", "wb") as f:
+        f.write(b"timebase 96000 hz\r\ndata_start")
+        start = f.tell()
+        f.seek(start + (n - 1) * 216)
+        f.write(np.array([(960, [1] * 50)] * 4, recordings.SPIKE).tobytes() + b"\r\ndata_end\r\n")
+    got = recordings.read_spikes(spark, str(tmp_path / "long.3"), records=1 << 22)
+    assert tuple(got.agg(F.count("*"), F.max("k"), F.max("tick"), F.sum("tick"), F.max("t_s")).first()) == (n, n - 1, 960, 960, 0.01)
+    assert got.rdd.getNumPartitions() > 4
+
+
 def test_catalog(spark, tmp_path):
     (tmp_path / "c.csv").write_text("2,CM,1,a,b,c,d,e,f,g\n1,MC,2,a,b,c,d,e,f,g\nnotes,,,,,,,,,\n")
     got = catalog.experiments(spark, str(tmp_path / "c.csv")).orderBy("Animal").collect()

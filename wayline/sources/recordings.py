@@ -1,10 +1,11 @@
 """Recording files as tables: a text header of ``key value`` lines, then fixed-width binary records.
 
-A file is one row of ``binaryFile``; listings and headers stay in the JVM, records
-are decoded by numpy, a file at a time and in batches, so a session of any number
-of files is spread over the cluster. Files that are not there give no rows. Every
-table carries ``path``, ``trial`` (the file's name without its endings) and, for
-tetrodes and cuts, ``tet``.
+Records come from the data source of :mod:`record_files` (``read_leds``,
+``read_spikes``, ``read_signal``), in ranges of a file each. Small files, such as
+those of settings and clusters, are rows of ``binaryFile``, as are records where
+they are at hand as contents (``leds``, ``spikes``, ``signal``: up to 2 GB a file).
+Files that are not there give no rows. Every table carries ``path``, ``trial`` (the
+file's name without its endings) and, for tetrodes and cuts, ``tet``.
 """
 
 from __future__ import annotations
@@ -12,24 +13,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayline.operators import sequence as S
+from wayline.sources import record_files as R
+from wayline.sources.record_files import CLU_NAME, CUT_NAME, POSITION, SPIKE, TETRODE_NAME  # noqa: F401 (parts of this module's interface)
 
-# Fixed values of the file formats.
-HEAD_END, TAIL = "data_start", b"data_end"
+#: What the tracker writes for a light that it missed.
 MISSING = 1023
-POSITION = [("ts", ">i4"), ("c", ">i2", (8,))]
-SPIKE = [("ts", ">i4"), ("waveform", "i1", (50,))]
-SPIKE_ROWS = 4
-CUT_NAME = r"_(\d+)\.cut$"
-CLU_NAME = r"\.clu\.(\d+)$"
-TETRODE_NAME = r"\.(\d+)$"
-SATURATION_MARGIN, SATURATION_SPREAD_S = 2, 1.5
-
-BATCH = 1 << 16
+SATURATION_SPREAD_S = 1.5
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -52,7 +46,7 @@ def _names() -> list[Column]:
 
 def with_header(files: DataFrame) -> DataFrame:
     """``files`` with ``header``, a map; of a key that repeats the last line counts, a line of one word has an empty value."""
-    head = F.split(F.decode("content", "ISO-8859-1"), HEAD_END, 2)[0]
+    head = F.split(F.decode(F.substring("content", 1, R.HEAD_BYTES), "ISO-8859-1"), R.HEAD_END.decode(), 2)[0]
     lines = F.filter(F.split(head, r"\r?\n"), lambda s: F.length(s) > 0)
     entries = F.transform(lines, lambda s: F.struct(F.substring_index(s, " ", 1).alias("k"), F.trim(F.regexp_replace(s, r"^\S*", "")).alias("v")))
     named = files.withColumn("__e", entries)
@@ -65,27 +59,41 @@ def number(key: str) -> Column:
     return F.regexp_extract(F.col("header")[key], r"^\s*(-?[0-9.]+)", 1).try_cast("double")
 
 
-def body(content: bytes, dtype: np.dtype) -> np.ndarray:
-    """The whole records between header and trailer; empty without a header."""
-    mark = HEAD_END.encode()
-    at = content.find(mark)
-    if at < 0:
-        return np.empty(0, dtype)
-    start = at + len(mark)
-    end = content.rfind(b"\r\n" + TAIL, max(start, len(content) - 32))
-    size = (end if end >= 0 else len(content)) - start
-    return np.frombuffer(content, dtype, count=size // dtype.itemsize, offset=start)
-
-
-def _position_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for files in batches:
-        for f in files.itertuples(index=False):
-            rows = body(f.content, np.dtype(POSITION))
-            rows = rows if pd.isna(f.n) else rows[: int(f.n)]
-            for a in range(0, len(rows), BATCH):
-                part = rows[a : a + BATCH]
-                c = {f"c{j}": part["c"][:, j].astype("i4") for j in range(8)}
-                yield pd.DataFrame({"path": f.path, "trial": f.trial, "i": np.arange(a, a + len(part)), "ts": part["ts"].astype("i8"), **c})
+def _decoded(files: DataFrame, kind: str, waves: bool = False) -> DataFrame:
+    """The records of files at hand as ``path, name, content``, decoded as those that are read by ranges."""
+    made = R.KINDS[kind](waves)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, name, content in zip(*(batch.column(k) for k in range(3))):
+                data = content.as_buffer()
+                head = bytes(data[: R.HEAD_BYTES])
+                at = head.find(R.HEAD_END)
+                layout = made.layout(name.as_py(), R.header_of(head[:at])) if at >= 0 else None
+                if layout is None:
+                    continue
+                dtype, count, values = layout
+                start = at + len(R.HEAD_END)
+                back = max(start, len(data) - 32)
+                mark = bytes(data[back:]).rfind(R.TAIL)
+                whole = ((back + mark if mark >= 0 else len(data)) - start) // dtype.itemsize
+                whole = whole if count is None else min(whole, count)
+                whole -= whole % made.step
+                step = R.BATCH - R.BATCH % made.step
+                for k in range(0, whole, step):
+                    part = np.frombuffer(data, dtype, min(step, whole - k), start + k * dtype.itemsize)
+                    columns = [x if isinstance(x, pa.Array) else pa.array(x) for x in made.columns(part, k, values)]
+                    n = len(columns[0])
+                    yield pa.RecordBatch.from_arrays([pa.array([path.as_py()] * n), pa.array([R.trial_of(name.as_py())] * n), *columns], names)
+
+    names = R.names_of(kind, waves)
+    return files.select("path", "name", "content").mapInArrow(rows, R.schema_of(kind, waves))
+
+
+def _lights(rows: DataFrame, n_leds: int) -> DataFrame:
+    seen = [F.nullif(F.col(f"c{j}"), F.lit(MISSING)).cast("double") for j in range(8)]
+    lights = [F.struct(F.lit(k).alias("led"), seen[2 * k].alias("px"), seen[2 * k + 1].alias("py"), F.col(f"c{4 + k}").cast("double").alias("npix")) for k in range(n_leds)]
+    return rows.select("path", "trial", "i", F.inline(F.array(*lights)))
 
 
 def leds(files: DataFrame, n_leds: int) -> DataFrame:
@@ -94,45 +102,32 @@ def leds(files: DataFrame, n_leds: int) -> DataFrame:
     With one light the first two numbers of a record are its place and the fifth
     its size; with two, places come first and sizes fifth and sixth.
     """
-    meta = with_header(files).select("path", "trial", "content", number("num_pos_samples").alias("n"))
-    schema = "path string, trial string, i long, ts long, " + ", ".join(f"c{j} int" for j in range(8))
-    rows = meta.mapInPandas(_position_batches, schema)
-    seen = [F.nullif(F.col(f"c{j}"), F.lit(MISSING)).cast("double") for j in range(8)]
-    lights = [F.struct(F.lit(k).alias("led"), seen[2 * k].alias("px"), seen[2 * k + 1].alias("py"), F.col(f"c{4 + k}").cast("double").alias("npix")) for k in range(n_leds)]
-    return rows.select("path", "trial", "i", F.inline(F.array(*lights)))
+    return _lights(_decoded(files, "positions"), n_leds)
 
 
-def _spike_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for files in batches:
-        for f in files.itertuples(index=False):
-            rows = body(f.content, np.dtype(SPIKE))
-            for a in range(0, len(rows) - len(rows) % SPIKE_ROWS, BATCH):
-                part = rows[a : a + BATCH]
-                part = part[: len(part) - len(part) % SPIKE_ROWS]
-                ticks = part["ts"][::SPIKE_ROWS].astype("i8")
-                waves = part["waveform"].astype("i2").reshape(len(ticks), -1)
-                yield pd.DataFrame({"path": f.path, "trial": f.trial, "tet": f.tet, "k": a // SPIKE_ROWS + np.arange(len(ticks)), "tick": ticks, "timebase": f.timebase, "waveform": list(waves)})
+def read_leds(spark: SparkSession, folder: str, n_leds: int, pattern: str = "*.pos", **options) -> DataFrame:
+    """As :func:`leds`, from the files below ``folder``."""
+    return _lights(R.read(spark, folder, "positions", pattern, **options), n_leds)
+
+
+def _timed(rows: DataFrame, waves: bool) -> DataFrame:
+    return rows.select("path", "trial", "tet", "k", "tick", (F.col("tick") / F.col("timebase")).alias("t_s"), *(["waveform"] if waves else []))
 
 
 def spikes(files: DataFrame, waves: bool = False) -> DataFrame:
     """``path, trial, tet, k, tick, t_s`` from tetrode files, and ``waveform`` (four channels on end) if asked for."""
-    meta = with_header(files).withColumn("tet", F.regexp_extract("name", TETRODE_NAME, 1).try_cast("int")).where("tet is not null")
-    meta = meta.select("path", "trial", "tet", "content", number("timebase").alias("timebase"))
-    rows = meta.mapInPandas(_spike_batches, "path string, trial string, tet int, k long, tick long, timebase double, waveform array<smallint>")
-    return rows.select("path", "trial", "tet", "k", "tick", (F.col("tick") / F.col("timebase")).alias("t_s"), *(["waveform"] if waves else []))
+    return _timed(_decoded(files, "spikes", waves), waves)
+
+
+def read_spikes(spark: SparkSession, folder: str, pattern: str = "*", waves: bool = False, **options) -> DataFrame:
+    """As :func:`spikes`, from the files below ``folder``."""
+    return _timed(R.read(spark, folder, "spikes", pattern, waves, **options), waves)
 
 
-def _signal_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for files in batches:
-        for f in files.itertuples(index=False):
-            dtype = np.dtype("i1" if pd.isna(f.width) or f.width == 1 else "=i2")
-            v = body(f.content, dtype)
-            v = v if pd.isna(f.n) else v[: int(f.n)]
-            lim = np.iinfo(dtype)
-            full = (v <= lim.min + SATURATION_MARGIN) | (v >= lim.max - SATURATION_MARGIN)
-            for a in range(0, len(v), BATCH):
-                part = v[a : a + BATCH]
-                yield pd.DataFrame({"path": f.path, "trial": f.trial, "i": np.arange(a, a + len(part)), "v": part.astype("f4"), "full": full[a : a + BATCH]})
+def _marked(rows: DataFrame, fs: float) -> DataFrame:
+    r = int(fs * SATURATION_SPREAD_S)
+    near = {"is_bad": lambda w: F.max("full").over(w.rowsBetween(-r, r))}
+    return S.framed(rows, near, r, r, keys=("path", "trial"), chunk=max(S.CHUNK, 2 * r + 1)).drop("full")
 
 
 def signal(files: DataFrame, fs: float) -> DataFrame:
@@ -140,12 +135,12 @@ def signal(files: DataFrame, fs: float) -> DataFrame:
 
     Bad is what lies within 1.5 s of a sample at the limit of its type.
     """
-    n = F.coalesce(number("num_EEG_samples"), number("num_EGF_samples")).alias("n")
-    meta = with_header(files).select("path", "trial", "content", number("bytes_per_sample").alias("width"), n)
-    rows = meta.mapInPandas(_signal_batches, "path string, trial string, i long, v float, full boolean")
-    r = int(fs * SATURATION_SPREAD_S)
-    near = {"is_bad": lambda w: F.max("full").over(w.rowsBetween(-r, r))}
-    return S.framed(rows, near, r, r, keys=("path", "trial"), chunk=max(S.CHUNK, 2 * r + 1)).drop("full")
+    return _marked(_decoded(files, "signal"), fs)
+
+
+def read_signal(spark: SparkSession, folder: str, fs: float, pattern: str = "*.e[eg][gf]", **options) -> DataFrame:
+    """As :func:`signal`, from the files below ``folder``."""
+    return _marked(R.read(spark, folder, "signal", pattern, **options), fs)
 
 
 def signal_rates(files: DataFrame) -> DataFrame:
