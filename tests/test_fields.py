@@ -1,7 +1,9 @@
+import heapq
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from wayline.operators import fields, maps
+from wayline.operators import fields, maps, shapes
 
 
 def lattice(n, scale, angles):
@@ -90,3 +92,72 @@ def test_line_autocorrelation(spark):
     assert abs(r.scale - 40) < 2 and abs(r.trough - 20) < 2 and 0.1 < r.clusteriness < 0.4 and 0.3 < r.width < 1.1
     flat = fields.line_autocorrelation_properties(ac.withColumn("rate", F.lit(1.0)), 1.0).first()
     assert flat.scale is None and flat.width is None
+
+
+def flooded(heights, markers):
+    """Flooding with a heap of heights and arrivals."""
+    label, heap, age = {m: m for m in markers}, [], 0
+    h, w = heights.shape
+    for m in markers:
+        heapq.heappush(heap, (-heights.flat[m], age, m))
+        age += 1
+    while heap:
+        _, _, k = heapq.heappop(heap)
+        y, x = divmod(k, w)
+        for ny, nx in ((y - 1, x), (y, x - 1), (y, x + 1), (y + 1, x)):
+            if 0 <= ny < h and 0 <= nx < w and ny * w + nx not in label:
+                label[ny * w + nx] = label[k]
+                heapq.heappush(heap, (-heights[ny, nx], age, ny * w + nx))
+                age += 1
+    return np.array([label.get(k, -1) for k in range(h * w)]).reshape(h, w)
+
+
+def test_flooding_with_plateaus():
+    rng = np.random.default_rng(3)
+    for steps in (2, 4, 40, 256):
+        for _ in range(20):
+            a = rng.integers(0, steps, (rng.integers(1, 14), rng.integers(1, 14)))
+            a = a * 255 // max(1, steps - 1)
+            markers = fields.maxima(a)
+            tops = [(y, x) for y in range(a.shape[0]) for x in range(a.shape[1]) if a[y, x] > 0 and a[y, x] == a[max(0, y - 1) : y + 2, max(0, x - 1) : x + 2].max()]
+            assert {divmod(m, a.shape[1]) for m in markers} <= set(tops) and bool(markers) == bool(tops)
+            assert (fields.flood(a, markers) == flooded(a, markers)).all()
+
+
+def test_percentile_fields_with_holes_and_crop(spark):
+    a = np.zeros((12, 12))
+    a[2:7, 2:7] = 5.0
+    a[4, 4] = 0.0  # a hole
+    a[9, 9:11] = 7.0
+    m = spark.createDataFrame([("c", y, x, float(a[y, x])) for y in range(12) for x in range(12)], "cell string, gy int, gx int, rate double")
+    for above in (75.0, "mean"):
+        got = {(r.gy, r.gx): r.label for r in fields.find_fields(m, ("cell",), 1.0, least_cm2=1.0, above=above).collect()}
+        assert got == {**{(y, x): 2 for y in range(2, 7) for x in range(2, 7)}, (9, 9): 1, (9, 10): 1}
+    found = fields.find_fields(m, ("cell",), 1.0, least_cm2=1.0, above="mean")
+    cropped = fields.crop(found, shapes.Rectangle(3.0, 12.0, 0.0, 12.0), 12.0, 12.0, 1.0)
+    assert {(r.gy, r.gx) for r in cropped.collect()} == {(y, x) for y, x in got if x >= 4}
+
+
+def sheared(matrix, size=61, scale=14.0):
+    y, x = np.mgrid[:size, :size] - size // 2
+    u = np.linalg.inv(matrix) @ np.stack([y.ravel(), x.ravel()])
+    waves = [np.cos(4 * np.pi / np.sqrt(3) / scale * (u[0] * np.sin(t) + u[1] * np.cos(t))) for t in np.deg2rad([15, 75, 135])]
+    return np.sum(waves, axis=0).reshape(size, size) / 3
+
+
+def test_stretched_lattices_get_their_gridness_back():
+    plain = fields.measures(sheared(np.eye(2)), 1.0)
+    assert plain["gridness"] > 1.2 and fields.measures(sheared(np.eye(2)), 1.0, ellipse=True)["stretch"] < 1.05
+    for matrix in (np.diag([1.3, 1 / 1.3]), np.array([[1.0, 0.3], [0.0, 1.0]]), np.array([[0.85, 0.1], [0.2, 1.15]])):
+        a = sheared(matrix)
+        before, after = fields.measures(a, 1.0), fields.measures(a, 1.0, ellipse=True)
+        assert before["gridness"] < plain["gridness"] - 0.15
+        assert abs(after["gridness"] - plain["gridness"]) < 0.05 and abs(after["scale"] - plain["scale"] * np.sqrt(np.linalg.det(matrix))) < 1.0
+        a[0, :5] = np.nan
+        assert abs(fields.measures(a, 1.0, ellipse=True)["gridness"] - plain["gridness"]) < 0.05
+
+
+def test_first_orientation():
+    a = sheared(np.eye(2))
+    first, mean = (fields.measures(a, 1.0, orientation=o)["orientation"] for o in ("first", "mean"))
+    assert 0 < first < 60 and abs((first - mean + 30) % 60 - 30) < 5

@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayline.operators.shapes import Shape
+from wayline.operators.tracking import _ellipse
+
 ANGLES = (30, 60, 90, 120, 150)
 #: The central peak of an autocorrelogram and its neighbours.
 RING = 7
@@ -28,27 +31,82 @@ def _dense(rows: pd.DataFrame, y: str, x: str, v: str) -> tuple[np.ndarray, int,
     return a, y0, x0
 
 
-def sheds(a: np.ndarray) -> np.ndarray:
-    """For each bin the flat index of the maximum that steepest ascent over 8 neighbours reaches.
+def quantized(a: np.ndarray) -> np.ndarray:
+    """Heights from 0 (the lowest bin) to 255 (the highest); an even map is 0."""
+    low, high = float(a.min()), float(a.max())
+    return ((a - low) * (255.0 / (high - low))).astype(int) if high > low else np.zeros(a.shape, int)
+
+
+def _around(a: np.ndarray, edge: float) -> np.ndarray:
+    """The largest of each bin's 3 x 3."""
+    padded = np.pad(a, 1, constant_values=edge)
+    return np.max([padded[dy : dy + a.shape[0], dx : dx + a.shape[1]] for dy in range(3) for dx in range(3)], axis=0)
 
-    Unknown bins count as 0. Of equal bins the later one is the higher, so a convex plateau has one maximum, its last bin.
-    """
-    rank = np.empty(a.size, int)
-    rank[np.argsort(np.nan_to_num(a).ravel(), kind="stable")] = np.arange(a.size)
-    padded = np.pad(rank.reshape(a.shape), 1, constant_values=-1)
-    h, w = a.shape
-    top = np.max([padded[dy : dy + h, dx : dx + w] for dy in range(3) for dx in range(3)], axis=0)
-    to = np.argsort(rank)[top.ravel()]
-    while (to[to] != to).any():
-        to = to[to]
-    return to.reshape(a.shape)
 
+def maxima(a: np.ndarray, least: float = 0) -> list[int]:
+    """Flat indices of the regional maxima above ``least``; of bins that are equal and connected the last."""
+    top = (a > least) & (_around(a, a.min() if a.size else 0) == a)
+    return [int(k) for k in np.unique(components(top)) if k >= 0]
 
-def extents(a: np.ndarray, share: float) -> np.ndarray:
-    """The shed of each bin above ``share`` of its maximum, -1 elsewhere; maxima of 0 or less have no extent."""
-    to, v = sheds(a), np.nan_to_num(a)
-    peak = v.ravel()[to]
-    return np.where((peak > 0) & (v > share * peak), to, -1)
+
+def flood(heights: np.ndarray, markers: list[int]) -> np.ndarray:
+    """For each bin the marker (a flat index) whose water reaches it first; heights are 0 to 255.
+
+    Water spreads from the markers over the four neighbours, always from the highest
+    bin reached so far, of equal ones from the one reached first. So a plateau is
+    shared by arrival. Bins reached wait in a queue for each height.
+    """
+    h, w = heights.shape
+    level = heights.ravel().tolist()
+    to, waiting = [-1] * (h * w), [[] for _ in range(256)]
+    at, top = [0] * 256, -1
+    for m in markers:
+        to[m] = m
+        waiting[level[m]].append(m)
+        top = max(top, level[m])
+    while top >= 0:
+        if at[top] == len(waiting[top]):
+            top -= 1
+            continue
+        k = waiting[top][at[top]]
+        at[top] += 1
+        y, x = divmod(k, w)
+        for near, inside in ((k - w, y > 0), (k - 1, x > 0), (k + 1, x < w - 1), (k + w, y < h - 1)):
+            if inside and to[near] < 0:
+                to[near] = to[k]
+                waiting[level[near]].append(near)
+                top = max(top, level[near])
+    return np.array(to).reshape(h, w)
+
+
+def extents(a: np.ndarray, share: float, markers: list[int] | None = None) -> np.ndarray:
+    """The maximum (or marker) whose flood reaches each bin of at least ``share`` of it, -1 elsewhere.
+
+    Unknown bins count as 0; maxima of 0 or less have no extent.
+    """
+    v = np.nan_to_num(a)
+    markers = maxima(v) if markers is None else markers
+    if not markers:
+        return np.full(a.shape, -1)
+    to = flood(quantized(v), markers)
+    return np.where(v >= share * v.ravel()[to], to, -1)
+
+
+def filled(inside: np.ndarray) -> np.ndarray:
+    """``inside`` with its holes: what no path over four neighbours leads to from the border."""
+    out = np.pad(~inside, 1, constant_values=True)
+    reached = np.zeros_like(out)
+    reached[[0, -1], :], reached[:, [0, -1]] = True, True
+    while True:
+        more = reached.copy()
+        more[1:] |= reached[:-1]
+        more[:-1] |= reached[1:]
+        more[:, 1:] |= reached[:, :-1]
+        more[:, :-1] |= reached[:, 1:]
+        more &= out
+        if (more == reached).all():
+            return ~reached[1:-1, 1:-1]
+        reached = more
 
 
 def components(inside: np.ndarray) -> np.ndarray:
@@ -71,26 +129,50 @@ def extent_of(a: np.ndarray, peak: tuple[int, int], share: float = 0.5, level: f
     return (of == of[peak]) & (of >= 0)
 
 
+#: Of 255, what the height of a field's peak is above.
+LEAST_PEAK = 10
+
+
 def find_fields(
-    m: DataFrame, keys: tuple[str, ...], bin_cm: float, share: float = 0.5, least_cm2: float = 40.0, value: str = "rate", relative: tuple[int, float] | None = None, whole: bool = False
+    m: DataFrame,
+    keys: tuple[str, ...],
+    bin_cm: float,
+    share: float = 0.5,
+    least_cm2: float = 40.0,
+    value: str = "rate",
+    relative: tuple[int, float] | None = None,
+    whole: bool = False,
+    above: float | str | None = None,
 ) -> DataFrame:
-    """``keys, gy, gx, rate, label``: bins above ``share`` of the maximum that ascent leads to; fields below ``least_cm2`` go.
-
-    ``whole``: bins above ``share`` of the map's largest instead, a field being what
-    is connected. ``relative`` (k, x): fields below x of the k-th largest area
-    (of the smallest, if there are fewer) go too. Labels count from 1 by falling
-    peak, ties by later bin first.
+    """``keys, gy, gx, rate, label``: the fields of each map; those below ``least_cm2`` go.
+
+    A field is what the flood from a maximum reaches of at least ``share`` of that
+    maximum; heights are told apart in 255 steps, and a maximum is above LEAST_PEAK of
+    them. With ``whole`` it is what is connected above ``share`` of the map's
+    largest rate; with ``above`` what is connected above that percentile of the
+    known bins, or above their ``mean``, holes included. ``relative`` (k, x): fields
+    below x of the k-th largest area (of the smallest, if there are fewer) go too.
+    Labels count from 1 by falling peak, ties by later bin first.
     """
     names = list(keys)
 
-    def cut(a: np.ndarray) -> np.ndarray:
-        if not whole:
-            return extents(a, share)
-        v = np.nan_to_num(a)
-        of = components(v > share * v.max())
+    def joined(inside: np.ndarray, v: np.ndarray) -> np.ndarray:
+        of = components(inside)
         peak = {int(p): int(max(np.flatnonzero(of.ravel() == p), key=lambda k: (v.ravel()[k], k))) for p in np.unique(of[of >= 0])}
         return np.vectorize(lambda p: peak.get(int(p), -1), otypes=[int])(of)
 
+    def cut(a: np.ndarray) -> np.ndarray:
+        v = np.nan_to_num(a)
+        if above is not None:
+            known = a[~np.isnan(a)]
+            level = known.mean() if above == "mean" else np.percentile(known, above)
+            return joined(filled(v > level), v)
+        if whole:
+            return joined(v > share * v.max(), v)
+        top = v.max()
+        steps = (v * 255.0 / top).astype(int) if top > 0 else np.zeros(v.shape, int)
+        return extents(a, share, maxima(steps, LEAST_PEAK))
+
     def label(rows: pd.DataFrame) -> pd.DataFrame:
         a, y0, x0 = _dense(rows, "gy", "gx", value)
         of, v = cut(a), np.nan_to_num(a).ravel()
@@ -110,16 +192,20 @@ def find_fields(
     return part.groupBy(*keys).applyInPandas(label, types + ", label int")
 
 
-def rotated(a: np.ndarray, degrees: float) -> np.ndarray:
-    """``a`` turned about its middle, bilinear; NaN where that needs an unknown bin."""
+def crop(found: DataFrame, shape: Shape, height: float, width: float, bin_cm: float) -> DataFrame:
+    """``found`` without bins outside of an arena's shape or beside such a bin."""
+    grid = shape.mask(found.sparkSession, height, width, bin_cm)
+    beside = [F.struct((F.col("gy") + dy).alias("gy"), (F.col("gx") + dx).alias("gx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    out = grid.where("outside").select(F.inline(F.array(*beside))).distinct()
+    return found.join(F.broadcast(out), ["gy", "gx"], "left_anti")  # as many rows as the arena has bins
+
+
+def sampled(a: np.ndarray, sy: np.ndarray, sx: np.ndarray) -> np.ndarray:
+    """``a`` at the places ``sy, sx``, bilinear; NaN where that needs an unknown bin."""
     h, w = a.shape
-    cy, cx, t = (h - 1) / 2, (w - 1) / 2, np.deg2rad(degrees)
-    y, x = np.mgrid[:h, :w]
-    sy = np.cos(t) * (y - cy) + np.sin(t) * (x - cx) + cy
-    sx = -np.sin(t) * (y - cy) + np.cos(t) * (x - cx) + cx
     sy, sx = np.round(sy, 9), np.round(sx, 9)
     y0, x0 = np.floor(sy).astype(int), np.floor(sx).astype(int)
-    out = np.zeros((h, w))
+    out = np.zeros(sy.shape)
     for dy in (0, 1):
         for dx in (0, 1):
             weight = np.where(dy, sy - y0, 1 - sy + y0) * np.where(dx, sx - x0, 1 - sx + x0)
@@ -130,6 +216,21 @@ def rotated(a: np.ndarray, degrees: float) -> np.ndarray:
     return out
 
 
+def transformed(a: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """The map in which what lies at ``p`` from the middle has moved to ``matrix @ p`` (y, x)."""
+    h, w = a.shape
+    cy, cx = (h - 1) / 2, (w - 1) / 2
+    y, x = np.mgrid[:h, :w]
+    back = np.linalg.inv(matrix)
+    return sampled(a, back[0, 0] * (y - cy) + back[0, 1] * (x - cx) + cy, back[1, 0] * (y - cy) + back[1, 1] * (x - cx) + cx)
+
+
+def rotated(a: np.ndarray, degrees: float) -> np.ndarray:
+    """``a`` turned about its middle, bilinear; NaN where that needs an unknown bin."""
+    c, s = np.cos(np.deg2rad(degrees)), np.sin(np.deg2rad(degrees))
+    return transformed(a, np.array([[c, -s], [s, c]]))
+
+
 def _correlate(a: np.ndarray, b: np.ndarray) -> float:
     ok = ~(np.isnan(a) | np.isnan(b))
     x, y = a[ok] - a[ok].mean() if ok.any() else a[ok], b[ok] - b[ok].mean() if ok.any() else b[ok]
@@ -137,26 +238,75 @@ def _correlate(a: np.ndarray, b: np.ndarray) -> float:
     return float((x * y).sum() / d) if d > 0 else np.nan
 
 
-def measures(a: np.ndarray, bin_cm: float) -> dict[str, float]:
-    """Of an autocorrelogram with offset 0 in the middle: ``n_peaks, scale, orientation, gridness``.
-
-    The six maxima nearest the central one give the median distance and the mean
-    angle (in degrees modulo 60). Gridness compares the ring they lie in, as far out
-    as their half-height fields reach and without the central field, with itself
-    turned: the smaller of 60 and 120 degrees less the largest of 30, 90 and 150.
-    """
+def _ring(a: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """Each bin's field, the central maximum and those nearest it, and each bin's distance from the middle."""
     c = np.array(a.shape) // 2
     y, x = np.mgrid[: a.shape[0], : a.shape[1]]
     dist = np.hypot(y - c[0], x - c[1])
-    of = extents(a, 0.5)
-    near = sorted((int(p) for p in np.unique(of[of >= 0])), key=lambda p: (round(dist.ravel()[p], 9), p))[:RING]
-    out = {"n_peaks": len(near), "scale": np.nan, "orientation": np.nan, "gridness": np.nan}
+    v = np.nan_to_num(a)
+    peaks = maxima(v)
+    return extents(a, 0.5, peaks), sorted(peaks, key=lambda p: (round(dist.ravel()[p], 9), p))[:RING], dist
+
+
+def circling(a: np.ndarray) -> np.ndarray | None:
+    """The map (y, x) that turns the ellipse through the six maxima around the central one into a circle of its area; None without one."""
+    _, near, _ = _ring(a)
+    if len(near) < RING:
+        return None
+    y, x = np.divmod(np.array(near[1:]), a.shape[1]) - np.array(a.shape)[:, None] // 2
+    terms = np.stack([x * x, x * y, y * y, x, y, np.ones(len(x))]).astype(float)
+    scale = max(1.0, float(np.abs(terms[3:5]).max()))
+    terms /= np.array([scale**2, scale**2, scale**2, scale, scale, 1])[:, None]
+    *_, major, minor, angle = _ellipse(len(x), (terms @ terms.T)[np.triu_indices(6)])
+    if not (major > 0 and minor > 0):
+        return None
+    along = np.array([np.sin(angle), np.cos(angle)])
+    across = np.array([np.cos(angle), -np.sin(angle)])
+    r = math.sqrt(major * minor)
+    return r / major * np.outer(along, along) + r / minor * np.outer(across, across)
+
+
+def _orientation(y: np.ndarray, x: np.ndarray, mode: str) -> float:
+    angle = np.arctan2(y, -x)
+    if mode == "first":
+        return float(np.degrees(angle[angle > 0].min())) if (angle > 0).any() else np.nan
+    return float(np.degrees(np.angle(np.exp(6j * angle).mean())) / 6 % 60)
+
+
+def measures(a: np.ndarray, bin_cm: float, orientation: str = "mean", ellipse: bool = False) -> dict[str, float]:
+    """Of an autocorrelogram with offset 0 in the middle: ``n_peaks, scale, orientation, gridness, stretch``.
+
+    The six maxima nearest the central one give the median distance and the
+    orientation in degrees: the mean angle modulo 60, or the ``first`` from 0 on.
+    Gridness compares the ring they lie in, as far out as their half-height fields
+    reach and without the central field, with itself turned: the smaller of 60 and
+    120 degrees less the largest of 30, 90 and 150.
+
+    ``ellipse``: before that the map is stretched so that the ellipse through the
+    six becomes a circle; as they move with it, that is done until they lie on one
+    (three times at most, each from the map as it was). ``stretch`` is the ratio of
+    its axes, 1 where nothing was done.
+    """
+    warp = np.eye(2)
+    for _ in range(3 if ellipse else 0):
+        more = circling(transformed(a, warp))
+        if more is None:
+            break
+        warp = more @ warp
+        if np.abs(more - np.eye(2)).max() < 0.01:
+            break
+    sizes = np.linalg.svd(warp, compute_uv=False)
+    if sizes[0] > sizes[1]:
+        a = transformed(a, warp)
+    c = np.array(a.shape) // 2
+    of, near, dist = _ring(a)
+    out = {"n_peaks": len(near), "scale": np.nan, "orientation": np.nan, "gridness": np.nan, "stretch": float(sizes[0] / sizes[1])}
     if len(near) < 2:
         return out
     ring = np.array(near[1:])
-    angle = np.arctan2(y.ravel()[ring] - c[0], c[1] - x.ravel()[ring])
+    y, x = np.divmod(ring, a.shape[1])
     out["scale"] = float(np.median(dist.ravel()[ring]) * bin_cm)
-    out["orientation"] = float(np.degrees(np.angle(np.exp(6j * angle).mean())) / 6 % 60)
+    out["orientation"] = _orientation(y - c[0], x - c[1], orientation)
     far = dist[np.isin(of, near)].max() if len(near) == RING else np.inf
     radius = min(far, float(min(c)))
     annulus = np.where((dist <= radius) & (of != of[c[0], c[1]]), a, np.nan)
@@ -167,20 +317,21 @@ def measures(a: np.ndarray, bin_cm: float) -> dict[str, float]:
     return out
 
 
-def grid_measures(ac: DataFrame, keys: tuple[str, ...], bin_cm: float) -> DataFrame:
-    """``keys, n_peaks, scale, orientation, gridness`` of autocorrelograms ``keys, dy, dx, r``; null where not defined."""
+def grid_measures(ac: DataFrame, keys: tuple[str, ...], bin_cm: float, orientation: str = "mean", ellipse: bool = False) -> DataFrame:
+    """``keys, n_peaks, scale, orientation, gridness`` of autocorrelograms ``keys, dy, dx, r``, and ``stretch`` with ``ellipse``; null where not defined."""
     names = list(keys)
 
     def measure(rows: pd.DataFrame) -> pd.DataFrame:
         half = np.abs(rows[["dy", "dx"]]).max().to_numpy(int)
         a = np.full((2 * half[0] + 1, 2 * half[1] + 1), np.nan)
         a[rows["dy"] + half[0], rows["dx"] + half[1]] = rows["r"].to_numpy(float)
-        return pd.DataFrame([{**{k: rows[k].iloc[0] for k in names}, **measures(a, bin_cm)}])
+        return pd.DataFrame([{**{k: rows[k].iloc[0] for k in names}, **measures(a, bin_cm, orientation, ellipse)}])
 
     part = ac.select(*keys, "dy", "dx", F.col("r").cast("double").alias("r"))
     types = "".join(f"{k} {part.schema[k].dataType.simpleString()}, " for k in names)
-    found = part.groupBy(*keys).applyInPandas(measure, types + "n_peaks int, scale double, orientation double, gridness double")
-    return found.select(*keys, "n_peaks", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("scale", "orientation", "gridness")])
+    found = part.groupBy(*keys).applyInPandas(measure, types + "n_peaks int, scale double, orientation double, gridness double, stretch double")
+    shown = ("scale", "orientation", "gridness", *(["stretch"] if ellipse else []))
+    return found.select(*keys, "n_peaks", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in shown])
 
 
 def circular_shifts(spikes: DataFrame, n_pos: Column | int, shifts: list[int]) -> DataFrame:

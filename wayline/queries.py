@@ -891,14 +891,24 @@ def shifted_ratemaps(spark: SparkSession, sf: str) -> DataFrame:
     """, m AS (SELECT floor(y / 10)::INT AS gy, floor(x / 10)::INT AS gx, count(*) FILTER (WHERE tet = 'click') * 50.0::DOUBLE / count(*) AS rate FROM pos JOIN ev USING (i) GROUP BY 1, 2
 ), bb AS (SELECT min(gy) AS a, max(gy) AS b, min(gx) AS c, max(gx) AS d FROM m), gr AS (SELECT unnest(range(a, b + 1)) AS gy, c, d FROM bb), gg AS (SELECT gy, unnest(range(c, d + 1)) AS gx FROM gr
 ), v AS (SELECT gy, gx, coalesce(rate, 0) AS v FROM gg LEFT JOIN m USING (gy, gx)
-), nx AS (SELECT gy, gx, ty, tx FROM (SELECT p.gy, p.gx, q.gy AS ty, q.gx AS tx, row_number() OVER (PARTITION BY p.gy, p.gx ORDER BY q.v DESC, q.gy DESC, q.gx DESC) AS rk
-          FROM v p JOIN v q ON abs(p.gy - q.gy) <= 1 AND abs(p.gx - q.gx) <= 1) WHERE rk = 1
-), ro AS (SELECT gy, gx, ty, tx, 0 AS d FROM nx
-    UNION ALL SELECT ro.gy, ro.gx, nx.ty, nx.tx, d + 1 FROM ro JOIN nx ON nx.gy = ro.ty AND nx.gx = ro.tx WHERE nx.ty <> ro.ty OR nx.tx <> ro.tx
-), en AS (SELECT gy, gx, arg_max(ty, d) AS ty, arg_max(tx, d) AS tx FROM ro GROUP BY 1, 2
-), fl AS (SELECT en.*, v.v, top.v AS peak FROM en JOIN v USING (gy, gx) JOIN v top ON top.gy = ty AND top.gx = tx WHERE top.v > 0 AND v.v > 0.5 * top.v
-), nm AS (SELECT ty, tx, row_number() OVER (ORDER BY any_value(peak) DESC, ty DESC, tx DESC) AS label FROM fl GROUP BY ty, tx)
-SELECT 0 AS shift, gy::INT AS gy, gx::INT AS gx, round(v, 6) AS rate, label::INT AS label FROM fl JOIN nm USING (ty, tx)""",
+), tp AS (SELECT p.gy, p.gx FROM v p JOIN v q ON abs(p.gy - q.gy) <= 1 AND abs(p.gx - q.gx) <= 1
+          GROUP BY p.gy, p.gx HAVING trunc(any_value(p.v) * 255.0 / (SELECT max(v) FROM v)) > 10 AND max(trunc(q.v * 255.0 / (SELECT max(v) FROM v))) = trunc(any_value(p.v) * 255.0 / (SELECT max(v) FROM v))
+), co AS (SELECT gy, gx, gy AS oy, gx AS ox FROM tp
+    UNION SELECT co.gy, co.gx, tp.gy, tp.gx FROM co JOIN tp ON abs(tp.gy - co.oy) <= 1 AND abs(tp.gx - co.ox) <= 1
+), dm AS (SELECT a, c, b - a + 1 AS ht, d - c + 1 AS w FROM bb
+), mk AS (SELECT list(k ORDER BY k) AS ms FROM (SELECT DISTINCT max((oy - a) * w + ox - c) AS k FROM co, dm GROUP BY gy, gx)
+), hl AS (SELECT list(255 - trunc((v - lo) * (255.0::DOUBLE / (hi - lo)))::BIGINT ORDER BY gy, gx) AS h FROM v, (SELECT min(v) AS lo, max(v) AS hi FROM v)
+), fd AS (SELECT list_transform(range(w * ht), lambda k: CASE WHEN list_contains(ms, k) THEN k ELSE -1 END) AS lab,
+          list_transform(ms, lambda k, j: h[k + 1] * 1000000000 + j * 10000 + k) AS q, len(ms)::BIGINT AS age FROM dm, mk, hl
+    UNION ALL SELECT list_transform(lab, lambda l, j: CASE WHEN list_contains(nb, j - 1) THEN lab[e % 10000 + 1] ELSE l END),
+          list_concat(list_filter(q, lambda x: x <> e), list_transform(nb, lambda k, j: h[k + 1] * 1000000000 + (age + j) * 10000 + k)), age + len(nb)
+    FROM (SELECT lab, q, age, e, h, list_filter([CASE WHEN e % 10000 >= w THEN e % 10000 - w END, CASE WHEN e % 10000 % w > 0 THEN e % 10000 - 1 END,
+              CASE WHEN e % 10000 % w < w - 1 THEN e % 10000 + 1 END, CASE WHEN e % 10000 < w * (ht - 1) THEN e % 10000 + w END], lambda k: k IS NOT NULL AND lab[k + 1] < 0) AS nb
+          FROM (SELECT *, list_min(q) AS e FROM fd WHERE len(q) > 0), hl, dm)
+), en AS (SELECT u.k // w + a AS gy, u.k % w + c AS gx, lab[u.k + 1] AS m FROM fd, dm, unnest(range(w * ht)) AS u(k) WHERE len(q) = 0
+), fl AS (SELECT en.gy, en.gx, m, v.v, top.v AS peak FROM en, dm JOIN v ON v.gy = en.gy AND v.gx = en.gx JOIN v top ON top.gy = m // w + a AND top.gx = m % w + c WHERE v.v >= 0.5 * top.v
+), nm AS (SELECT m, row_number() OVER (ORDER BY any_value(peak) DESC, m DESC) AS label FROM fl GROUP BY m)
+SELECT 0 AS shift, gy::INT AS gy, gx::INT AS gx, round(v, 6) AS rate, label::INT AS label FROM fl JOIN nm USING (m)""",
     recursive=True,
 )
 def map_fields(spark: SparkSession, sf: str) -> DataFrame:
@@ -906,6 +916,14 @@ def map_fields(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("shift", "gy", "gx", *r6("rate"), "label")
 
 
+@query()
+def gridness_ellipse(spark: SparkSession, sf: str) -> DataFrame:
+    """Grid measures of each kind of event, the ring of peaks made round before."""
+    pos = A.positions(spark, sf)
+    m = B.rate_map(pos, joins.gather(A.spikes(spark, sf), pos), 5.0, (21, 21), FS, B.gaussian(1.5), keys=("tet",)).where("rate is not null")
+    return fields.grid_measures(maps.autocorrelation(m, ("tet",)), ("tet",), 5.0, ellipse=True)
+
+
 @query()
 def gridness_shuffles(spark: SparkSession, sf: str) -> DataFrame:
     """Grid measures of a cell and of its spikes moved around the recording (shift 0 is the cell itself)."""
