@@ -23,15 +23,40 @@ def test_theta_of_a_sine(spark):
     want = np.convolve(np.pad(x, 250, mode="reflect", reflect_type="odd"), np.convolve(taps, taps[::-1]), "same")[250:-250]
     good = t.filtered.notna()
     assert np.allclose(t.filtered[good], want[good], atol=1e-9)
+    want[3000] = 0
     f = np.fft.fft(want)
     f[1 : n // 2] *= 2
     f[n // 2 + 1 :] = 0
     whole = np.fft.ifft(f)
-    inner = good & (t.index > 300) & (t.index < n - 300)
-    assert np.abs(t.amp - np.abs(whole))[inner].max() < 0.03
+    assert np.abs(t.amp - np.abs(whole))[good].max() < 1e-9
     turn = np.angle(np.exp(1j * (t.phase - np.angle(whole) - np.pi)))
-    assert np.abs(turn[inner]).max() < 0.02
-    assert abs(t.freq[inner].mean() - 8) < 0.05
+    assert np.abs(turn[good]).max() < 1e-9
+    assert abs(t.freq[300:-300].mean() - 8) < 0.05
+
+
+def analytic(x):
+    n = len(x)
+    f = np.fft.fft(x)
+    f[1 : (n + 1) // 2] *= 2
+    f[n // 2 + 1 :] = 0
+    return np.fft.ifft(f)
+
+
+def test_analytic_signal_of_whole_recordings(spark):
+    rng = np.random.default_rng(8)
+    x = np.cumsum(rng.standard_normal(100_000))
+    got = G.quadrature(frame(spark, x), "v", 250).orderBy("i").toPandas()
+    assert len(got) == len(x) and np.abs(got.imag - analytic(x).imag).max() < 1e-6
+    # several recordings of their own lengths, the last filled up; gaps count as 0
+    parts = {"a": rng.standard_normal(500), "b": rng.standard_normal(37), "c": rng.standard_normal(1)}
+    rows = pd.concat([pd.DataFrame({"r": k, "i": np.arange(len(v)), "v": v}) for k, v in parts.items()])
+    rows = rows[~((rows.r == "a") & (rows.i == 7))]
+    got = G.quadrature(spark.createDataFrame(rows), "v", 10, keys=("r",)).toPandas()
+    for k, v in parts.items():
+        full = np.pad(v, (0, -len(v) % 10))
+        full[7] = 0 if k == "a" else full[7]
+        mine = got[got.r == k].set_index("i").imag.sort_index()
+        assert len(mine) == len(v) - (k == "a") and np.allclose(mine, analytic(full).imag[mine.index], atol=1e-9)
 
 
 def test_chunks_do_not_matter(spark):

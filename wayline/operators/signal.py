@@ -1,8 +1,9 @@
 """Filters, analytic signals and spectra of long fixed-rate signals.
 
 A filter looks at a bounded stretch around a sample, so a signal is cut into
-chunks with halos, each of which takes a few numpy steps; only a spectrum looks at
-all samples, and its transform is done in two rounds of short ones. ``keys`` name
+chunks with halos, each of which takes a few numpy steps; only spectra and the
+analytic signal of a recording look at all samples, and their transforms are done
+in two rounds of short ones. ``keys`` name
 the recording; ``order`` numbers its samples from 0 without gaps.
 """
 
@@ -22,7 +23,7 @@ from wayline.operators.detection import find_events
 from wayline.operators.sequence import CHUNK, framed, smooth
 from wayline.storage import materialize
 
-#: Seconds of signal on each side from which a sample's analytic value is made.
+#: Seconds of signal on each side from which the amplitude of ripples is made.
 ANALYTIC_S = 10.0
 #: Values that one step of a spectrum's transform holds.
 _BLOCK = 1 << 16
@@ -124,19 +125,16 @@ def theta(
 
     The band is cut out by a Blackman filter of one second; ``phase`` is in 0 to 2
     pi, ``freq`` the step of the phase to the next sample in Hz. Where ``bad``
-    holds the signal counts as 0 and all four are null; so is a ``freq`` outside
-    the band. The analytic signal is made from ANALYTIC_S seconds around a sample.
+    holds the signal counts as 0, before and after the filter, and all four are
+    null; so is a ``freq`` outside the band. The analytic signal is that of the whole
+    recording, filled up with zeros to whole seconds.
     """
     spoilt = F.coalesce(bad, F.lit(False)) if bad is not None else F.lit(False)
-    of, halo = _band_analytic(band_taps(int(fs) + 1 - int(fs) % 2, *band, fs, "blackman"), fs)
-
-    def kernel(x: np.ndarray, inside: np.ndarray) -> dict[str, np.ndarray]:
-        a = of(x, inside)
-        return {"filtered": a.real, "imag": a.imag}
-
-    made = in_chunks(df, F.when(~spoilt, F.col(value)), kernel, {"filtered": "double", "imag": "double"}, halo, keys, order, chunk)
+    taps = band_taps(int(fs) + 1 - int(fs) % 2, *band, fs, "blackman")
+    cut = band_pass(df, F.when(~spoilt, F.col(value)), taps, "filtered", keys, order, chunk)
     flags = df.select(*keys, F.col(order).cast("long").alias(order), spoilt.alias("__bad"))
-    both = made.join(flags, [*keys, order])
+    cut = materialize(cut.join(flags, [*keys, order]).withColumn("filtered", F.when(F.col("__bad"), 0.0).otherwise(F.col("filtered"))), "filtered")
+    both = cut.join(quadrature(cut, "filtered", int(fs), "imag", keys, order), [*keys, order])
     phase = F.when(F.col("__bad"), F.lit(0.0)).otherwise(F.atan2("imag", "filtered") + math.pi)
     return _with_freq(both.withColumn("phase", phase), fs, band, keys, order, chunk)
 
@@ -228,43 +226,78 @@ def find_replay_events(method: str, lfp: DataFrame | None, activity: DataFrame,
 # -- spectra -----------------------------------------------------------------
 
 
-def spectrum(df: DataFrame, value: Column, n: int, keys: tuple[str, ...] = (), order: str = "i") -> DataFrame:
-    """``keys, k, re, im`` for k from 0 to n / 2: the discrete Fourier transform of ``n`` samples, a power of 2.
+def _factors(n: pd.Series) -> pd.DataFrame:
+    """Each length as a product of two that are as near as may be."""
+    first = [next(d for d in range(math.isqrt(k), 0, -1) if k % d == 0) if k else 1 for k in n.tolist()]
+    return pd.DataFrame({"n1": first, "n2": [k // d if k else 1 for k, d in zip(n.tolist(), first)]})
 
-    Missing and null samples count as 0. The signal is read as a matrix of about
-    as many rows as columns: its columns are transformed, turned by their place,
-    and then its rows, so a task holds a block of columns or rows.
-    """
-    if n < 1 or n & (n - 1):
-        raise ValueError("the length must be a power of 2")
-    n1 = 1 << ((n.bit_length() - 1 + 1) // 2)
-    n2 = n // n1
-    names = list(keys)
-    types = [f"{k} {df.schema[k].dataType.simpleString()}" for k in keys]
-    schema = ", ".join([*types, "a long, b long, re double, im double"])
 
-    def transform(length: int, turn: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            outer, which = np.unique(rows["a"].to_numpy(), return_inverse=True)
+def _transform(rows: DataFrame, keys: tuple[str, ...], inverse: bool = False) -> DataFrame:
+    """``keys, pos, re, im, n1, n2``: the discrete Fourier transform of series ``keys, pos, re, im`` of ``n1 * n2`` samples.
+
+    Missing samples are 0. A series is read as a matrix of n1 rows and n2 columns:
+    its columns are transformed, turned by their place, and then its rows, so a
+    task holds a block of columns or rows.
+    """
+    names, sign = list(keys), 2j if inverse else -2j
+    types = [f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys]
+    schema = ", ".join([*types, "a long, b long, re double, im double, n1 long, n2 long"])
+
+    def step(first: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run(part: pd.DataFrame) -> pd.DataFrame:
+            n1, n2 = int(part["n1"].iloc[0]), int(part["n2"].iloc[0])
+            length, n = n1 if first else n2, n1 * n2
+            outer, which = np.unique(part["a"].to_numpy(), return_inverse=True)
             m = np.zeros((len(outer), length), complex)
-            np.add.at(m, (which, rows["b"].to_numpy()), rows["re"].to_numpy() + 1j * rows["im"].to_numpy())
-            m = np.fft.fft(m, axis=1)
+            np.add.at(m, (which, part["b"].to_numpy()), part["re"].to_numpy() + 1j * part["im"].to_numpy())
+            m = np.fft.ifft(m, axis=1) if inverse else np.fft.fft(m, axis=1)
             inner = np.arange(length)
-            if turn:
-                m *= np.exp(-2j * math.pi * outer[:, None] * inner[None, :] / n)
-            made = {k: [rows[k].iloc[0]] * m.size for k in names}
-            return pd.DataFrame({**made, "a": np.repeat(outer, length), "b": np.tile(inner, len(outer)), "re": m.real.ravel(), "im": m.imag.ravel()})
+            if first:
+                m *= np.exp(sign * math.pi * ((outer[:, None] * inner[None, :]) % n) / n)
+            made = {k: [part[k].iloc[0]] * m.size for k in names}
+            return pd.DataFrame({**made, "a": np.repeat(outer, length), "b": np.tile(inner, len(outer)), "re": m.real.ravel(), "im": m.imag.ravel(), "n1": n1, "n2": n2})
 
         return run
 
-    x = F.coalesce(value.cast("double"), F.lit(0.0))
-    whole = df.where((F.col(order) >= 0) & (F.col(order) < n)).select(
-        *keys, (F.col(order) % n2).cast("long").alias("a"), F.floor(F.col(order) / n2).alias("b"), x.alias("re"), F.lit(0.0).alias("im")
-    )
-    columns = whole.groupBy(*keys, F.floor(F.col("a") / max(1, _BLOCK // n1))).applyInPandas(transform(n1, True), schema)
-    turned = columns.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "re", "im")
-    rows = turned.groupBy(*keys, F.floor(F.col("a") / max(1, _BLOCK // n2))).applyInPandas(transform(n2, False), schema)
-    return rows.select(*keys, (F.col("a") + F.col("b") * n1).alias("k"), "re", "im").where(F.col("k") <= n // 2)
+    whole = rows.select(*keys, (F.col("pos") % F.col("n2")).alias("a"), F.floor(F.col("pos") / F.col("n2")).alias("b"), "re", "im", "n1", "n2")
+    columns = whole.groupBy(*keys, F.floor(F.col("a") * F.col("n1") / _BLOCK)).applyInPandas(step(True), schema)
+    turned = columns.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "re", "im", "n1", "n2")
+    found = turned.groupBy(*keys, F.floor(F.col("a") * F.col("n2") / _BLOCK)).applyInPandas(step(False), schema)
+    return found.select(*keys, (F.col("a") + F.col("b") * F.col("n1")).alias("pos"), "re", "im", "n1", "n2")
+
+
+def quadrature(df: DataFrame, value: str, whole: int, to: str = "imag", keys: tuple[str, ...] = (), order: str = "i") -> DataFrame:
+    """``keys, order, to``: the imaginary part of the analytic signal of whole recordings, whose real part is ``value``.
+
+    A recording is filled up with zeros to a multiple of ``whole`` samples. Of its
+    transform the upper half is left out and what lies between its ends doubled;
+    then it is transformed back. Nulls count as 0. Where the length has a large prime factor,
+    a task holds as many samples.
+    """
+    at = F.col(order).cast("long")
+    ends = df.groupBy(*keys).agg((F.max(at) + 1).alias("__n"))
+    product = F.pandas_udf(_factors, "n1 long, n2 long")
+    sized = ends.select(*keys, (F.ceil(F.col("__n") / whole) * whole).alias("n")).select(*keys, product("n").alias("f")).select(*keys, "f.*")
+    rows = df.select(*keys, at.alias("pos"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("re"), F.lit(0.0).alias("im"))
+    rows = rows.join(sized, list(keys)) if keys else rows.crossJoin(F.broadcast(sized))  # one row
+    n = F.col("n1") * F.col("n2")
+    weight = F.when((F.col("pos") == 0) | (F.col("pos") * 2 == n), 1.0).otherwise(2.0)
+    half = _transform(rows, keys).where(F.col("pos") * 2 <= n).withColumns({"re": F.col("re") * weight, "im": F.col("im") * weight})
+    back = _transform(half, keys, inverse=True)
+    known = df.select(*keys, at.alias(order))
+    return back.select(*keys, F.col("pos").alias(order), F.col("im").alias(to)).join(known, [*keys, order], "left_semi")
+
+
+def spectrum(df: DataFrame, value: Column, n: int, keys: tuple[str, ...] = (), order: str = "i") -> DataFrame:
+    """``keys, k, re, im`` for k from 0 to n / 2: the discrete Fourier transform of ``n`` samples; missing and null ones count as 0."""
+    if n < 1:
+        raise ValueError("there is no sample")
+    f = _factors(pd.Series([n])).iloc[0]
+    inside = df.where((F.col(order) >= 0) & (F.col(order) < n))
+    x = F.coalesce(value.cast("double"), F.lit(0.0)).alias("re")
+    rows = inside.select(*keys, F.col(order).cast("long").alias("pos"), x, F.lit(0.0).alias("im"), F.lit(int(f.n1)).alias("n1"), F.lit(int(f.n2)).alias("n2"))
+    found = _transform(rows.withColumns({"n1": F.col("n1").cast("long"), "n2": F.col("n2").cast("long")}), keys)
+    return found.where(F.col("pos") * 2 <= n).select(*keys, F.col("pos").alias("k"), "re", "im")
 
 
 def power_spectrum(df: DataFrame, value: str, fs: float, max_freq: float = 125.0) -> DataFrame:

@@ -32,16 +32,37 @@ def _theta(spark: SparkSession, sf: str) -> DataFrame:
     return signal.theta(A.events(spark, sf), "v", FS, THETA, bad=F.col("v") > 400)
 
 
-@query()
+_WAVE = (
+    _FILTER.replace("(SELECT v FROM ev", "(SELECT v FROM gd").replace("SELECT i, v FROM ev UNION", "SELECT i, v FROM gd UNION").replace("FROM ev, e WHERE", "FROM gd, e WHERE").replace(", h0 AS", ", gd AS (SELECT i, CASE WHEN v > 400 THEN 0 ELSE v END AS v FROM ev), h0 AS")
+    + """, fl AS (SELECT p.i, CASE WHEN any_value(p.v) > 400 THEN 0 ELSE sum(x.v * g.v) END AS re, any_value(p.v) > 400 AS bad FROM ev p, g, x WHERE x.i = p.i + g.j GROUP BY p.i
+), l AS (SELECT 50 * CAST(ceil(count(*) / 50.0::DOUBLE) AS BIGINT) AS n FROM ev
+), ct AS (SELECT k, 2.0::DOUBLE / n / tan(pi() * k / n) AS c FROM (SELECT unnest(range(1 - (SELECT n FROM l), (SELECT n FROM l), 2)) AS k), l
+), qd AS (SELECT p.i, any_value(p.re) AS re, any_value(p.bad) AS bad, sum(s.re * c) AS im FROM fl p, fl s, ct WHERE ct.k = p.i - s.i GROUP BY p.i
+), ph AS (SELECT *, CASE WHEN bad THEN 0 ELSE atan2(im, re) + pi() END AS phase FROM qd
+), st AS (SELECT *, coalesce(lead(phase) OVER (ORDER BY i) - phase, 0) AS d FROM ph
+), fq AS (SELECT *, (d - 2 * pi() * round(d / (2 * pi()))) * 50 / (2 * pi()) AS freq FROM st)"""
+)
+
+
+@query(
+    _WAVE
+    + """ SELECT i, round(CASE WHEN NOT bad THEN re END, 4) AS filtered, round(CASE WHEN NOT bad THEN phase END, 4) AS phase,
+       round(CASE WHEN NOT bad THEN sqrt(re * re + im * im) END, 4) AS amp, round(CASE WHEN NOT bad AND freq BETWEEN 6 AND 12 THEN freq END, 4) AS freq FROM fq"""
+)
 def theta_wave(spark: SparkSession, sf: str) -> DataFrame:
     """Phase, amplitude and frequency; samples above 400 are bad."""
-    return _theta(spark, sf)
+    return _theta(spark, sf).select("i", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("filtered", "phase", "amp", "freq")])
 
 
-@query()
+@query(
+    _WAVE
+    + """, bn AS (SELECT tet, floor(round(phase, 9) * 36 / pi())::INT % 72 AS b FROM ev JOIN fq USING (i) WHERE NOT bad), nb AS (SELECT tet, b, count(*) AS n FROM bn GROUP BY 1, 2)
+SELECT tet, b, round(n / sum(n) OVER (PARTITION BY tet), 6) AS share FROM nb"""
+)
 def theta_hist(spark: SparkSession, sf: str) -> DataFrame:
     spikes = A.spikes(spark, sf).withColumnRenamed("pos_i", "eeg_i")
-    return signal.phase_histogram(spikes, _theta(spark, sf), ("tet",))
+    wave = _theta(spark, sf).withColumn("phase", F.round("phase", 9))
+    return signal.phase_histogram(spikes, wave, ("tet",)).select("tet", "b", *r6("share"))
 
 
 @query(
