@@ -3,20 +3,22 @@
 Place fields and likelihoods are joins and sums over (time bin, cell, position
 bin). The filter and the smoother are recurrences over time: sessions, and chunks of a
 long one, run side by side, and only a vector of states goes from chunk to chunk.
+Transitions are applied, not multiplied out, so hundreds of states cost no table.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayline.functions.circular import ratio
-from wayline.operators.sequence import framed, previous, scan
+from wayline.operators.sequence import framed, previous
+from wayline.storage import discard, materialize
 
 
 def transitions(states: DataFrame, n_bins: int, spread: float) -> DataFrame:
@@ -46,88 +48,187 @@ def map_decode(ll: DataFrame) -> DataFrame:
     return ll.groupBy("t").agg(F.min(F.struct((-F.col("ll")).alias("ll"), "gx")).alias("m")).select("t", F.col("m.gx").alias("gx"))
 
 
-#: Time bins of a series that one task runs through.
-CHUNK = 1 << 12
+class Moves:
+    """Transitions between states, applied without a table of all pairs where their kind allows."""
 
+    size: int
 
-def _recurrence(rows: DataFrame, session: str, matrix: Callable[[np.ndarray, bool], np.ndarray], size: int, ahead: bool, chunk: int) -> DataFrame:
-    """``session, t, p`` of the recurrence p = matrix(v, end) p, scaled to a sum of 1, over ``session, t, v``.
+    def onward(self, p: np.ndarray) -> np.ndarray:
+        """Where probabilities ``p`` of states are a step later."""
+        raise NotImplementedError
 
-    It starts uniform, from the end if ``ahead``; ``end`` is true for the row it
-    starts at. A step is linear but for its scale, so chunks of a series are first
-    multiplied out side by side, their small products are run through in order,
-    and then all chunks run from where those before them end. A series of one
-    chunk takes the last step only.
-    """
-    t = F.floor(F.col("t") / F.lit(chunk))
-    ends = rows.groupBy(session).agg((F.max if ahead else F.min)("t").alias("__end"), (F.min(t) < F.max(t)).alias("__many"))
-    cut = rows.join(ends, session).select(session, "t", "v", (F.col("t") == F.col("__end")).alias("end"), t.alias("c"), "__many")
-    kind = rows.schema[session].dataType.simpleString()
+    def back(self, v: np.ndarray) -> np.ndarray:
+        """For each state the mean of ``v`` over where it leads."""
+        raise NotImplementedError
 
-    def ordered(g: pd.DataFrame) -> Iterator[np.ndarray]:
-        g = g.sort_values("t", ascending=not ahead)
-        return (matrix(np.asarray(v, float), bool(end)) for v, end in zip(g["v"], g["end"]))
-
-    def product(g: pd.DataFrame) -> pd.DataFrame:
-        m = np.eye(size)
-        for step in ordered(g):
-            m = step @ m
-            m /= m.max() or 1.0
-        return pd.DataFrame([{session: g[session].iloc[0], "c": g["c"].iloc[0], "m": m.ravel()}])
-
-    blocks = cut.where("__many").select(session, "t", "v", "end", "c").groupBy(session, "c").applyInPandas(product, f"{session} {kind}, c bigint, m array<double>")
-
-    def carry(some: pd.DataFrame, p: np.ndarray | None) -> tuple[pd.DataFrame, np.ndarray]:
-        before = []
-        p = np.full(size, 1 / size) if p is None else p
-        for m in some["m"]:
-            before.append(p)
-            p = np.asarray(m).reshape(size, size) @ p
-            p = p / p.sum()
-        return some[[session, "c"]].assign(before=before), p
 
-    starts = scan(blocks, (session,), "c", carry, f"{session} {kind}, c bigint, before array<double>", ahead)
+class Table(Moves):
+    """``moves[a][b]``: the probability to go from a to b."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        before = g["before"].iloc[0]
-        p, done = np.full(size, 1 / size) if before is None else np.asarray(before), []
-        for step in ordered(g):
-            p = step @ p
-            p = p / p.sum()
-            done.append(p)
-        return g.sort_values("t", ascending=not ahead)[[session, "t"]].assign(p=done)
+    def __init__(self, moves: list[list[float]] | np.ndarray) -> None:
+        self.moves = np.array(moves, float)
+        self.size = len(self.moves)
+
+    def onward(self, p: np.ndarray) -> np.ndarray:
+        return self.moves.T @ p
+
+    def back(self, v: np.ndarray) -> np.ndarray:
+        return self.moves @ v
+
+
+class Walk(Moves):
+    """A normal step along a line of bins; the same sums as of :func:`random_walk`'s table, by convolution."""
+
+    def __init__(self, n_bins: int, size: float, variance: float) -> None:
+        self.size = n_bins
+        at = np.arange(1 - n_bins, n_bins) * size
+        taps = np.exp(-0.5 * at * at / variance)
+        reach = int(np.flatnonzero(taps > 0).max()) - (n_bins - 1)  # further steps are 0 in double precision
+        self.taps = taps[n_bins - 1 - reach : n_bins + reach]
+        self.sums = self._around(np.ones(n_bins))
+
+    def _around(self, v: np.ndarray) -> np.ndarray:
+        r = len(self.taps) // 2
+        return np.convolve(v, self.taps)[r : r + self.size]
+
+    def onward(self, p: np.ndarray) -> np.ndarray:
+        return self._around(p / self.sums)
+
+    def back(self, v: np.ndarray) -> np.ndarray:
+        return self._around(v) / self.sums
+
+
+class Anywhere(Moves):
+    """Every bin alike."""
+
+    def __init__(self, n_bins: int) -> None:
+        self.size = n_bins
+
+    def onward(self, p: np.ndarray) -> np.ndarray:
+        return np.full(self.size, p.sum() / self.size)
+
+    def back(self, v: np.ndarray) -> np.ndarray:
+        return np.full(self.size, v.mean())
+
+
+class Same(Moves):
+    """No move."""
+
+    def __init__(self, n_bins: int) -> None:
+        self.size = n_bins
+
+    def onward(self, p: np.ndarray) -> np.ndarray:
+        return p
+
+    def back(self, v: np.ndarray) -> np.ndarray:
+        return v
+
+
+class Switching(Moves):
+    """Kinds of movement over the same bins: from kind a to b with ``switch[a][b]``, the bins by ``kinds[a][b]``."""
+
+    def __init__(self, kinds: list[list[Moves]], switch: list[list[float]]) -> None:
+        self.kinds, self.switch, self.n = kinds, switch, kinds[0][0].size
+        self.size = len(kinds) * self.n
 
-    met = cut.drop("__many").join(starts, [session, "c"], "left")
-    return met.groupBy(session, "c").applyInPandas(run, f"{session} {kind}, t bigint, p array<double>")
+    def onward(self, p: np.ndarray) -> np.ndarray:
+        parts, every = p.reshape(-1, self.n), range(len(self.kinds))
+        return np.concatenate([sum(self.switch[a][b] * self.kinds[a][b].onward(parts[a]) for a in every) for b in every])
 
+    def back(self, v: np.ndarray) -> np.ndarray:
+        parts, every = v.reshape(-1, self.n), range(len(self.kinds))
+        return np.concatenate([sum(self.switch[a][b] * self.kinds[a][b].back(parts[b]) for b in every) for a in every])
 
-def forward_filter(ll: DataFrame, moves: list[list[float]], session: str = "session", chunk: int = CHUNK) -> DataFrame:
+
+def _as_moves(moves: Moves | list[list[float]]) -> Moves:
+    return moves if isinstance(moves, Moves) else Table(moves)
+
+
+#: Time bins of a series that one task runs through, and how many before them it runs through to forget where it began.
+CHUNK, OVERLAP = 1 << 12, 1 << 8
+#: A chunk's start is right if it differs from the end before it by no more than this.
+FORGOTTEN = 1e-12
+
+
+def _recurrence(rows: DataFrame, session: str, step: Callable[[np.ndarray | None, np.ndarray], np.ndarray], ahead: bool, chunk: int, overlap: int) -> DataFrame:
+    """``session, t, p`` of the recurrence p = step(p, v), scaled to a sum of 1, over ``session, t, v``.
+
+    It runs from each session's start, where it gets None, or from its end if
+    ``ahead``. Chunks of a series run side by side, each from ``overlap`` time bins
+    before it, where it gets None too; what it has come to when it enters the
+    chunk is compared with where the chunk before ended. As a recurrence forgets
+    its start, they mostly agree; a chunk for which they don't runs again from there,
+    and so on until all agree: the result is that of one run through, and at worst
+    there is a round for each chunk.
+    """
+    kind = rows.schema[session].dataType.simpleString()
+    t = F.col("t")
+    c, place = F.floor(t / F.lit(chunk)), F.pmod(t, F.lit(chunk))
+    near = place < overlap if ahead else place >= chunk - overlap
+    home = F.struct(c.alias("c"), F.lit(True).alias("home"))
+    beside = F.when(near, F.struct((c - 1 if ahead else c + 1).alias("c"), F.lit(False).alias("home")))
+    cut = rows.select(session, "t", "v", F.inline(F.filter(F.array(home, beside), lambda s: s.isNotNull())))
+    schema = f"{session} {kind}, c bigint, t bigint, p array<double>, before array<double>"
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("t", ascending=not ahead)
+        start = g["start"].iloc[0] if "start" in g else None
+        p, done, before, first = (None if start is None else np.asarray(start, float)), [], [], True
+        for v, at_home in zip(g["v"], g["home"]):
+            if at_home:
+                before.append(p if first else None)
+                first = False
+            p = step(p, np.asarray(v, float))
+            p = p / p.sum()
+            if at_home:
+                done.append(p)
+        out = g.loc[g["home"], [session, "c", "t"]]
+        boxed = lambda values: pd.Series(values, out.index, dtype=object)
+        return out.assign(p=boxed(done), before=boxed(before))
+
+    done = materialize(cut.groupBy(session, "c").applyInPandas(run, schema), "posterior")
+    over = Window.partitionBy(session).orderBy(F.desc("c") if ahead else F.asc("c"))
+    while True:
+        ends = done.groupBy(session, "c").agg((F.min_by if ahead else F.max_by)("p", "t").alias("last"), F.max(F.struct(F.col("before").isNotNull(), "before")).alias("b"))
+        ends = ends.select(session, "c", F.col("b.before").alias("before"), F.lag("last").over(over).alias("start"))
+        apart = F.array_max(F.zip_with("before", "start", lambda x, y: F.abs(x - y)))
+        wrong = ends.where(F.col("start").isNotNull() & (F.col("before").isNull() | (apart > FORGOTTEN))).select(session, "c", "start")
+        wrong = materialize(wrong, "again")
+        if wrong.isEmpty():
+            return done.select(session, "t", "p")
+        again = cut.where("home").join(wrong, [session, "c"]).groupBy(session, "c").applyInPandas(run, schema)
+        after = materialize(done.join(wrong, [session, "c"], "left_anti").unionByName(again), "posterior")
+        discard(done)
+        done = after
+
+
+def forward_filter(ll: DataFrame, moves: Moves | list[list[float]], session: str = "session", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``session, t, p``: causal posterior over states; ``p`` is an array in order of states.
 
     ``ll`` has ``session, t`` and ``l``, an array of log likelihoods in order of
-    states; ``moves[a][b]`` is the probability to go from a to b. The first time bin
-    starts uniform. ``chunk`` changes the work done, not the result.
+    states; ``moves`` is a table, or what applies transitions. The first time bin
+    starts uniform. ``chunk`` and ``overlap`` change the work done, not the result.
     """
-    into = np.array(moves, dtype=float).T
+    moves = _as_moves(moves)
 
-    def step(l: np.ndarray, first: bool) -> np.ndarray:
+    def step(p: np.ndarray | None, l: np.ndarray) -> np.ndarray:
         seen = np.exp(l - l.max())
-        return np.diag(seen) if first else seen[:, None] * into
+        return seen if p is None else seen * moves.onward(p)
 
-    return _recurrence(ll.select(session, F.col("t").cast("long").alias("t"), F.col("l").alias("v")), session, step, len(into), False, chunk)
+    return _recurrence(ll.select(session, F.col("t").cast("long").alias("t"), F.col("l").alias("v")), session, step, False, chunk, overlap)
 
 
-def backward_smoother(causal: DataFrame, moves: list[list[float]], session: str = "session", chunk: int = CHUNK) -> DataFrame:
+def backward_smoother(causal: DataFrame, moves: Moves | list[list[float]], session: str = "session", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``session, t, p``: acausal posterior, from the causal one run through from its end."""
-    out = np.array(moves, dtype=float)
+    moves = _as_moves(moves)
 
-    def step(p: np.ndarray, last: bool) -> np.ndarray:
-        if last:
-            return np.outer(p, np.ones(len(p)))
-        expected = out.T @ p
-        return p[:, None] * np.divide(out, expected[None, :], out=np.zeros_like(out), where=expected > 0)
+    def step(p: np.ndarray | None, here: np.ndarray) -> np.ndarray:
+        if p is None:
+            return here
+        expected = moves.onward(here)
+        return here * moves.back(np.divide(p, expected, out=np.zeros_like(p), where=expected > 0))
 
-    return _recurrence(causal.select(session, "t", F.col("p").alias("v")), session, step, len(out), True, chunk)
+    return _recurrence(causal.select(session, "t", F.col("p").alias("v")), session, step, True, chunk, overlap)
 
 
 def place_bins(spark: SparkSession, low: float, high: float, movement_var: float) -> DataFrame:
@@ -185,6 +286,45 @@ def event_states(n_bins: int, size: float, variance: float, stay: float = 0.98)
     return state_moves(kinds, [[stay if a == b else leave for b in range(3)] for a in range(3)])
 
 
+def event_moves(n_bins: int, size: float, variance: float, stay: float = 0.98) -> Switching:
+    """The moves of :func:`event_states`, applied in as many steps as there are states."""
+    walk, anywhere, same = Walk(n_bins, size, variance), Anywhere(n_bins), Same(n_bins)
+    leave = (1 - stay) / 2
+    return Switching([[walk, anywhere, walk], [anywhere] * 3, [walk, anywhere, same]], [[stay if a == b else leave for b in range(3)] for a in range(3)])
+
+
+#: The kinds of movement of :func:`event_states`, in order.
+MOVEMENTS = ["continuous", "fragmented", "stationary"]
+
+
+def event_likelihoods(counts: DataFrame, spans: DataFrame, fields: DataFrame, dt: float, session: str = "session") -> DataFrame:
+    """``session, t, l``: Poisson log likelihoods of the position bins, in order, in every time bin of each session.
+
+    ``counts`` has ``session, t, cell, n`` of what fired, ``spans`` ``session,
+    n_t``, how many time bins it has from 0 on; in a time bin in which nothing
+    fired the silence of all cells speaks. Cells without fields don't count.
+    """
+    rate = F.col("rate") * dt
+    silent = fields.groupBy("gx").agg((-F.sum("rate") * dt).alias("silent"))
+    line = silent.agg(F.transform(F.array_sort(F.collect_list(F.struct("gx", "silent"))), lambda x: x["silent"]).alias("silent"))  # a row of bins
+    cells = fields.groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("gx", F.ln(rate).alias("l")))), lambda x: x["l"]).alias("l"))
+    n = line.select(F.size("silent")).first()[0] or 0
+    terms = counts.join(cells, "cell").groupBy(session, "t").agg(*[F.sum(F.col("n") * F.col("l")[k]).alias(f"__{k}") for k in range(n)])
+    bins = spans.select(session, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_t").cast("long") - 1)).alias("t"))
+    met = bins.join(terms, [session, "t"], "left").crossJoin(F.broadcast(line))  # one row
+    return met.select(session, "t", F.array(*[F.coalesce(f"__{k}", F.lit(0.0)) + F.col("silent")[k] for k in range(n)]).alias("l"))
+
+
+def classify(counts: DataFrame, spans: DataFrame, fields: DataFrame, dt: float, n_bins: int, size: float, variance: float, session: str = "session") -> DataFrame:
+    """``session, t, state, p``: how likely each kind of movement is in each time bin, seen from the session's end.
+
+    See :func:`event_likelihoods` and :func:`event_moves`; ``fields`` has all of ``n_bins`` bins for each cell.
+    """
+    moves = event_moves(n_bins, size, variance)
+    causal = forward_filter(spread(event_likelihoods(counts, spans, fields, dt, session), len(MOVEMENTS)), moves, session)
+    return marginals(backward_smoother(causal, moves, session), MOVEMENTS, n_bins, session)
+
+
 def spread(ll: DataFrame, n_states: int) -> DataFrame:
     """``ll`` with its likelihoods of bins repeated for each state."""
     return ll.withColumn("l", F.flatten(F.array_repeat("l", n_states)))
