@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.llm import byte_bpe, decontaminate, langid, line_dedup, simhash
-from wayline.storage import materialize
+from wayline.storage import discard, materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Sets of rejected rows up to this size are broadcast (16 bytes each), larger ones joined by shuffle.
@@ -106,5 +106,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)  # a written stage goes as soon as the next is there; the input is none
     return STAGES[-1][1](spark, docs, sf_dir)
