@@ -14,6 +14,7 @@ from wayline.operators import decoding as D
 from wayline.operators import detection, fields, joins, maps, resampling, tracking
 from wayline.operators import sequence as S
 from wayline.sources import adapters as A
+from wayline.storage import materialize
 from wayline.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -863,6 +864,50 @@ def pearson_sign_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return resampling.sign_bootstrap(_pairs(spark, sf)).select(*r6("r"), "p")
 
 
+# -- replay --------------------------------------------------------------------
+
+_STATES = (
+    _EVENTS
+    + f""", b AS (SELECT (r)::INT AS gx, 5 + 10 * r AS c FROM range(10) t(r)), q AS (SELECT i, tet, round(x / 0.1) * 0.1 AS x FROM pos JOIN ev USING (i)
+), dw AS (SELECT gx, sum(exp(-0.5 * power((x - c) / 3, 2))) AS w FROM q, b GROUP BY 1), ds AS (SELECT tet, gx, sum(exp(-0.5 * power((x - c) / 3, 2))) AS n FROM q, b GROUP BY 1, 2
+), fi AS (SELECT tet, gx, greatest(n / w, 1e-15::DOUBLE) AS rate FROM ds JOIN dw USING (gx)
+), tp AS (SELECT event FROM es GROUP BY event ORDER BY count(*) DESC, event LIMIT 1
+), tb AS (SELECT unnest(range(0, floor(round(tb - ta, 6) / 60)::BIGINT + 1)) AS t FROM span JOIN tp USING (event)
+), ct AS (SELECT floor(round(t_s - ta, 6) / 60)::BIGINT AS t, tet, count(*) AS n FROM es JOIN span USING (event) JOIN tp USING (event) GROUP BY 1, 2
+), si AS (SELECT gx, -sum(rate) AS s FROM fi GROUP BY 1), fd AS (SELECT t, gx, sum(n * ln(rate)) AS f FROM ct JOIN fi USING (tet) GROUP BY 1, 2
+), ll AS (SELECT t, gx, coalesce(f, 0) + s AS ll FROM tb CROSS JOIN si LEFT JOIN fd USING (t, gx)
+), mv AS (SELECT {D.event_states(10, 10.0, 100.0)}::DOUBLE[][] AS m
+), lo AS (SELECT t, list(exp(ll - mx) ORDER BY gx) AS l FROM (SELECT *, max(ll) OVER (PARTITION BY t) AS mx FROM ll) GROUP BY t
+), lt AS (SELECT t, list_concat(list_concat(l, l), l) AS l FROM lo
+), cf AS (SELECT t, list_transform(l, lambda x: x / list_sum(l)) AS p FROM lt WHERE t = 0
+    UNION ALL SELECT t, list_transform(q, lambda x: x / list_sum(q)) FROM (
+        SELECT lt.t, list_transform(range(1, 31), lambda b: l[b] * list_sum(list_transform(range(1, 31), lambda a: p[a] * m[a][b]))) AS q FROM cf JOIN lt ON lt.t = cf.t + 1, mv)
+), sm AS (SELECT t, p FROM cf WHERE t = (SELECT max(t) FROM cf)
+    UNION ALL SELECT t, list_transform(q, lambda x: x / list_sum(q)) FROM (
+        SELECT cf.t, list_transform(range(1, 31), lambda a: cf.p[a] * list_sum(list_transform(range(1, 31), lambda b: m[a][b] * sm.p[b]
+            / list_sum(list_transform(range(1, 31), lambda c: cf.p[c] * m[c][b]))))) AS q FROM sm JOIN cf ON cf.t = sm.t - 1, mv)
+)"""
+)
+
+
+@query(
+    _STATES
+    + """ SELECT event, t, ['continuous', 'fragmented', 'stationary'][k + 1] AS state, round(list_sum(p[10 * k + 1:10 * k + 10]), 6) AS p FROM sm, tp, range(3) r(k)""",
+    recursive=True,
+)
+def event_classification(spark: SparkSession, sf: str) -> DataFrame:
+    """The busiest event, a minute of it a time bin: is what its spikes stand for moving on, jumping or staying?"""
+    spikes = materialize(_event_spikes(spark, sf).select("event", "tet", "t_s", "ta", "tb"), "event-spikes")
+    top = spikes.groupBy("event", "ta", "tb").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event").limit(1)
+    spans = top.select("event", (F.floor(F.round(F.col("tb") - F.col("ta"), 6) / 60) + 1).alias("n_t"))
+    inside = spikes.join(F.broadcast(spans), "event")  # one event
+    counts = inside.groupBy("event", F.floor(F.round(F.col("t_s") - F.col("ta"), 6) / 60).alias("t"), F.col("tet").alias("cell")).agg(F.count("*").alias("n"))
+    spk = _spike_pos(spark, sf, None).select(F.col("tet").alias("cell"), "x")
+    bins = D.place_bins(spark, 0.0, 100.0, 100.0)
+    fields = D.kernel_fields(spk, A.positions(spark, sf), bins, FS)
+    return D.classify(counts, spans, fields, 1 / FS, 10, 10.0, 100.0, "event").select("event", "t", "state", *r6("p"))
+
+
 # -- fields and grids ----------------------------------------------------------
 
 
