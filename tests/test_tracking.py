@@ -22,6 +22,27 @@ def test_jump_filter_matches_a_loop(spark):
     assert {(r.trial, r.i): r.ok for r in tracking.jump_filter(df, 3.0, ("trial",)).collect()} == want
 
 
+def test_jump_filter_within_one_track(spark):
+    """Chunks that guess their start wrong: long masked stretches, and a wrong place that many samples share."""
+    rng = np.random.default_rng(4)
+    n = 3000
+    xy = np.cumsum(rng.normal(0, 1, (n, 2)), axis=0)
+    xy[rng.random(n) < 0.1] += 80
+    xy[400:520], xy[900:905], xy[1500:1650] = np.nan, xy[900:905] + 500, xy[1500:1650] + 300
+    want, last = [], None
+    for i, (x, y) in enumerate(xy):
+        good = x == x and (last is None or (x - last[1]) ** 2 + (y - last[2]) ** 2 <= ((i - last[0]) * 2.5) ** 2)
+        last = (i, x, y) if good else last
+        want.append(bool(good))
+    df = spark.createDataFrame([(i, *(None if v != v else float(v) for v in p)) for i, p in enumerate(xy)], "i long, x double, y double").repartition(4)
+    for chunk, overlap in ((100, 10), (64, 64), (1000, 3)):
+        got = [r.ok for r in tracking.jump_filter(df, 2.5, (), chunk, overlap).orderBy("i").collect()]
+        assert got == want
+    assert 0.5 < np.mean(want) < 0.95
+    nothing = df.withColumn("x", F.lit(None).cast("double"))
+    assert not any(r.ok for r in tracking.jump_filter(nothing, 2.5, (), 100, 10).collect())
+
+
 def test_series_across_chunks(spark):
     """Chunks of a few rows give what one chunk gives."""
     from pyspark.sql import functions as F

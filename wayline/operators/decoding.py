@@ -13,12 +13,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.functions.circular import ratio
-from wayline.operators.sequence import framed, previous
-from wayline.storage import discard, materialize
+from wayline.operators.sequence import framed, previous, scan_chunks
 
 
 def transitions(states: DataFrame, n_bins: int, spread: float) -> DataFrame:
@@ -154,52 +153,18 @@ def _recurrence(rows: DataFrame, session: str, step: Callable[[np.ndarray | None
     """``session, t, p`` of the recurrence p = step(p, v), scaled to a sum of 1, over ``session, t, v``.
 
     It runs from each session's start, where it gets None, or from its end if
-    ``ahead``. Chunks of a series run side by side, each from ``overlap`` time bins
-    before it, where it gets None too; what it has come to when it enters the
-    chunk is compared with where the chunk before ended. As a recurrence forgets
-    its start, they mostly agree; a chunk for which they don't runs again from there,
-    and so on until all agree: the result is that of one run through, and at worst
-    there is a round for each chunk.
+    ``ahead``; see :func:`sequence.scan_chunks`.
     """
-    kind = rows.schema[session].dataType.simpleString()
-    t = F.col("t")
-    c, place = F.floor(t / F.lit(chunk)), F.pmod(t, F.lit(chunk))
-    near = place < overlap if ahead else place >= chunk - overlap
-    home = F.struct(c.alias("c"), F.lit(True).alias("home"))
-    beside = F.when(near, F.struct((c - 1 if ahead else c + 1).alias("c"), F.lit(False).alias("home")))
-    cut = rows.select(session, "t", "v", F.inline(F.filter(F.array(home, beside), lambda s: s.isNotNull())))
-    schema = f"{session} {kind}, c bigint, t bigint, p array<double>, before array<double>"
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("t", ascending=not ahead)
-        start = g["start"].iloc[0] if "start" in g else None
-        p, done, before, first = (None if start is None else np.asarray(start, float)), [], [], True
-        for v, at_home in zip(g["v"], g["home"]):
-            if at_home:
-                before.append(p if first else None)
-                first = False
+
+    def through(part: pd.DataFrame, p: np.ndarray | None) -> tuple[dict[str, list], np.ndarray | None]:
+        done = []
+        for v in part["v"]:
             p = step(p, np.asarray(v, float))
             p = p / p.sum()
-            if at_home:
-                done.append(p)
-        out = g.loc[g["home"], [session, "c", "t"]]
-        boxed = lambda values: pd.Series(values, out.index, dtype=object)
-        return out.assign(p=boxed(done), before=boxed(before))
-
-    done = materialize(cut.groupBy(session, "c").applyInPandas(run, schema), "posterior")
-    over = Window.partitionBy(session).orderBy(F.desc("c") if ahead else F.asc("c"))
-    while True:
-        ends = done.groupBy(session, "c").agg((F.min_by if ahead else F.max_by)("p", "t").alias("last"), F.max(F.struct(F.col("before").isNotNull(), "before")).alias("b"))
-        ends = ends.select(session, "c", F.col("b.before").alias("before"), F.lag("last").over(over).alias("start"))
-        apart = F.array_max(F.zip_with("before", "start", lambda x, y: F.abs(x - y)))
-        wrong = ends.where(F.col("start").isNotNull() & (F.col("before").isNull() | (apart > FORGOTTEN))).select(session, "c", "start")
-        wrong = materialize(wrong, "again")
-        if wrong.isEmpty():
-            return done.select(session, "t", "p")
-        again = cut.where("home").join(wrong, [session, "c"]).groupBy(session, "c").applyInPandas(run, schema)
-        after = materialize(done.join(wrong, [session, "c"], "left_anti").unionByName(again), "posterior")
-        discard(done)
-        done = after
+            done.append(p)
+        return {"p": done}, p
+
+    return scan_chunks(rows.select(session, "t", "v"), (session,), "t", through, {"p": "array<double>"}, chunk, overlap, ahead, FORGOTTEN)
 
 
 def forward_filter(ll: DataFrame, moves: Moves | list[list[float]], session: str = "session", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

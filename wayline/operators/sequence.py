@@ -9,7 +9,7 @@ for each chunk. ``keys`` name the series, where there are several.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from wayline.functions.circular import direction, ratio
+from wayline.storage import discard, materialize
 
 CHUNK = 1 << 16
 
@@ -245,29 +246,67 @@ def boxcar(df: DataFrame, value: str, width: int, to: str, keys: tuple[str, ...]
     return near.withColumn(to, (F.col("__s") + missing) / width).drop("__s", "__f", "__l", "__m")
 
 
-def scan(df: DataFrame, keys: tuple[str, ...], order: str, step: Callable, schema: str, ahead: bool = False) -> DataFrame:
-    """For recurrences that no window expresses: runs through each series in order, a batch at a time.
-
-    ``step(rows, state)`` takes consecutive rows of one series as pandas and what it
-    gave back for the rows before (None at the start of a series), and returns a
-    table and the next state. A series is never held whole; ``ahead`` runs from its end.
+def scan_chunks(
+    df: DataFrame,
+    keys: tuple[str, ...],
+    order: str,
+    step: Callable[[pd.DataFrame, np.ndarray | None], tuple[dict[str, list], np.ndarray | None]],
+    made: dict[str, str],
+    chunk: int,
+    overlap: int,
+    ahead: bool = False,
+    tolerance: float = 0.0,
+) -> DataFrame:
+    """``keys, order`` and the columns ``made`` of a recurrence that soon forgets where it began, its chunks side by side.
+
+    ``step(rows, state)`` takes consecutive rows of one series and the state before
+    them, an array of numbers or None at its start, and gives the columns and the
+    next state. Each chunk runs from ``overlap`` places before it, without a state;
+    what it has come to when it enters the chunk is compared with where the chunk
+    before ended. A chunk for which they are further apart than ``tolerance`` runs
+    again from there, and so on until all agree, so the result is that of one run
+    through. At worst, if nothing is ever forgotten, there is a round for each chunk.
+    ``ahead`` runs from the end.
     """
     names = list(keys)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state = None, None
-        for b in batches:
-            k = b[names]
-            same = ((k == k.shift()) | (k.isna() & k.shift().isna())).all(axis=1).to_numpy()
-            starts = np.flatnonzero(~same[1:]) + 1
-            for a, z in zip([0, *starts], [*starts, len(b)]):
-                if z > a:
-                    part = b.iloc[a:z]
-                    key = tuple(None if pd.isna(v) else v for v in part.iloc[0][names])
-                    if key != at:
-                        at, state = key, None
-                    out, state = step(part, state)
-                    yield out
-
-    by = F.desc(order) if ahead else F.asc(order)
-    return df.repartition(*names).sortWithinPartitions(*names, by).mapInPandas(run, schema)
+    at = F.col(order)
+    c, place = F.floor(at / F.lit(chunk)), F.pmod(at, F.lit(chunk))
+    near = place < overlap if ahead else place >= chunk - overlap
+    home = F.struct(c.alias("__c"), F.lit(True).alias("__home"))
+    beside = F.when(near, F.struct((c - 1 if ahead else c + 1).alias("__c"), F.lit(False).alias("__home")))
+    cut = df.select("*", F.inline(F.filter(F.array(home, beside), lambda s: s.isNotNull())))
+    kept = [*names, order]
+    kinds = [f"{k} {df.schema[k].dataType.simpleString()}" for k in kept] + [f"{k} {t}" for k, t in made.items()]
+    state = "array<double>"
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(order, ascending=not ahead)
+        inside = g["__home"].to_numpy(bool)
+        before = g["__start"].iloc[0] if "__start" in g else None
+        before = None if before is None else np.asarray(before, float)
+        if not inside.all():
+            before = step(g[~inside], before)[1]
+        rows = g[inside]
+        out = rows[[*kept, "__c"]]
+        boxed = lambda values: pd.Series(values, out.index, dtype=object)
+        if not len(rows):
+            return out.assign(**{k: boxed([]) for k in [*made, "__before", "__after"]})
+        columns, after = step(rows, before)
+        rest = [None] * (len(rows) - 1)
+        return out.assign(**{k: boxed(v) for k, v in columns.items()}, __before=boxed([before, *rest]), __after=boxed([*rest, after]))
+
+    schema = ", ".join([*kinds[: len(kept)], "__c bigint", *kinds[len(kept) :], f"__before {state}", f"__after {state}"])
+    done = materialize(cut.groupBy(*names, "__c").applyInPandas(run, schema), "scanned")
+    over = Window.partitionBy(*(names or [F.lit(0)])).orderBy(F.desc("__c") if ahead else F.asc("__c"))
+    while True:
+        ends = done.groupBy(*names, "__c").agg(F.first("__before", True).alias("b"), F.first("__after", True).alias("a"))
+        ends = ends.select(*names, "__c", "b", F.lag("a").over(over).alias("__start"), F.row_number().over(over).alias("__n")).where("__n > 1")
+        apart = F.array_max(F.zip_with("b", "__start", lambda x, y: F.abs(x - y)))
+        same = F.coalesce(apart <= tolerance, F.col("b").isNull() & F.col("__start").isNull())
+        wrong = materialize(ends.where(~same).select(*names, "__c", "__start"), "again")
+        if wrong.isEmpty():
+            return done.select(*kept, *made)
+        again = cut.where("__home").join(wrong, [*names, "__c"]).groupBy(*names, "__c").applyInPandas(run, schema)
+        after = materialize(done.join(wrong, [*names, "__c"], "left_anti").unionByName(again), "scanned")
+        discard(done)
+        done = after

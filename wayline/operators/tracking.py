@@ -9,33 +9,35 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
 
 from wayline.functions.circular import ratio
 from wayline.operators import sequence as S
-from wayline.operators.sequence import scan
 
 
-def jump_filter(pos: DataFrame, step: float, keys: tuple[str, ...]) -> DataFrame:
+#: Samples of a track that one task runs through, and how many before them.
+CHUNK, OVERLAP = 1 << 16, 1 << 10
+
+
+def jump_filter(pos: DataFrame, step: float, keys: tuple[str, ...], chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``keys, i, ok``: whether a sample is within reach of the last good one, ``step`` for each sample since then.
 
-    A recurrence over the samples of a track, run through in order; tracks run side
-    by side. The first known sample is good, a masked one never is.
+    The first known sample is good, a masked one never is. A recurrence over the
+    samples of a track whose state is the last good one: two runs through it that
+    both take a sample for good are one from there on, so chunks of a track run side
+    by side, each from some samples before it, and those that guessed wrong again.
     """
-    names = list(keys)
 
-    def see(rows: pd.DataFrame, last: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
+    def see(rows: pd.DataFrame, last: np.ndarray | None) -> tuple[dict[str, list], np.ndarray | None]:
         ok = []
-        for i, x, y in zip(rows["i"], rows["x"], rows["y"]):
-            known = not (np.isnan(x) or np.isnan(y))
-            good = known and (last is None or (x - last[1]) ** 2 + (y - last[2]) ** 2 <= ((i - last[0]) * step) ** 2)
-            last = (i, x, y) if good else last
+        at = None if last is None else tuple(last)
+        for i, x, y in zip(rows["i"].tolist(), rows["x"].tolist(), rows["y"].tolist()):
+            good = x == x and y == y and (at is None or (x - at[1]) ** 2 + (y - at[2]) ** 2 <= ((i - at[0]) * step) ** 2)
+            at = (i, x, y) if good else at
             ok.append(good)
-        return rows[[*names, "i"]].assign(ok=ok), last
+        return {"ok": ok}, None if at is None else np.array(at, float)
 
-    track = pos.select(*keys, "i", F.col("x").cast("double"), F.col("y").cast("double"))
-    schema = StructType([*[track.schema[k] for k in keys], track.schema["i"], StructField("ok", BooleanType())])
-    return scan(track, keys, "i", see, schema)
+    track = pos.select(*keys, F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return S.scan_chunks(track, keys, "i", see, {"ok": "boolean"}, chunk, overlap)
 
 
 def swap_lights(leds: DataFrame, keys: tuple[str, ...], reach: float = 5.0) -> DataFrame:
