@@ -7,16 +7,19 @@ two, and two sets agree in a register with a probability of little more than the
 similarity. BANDS bands of registers make the candidates: at the similarity asked
 for (0.8) a pair shares no band with a probability of 2e-9.
 
-Sets that are equal are one class. Within a band's bucket each class is compared
-with one hub, in later rounds with more (twice as many each round), and only where
-they are not connected yet: a hub leaves the bucket once it met all others, a
-bucket is done when what is left of it is connected. So no bucket gives all its
-pairs unless its members really are apart, and no pair of a bucket that could
-connect anything stays unseen. For a candidate the likelihood of the counts of larger,
-smaller and equal registers gives the similarity; what it puts below PROBABLY is
-dropped (at 0.8 that is more than five standard deviations away), the others are
-confirmed on their full sets, first the best of each class, then those that still
-lie between components.
+Sets that are equal are one class. First each class of a band's bucket is compared
+with the bucket's hub. That connects nearly all that is alike; then, where a
+bucket's classes are not all connected, those outside its largest component are
+compared with all others that they are not connected with. So no pair of a bucket
+that could connect anything stays unseen, and copies of copies don't meet in pairs.
+For a candidate the likelihood of the counts of larger, smaller and equal registers
+gives the similarity; what it puts below PROBABLY is dropped (at 0.8 that is five standard
+deviations away), the others are confirmed on their full sets. The last comparison,
+of what is nearly alike in great numbers, has FINE registers for a sharper look.
+
+Both comparisons are made in blocks (:func:`_blocks`): some of a group's rows on one
+side are held while those of the other side stream past, and only what is alike
+comes out. A large group has many blocks, each for any task.
 
 Shingles are compared by 64-bit hashes made of their words' 64-bit hashes, classes
 by 128-bit ones.
@@ -24,10 +27,10 @@ by 128-bit ones.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -45,13 +48,17 @@ BANDS, WIDTH = 48, 5
 M = BANDS * WIDTH
 #: The grid's base and the rate of the variates: a byte holds sets of up to some million shingles; beyond, more registers just agree.
 BASE, RATE = 1.1, 20.0
-#: Candidates whose most likely similarity is lower are dropped.
-PROBABLY = 0.65
-#: Pairs of one hub that meet one copy of its set.
-SPREAD = 1000
+#: Registers of a class that is still apart at last.
+FINE = 1024
+#: Candidates whose most likely similarity is lower are dropped, by the number of registers.
+PROBABLY = {M: 0.67, FINE: 0.737}
+#: Rows of a block that are held, about: sketches (half a MB) and sets; and rows that stream past them.
+HELD, HELD_SETS, PASSING = 2000, 64, 500
+#: Shingles of passing rows times held rows that are looked at together.
+MEETINGS = 1 << 22
 
 _rng = np.random.Generator(np.random.PCG64(12))
-_FACTORS = _rng.integers(0, 1 << 63, M, np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = {m: _rng.integers(0, 1 << 63, m, np.uint64) * np.uint64(2) + np.uint64(1) for m in (M, FINE)}
 _PLACES = _rng.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -59,7 +66,7 @@ class _Words(dict):
     """Hashes of words; forgotten when there are many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -85,28 +92,33 @@ def shingle_set(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(mixed)
 
 
-def registers(hashes: np.ndarray) -> np.ndarray:
-    """The M registers of a set, a byte each."""
-    least = np.full(M, np.iinfo(np.uint64).max, np.uint64)
+def registers(hashes: np.ndarray, m: int = M) -> np.ndarray:
+    """The ``m`` registers of a set, a byte each."""
+    least = np.full(m, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(hashes), 512):
-        np.minimum(least, (_FACTORS[:, None] * hashes[None, k : k + 512]).min(axis=1), out=least)
+        np.minimum(least, (_FACTORS[m][:, None] * hashes[None, k : k + 512]).min(axis=1), out=least)
     variate = -np.log1p(-(least.astype(np.float64) + 1) / 2.0**64 + 2.0**-53) / RATE
     return np.clip(np.floor(1 - np.log(np.maximum(variate, 1e-300)) / np.log(BASE)), 0, 255).astype(np.uint8)
 
 
-def likeliest(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """The similarity that makes the registers' comparisons most likely; one row of ``a`` and ``b`` a pair."""
+def _slope(j: np.ndarray | float, a: np.ndarray, b: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The slope at similarity ``j`` of the log likelihood of the registers ``a`` and ``b``; ``u``: the first set's share of both sizes."""
     larger, smaller = (a > b).sum(axis=1), (a < b).sum(axis=1)
     equal = a.shape[1] - larger - smaller
-    u, v, cut = n_a / (n_a + n_b), n_b / (n_a + n_b), (BASE - 1) / BASE
-    low, high = np.zeros(len(u)), np.minimum(u / v, v / u)
-    odds = lambda x: -np.log1p(-np.maximum(x, 0) * cut) / np.log(BASE)
-    slope = lambda x: cut / (1 - np.maximum(x, 0) * cut) / np.log(BASE)
-    for _ in range(24):  # the likelihood is concave: halve to where its slope changes sign
+    v, cut, log = 1 - u, (BASE - 1) / BASE, np.log(BASE)
+    x, y = np.maximum(u - v * j, 0), np.maximum(v - u * j, 0)
+    p, q = np.maximum(-np.log1p(-x * cut) / log, 1e-12), np.maximum(-np.log1p(-y * cut) / log, 1e-12)
+    dp, dq = -v * cut / (1 - x * cut) / log, -u * cut / (1 - y * cut) / log
+    return larger * dp / p + smaller * dq / q - equal * (dp + dq) / np.maximum(1 - p - q, 1e-12)
+
+
+def likeliest(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """The similarity that makes the registers' comparisons most likely; one row of ``a`` and ``b`` a pair."""
+    u = n_a / (n_a + n_b)
+    low, high = np.zeros(len(u)), np.minimum(u / (1 - u), (1 - u) / u)
+    for _ in range(30):  # the likelihood is concave: halve to where its slope changes sign
         j = (low + high) / 2
-        p, q = np.maximum(odds(u - v * j), 1e-12), np.maximum(odds(v - u * j), 1e-12)
-        dp, dq = -v * slope(u - v * j), -u * slope(v - u * j)
-        rising = larger * dp / p + smaller * dq / q - equal * (dp + dq) / np.maximum(1 - p - q, 1e-12) > 0
+        rising = _slope(j, a, b, u) > 0
         low, high = np.where(rising, j, low), np.where(rising, high, j)
     return (low + high) / 2
 
@@ -123,45 +135,135 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], [*batch.schema.names[:-1], "n", "k", "sketch"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _made(batches: Iterator[pa.RecordBatch], of: Callable[[np.ndarray], object], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """``c`` and what ``of`` makes of the set of each text."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            values = [shingle_set(text.as_py()).view(np.int64) for text in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.list_(pa.int64()))], ["c", "members"])
+            values = [of(shingle_set(text.as_py())) for text in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, kind)], ["c", "made"])
 
 
 def _text_key() -> list:
     return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
 
 
-def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``a, b, j`` of the pairs ``a, b`` whose sizes and registers allow the similarity."""
-
-    @F.pandas_udf("double")
-    def similarity(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
-        rows = lambda s: np.frombuffer(b"".join(s), np.uint8).reshape(-1, M)
-        return pd.Series(likeliest(rows(a), rows(b), n_a.to_numpy(np.float64), n_b.to_numpy(np.float64)))
-
-    of = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    degrees = pairs.groupBy("a").agg(F.count("*").alias("__degree"))
-    hubs = of("a").join(degrees, "a")
-    met = uneven_join(pairs.join(of("b"), "b"), hubs, ["a"], "__degree", pairs.count())
-    met = met.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-    return met.select("a", "b", similarity("s_a", "s_b", "n_a", "n_b").alias("j")).where(F.col("j") >= PROBABLY)
+def _blocks(held: DataFrame, passing: DataFrame, payload: str, kernel: Callable, schema: str, most: int) -> DataFrame:
+    """What ``kernel`` makes of the rows of ``held`` and ``passing`` (``g, c, root, payload``) that have the same group ``g``.
 
-
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    Held rows are dealt to blocks of about ``most`` rows by their hash, passing ones
+    to parts of about PASSING; each block meets each part once, in one task.
+    ``kernel`` gets the group, the held rows and some passing ones, as lists of
+    arrays ``c, root, payload``, and returns columns of ``schema``.
+    """
+    size = lambda df, many, to: df.groupBy("g").agg(F.ceil(F.count("*") / many).alias(to))
+    sizes = size(held, most, "__blocks").join(size(passing, PASSING, "__parts"), "g")
+    sizes = materialize(sizes, "sizes")
+    count = F.sequence(F.lit(1).cast("long"), F.col("__parts")), F.sequence(F.lit(1).cast("long"), F.col("__blocks"))
+    own = lambda many: 1 + F.pmod(F.xxhash64("c"), F.col(many))
+    columns = ["c", "root", payload]
+    at = lambda df, side, block, part: df.join(sizes, "g").select("g", block.alias("block"), part.alias("part"), F.lit(side).alias("side"), *columns)
+    few = at(held, 0, own("__blocks"), F.explode(count[0]))
+    many = at(passing, 1, F.explode(count[1]), own("__parts"))
+    names = ["g", "block", "part"]
+    rows = few.unionByName(many).repartition(*names).sortWithinPartitions(*names, "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, here, out = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)], axis=1)
+            cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                part = batch.slice(i, j - i)
+                if tuple(keys[i, :3]) != key:
+                    key, here = tuple(keys[i, :3]), []
+                if not keys[i, 3]:
+                    here.append(part)
+                elif here:
+                    sides = [[pa.concat_arrays([x.column(k) for x in xs]) for k in (4, 5, 6)] for xs in (here, [part])]
+                    out = kernel(key[0], *sides)
+                    if out is not None and out.num_rows:
+                        yield out
+
+    return rows.mapInArrow(run, schema)
+
+
+def _alike(bucket: int, held: list[pa.Array], passing: list[pa.Array], banded: bool, best: bool) -> pa.RecordBatch:
+    """``a, b, root`` of the pairs of different components whose sizes and registers allow the similarity; ``root`` is the passing one's.
+
+    ``banded``: the group is a bucket. A pair that shares several is seen in the
+    first; if one was the hub there, both met before. Of two held ones the smaller is
+    ``a``. ``best``: of each held one's pairs only that with the most equal registers.
+    """
+    c, roots, n, sketches, fine = [], [], [], [], []
+    for ids, root, payload in (held, passing):
+        c.append(ids.to_numpy(zero_copy_only=False))
+        roots.append(root.to_numpy(zero_copy_only=False))
+        n.append(payload.field("n").to_numpy(zero_copy_only=False).astype(np.float64))
+        for to, what in ((sketches, "sketch"), (fine, "fine")):
+            if what in payload.type.names:
+                to.append(np.frombuffer(b"".join(payload.field(what).to_pylist()), np.uint8).reshape(len(ids), -1))
+    looks = fine or sketches
+    found: list[list[np.ndarray]] = [[], [], []]
+    for i in range(len(c[0])):
+        sizes = 100 * np.minimum(n[0][i], n[1]) >= PERCENT * np.maximum(n[0][i], n[1])
+        at = np.flatnonzero(sizes & (roots[1] != roots[0][i]))
+        if banded and len(at):
+            first = (sketches[1][at] == sketches[0][i]).reshape(len(at), BANDS, WIDTH).all(axis=2).argmax(axis=1)
+            at = at[first == bucket % 64]
+            if not best:
+                at = at[(c[1][at] > c[0][i]) | ~np.isin(c[1][at], c[0])]
+        if len(at):
+            # at a similarity below the likeliest the likelihood still rises
+            least = PROBABLY[looks[0].shape[1]]
+            at = at[_slope(least, looks[0][i][None], looks[1][at], n[0][i] / (n[0][i] + n[1][at])) >= 0]
+            if best and len(at):
+                at = at[[(sketches[1][at] == sketches[0][i]).sum(axis=1).argmax()]]
+            for to, what in zip(found, (np.full(len(at), c[0][i]), c[1][at], roots[1][at])):
+                to.append(what)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in found], ["a", "b", "root"])
+
+
+def _linked(group: int, held: list[pa.Array], passing: list[pa.Array]) -> pa.RecordBatch:
     """``a, b`` of the pairs whose full sets have the similarity."""
-    copies = F.ceil(F.col("__degree") / SPREAD)
-    degrees = pairs.groupBy("a").agg(F.count("*").alias("__degree"))
-    spread = degrees.select("a", "__degree", copies.alias("copies"))
-    salted = uneven_join(pairs, spread, ["a"], "__degree", pairs.count()).withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies")))
-    hubs = spread.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
-    hubs = hubs.join(sets.select(F.col("c").alias("a"), F.col("members").alias("m_a")), "a")
-    met = salted.join(hubs.hint("merge"), ["a", "copy"]).join(sets.select(F.col("c").alias("b"), F.col("members").alias("m_b")).hint("merge"), "b")
-    common, both = F.size(F.array_intersect("m_a", "m_b")), F.size("m_a") + F.size("m_b")
-    return met.where(100 * common >= PERCENT * (both - common)).select("a", "b")
+    few, many = (side[2].flatten().to_numpy(zero_copy_only=False) for side in (held, passing))
+    n_few, n_many = (np.diff(side[2].offsets.to_numpy()) for side in (held, passing))
+    order = np.argsort(few, kind="stable")
+    owners, few = np.repeat(np.arange(len(n_few)), n_few)[order], few[order]
+    values, first = np.unique(few, return_index=True)
+    many_held = np.diff(np.append(first, len(few)))
+    ends, found = np.cumsum(n_many), []
+    start = 0
+    while start < len(n_many):  # so many rows that their meetings with all held ones are few enough
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] - n_many[start] + MEETINGS // len(n_few), side="right")))
+        sizes = n_many[start:stop]
+        hashes = many[ends[start] - n_many[start] : ends[stop - 1]]
+        at = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
+        hit = np.flatnonzero(values[at] == hashes)
+        count = many_held[at[hit]]
+        holders = owners[np.repeat(first[at[hit]] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        rows = np.repeat(np.repeat(np.arange(len(sizes)), sizes)[hit], count)
+        common = np.bincount(rows * len(n_few) + holders, minlength=len(sizes) * len(n_few)).reshape(len(sizes), len(n_few))
+        j, i = np.nonzero(100 * common >= PERCENT * (sizes[:, None] + n_few[None, :] - common))
+        found.append((i, start + j))
+        start = stop
+    i, j = (np.concatenate(x) for x in zip(*found))
+    return pa.RecordBatch.from_arrays([held[0].take(pa.array(i)), passing[0].take(pa.array(j))], ["a", "b"])
+
+
+def _likely(held: DataFrame, passing: DataFrame, classes: DataFrame, banded: bool, best: bool = False) -> DataFrame:
+    """``a, b, root`` of the pairs of rows ``g, c, root`` of either side that may be linked."""
+    sketches = classes.select("c", F.struct(*[x for x in classes.columns if x != "c"]).alias("sketch"))
+    kernel = partial(_alike, banded=banded, best=best)
+    return materialize(_blocks(held.join(sketches, "c"), passing.join(sketches, "c"), "sketch", kernel, "a bigint, b bigint, root bigint", HELD), "likely")
+
+
+def _confirmed(pairs: DataFrame, group: str, sets: DataFrame) -> DataFrame:
+    """``a, b`` of the pairs whose full sets have the similarity; ``group``: what many pairs share."""
+    side = lambda x: pairs.select(F.col(group).alias("g"), F.col(x).alias("c")).distinct().withColumn("root", F.lit(0).cast("long")).join(sets, "c")
+    return materialize(_blocks(side("a"), side("b"), "members", _linked, "a bigint, b bigint", HELD_SETS), "links")
 
 
 def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -175,62 +277,53 @@ def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return materialize(moved.unionByName(new.join(roots, "node", "left_anti")), "roots")
 
 
-def _apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The rows of ``pairs`` whose ends are in different components."""
-    if roots is None:
-        return pairs
-    to = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r_{x}"))
-    met = pairs.join(to("b"), "b", "left").join(to("a"), "a", "left")
-    return met.where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select(*pairs.columns)
-
-
 def _buckets(classes: DataFrame) -> DataFrame:
-    """``key, c, hub``: the classes of each bucket that has several."""
-    band = lambda k: F.xxhash64(k, F.substring(F.col("sketch"), k * WIDTH + 1, F.lit(WIDTH)))
+    """``key, c, hub``: the classes of each bucket that has several; a key modulo 64 is its band."""
+    band = lambda k: F.shiftleft(F.xxhash64(k, F.substring(F.col("sketch"), k * WIDTH + 1, F.lit(WIDTH))), 6) + k
     members = classes.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("key"), "c")
     heads = members.groupBy("key").agg(F.min("c").alias("hub"), F.count("*").alias("__size")).where("__size > 1")
     heads = materialize(heads, "heads")
     return materialize(uneven_join(members, heads, ["key"], "__size", BANDS * classes.count()), "buckets")
 
 
-def class_components(classes: DataFrame, sets_of) -> DataFrame | None:
+def class_components(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], fine_of: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """``node, root`` of the classes that links connect, None if there are none.
 
-    ``classes`` has ``c, n, sketch``; ``sets_of`` gives ``c, members`` of the classes ``c`` handed to it.
+    ``classes`` has ``c, n, sketch``; ``sets_of`` gives ``c, members`` of the
+    classes ``c`` handed to it, ``fine_of`` their FINE registers as ``c, fine``.
     """
-    left = _buckets(classes)
-    pairs = left.where("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct()
-    left, roots, seen, n_hubs = left.where("c <> hub").select("key", "c"), None, None, 1
+    buckets, roots = _buckets(classes), None
+    own = F.col("c").alias("root")
+    wanted = lambda pairs: sets_of(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
+    # each class and its buckets' hubs
+    pairs = materialize(buckets.where("c <> hub").select("hub", "c").distinct(), "pairs")
+    likely = _likely(pairs.select(F.col("hub").alias("g"), F.col("hub").alias("c")).distinct().select("*", own), pairs.select(F.col("hub").alias("g"), "c", own), classes, False)
+    if not likely.isEmpty():
+        links = _confirmed(likely, "a", wanted(likely))
+        roots = None if links.isEmpty() else _joined(None, links)
+    # what is left apart in a bucket; the hub has met all others
+    left, joins = buckets.where("c <> hub").select(F.col("key").alias("g"), "c"), True
     while True:
-        pairs = materialize(pairs, "pairs")
-        likely = materialize(_likely(pairs, classes), "likely")
-        if not likely.isEmpty():
-            sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("c")).distinct())
-            best = materialize(likely.groupBy("b").agg(F.max_by("a", F.struct("j", "a")).alias("a")), "best")
-            rest = lambda: materialize(_apart(likely.select("a", "b").join(best, ["a", "b"], "left_anti"), roots), "rest")  # noqa: B023, E731
-            for candidates in (lambda: best, rest):
-                links = materialize(_confirmed(candidates(), sets), "links")
-                if not links.isEmpty():
-                    roots = _joined(roots, links)
-            discard(sets)
-        discard(likely)
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        named = left if roots is None else left.join(roots.withColumnsRenamed({"node": "c"}), "c", "left")
-        named = materialize(named.select("key", "c", (F.coalesce("root", "c") if roots is not None else F.col("c")).alias("root")), "left")
-        parts = named.groupBy("key", "root").agg(F.count("*").alias("size"), F.min("c").alias("hub"))
-        whole = parts.groupBy("key").agg(F.count("*").alias("__parts"), F.max(F.struct("size", "root")).alias("__most"), F.sum("size").alias("__size"))
-        whole = whole.where("__parts > 1").select("key", "__size", F.col("__most.root").alias("__most"))
-        n_hubs *= 2
-        ranked = parts.join(whole, "key").where("root <> __most").selectExpr("*", "row_number() over (partition by key order by size, hub) AS __rank")
-        hubs = ranked.where(F.col("__rank") <= n_hubs).groupBy("key").agg(F.first("__size").alias("__size"), F.collect_list(F.struct("hub", "root")).alias("hubs"))
-        hubs = materialize(hubs, "hubs")
-        if hubs.isEmpty():
+        if roots is None:
+            named = left.select("g", "c", own)
+        else:
+            named = left.join(roots.withColumnRenamed("node", "c"), "c", "left").select("g", "c", F.coalesce("root", "c").alias("root"))
+        named = materialize(named, "left")
+        parts = named.groupBy("g", "root").agg(F.count("*").alias("size")).groupBy("g")
+        most = parts.agg(F.count("*").alias("parts"), F.max(F.struct("size", "root")).alias("most"), F.sum("size").alias("size")).where("parts > 1")
+        most = materialize(most.select("g", F.col("most.root").alias("most"), "size"), "most")
+        if most.isEmpty():
             return roots
-        open_ = materialize(uneven_join(named, hubs, ["key"], "__size", named.count()), "left")
-        discard(named)
-        pairs = open_.select("c", "root", F.explode("hubs").alias("h")).where("h.root <> root")
-        pairs = pairs.select(F.col("h.hub").alias("a"), F.col("c").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
-        left = open_.where(~F.array_contains("hubs.hub", F.col("c"))).select("key", "c")
+        named = materialize(uneven_join(named, most, ["g"], "size", named.count()), "left")
+        # first each with its best, as long as that connects anything, then with all
+        known = classes if joins else classes.join(fine_of(named.select("c").distinct()), "c")
+        likely = _likely(named.where("root <> most").drop("most"), named.drop("most"), known, True, joins)
+        links = _confirmed(likely, "root", wanted(likely)) if not likely.isEmpty() else None
+        found = links is not None and not links.isEmpty()
+        roots = _joined(roots, links) if found else roots
+        if not joins:
+            return roots
+        joins, left = found, named.select("g", "c")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -253,12 +346,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     classes = prints.where("n > 0").groupBy("k").agg(*first, F.min("id").alias("least"), F.count("*").alias("copies"))
     classes = materialize(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
+    def made_of(wanted: DataFrame, of: Callable[[np.ndarray], object], kind: pa.DataType, name: str, declared: str) -> DataFrame:
         keys = materialize(classes.join(wanted, "c").select("c", "t1", "t2"), "wanted")
         texts = may_hold(rows.select("text", *_text_key()), keys, ["t1", "t2"], keys.count()).dropDuplicates(["t1", "t2"]).join(keys, ["t1", "t2"])
-        return materialize(texts.select("c", F.col("text").cast("binary").alias("text")).mapInArrow(_sets, "c bigint, members array<bigint>"), "sets")
+        made = texts.select("c", F.col("text").cast("binary").alias("text")).mapInArrow(partial(_made, of=of, kind=kind), f"c bigint, made {declared}")
+        return materialize(made.withColumnRenamed("made", name), name)
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return made_of(wanted, lambda hashes: hashes.view(np.int64), pa.list_(pa.int64()), "members", "array<bigint>")
+
+    def fine_of(wanted: DataFrame) -> DataFrame:
+        return made_of(wanted, lambda hashes: registers(hashes, FINE).tobytes(), pa.binary(), "fine", "binary")
 
-    roots = class_components(classes.select("c", "n", "sketch"), sets_of)
+    roots = class_components(classes.select("c", "n", "sketch"), sets_of, fine_of)
     rooted = classes.select("c", "k", "least", "copies", F.col("c").alias("root"))
     if roots is not None:
         rooted = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", "k", "least", "copies", F.coalesce("root", "c").alias("root"))
