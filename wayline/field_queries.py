@@ -173,7 +173,7 @@ def dist_to_peak(spark: SparkSession, sf: str) -> DataFrame:
     peaks = maps.regional_maxima(_map(spark, sf, None, "counts").select("gy", "gx", F.col("spk").alias("rate")))
     targets = peaks.select((F.col("gy") * 11 + F.col("gx")).alias("name"), ((F.col("gx") + 0.5) * SIZE).alias("tx"), ((F.col("gy") + 0.5) * SIZE).alias("ty"))
     spikes = joins.gather(A.spikes(spark, sf).where(F.col("tet") == CELL), A.positions(spark, sf)).select(F.col("pos_i").alias("i"), "x", "y")
-    apart = F.round(F.sqrt(F.pow(F.col("x") - F.col("tx"), 2) + F.pow(F.col("y") - F.col("ty"), 2)), 9)
+    apart = lambda t: F.round(F.sqrt(F.pow(F.col("x") - t["tx"], 2) + F.pow(F.col("y") - t["ty"], 2)), 9)
     return joins.nearest_point(spikes, targets, apart, "name").select("i", "to", *r6("distance"))
 
 

@@ -92,11 +92,11 @@ def rate_map(
     leaves dwell as a count and unsmoothed; ``max`` and ``mean`` divide by the
     largest rate and by the mean rate of the trial; ``rank`` is the percentage
     rank; a number is the percentile to divide by. ``weight`` is what a spike
-    counts; only samples and spikes where ``mask`` holds count.
+    counts; only samples where ``mask`` holds count as dwell, all spikes do.
     """
     names = list(keys)
     if mask is not None:
-        pos, spike_pos = pos.where(mask), spike_pos.where(mask)
+        pos = pos.where(mask)
     seen_spikes = spike_pos.where("x is not null and y is not null")
     by = [xy_bin(F.col("y"), size).alias("gy"), xy_bin(F.col("x"), size).alias("gx")]
     spk = seen_spikes.groupBy(*keys, *by).agg(F.sum(weight.cast("double") if weight is not None else F.lit(1.0)).alias("spk"))

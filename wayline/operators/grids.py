@@ -7,6 +7,7 @@ holds is a table of tiles or one map, of bounded size, never the samples.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,10 @@ def ideal_tile(n: int) -> np.ndarray:
     return tile / tile.mean()
 
 
+#: Cells whose tiles a task holds at once, 20 MB each; those of more are sent on in parts.
+HELD = 8
+
+
 def fit_ideal_grid(
     samples: DataFrame, scales: list[float] | None = None, orientations: list[float] | None = None, n: int = 32, keys: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -45,10 +50,18 @@ def fit_ideal_grid(
     part = samples.where("x is not null and y is not null").select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("spk").cast("double").alias("spk"))
     types = "".join(f"{k} {part.schema[k].dataType.simpleString()}, " for k in names)
 
-    def fold(batches):
+    def let_go(held: dict[tuple, np.ndarray]) -> Iterator[pd.DataFrame]:
+        for key, tiles in held.items():
+            made = {k: [v] * len(angle) for k, v in zip(names, key if isinstance(key, tuple) else (key,))}
+            yield pd.DataFrame({**made, "a": np.arange(len(angle), dtype=np.int32), "tiles": [t.tobytes() for t in tiles]})
+        held.clear()
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, np.ndarray] = {}
         for b in batches:
             for key, rows in b.groupby(names, dropna=False) if names else [((), b)]:
+                if key not in held and len(held) >= HELD:
+                    yield from let_go(held)
                 tiles = held.setdefault(key, np.zeros((len(angle), 2, len(scale) * size)))
                 x, y, spk = (rows[c].to_numpy() for c in ("x", "y", "spk"))
                 fired = np.flatnonzero(spk)
@@ -59,9 +72,7 @@ def fit_ideal_grid(
                     at = bv * n + bu + (np.arange(len(scale)) * size)[:, None]
                     tiles[a, 0] += np.bincount(at.ravel(), minlength=len(scale) * size)
                     tiles[a, 1] += np.bincount(at[:, fired].ravel(), np.tile(spk[fired], len(scale)), len(scale) * size)
-        for key, tiles in held.items():
-            made = {k: [v] * len(angle) for k, v in zip(names, key if isinstance(key, tuple) else (key,))}
-            yield pd.DataFrame({**made, "a": np.arange(len(angle), dtype=np.int32), "tiles": [t.tobytes() for t in tiles]})
+        yield from let_go(held)
 
     ideal = ideal_tile(n)
     f_ideal, s_ideal, ss_ideal = np.conj(np.fft.fft2(ideal)), ideal.sum(), (ideal**2).sum()
@@ -210,22 +221,20 @@ def warp_summary(warped: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 
 def drift_likelihood(samples: DataFrame, m: DataFrame, shape: tuple[int, int], most: int = 8) -> DataFrame:
-    """``run, dy, dx, ll``: Poisson log likelihood of each run if the map had lain ``dy, dx`` bins off.
+    """``run, dy, dx, ll``: Poisson log likelihood of each run if the map had lain ``dy, dx`` bins off, without the term of the counts alone.
 
     ``samples`` has ``run, gy, gx, k`` (spikes at the sample); ``m`` a rate in
     spikes a sample for every bin, none of them 0 or null. Bins beyond the border
     count as those at it. Equal bins of a run are counted before they are shifted.
     """
-    counted = samples.groupBy("run", "gy", "gx").agg(
-        F.count("*").alias("n"), F.sum("k").alias("k"), F.sum(F.log(F.factorial(F.col("k").cast("int")).cast("double"))).alias("lf")
-    )
+    counted = samples.groupBy("run", "gy", "gx").agg(F.count("*").alias("n"), F.sum("k").alias("k"))
     spark = samples.sparkSession
     side = 2 * most + 1
     moves = spark.range(side * side).select((F.floor(F.col("id") / side) - most).cast("int").alias("dy"), (F.col("id") % side - most).cast("int").alias("dx"))
     clip = lambda c, d, n: F.greatest(F.least(F.col(c) + F.col(d), F.lit(n - 1)), F.lit(0))
-    moved = counted.crossJoin(F.broadcast(moves)).select("run", "dy", "dx", "n", "k", "lf", clip("gy", "dy", shape[0]).alias("gy"), clip("gx", "dx", shape[1]).alias("gx"))
+    moved = counted.crossJoin(F.broadcast(moves)).select("run", "dy", "dx", "n", "k", clip("gy", "dy", shape[0]).alias("gy"), clip("gx", "dx", shape[1]).alias("gx"))
     met = moved.join(F.broadcast(m.select("gy", "gx", "rate")), ["gy", "gx"])  # as many rows as bins
-    return met.groupBy("run", "dy", "dx").agg(F.sum(F.col("k") * F.log("rate") - F.col("n") * F.col("rate") - F.col("lf")).alias("ll"))
+    return met.groupBy("run", "dy", "dx").agg(F.sum(F.col("k") * F.log("rate") - F.col("n") * F.col("rate")).alias("ll"))
 
 
 def drift(ll: DataFrame, mode: str = "peak") -> DataFrame:

@@ -7,6 +7,8 @@ distant rows is ever formed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,16 +71,17 @@ def as_of_linear(grid: DataFrame, samples: DataFrame, value: str, to: str) -> Da
 TARGETS = 10_000
 
 
-def nearest_point(points: DataFrame, targets: DataFrame, distance: Column, name: str) -> DataFrame:
+def nearest_point(points: DataFrame, targets: DataFrame, distance: Callable[[Column], Column], name: str) -> DataFrame:
     """Each point with ``to, distance`` of its nearest of a few ``targets`` (a map's peaks), ties to the smaller name.
 
-    ``distance`` is a column over both sides. At most TARGETS are taken, more raise
-    an error: they are broadcast, and each point is compared with all. Without any
-    target there is no row.
+    ``distance`` gives a column from a target, a struct of its columns, and the
+    point's own columns. At most TARGETS are taken, more raise an error: they are
+    broadcast as one row, and each point is compared with all where it lies.
+    Without any target there is no row.
     """
     if targets.limit(TARGETS + 1).count() > TARGETS:
         raise ValueError(f"more than {TARGETS} targets")
-    keys = points.columns
-    pairs = points.withColumn("__row", F.monotonically_increasing_id()).crossJoin(F.broadcast(targets)).withColumn("__d", distance)
-    best = pairs.groupBy("__row").agg(*[F.first(k).alias(k) for k in keys], F.min(F.struct(F.col("__d").alias("distance"), F.col(name).alias("to"))).alias("near"))
-    return best.select(*keys, "near.to", "near.distance")
+    every = targets.agg(F.collect_list(F.struct(*targets.columns)).alias("__targets"))
+    near = F.array_min(F.transform("__targets", lambda t: F.struct(distance(t).alias("distance"), t[name].alias("to"))))
+    found = points.crossJoin(F.broadcast(every)).withColumn("__near", near).where("__near is not null")  # one row
+    return found.select(*points.columns, "__near.to", "__near.distance")

@@ -172,14 +172,14 @@ def ratemap_nodwell_interp(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """, m AS (SELECT i, x, y, tet, v FROM pos JOIN ev USING (i) WHERE k < 90)
-, dw AS (SELECT floor(y / 10)::INT AS gy, floor(x / 10)::INT AS gx, count(*)::DOUBLE AS dwell FROM m GROUP BY 1, 2)
+    """, m AS (SELECT i, x, y, tet, v, k FROM pos JOIN ev USING (i))
+, dw AS (SELECT floor(y / 10)::INT AS gy, floor(x / 10)::INT AS gx, count(*)::DOUBLE AS dwell FROM m WHERE k < 90 GROUP BY 1, 2)
 , g AS (SELECT (r // 11)::INT AS gy, (r % 11)::INT AS gx FROM range(121) t(r)), t AS (SELECT DISTINCT tet FROM m)
 , c AS (SELECT tet, floor(y / 10)::INT AS gy, floor(x / 10)::INT AS gx, sum(v) AS spk FROM m GROUP BY 1, 2, 3)
 SELECT t.tet, g.gy, g.gx, round(coalesce(spk, 0) / dwell * 50, 6) AS rate FROM t CROSS JOIN g LEFT JOIN dw USING (gy, gx) LEFT JOIN c USING (tet, gy, gx)"""
 )
 def ratemap_cells_weighted(spark: SparkSession, sf: str) -> DataFrame:
-    """All cells' maps at once; spikes weighted by the signal, a part of the samples masked."""
+    """All cells' maps at once; spikes weighted by the signal, a part of the samples' dwell masked."""
     e = A.events(spark, sf).select("i", "k", "v")
     pos = A.positions(spark, sf).join(e, "i")
     m = B.rate_map(pos, joins.gather(A.spikes(spark, sf), pos), SIZE, SHAPE, FS, None, keys=("tet",), weight=F.col("v"), mask=F.col("k") < 90)
