@@ -150,9 +150,16 @@ def matched_resample(spark: SparkSession, sf: str) -> DataFrame:
     return resampling.matched(e.where(F.col("tet") == "click"), e.where(F.col("tet") == "view"), 20.0)
 
 
-@query()
+@query(
+    """, wd AS (SELECT max(x) * 5.0::DOUBLE / 100 AS w FROM pos), bn AS (SELECT i, x, y, least(floor(x / w), 19)::BIGINT AS bin FROM pos, wd WHERE x >= 0
+), pl AS (SELECT bin, x, y, row_number() OVER (PARTITION BY bin ORDER BY i) - 1 AS z FROM bn), sz AS (SELECT bin, count(*) AS n FROM bn GROUP BY 1
+), pk AS (SELECT bin, rep, n, unnest(range(1, (SELECT min(n) FROM sz) + 1)) AS d FROM sz, (SELECT unnest(range(1, 101)) AS rep)
+), dr AS (SELECT bin, rep, ('0x' || substr(md5('0:' || rep || ':' || bin || ':' || d), 1, 15))::BIGINT % n AS z FROM pk
+), r AS (SELECT rep, corr(x, y) AS r FROM dr JOIN pl USING (bin, z) GROUP BY rep)
+SELECT (SELECT count(*) FROM sz)::INT AS n_bins, round(avg(r), 6) AS r, round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high FROM r"""
+)
 def pearson_binned(spark: SparkSession, sf: str) -> DataFrame:
-    return resampling.binned_bootstrap(A.positions(spark, sf))
+    return resampling.binned_bootstrap(A.positions(spark, sf)).select("n_bins", *r6("r", "low", "high"))
 
 
 @query()

@@ -98,9 +98,19 @@ def mua_hist_slow_cells(spark: SparkSession, sf: str) -> DataFrame:
     return B.joint_activity(A.spikes(spark, sf), 600.0, 0.0001)
 
 
-@query()
+@query(
+    """, n AS (SELECT count(*) AS n FROM ev), w0 AS (SELECT k, exp(-0.5 * power(k / 2.0::DOUBLE, 2)) AS w FROM (SELECT unnest(range(-8, 9)) AS k)), w AS (SELECT k, w / (SELECT sum(w) FROM w0) AS w FROM w0
+), c AS (SELECT i, CASE WHEN tet = 'click' THEN 50 ELSE 0 END AS c FROM ev
+), r AS (SELECT e.i, round(sum(w * c.c), 9) AS r FROM ev e, w, n JOIN c ON c.i = CASE WHEN e.i + w.k < 0 THEN -1 - e.i - w.k WHEN e.i + w.k >= n THEN 2 * n - 1 - e.i - w.k ELSE e.i + w.k END GROUP BY e.i
+), l AS (SELECT i, r, CASE WHEN r >= 2 THEN r ELSE 0 END AS v FROM r), m AS (SELECT i, r, v, lag(v) OVER (ORDER BY i) AS a, lead(v) OVER (ORDER BY i) AS b FROM l
+), p AS (SELECT m.i, m.r, (SELECT max(q.i) FROM r q WHERE q.i BETWEEN m.i - 500 AND m.i - 1 AND q.r < 0.5 * m.r) AS x, (SELECT min(q.i) FROM r q WHERE q.i BETWEEN m.i AND m.i + 499 AND q.r < 0.5 * m.r) AS y FROM m WHERE v > a AND v > b
+), s AS (SELECT i, r, coalesce(x, greatest(i - 500, 0)) AS lft, coalesce(y, i + 500) AS rgt FROM p
+), d AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s q WHERE q.lft < s.rgt AND s.lft < q.rgt AND (q.r > s.r OR q.r = s.r AND q.i > s.i)))
+SELECT d.i, round(any_value(d.r), 6) AS rate, round(max(sqrt(power(g.x - h.x, 2) + power(g.y - h.y, 2))), 6) AS width
+FROM d JOIN pos g ON g.i BETWEEN lft AND rgt JOIN pos h ON h.i BETWEEN g.i AND rgt GROUP BY d.i"""
+)
 def rate_peaks(spark: SparkSession, sf: str) -> DataFrame:
     """Peaks of the click rate, those that stand for themselves with the ground that they cover."""
     hits = A.events(spark, sf).select("i", ((F.col("tet") == "click").cast("int") * 50.0).alias("c"))
-    rates = S.smooth(hits, "c", B.gaussian_taps(2.0), "rate").select("i", "rate")
-    return peaks.peak_widths(peaks.find_peaks(rates, "rate", 50.0), A.positions(spark, sf))
+    rates = S.smooth(hits, "c", B.gaussian_taps(2.0), "rate").select("i", F.round("rate", 9).alias("rate"))  # equal but for rounding is equal
+    return peaks.peak_widths(peaks.find_peaks(rates, "rate", 50.0), A.positions(spark, sf)).select("i", *r6("rate", "width"))

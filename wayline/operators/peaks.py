@@ -24,7 +24,7 @@ def find_peaks(rates: DataFrame, value: str, fs: float, least: float = 2.0, shar
     reach = int(fs * most_s)
 
     def kernel(x: np.ndarray, inside: np.ndarray) -> dict[str, np.ndarray]:
-        low = np.where(inside & (x >= least), x, 0)
+        low = np.where(x >= least, x, 0)  # beyond an end its sample repeats, so that is no peak
         out = {c: np.full(len(x), np.nan) for c in ("a", "b")}
         first, last = np.flatnonzero(inside)[[0, -1]]
         for p in np.flatnonzero((low[1:-1] > low[:-2]) & (low[1:-1] > low[2:])) + 1:

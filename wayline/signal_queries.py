@@ -75,10 +75,20 @@ def power_spectrum(spark: SparkSession, sf: str) -> DataFrame:
     return signal.power_spectrum(A.events(spark, sf), "v", FS).select("i", *r6("freq"), (F.round("power", 3) + F.lit(0.0)).alias("power"))
 
 
-@query()
+@query(
+    """, n AS (SELECT count(*) AS n, avg(v) AS m, CAST(power(2, ceil(log2(count(*)))) AS BIGINT) AS l FROM ev)
+, f AS (SELECT unnest(range(0, (SELECT l FROM n) // 2 + 1)) AS k)
+, s AS (SELECT f.k, sum((v - m) * cos(2 * pi() * ((f.k * i) % l) / l)) AS c, sum((v - m) * sin(2 * pi() * ((f.k * i) % l) / l)) AS d FROM f, ev, n GROUP BY f.k)
+, p AS (SELECT k, (c * c + d * d) / n AS p, l // 2 AS last FROM s, n), sg AS (SELECT 0.1875::DOUBLE / (50.0::DOUBLE / l) AS s FROM n), t0 AS (SELECT k, exp(-0.5 * power(k / s, 2)) AS w FROM sg, (SELECT unnest(range(-10000, 10001)) AS k) WHERE abs(k) <= floor(4 * s + 0.5))
+, t AS (SELECT k, w / (SELECT sum(w) FROM t0) AS w FROM t0)
+, o AS (SELECT a.k, a.k * 50.0::DOUBLE / l AS freq, sum(t.w * b.p) AS soft FROM n, p a, t JOIN p b ON b.k = greatest(least(a.k + t.k, a.last), 0) GROUP BY a.k, l)
+, b AS (SELECT freq AS pf, soft AS pp FROM o WHERE freq > 6 AND freq < 12 ORDER BY soft DESC, freq LIMIT 1)
+SELECT round(pf, 6) AS peak_freq, round(pp, 3) AS peak_power, round(avg(soft) FILTER (WHERE abs(freq - pf) < 1) / avg(soft) FILTER (WHERE abs(freq - pf) >= 1), 5) AS s2n FROM o, b GROUP BY pf, pp"""
+)
 def theta_power(spark: SparkSession, sf: str) -> DataFrame:
     """Peak of the smoothed spectrum in the band, and its ratio to the rest."""
-    return signal.band_peak(signal.power_spectrum(A.events(spark, sf), "v", FS), 0.1875, THETA)
+    found = signal.band_peak(signal.power_spectrum(A.events(spark, sf), "v", FS), 0.1875, THETA)
+    return found.select(*r6("peak_freq"), F.round("peak_power", 3).alias("peak_power"), F.round("s2n", 5).alias("s2n"))
 
 
 @query()
