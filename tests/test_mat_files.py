@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from wayline.sources import mat_files
+from wayline.sources import mat_files, recorders
 
 CODES = {"i1": 1, "u1": 2, "i2": 3, "u2": 4, "i4": 5, "u4": 6, "f4": 7, "f8": 9}
 CLASSES = {"i1": 8, "u1": 9, "i2": 10, "u2": 11, "i4": 12, "u4": 13, "f4": 7, "f8": 6}
@@ -62,3 +62,17 @@ def test_round_trip(spark, tmp_path, order, packed):
     assert got == {k: [(i, j, float(v[i, j])) for j in range(v.shape[1]) for i in range(v.shape[0])] for k, v in flat.items()}
     some = mat_files.read(spark, str(tmp_path / "one.mat"), ["post", "s"])
     assert {r.name for r in some.collect()} == {"post", "s.a", "s.deep.b"} and some.rdd.getNumPartitions() == 2
+
+
+def test_recordings_in_files_of_level_5(spark, tmp_path):
+    t = np.arange(40)[:, None] / 50
+    write(tmp_path / "a_POS.mat", "<", {"post": t, "posx": 10 + t, "posy": 3 * t}, True)
+    write(tmp_path / "a_EEG.mat", ">", {"EEG": np.arange(9, dtype="i2")[:, None], "Fs": np.array([[250.0]])}, True)
+    write(tmp_path / "a_T2C3.mat", "<", {"cellTS": np.array([[0.1], [0.53]])}, False)
+    pos, info = recorders.lab_positions(spark, str(tmp_path / "a_POS.mat"))
+    rows = pos.orderBy("i").collect()
+    assert len(rows) == 40 and np.isclose(rows[7].y - rows[0].y, 21 / 50) and not info.first().uneven
+    eeg, fs = recorders.lab_field_signal(spark, str(tmp_path / "a_EEG.mat"))
+    assert fs == 250.0 and [r.v for r in eeg.orderBy("i").collect()] == list(map(float, range(9)))
+    spikes = recorders.lab_spikes(spark, str(tmp_path / "a_T2C3.mat"), 2, 3).orderBy("t_s").collect()
+    assert [(r.tet, r.cell, r.t_s, r.pos_i) for r in spikes] == [(2, 3, 0.1, 5), (2, 3, 0.53, 26)]

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from wayline.sources.record_files import file_system
@@ -164,3 +165,12 @@ def read(spark: SparkSession, folder: str, variables: Sequence[str] = (), glob:
     """The numbers of the files below ``folder``; see the module. Files of another kind give no rows."""
     spark.dataSource.register(MatlabSource)
     return spark.read.format("matlab5").options(glob=glob, variables=",".join(variables)).load(folder)
+
+
+def columns(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+    """``i`` and a column for each of ``names``, vectors of one file side by side; null beyond a vector's end and of one that isn't there.
+
+    Of names that differ in case alone, which columns can't, the first stands for all.
+    """
+    found = read(spark, path, [n.split(".")[0] for n in names]).where(F.col("name").isin(list(names)))
+    return found.groupBy(F.col("k").alias("i")).agg(*[F.max(F.when(F.lower("name") == n.lower(), F.col("value"))).alias(n) for n in {m.lower(): m for m in reversed(names)}.values()])

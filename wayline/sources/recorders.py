@@ -9,15 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayline.sources import mat_files
 from wayline.sources.catalog import resampled
 
 
 def _first_of(df: DataFrame, names: tuple[str, ...]) -> Column:
-    """The first of some columns that a table has."""
-    for n in names:
-        if n in df.columns:
-            return F.col(n)
-    raise ValueError(f"none of {', '.join(names)} among {', '.join(df.columns)}")
+    """The first known value of those of some columns that a table has."""
+    return F.coalesce(F.lit(None), *[F.col(n) for n in names if n in df.columns])
 
 
 # -- probes with many sites: tables spk, pos, lfp, reward in one folder ----------
@@ -83,13 +81,18 @@ def reward_trials(rewards: DataFrame, start_s: float, keys: tuple[str, ...] = ()
 # -- single files for position, field signal and each cell ----------------------
 
 
+def _table(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
+    """The vectors of a MATLAB file of level 5, or of its converted form, as columns."""
+    return mat_files.columns(spark, path, names) if path.endswith(".mat") else spark.read.parquet(path)
+
+
 def lab_positions(spark: SparkSession, path: str, fs: float = 50.0, tolerance: float = 0.001) -> tuple[DataFrame, DataFrame]:
     """Positions ``i, t_s, x, y`` at a fixed rate from ``post, posx, posy``, and one row on the file's own times.
 
     That row is ``duration_s`` (the last time and a mean interval), ``w, h`` (the
     largest x and y) and ``uneven`` (an interval differs by more than ``tolerance``).
     """
-    raw = spark.read.parquet(path).select(F.col("post").cast("double").alias("t_s"), F.col("posx").cast("double").alias("x"), F.col("posy").cast("double").alias("y"))
+    raw = _table(spark, path, ("post", "posx", "posy")).select(F.col("post").cast("double").alias("t_s"), F.col("posx").cast("double").alias("x"), F.col("posy").cast("double").alias("y"))
     raw = raw.select("t_s", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("x", "y")])
     pos = resampled(raw, fs)
     size = pos.agg(F.max("x").alias("w"), F.max("y").alias("h"))
@@ -102,7 +105,7 @@ def lab_positions(spark: SparkSession, path: str, fs: float = 50.0, tolerance: f
 
 def lab_field_signal(spark: SparkSession, path: str) -> tuple[DataFrame, float]:
     """``i, v`` and the rate from ``EEG`` and ``fs`` or ``Fs``."""
-    m = spark.read.parquet(path)
+    m = _table(spark, path, ("EEG", "fs", "Fs"))
     rate = m.select(_first_of(m, ("fs", "Fs")).cast("double").alias("fs")).where("fs is not null").first()
     if rate is None:
         raise ValueError("the file names no rate")
@@ -111,6 +114,6 @@ def lab_field_signal(spark: SparkSession, path: str) -> tuple[DataFrame, float]:
 
 def lab_spikes(spark: SparkSession, path: str, tet: int, cell: int, fs: float = 50.0) -> DataFrame:
     """``tet, cell, t_s, pos_i`` of one cell's file, whose times are in ``ts``, ``cellTS`` or ``cellTs``."""
-    m = spark.read.parquet(path)
+    m = _table(spark, path, ("ts", "cellTS", "cellTs"))
     t = _first_of(m, ("ts", "cellTS", "cellTs")).cast("double")
     return m.select(F.lit(tet).alias("tet"), F.lit(cell).alias("cell"), t.alias("t_s"), F.floor(t * fs).alias("pos_i")).where("t_s is not null")
