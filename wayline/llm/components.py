@@ -8,6 +8,9 @@ join, which the session must not turn off, splits them over tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +31,30 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("low").alias("v")))
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of a few links in one task."""
+    to: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while to.setdefault(x, x) != x:
+            to[x] = to[to[x]]
+            x = to[x]
+        return x
+
+    for part in batches:
+        for u, v in zip(part["u"].tolist(), part["v"].tolist()):
+            p, q = root(u), root(v)
+            to[max(p, q)] = min(p, q)
+    if to:
+        yield pd.DataFrame({"node": list(to), "root": [root(x) for x in list(to)]})
+
+
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", few: int = 0) -> DataFrame:
     """``node, root`` for every node that has a link; the root is the least node of the component.
 
+    Up to ``few`` links, whose ends are whole numbers, are followed in one task,
+    more of them in rounds of joins.
+
     Self links, repeated links and links with a null end are ignored; an empty
     table gives an empty result. The number of rounds grows with the logarithm
     of the longest path.
@@ -41,6 +65,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .distinct(),
         "links",
     )
+    if few and edges.count() <= few:
+        return edges.coalesce(1).mapInPandas(_within, "node bigint, root bigint")
     seen = None
     while True:
         nxt = materialize(_small_star(_large_star(edges).distinct()).distinct(), "links")

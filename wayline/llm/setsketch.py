@@ -49,11 +49,13 @@ M = BANDS * WIDTH
 #: The grid's base and the rate of the variates: a byte holds sets of up to some million shingles; beyond, more registers just agree.
 BASE, RATE = 1.1, 20.0
 #: Registers of a class that is still apart at last.
-FINE = 1024
+FINE = 768
 #: Candidates whose most likely similarity is lower are dropped, by the number of registers.
-PROBABLY = {M: 0.67, FINE: 0.737}
-#: Rows of a block that are held, about: sketches (half a MB) and sets; and rows that stream past them.
-HELD, HELD_SETS, PASSING = 2000, 64, 500
+PROBABLY = {M: 0.67, FINE: 0.727}
+#: Rows of a block that are held, about, and rows that stream past them: sketches (4 MB) and sets.
+SKETCHES, SETS = (4000, 4000), (64, 1000)
+#: Links that one task follows.
+FEW = 15_000
 #: Shingles of passing rows times held rows that are looked at together.
 MEETINGS = 1 << 22
 
@@ -148,16 +150,16 @@ def _text_key() -> list:
     return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
 
 
-def _blocks(held: DataFrame, passing: DataFrame, payload: str, kernel: Callable, schema: str, most: int) -> DataFrame:
+def _blocks(held: DataFrame, passing: DataFrame, payload: str, kernel: Callable, schema: str, most: tuple[int, int]) -> DataFrame:
     """What ``kernel`` makes of the rows of ``held`` and ``passing`` (``g, c, root, payload``) that have the same group ``g``.
 
-    Held rows are dealt to blocks of about ``most`` rows by their hash, passing ones
-    to parts of about PASSING; each block meets each part once, in one task.
+    Held rows are dealt to blocks of about ``most[0]`` rows by their hash, passing
+    ones to parts of about ``most[1]``; each block meets each part once, in one task.
     ``kernel`` gets the group, the held rows and some passing ones, as lists of
     arrays ``c, root, payload``, and returns columns of ``schema``.
     """
     size = lambda df, many, to: df.groupBy("g").agg(F.ceil(F.count("*") / many).alias(to))
-    sizes = size(held, most, "__blocks").join(size(passing, PASSING, "__parts"), "g")
+    sizes = size(held, most[0], "__blocks").join(size(passing, most[1], "__parts"), "g")
     sizes = materialize(sizes, "sizes")
     count = F.sequence(F.lit(1).cast("long"), F.col("__parts")), F.sequence(F.lit(1).cast("long"), F.col("__blocks"))
     own = lambda many: 1 + F.pmod(F.xxhash64("c"), F.col(many))
@@ -257,22 +259,22 @@ def _likely(held: DataFrame, passing: DataFrame, classes: DataFrame, banded: boo
     """``a, b, root`` of the pairs of rows ``g, c, root`` of either side that may be linked."""
     sketches = classes.select("c", F.struct(*[x for x in classes.columns if x != "c"]).alias("sketch"))
     kernel = partial(_alike, banded=banded, best=best)
-    return materialize(_blocks(held.join(sketches, "c"), passing.join(sketches, "c"), "sketch", kernel, "a bigint, b bigint, root bigint", HELD), "likely")
+    return materialize(_blocks(held.join(sketches, "c"), passing.join(sketches, "c"), "sketch", kernel, "a bigint, b bigint, root bigint", SKETCHES), "likely")
 
 
 def _confirmed(pairs: DataFrame, group: str, sets: DataFrame) -> DataFrame:
     """``a, b`` of the pairs whose full sets have the similarity; ``group``: what many pairs share."""
     side = lambda x: pairs.select(F.col(group).alias("g"), F.col(x).alias("c")).distinct().withColumn("root", F.lit(0).cast("long")).join(sets, "c")
-    return materialize(_blocks(side("a"), side("b"), "members", _linked, "a bigint, b bigint", HELD_SETS), "links")
+    return materialize(_blocks(side("a"), side("b"), "members", _linked, "a bigint, b bigint", SETS), "links")
 
 
 def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     """The components ``node, root`` of ``roots`` with the links ``a, b`` added."""
     if roots is None:
-        return materialize(connected_components(links), "roots")
+        return materialize(connected_components(links, few=FEW), "roots")
     to = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r_{x}"))
     ends = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("r_a", "a").alias("a"), F.coalesce("r_b", "b").alias("b"))
-    new = materialize(connected_components(ends), "roots")
+    new = materialize(connected_components(ends, few=FEW), "roots")
     moved = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("__to")), "root", "left").select("node", F.coalesce("__to", "root").alias("root"))
     return materialize(moved.unionByName(new.join(roots, "node", "left_anti")), "roots")
 
@@ -294,16 +296,26 @@ def class_components(classes: DataFrame, sets_of: Callable[[DataFrame], DataFram
     """
     buckets, roots = _buckets(classes), None
     own = F.col("c").alias("root")
-    wanted = lambda pairs: sets_of(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
+
+    def links_of(likely: DataFrame, group: str) -> DataFrame | None:
+        """The confirmed ones of ``likely``, None if there are none."""
+        if likely.isEmpty():
+            return None
+        ends = likely.select(F.col("a").alias("c")).distinct().union(likely.select("b").distinct()).distinct()
+        sets = sets_of(ends)
+        links = _confirmed(likely, group, sets)
+        discard(sets)
+        return None if links.isEmpty() else links
+
     # each class and its buckets' hubs
     pairs = materialize(buckets.where("c <> hub").select("hub", "c").distinct(), "pairs")
     likely = _likely(pairs.select(F.col("hub").alias("g"), F.col("hub").alias("c")).distinct().select("*", own), pairs.select(F.col("hub").alias("g"), "c", own), classes, False)
-    if not likely.isEmpty():
-        links = _confirmed(likely, "a", wanted(likely))
-        roots = None if links.isEmpty() else _joined(None, links)
-    # what is left apart in a bucket; the hub has met all others
-    left, joins = buckets.where("c <> hub").select(F.col("key").alias("g"), "c"), True
-    while True:
+    links = links_of(likely, "a")
+    roots = links and _joined(None, links)
+    discard(likely)
+    # what is left apart in a bucket, where the hub has met all others: first each with its best, then with all
+    left = buckets.where("c <> hub").select(F.col("key").alias("g"), "c")
+    for best in (True, False):
         if roots is None:
             named = left.select("g", "c", own)
         else:
@@ -314,16 +326,15 @@ def class_components(classes: DataFrame, sets_of: Callable[[DataFrame], DataFram
         most = materialize(most.select("g", F.col("most.root").alias("most"), "size"), "most")
         if most.isEmpty():
             return roots
-        named = materialize(uneven_join(named, most, ["g"], "size", named.count()), "left")
-        # first each with its best, as long as that connects anything, then with all
-        known = classes if joins else classes.join(fine_of(named.select("c").distinct()), "c")
-        likely = _likely(named.where("root <> most").drop("most"), named.drop("most"), known, True, joins)
-        links = _confirmed(likely, "root", wanted(likely)) if not likely.isEmpty() else None
-        found = links is not None and not links.isEmpty()
-        roots = _joined(roots, links) if found else roots
-        if not joins:
-            return roots
-        joins, left = found, named.select("g", "c")
+        apart = materialize(uneven_join(named, most, ["g"], "size", named.count()), "left")
+        discard(named)
+        known = classes if best else classes.join(fine_of(apart.select("c").distinct()), "c")
+        likely = _likely(apart.where("root <> most").drop("most"), apart.drop("most"), known, True, best)
+        links = links_of(likely, "root")
+        roots = roots if links is None else _joined(roots, links)
+        discard(likely)
+        left = apart.select("g", "c")
+    return roots
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
