@@ -76,6 +76,22 @@ def test_many_edited_copies_beside_one_exact_copy(spark):
     assert got == {d: (1.0 if d == 100 else (30 * 2 - 2) / 64) for d in range(101)}
 
 
+def test_documents_are_read_once_and_none_are_drawn(spark):
+    """What is looked for follows from the items alone."""
+    rows = [(k, f"filler {k} of the text" + (" u0 u1 u2 x u4 u5 u6" if k % 3000 == 7 else "")) for k in range(12_000)]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).mapInArrow(seen, "doc_id long, text string")
+    it = spark.createDataFrame([(7, "u0 u1 u2 u3 u4 u5 u6")], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.find_leaks(df, it, n=1).collect()) == [7, 3007, 6007, 9007]
+    assert read.value == len(rows)
+
+
 def edited(rng, item, share):
     """A copy with words replaced, left out and put in."""
     out = []
