@@ -35,7 +35,7 @@ def _without(docs: DataFrame, rejected: DataFrame, on: list[str]) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are in none of the corpus's languages or whose language stays open.
 
-    The model is trained on a bounded sample of the documents' own ``lang``; the
+    The model is trained on all distinct texts by the documents' own ``lang``; the
     evidence is the text, ``lang`` as what is declared, and ``source`` as the host.
     Rows that repeat fare alike; a null or empty text is judged by what is declared
     and its host alone, so it goes where those say nothing. An empty table stays empty.

@@ -57,6 +57,18 @@ def test_rare_labels_and_copies(spark):
     assert (langid.train(copies, max_rows=100).logs == few.logs).all()
 
 
+def test_every_distinct_text_is_learned(spark):
+    """However many texts a language has, the model is that of all of them, each once."""
+    rng = random.Random(5)
+    texts = [f"{text(rng, EN, 3)} {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(12_000)]
+    rows = [(t, "en") for t in texts + texts[:500] * 3] + [(texts[0], "de"), (texts[1].upper(), "de"), (texts[1].upper(), "de")]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string").repartition(3))
+    for k, own in enumerate((set(texts[:1] + [texts[1].upper()]), set(texts))):
+        counts = sum(np.bincount(codes, minlength=1 << langid.BITS) for t in own for codes in langid._codes(t))
+        want = np.log((1 - langid.UNIFORM) * counts / counts.sum() + langid.UNIFORM / (1 << langid.BITS))
+        assert np.allclose(model.logs[:, k], want, rtol=1e-6)
+
+
 def test_many_labels(spark):
     """No label falls to the unknown language for being one of many."""
     rng = random.Random(4)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayline.llm.batches import small_batches
+from wayline.llm.filters import mark_held
 from wayline.storage import materialize
 
 UNKNOWN = "und"
@@ -66,8 +67,16 @@ class Model:
         return np.append(total, -n * BITS * math.log(2)) / (1 + n / EFFECTIVE)
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = 8000, max_languages: int = 500) -> Model:
-    """Trigram models from labelled rows: of each language all distinct texts, or some ``max_rows`` drawn by hash where there are more.
+def _distinct(rows: DataFrame) -> DataFrame:
+    """The distinct ``text, lang`` of ``rows``, which have ``h``, a hash of the text; of texts only those that share a hash are shuffled."""
+    repeated = materialize(rows.groupBy("lang", "h").count().where("count > 1").select("lang", "h"), "repeated")
+    marked = mark_held(rows, repeated, ["lang", "h"], repeated.count(), "again")
+    once, again = (marked.where(x).select("text", "lang") for x in ("not again", "again"))
+    return once.unionByName(again.distinct())
+
+
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", max_rows: int | None = None, max_languages: int = 500) -> Model:
+    """Trigram models from labelled rows: of each language all distinct texts, or some ``max_rows`` drawn by hash if that is asked for.
 
     Every label is learned; a model is 2**BITS floats for each. ``max_languages``
     says how many there may be; more raise an error. Rows with a null label or a
@@ -76,12 +85,12 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", max_rows:
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text <> ''")
     rows = rows.withColumn("h", F.xxhash64("text"))
-    by = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).limit(max_languages + 1).collect()
+    size = F.lit(0) if max_rows is None else F.approx_count_distinct("h", 0.02)
+    by = rows.groupBy("lang").agg(size.alias("n")).limit(max_languages + 1).collect()
     if len(by) > max_languages:
         raise ValueError(f"more than {max_languages} labels")
     languages = tuple(sorted(r.lang for r in by))
     index = {x: k for k, x in enumerate(languages)}
-    part = {r.lang: 1_000_000 if r.n <= 1.1 * max_rows else int(1e6 * max_rows / r.n) + 1 for r in by}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, np.ndarray] = {}
@@ -96,9 +105,12 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", max_rows:
 
     counts = np.zeros((len(languages), 1 << BITS))
     if languages:
-        shares = F.create_map(*[F.lit(x) for two in part.items() for x in two])
-        drawn = rows.where(F.pmod("h", F.lit(1_000_000)) < shares[F.col("lang")]).select("text", "lang").distinct()
-        sums = drawn.mapInArrow(count, "k int, code int, n bigint").groupBy("k", "code").agg(F.sum("n").alias("n")).toPandas()
+        if max_rows is not None:
+            part = {r.lang: 1_000_000 if r.n <= 1.1 * max_rows else int(1e6 * max_rows / r.n) + 1 for r in by}
+            shares = F.create_map(*[F.lit(x) for two in part.items() for x in two])
+            rows = rows.where(F.pmod("h", F.lit(1_000_000)) < shares[F.col("lang")])
+        counted = small_batches(_distinct(rows)).mapInArrow(count, "k int, code int, n bigint")
+        sums = counted.groupBy("k", "code").agg(F.sum("n").alias("n")).toPandas()
         counts[sums["k"], sums["code"]] = sums["n"]  # at most 2**BITS for each language
     seen = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
     return Model(languages, np.log((1 - UNIFORM) * seen + UNIFORM / (1 << BITS)).T.astype(np.float32).copy())
