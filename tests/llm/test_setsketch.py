@@ -74,6 +74,24 @@ def test_matches_all_pairs(spark):
     assert len({w[2] for w in want}) < len(rows) / 2
 
 
+def test_last_comparison_is_of_what_is_open(spark, monkeypatch):
+    """Texts that are nearly alike without a likely partner, or with one alone, don't come to the comparison of all with all."""
+    rng, met = random.Random(21), []
+    base = [f"w{rng.randrange(1000)}" for _ in range(200)]
+    texts = [" ".join(edited(rng, base, rng.randrange(10, 22))) for _ in range(250)]
+    texts += [" ".join(edited(rng, t.split(" "), rng.randrange(1, 8))) for t in texts[:60] for _ in range(2)]
+    rows = list(enumerate(texts))
+    likely = setsketch._likely
+
+    def counted(held, passing, *how):
+        met.append((held.count(), passing.count()))
+        return likely(held, passing, *how)
+
+    monkeypatch.setattr(setsketch, "_likely", counted)
+    assert got(setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == brute(rows)
+    assert len(met) < 3 or met[2][0] < met[1][0] / 3 and met[2][1] < met[1][1], met
+
+
 def test_query_on_documents(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert got(op12_setsketch_near_dedup(spark, sf_dir)) == brute(rows)

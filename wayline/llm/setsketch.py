@@ -10,8 +10,10 @@ for (0.8) a pair shares no band with a probability of 2e-9.
 Sets that are equal are one class. First each class of a band's bucket is compared
 with the bucket's hub. That connects nearly all that is alike; then, where a
 bucket's classes are not all connected, those outside its largest component are
-compared with all others that they are not connected with. So no pair of a bucket
-that could connect anything stays unseen, and copies of copies don't meet in pairs.
+compared with all others that they are not connected with: first each is confirmed
+with its most similar partner, then those that had more are with all of them. So no
+pair of a bucket that could connect anything stays unseen, and copies of copies
+don't meet in pairs.
 For a candidate the likelihood of the counts of larger, smaller and equal registers
 gives the similarity; what it puts below PROBABLY is dropped (at 0.8 that is five standard
 deviations away), the others are confirmed on their full sets. The last comparison,
@@ -54,6 +56,8 @@ FINE = 768
 PROBABLY = {M: 0.67, FINE: 0.727}
 #: Rows of a block that are held, about, and rows that stream past them: sketches (4 MB) and sets.
 SKETCHES, SETS = (4000, 4000), (64, 1000)
+#: Columns of a pair that may be linked.
+PAIRS = ("a", "b", "root", "g", "more")
 #: Links that one task follows.
 FEW = 15_000
 #: Shingles of passing rows times held rows that are looked at together.
@@ -193,11 +197,12 @@ def _blocks(held: DataFrame, passing: DataFrame, payload: str, kernel: Callable,
 
 
 def _alike(bucket: int, held: list[pa.Array], passing: list[pa.Array], banded: bool, best: bool) -> pa.RecordBatch:
-    """``a, b, root`` of the pairs of different components whose sizes and registers allow the similarity; ``root`` is the passing one's.
+    """``a, b, root, g, more`` of the pairs of different components whose sizes and registers allow the similarity; ``root`` is the passing one's.
 
     ``banded``: the group is a bucket. A pair that shares several is seen in the
     first; if one was the hub there, both met before. Of two held ones the smaller is
-    ``a``. ``best``: of each held one's pairs only that with the most equal registers.
+    ``a``. ``best``: of each held one's pairs only that with the most equal registers, and in
+    ``more`` how many others there are.
     """
     c, roots, n, sketches, fine = [], [], [], [], []
     for ids, root, payload in (held, passing):
@@ -208,7 +213,7 @@ def _alike(bucket: int, held: list[pa.Array], passing: list[pa.Array], banded: b
             if what in payload.type.names:
                 to.append(np.frombuffer(b"".join(payload.field(what).to_pylist()), np.uint8).reshape(len(ids), -1))
     looks = fine or sketches
-    found: list[list[np.ndarray]] = [[], [], []]
+    found: list[list[np.ndarray]] = [[] for _ in PAIRS]
     for i in range(len(c[0])):
         sizes = 100 * np.minimum(n[0][i], n[1]) >= PERCENT * np.maximum(n[0][i], n[1])
         at = np.flatnonzero(sizes & (roots[1] != roots[0][i]))
@@ -221,11 +226,13 @@ def _alike(bucket: int, held: list[pa.Array], passing: list[pa.Array], banded: b
             # at a similarity below the likeliest the likelihood still rises
             least = PROBABLY[looks[0].shape[1]]
             at = at[_slope(least, looks[0][i][None], looks[1][at], n[0][i] / (n[0][i] + n[1][at])) >= 0]
+            others = 0
             if best and len(at):
+                others = len(at) - 1
                 at = at[[(sketches[1][at] == sketches[0][i]).sum(axis=1).argmax()]]
-            for to, what in zip(found, (np.full(len(at), c[0][i]), c[1][at], roots[1][at])):
-                to.append(what)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in found], ["a", "b", "root"])
+            for to, what in zip(found, (c[0][i], c[1][at], roots[1][at], bucket, others)):
+                to.append(np.broadcast_to(np.int64(what), len(at)))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in found], list(PAIRS))
 
 
 def _linked(group: int, held: list[pa.Array], passing: list[pa.Array]) -> pa.RecordBatch:
@@ -256,10 +263,10 @@ def _linked(group: int, held: list[pa.Array], passing: list[pa.Array]) -> pa.Rec
 
 
 def _likely(held: DataFrame, passing: DataFrame, classes: DataFrame, banded: bool, best: bool = False) -> DataFrame:
-    """``a, b, root`` of the pairs of rows ``g, c, root`` of either side that may be linked."""
+    """The PAIRS of rows ``g, c, root`` of either side that may be linked."""
     sketches = classes.select("c", F.struct(*[x for x in classes.columns if x != "c"]).alias("sketch"))
     kernel = partial(_alike, banded=banded, best=best)
-    return materialize(_blocks(held.join(sketches, "c"), passing.join(sketches, "c"), "sketch", kernel, "a bigint, b bigint, root bigint", SKETCHES), "likely")
+    return materialize(_blocks(held.join(sketches, "c"), passing.join(sketches, "c"), "sketch", kernel, ", ".join(f"{x} bigint" for x in PAIRS), SKETCHES), "likely")
 
 
 def _confirmed(pairs: DataFrame, group: str, sets: DataFrame) -> DataFrame:
@@ -313,8 +320,8 @@ def class_components(classes: DataFrame, sets_of: Callable[[DataFrame], DataFram
     links = links_of(likely, "a")
     roots = links and _joined(None, links)
     discard(likely)
-    # what is left apart in a bucket, where the hub has met all others: first each with its best, then with all
-    left = buckets.where("c <> hub").select(F.col("key").alias("g"), "c")
+    # what is left apart in a bucket, where the hub has met all others: first each with its best, then those that had more with all
+    left, again = buckets.where("c <> hub").select(F.col("key").alias("g"), "c"), None
     for best in (True, False):
         if roots is None:
             named = left.select("g", "c", own)
@@ -326,14 +333,18 @@ def class_components(classes: DataFrame, sets_of: Callable[[DataFrame], DataFram
         most = materialize(most.select("g", F.col("most.root").alias("most"), "size"), "most")
         if most.isEmpty():
             return roots
-        apart = materialize(uneven_join(named, most, ["g"], "size", named.count()), "left")
+        total = named.count()
+        apart = materialize(uneven_join(named, most, ["g"], "size", total), "left")
         discard(named)
+        held = apart.where("root <> most") if best else apart.join(again, ["g", "c"], "left_semi")
         known = classes if best else classes.join(fine_of(apart.select("c").distinct()), "c")
-        likely = _likely(apart.where("root <> most").drop("most"), apart.drop("most"), known, True, best)
+        likely = _likely(held.drop("most"), apart.drop("most"), known, True, best)
         links = links_of(likely, "root")
         roots = roots if links is None else _joined(roots, links)
+        if best:  # who had one partner has been confirmed or not
+            again = materialize(likely.where("more > 0").select("g", F.col("a").alias("c")).distinct(), "again")
+            left = uneven_join(apart.select("g", "c"), most.join(again.select("g").distinct(), "g", "left_semi").drop("most"), ["g"], "size", total)
         discard(likely)
-        left = apart.select("g", "c")
     return roots
 
 
