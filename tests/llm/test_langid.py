@@ -69,6 +69,23 @@ def test_every_distinct_text_is_learned(spark):
         assert np.allclose(model.logs[:, k], want, rtol=1e-6)
 
 
+def test_counts_follow_the_texts_not_their_partitions(spark, monkeypatch):
+    """Many small partitions don't make a row for each trigram again and again; the model is the same."""
+    rng, made = random.Random(8), []
+    labelled = spark.createDataFrame([(text(rng, w), lang) for w, lang in ((EN, "en"), (DE, "de")) for _ in range(600)], "text string, lang string")
+    frame = type(labelled)
+    run = frame.mapInArrow
+
+    def counted(self, f, schema):
+        made.append(run(self, f, schema).count())
+        return run(self, f, schema)
+
+    monkeypatch.setattr(frame, "mapInArrow", counted)
+    few, many = (langid.train(labelled.repartition(n)) for n in (1, 60))
+    assert (few.logs == many.logs).all()
+    assert made[1] <= spark.sparkContext.defaultParallelism * made[0]
+
+
 def test_many_labels(spark):
     """No label falls to the unknown language for being one of many."""
     rng = random.Random(4)

@@ -36,6 +36,8 @@ EFFECTIVE = 50
 #: Pseudo counts that a host takes from its domain and a domain from the whole.
 KAPPA = 20.0
 _SLICE = 1 << 20
+#: Bytes of text that a task counts, at least where all cores have some: each gives up to a row for each trigram and language.
+TASK_BYTES = 32 << 20
 #: The uniform model's part in each language's model: a trigram never seen says little.
 UNIFORM = 0.1
 #: Bytes that stand for themselves, letters and what is beyond ASCII; all others are blanks.
@@ -81,12 +83,13 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", max_rows:
     Every label is learned; a model is 2**BITS floats for each. ``max_languages``
     says how many there may be; more raise an error. Rows with a null label or a
     null or empty text say nothing. Without any there is no language but the
-    unknown one.
+    unknown one. Tasks count about TASK_BYTES of text each, however many
+    partitions the rows come in.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text <> ''")
     rows = rows.withColumn("h", F.xxhash64("text"))
     size = F.lit(0) if max_rows is None else F.approx_count_distinct("h", 0.02)
-    by = rows.groupBy("lang").agg(size.alias("n")).limit(max_languages + 1).collect()
+    by = rows.groupBy("lang").agg(size.alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).limit(max_languages + 1).collect()
     if len(by) > max_languages:
         raise ValueError(f"more than {max_languages} labels")
     languages = tuple(sorted(r.lang for r in by))
@@ -109,7 +112,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", max_rows:
             part = {r.lang: 1_000_000 if r.n <= 1.1 * max_rows else int(1e6 * max_rows / r.n) + 1 for r in by}
             shares = F.create_map(*[F.lit(x) for two in part.items() for x in two])
             rows = rows.where(F.pmod("h", F.lit(1_000_000)) < shares[F.col("lang")])
-        counted = small_batches(_distinct(rows)).mapInArrow(count, "k int, code int, n bigint")
+        tasks = max(labelled.sparkSession.sparkContext.defaultParallelism, math.ceil(sum(r["bytes"] for r in by) / TASK_BYTES))
+        counted = small_batches(_distinct(rows).coalesce(tasks)).mapInArrow(count, "k int, code int, n bigint")
         sums = counted.groupBy("k", "code").agg(F.sum("n").alias("n")).toPandas()
         counts[sums["k"], sums["code"]] = sums["n"]  # at most 2**BITS for each language
     seen = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
