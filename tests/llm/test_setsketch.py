@@ -92,6 +92,23 @@ def test_last_comparison_is_of_what_is_open(spark, monkeypatch):
     assert len(met) < 3 or met[2][0] < met[1][0] / 3 and met[2][1] < met[1][1], met
 
 
+def test_classes_that_share_many_buckets_meet_once(spark, monkeypatch):
+    """A class is no more rows of the later comparison than it has hubs, however many buckets it shares."""
+    rng, met = random.Random(23), []
+    base = [f"w{rng.randrange(1000)}" for _ in range(200)]
+    texts = [" ".join(edited(rng, base, rng.randrange(8, 14))) for _ in range(150)]
+    rows = list(enumerate([*texts, " ".join(base)]))
+    likely = setsketch._likely
+
+    def counted(held, passing, *how):
+        met.append(passing.count())
+        return likely(held, passing, *how)
+
+    monkeypatch.setattr(setsketch, "_likely", counted)
+    assert got(setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == brute(rows)
+    assert len(met) > 1 and met[1] <= met[0], met
+
+
 def test_query_on_documents(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert got(op12_setsketch_near_dedup(spark, sf_dir)) == brute(rows)

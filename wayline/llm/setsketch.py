@@ -8,9 +8,11 @@ similarity. BANDS bands of registers make the candidates: at the similarity aske
 for (0.8) a pair shares no band with a probability of 2e-9.
 
 Sets that are equal are one class. First each class of a band's bucket is compared
-with the bucket's hub. That connects nearly all that is alike; then, where a
-bucket's classes are not all connected, those outside its largest component are
-compared with all others that they are not connected with: first each is confirmed
+with the bucket's hub, the class that meets most others. That connects nearly all
+that is alike; the buckets of one hub are one group from then on, in which each class
+is one row, however many buckets it shares. Where a
+group's classes are not all connected, those outside its largest component are
+compared with all others that they share a bucket and are not connected with: first each is confirmed
 with its most similar partner, then those that had more are with all of them. So no
 pair of a bucket that could connect anything stays unseen, and copies of copies
 don't meet in pairs.
@@ -196,19 +198,21 @@ def _blocks(held: DataFrame, passing: DataFrame, payload: str, kernel: Callable,
     return rows.mapInArrow(run, schema)
 
 
-def _alike(bucket: int, held: list[pa.Array], passing: list[pa.Array], banded: bool, best: bool) -> pa.RecordBatch:
+def _alike(group: int, held: list[pa.Array], passing: list[pa.Array], banded: bool, best: bool) -> pa.RecordBatch:
     """``a, b, root, g, more`` of the pairs of different components whose sizes and registers allow the similarity; ``root`` is the passing one's.
 
-    ``banded``: the group is a bucket. A pair that shares several is seen in the
+    ``banded``: the group is the buckets of a hub, which has one in a band at most; ``bands`` has a
+    bit for each that a row is in. A pair that shares several buckets is seen in the group of the
     first; if one was the hub there, both met before. Of two held ones the smaller is
     ``a``. ``best``: of each held one's pairs only that with the most equal registers, and in
     ``more`` how many others there are.
     """
-    c, roots, n, sketches, fine = [], [], [], [], []
+    c, roots, n, bands, sketches, fine = [], [], [], [], [], []
     for ids, root, payload in (held, passing):
         c.append(ids.to_numpy(zero_copy_only=False))
         roots.append(root.to_numpy(zero_copy_only=False))
         n.append(payload.field("n").to_numpy(zero_copy_only=False).astype(np.float64))
+        bands += [payload.field("bands").to_numpy(zero_copy_only=False)] if banded else []
         for to, what in ((sketches, "sketch"), (fine, "fine")):
             if what in payload.type.names:
                 to.append(np.frombuffer(b"".join(payload.field(what).to_pylist()), np.uint8).reshape(len(ids), -1))
@@ -216,10 +220,11 @@ def _alike(bucket: int, held: list[pa.Array], passing: list[pa.Array], banded: b
     found: list[list[np.ndarray]] = [[] for _ in PAIRS]
     for i in range(len(c[0])):
         sizes = 100 * np.minimum(n[0][i], n[1]) >= PERCENT * np.maximum(n[0][i], n[1])
-        at = np.flatnonzero(sizes & (roots[1] != roots[0][i]))
+        apart = sizes & (roots[1] != roots[0][i])
+        at = np.flatnonzero(apart & (bands[1] & bands[0][i] != 0) if banded else apart)
         if banded and len(at):
             first = (sketches[1][at] == sketches[0][i]).reshape(len(at), BANDS, WIDTH).all(axis=2).argmax(axis=1)
-            at = at[first == bucket % 64]
+            at = at[bands[0][i] >> first & 1 == 1]
             if not best:
                 at = at[(c[1][at] > c[0][i]) | ~np.isin(c[1][at], c[0])]
         if len(at):
@@ -230,7 +235,7 @@ def _alike(bucket: int, held: list[pa.Array], passing: list[pa.Array], banded: b
             if best and len(at):
                 others = len(at) - 1
                 at = at[[(sketches[1][at] == sketches[0][i]).sum(axis=1).argmax()]]
-            for to, what in zip(found, (c[0][i], c[1][at], roots[1][at], bucket, others)):
+            for to, what in zip(found, (c[0][i], c[1][at], roots[1][at], group, others)):
                 to.append(np.broadcast_to(np.int64(what), len(at)))
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in found], list(PAIRS))
 
@@ -263,10 +268,11 @@ def _linked(group: int, held: list[pa.Array], passing: list[pa.Array]) -> pa.Rec
 
 
 def _likely(held: DataFrame, passing: DataFrame, classes: DataFrame, banded: bool, best: bool = False) -> DataFrame:
-    """The PAIRS of rows ``g, c, root`` of either side that may be linked."""
-    sketches = classes.select("c", F.struct(*[x for x in classes.columns if x != "c"]).alias("sketch"))
+    """The PAIRS of rows ``g, c, root`` (``banded``: and ``bands``) of either side that may be linked."""
+    payload = F.struct(*[x for x in classes.columns if x != "c"], *["bands"] * banded).alias("sketch")
+    sketched = lambda rows: rows.join(classes, "c").select("g", "c", "root", payload)
     kernel = partial(_alike, banded=banded, best=best)
-    return materialize(_blocks(held.join(sketches, "c"), passing.join(sketches, "c"), "sketch", kernel, ", ".join(f"{x} bigint" for x in PAIRS), SKETCHES), "likely")
+    return materialize(_blocks(sketched(held), sketched(passing), "sketch", kernel, ", ".join(f"{x} bigint" for x in PAIRS), SKETCHES), "likely")
 
 
 def _confirmed(pairs: DataFrame, group: str, sets: DataFrame) -> DataFrame:
@@ -286,13 +292,21 @@ def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return materialize(moved.unionByName(new.join(roots, "node", "left_anti")), "roots")
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
-    """``key, c, hub``: the classes of each bucket that has several; a key modulo 64 is its band."""
+def _groups(classes: DataFrame) -> DataFrame:
+    """``g, c, bands``: the classes ``c`` that share buckets whose hub is ``g``, and a bit for the band of each; a hub is not in its own group.
+
+    A bucket's hub is that of its classes whose buckets are the largest together, so that few hubs serve many buckets.
+    """
     band = lambda k: F.shiftleft(F.xxhash64(k, F.substring(F.col("sketch"), k * WIDTH + 1, F.lit(WIDTH))), 6) + k
     members = classes.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("key"), "c")
-    heads = members.groupBy("key").agg(F.min("c").alias("hub"), F.count("*").alias("__size")).where("__size > 1")
-    heads = materialize(heads, "heads")
-    return materialize(uneven_join(members, heads, ["key"], "__size", BANDS * classes.count()), "buckets")
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.count("*").alias("__size")).where("size > 1")
+    sizes = materialize(sizes, "sizes")
+    buckets = materialize(uneven_join(members, sizes, ["key"], "__size", BANDS * classes.count()), "buckets")
+    reach = buckets.groupBy("c").agg(F.sum("size").alias("reach"))
+    best = F.max(F.struct("reach", (-F.col("c")).alias("c")))
+    hubs = materialize(buckets.join(reach, "c").groupBy("key").agg((-best["c"]).alias("g"), F.count("*").alias("__size")), "hubs")
+    named = uneven_join(buckets, hubs, ["key"], "__size", buckets.count()).where("c <> g")
+    return materialize(named.groupBy("g", "c").agg(F.bit_or(F.expr("shiftleft(1L, int(key & 63))")).alias("bands")), "groups")
 
 
 def class_components(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], fine_of: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
@@ -301,7 +315,7 @@ def class_components(classes: DataFrame, sets_of: Callable[[DataFrame], DataFram
     ``classes`` has ``c, n, sketch``; ``sets_of`` gives ``c, members`` of the
     classes ``c`` handed to it, ``fine_of`` their FINE registers as ``c, fine``.
     """
-    buckets, roots = _buckets(classes), None
+    groups, roots = _groups(classes), None
     own = F.col("c").alias("root")
 
     def links_of(likely: DataFrame, group: str) -> DataFrame | None:
@@ -315,18 +329,17 @@ def class_components(classes: DataFrame, sets_of: Callable[[DataFrame], DataFram
         return None if links.isEmpty() else links
 
     # each class and its buckets' hubs
-    pairs = materialize(buckets.where("c <> hub").select("hub", "c").distinct(), "pairs")
-    likely = _likely(pairs.select(F.col("hub").alias("g"), F.col("hub").alias("c")).distinct().select("*", own), pairs.select(F.col("hub").alias("g"), "c", own), classes, False)
+    likely = _likely(groups.select("g", F.col("g").alias("c")).distinct().select("*", own), groups.select("g", "c", own), classes, False)
     links = links_of(likely, "a")
     roots = links and _joined(None, links)
     discard(likely)
-    # what is left apart in a bucket, where the hub has met all others: first each with its best, then those that had more with all
-    left, again = buckets.where("c <> hub").select(F.col("key").alias("g"), "c"), None
+    # what is left apart in a group, where the hub has met all others: first each with its best, then those that had more with all
+    left, again = groups, None
     for best in (True, False):
         if roots is None:
-            named = left.select("g", "c", own)
+            named = left.select("g", "c", "bands", own)
         else:
-            named = left.join(roots.withColumnRenamed("node", "c"), "c", "left").select("g", "c", F.coalesce("root", "c").alias("root"))
+            named = left.join(roots.withColumnRenamed("node", "c"), "c", "left").select("g", "c", "bands", F.coalesce("root", "c").alias("root"))
         named = materialize(named, "left")
         parts = named.groupBy("g", "root").agg(F.count("*").alias("size")).groupBy("g")
         most = parts.agg(F.count("*").alias("parts"), F.max(F.struct("size", "root")).alias("most"), F.sum("size").alias("size")).where("parts > 1")
@@ -343,7 +356,7 @@ def class_components(classes: DataFrame, sets_of: Callable[[DataFrame], DataFram
         roots = roots if links is None else _joined(roots, links)
         if best:  # who had one partner has been confirmed or not
             again = materialize(likely.where("more > 0").select("g", F.col("a").alias("c")).distinct(), "again")
-            left = uneven_join(apart.select("g", "c"), most.join(again.select("g").distinct(), "g", "left_semi").drop("most"), ["g"], "size", total)
+            left = uneven_join(apart.select("g", "c", "bands"), most.join(again.select("g").distinct(), "g", "left_semi").drop("most"), ["g"], "size", total)
         discard(likely)
     return roots
 
