@@ -109,6 +109,22 @@ def test_classes_that_share_many_buckets_meet_once(spark, monkeypatch):
     assert len(met) > 1 and met[1] <= met[0], met
 
 
+def test_hubs_of_the_same_classes_are_one_group(spark, monkeypatch):
+    """What is alike in great numbers has many hubs, but a class is few rows of the first comparison."""
+    rng, met = random.Random(29), []
+    base = [f"w{rng.randrange(1000)}" for _ in range(150)]
+    rows = [(i, " ".join(edited(rng, base, min(12, int(rng.expovariate(0.25)))))) for i in range(400)]
+    likely = setsketch._likely
+
+    def counted(held, passing, *how):
+        met.append(passing.count())
+        return likely(held, passing, *how)
+
+    monkeypatch.setattr(setsketch, "_likely", counted)
+    assert got(setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == brute(rows)
+    assert met[0] < 2 * len(rows), met
+
+
 def test_query_on_documents(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert got(op12_setsketch_near_dedup(spark, sf_dir)) == brute(rows)

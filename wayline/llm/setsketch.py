@@ -37,7 +37,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.llm.components import connected_components
@@ -198,12 +198,19 @@ def _blocks(held: DataFrame, passing: DataFrame, payload: str, kernel: Callable,
     return rows.mapInArrow(run, schema)
 
 
+def _band_keys(sketches: np.ndarray) -> np.ndarray:
+    """A number for the registers of each band."""
+    wide = np.zeros((len(sketches), BANDS, 8), np.uint8)
+    wide[:, :, :WIDTH] = sketches.reshape(-1, BANDS, WIDTH)
+    return wide.view(np.uint64)[:, :, 0]
+
+
 def _alike(group: int, held: list[pa.Array], passing: list[pa.Array], banded: bool, best: bool) -> pa.RecordBatch:
     """``a, b, root, g, more`` of the pairs of different components whose sizes and registers allow the similarity; ``root`` is the passing one's.
 
-    ``banded``: the group is the buckets of a hub, which has one in a band at most; ``bands`` has a
-    bit for each that a row is in. A pair that shares several buckets is seen in the group of the
-    first; if one was the hub there, both met before. Of two held ones the smaller is
+    ``banded``: the group is the buckets of a hub; ``bands`` has a bit for the band of each that a
+    row is in, and only rows that share a bucket are a pair. One that shares several is seen in the
+    group of the first; if one was the hub there, both met before. Of two held ones the smaller is
     ``a``. ``best``: of each held one's pairs only that with the most equal registers, and in
     ``more`` how many others there are.
     """
@@ -216,15 +223,15 @@ def _alike(group: int, held: list[pa.Array], passing: list[pa.Array], banded: bo
         for to, what in ((sketches, "sketch"), (fine, "fine")):
             if what in payload.type.names:
                 to.append(np.frombuffer(b"".join(payload.field(what).to_pylist()), np.uint8).reshape(len(ids), -1))
-    looks = fine or sketches
+    looks, keys = fine or sketches, [_band_keys(x) for x in sketches] if banded else []
     found: list[list[np.ndarray]] = [[] for _ in PAIRS]
     for i in range(len(c[0])):
         sizes = 100 * np.minimum(n[0][i], n[1]) >= PERCENT * np.maximum(n[0][i], n[1])
         apart = sizes & (roots[1] != roots[0][i])
         at = np.flatnonzero(apart & (bands[1] & bands[0][i] != 0) if banded else apart)
         if banded and len(at):
-            first = (sketches[1][at] == sketches[0][i]).reshape(len(at), BANDS, WIDTH).all(axis=2).argmax(axis=1)
-            at = at[bands[0][i] >> first & 1 == 1]
+            same = keys[1][at] == keys[0][i]
+            at = at[same.any(axis=1) & (bands[0][i] >> same.argmax(axis=1) & 1 == 1)]
             if not best:
                 at = at[(c[1][at] > c[0][i]) | ~np.isin(c[1][at], c[0])]
         if len(at):
@@ -293,9 +300,11 @@ def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def _groups(classes: DataFrame) -> DataFrame:
-    """``g, c, bands``: the classes ``c`` that share buckets whose hub is ``g``, and a bit for the band of each; a hub is not in its own group.
+    """``g, c, bands``: the classes ``c`` that share buckets which are the hub ``g``'s, and a bit for the band of each; a hub is not in its own group.
 
     A bucket's hub is that of its classes whose buckets are the largest together, so that few hubs serve many buckets.
+    A hub most of whose classes have one and the same hub as their best gives that one its buckets: what is alike
+    in great numbers has hubs by the hundred, which hold the same classes over and over.
     """
     band = lambda k: F.shiftleft(F.xxhash64(k, F.substring(F.col("sketch"), k * WIDTH + 1, F.lit(WIDTH))), 6) + k
     members = classes.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("key"), "c")
@@ -304,9 +313,15 @@ def _groups(classes: DataFrame) -> DataFrame:
     buckets = materialize(uneven_join(members, sizes, ["key"], "__size", BANDS * classes.count()), "buckets")
     reach = buckets.groupBy("c").agg(F.sum("size").alias("reach"))
     best = F.max(F.struct("reach", (-F.col("c")).alias("c")))
-    hubs = materialize(buckets.join(reach, "c").groupBy("key").agg((-best["c"]).alias("g"), F.count("*").alias("__size")), "hubs")
-    named = uneven_join(buckets, hubs, ["key"], "__size", buckets.count()).where("c <> g")
-    return materialize(named.groupBy("g", "c").agg(F.bit_or(F.expr("shiftleft(1L, int(key & 63))")).alias("bands")), "groups")
+    hubs = materialize(buckets.join(reach, "c").groupBy("key").agg(best.alias("hub"), F.count("*").alias("__size")), "hubs")
+    named = uneven_join(buckets, hubs, ["key"], "__size", buckets.count()).groupBy("hub", "c")
+    met = named.agg(F.bit_or(F.expr("shiftleft(1L, int(key & 63))")).alias("bands"))
+    met = materialize(met.withColumn("best", F.max("hub").over(Window.partitionBy("c"))), "met")  # a class has BANDS hubs at most
+    votes = met.groupBy("hub", "best").agg(F.count("*").alias("votes")).groupBy("hub")
+    votes = votes.agg(F.sum("votes").alias("__size"), F.max(F.struct("votes", "best")).alias("most"))
+    led = votes.select("hub", "__size", F.when(2 * F.col("most.votes") > F.col("__size"), F.col("most.best")).otherwise(F.col("hub")).alias("to"))
+    moved = uneven_join(met, materialize(led, "led"), ["hub"], "__size", met.count()).select((-F.col("to.c")).alias("g"), "c", "bands").where("c <> g")
+    return materialize(moved.groupBy("g", "c").agg(F.bit_or("bands").alias("bands")), "groups")
 
 
 def class_components(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], fine_of: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
