@@ -125,6 +125,23 @@ def test_hubs_of_the_same_classes_are_one_group(spark, monkeypatch):
     assert met[0] < 2 * len(rows), met
 
 
+def test_far_copies_of_one_text_are_no_pairs(spark, monkeypatch):
+    """The last comparison gives few pairs of what is nearly alike but not linked, though each such text resembles many others."""
+    rng, found = random.Random(31), []
+    base = [f"w{rng.randrange(1000)}" for _ in range(150)]
+    rows = [(i, " ".join(edited(rng, base, min(12, int(rng.expovariate(0.25)))))) for i in range(500)]
+    likely = setsketch._likely
+
+    def counted(*how):
+        found.append(likely(*how))
+        return found[-1]
+
+    monkeypatch.setattr(setsketch, "_likely", counted)
+    monkeypatch.setattr(setsketch, "discard", lambda df: None)
+    assert got(setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == brute(rows)
+    assert len(found) < 3 or found[2].count() < len(rows) / 4, [x.count() for x in found]
+
+
 def test_query_on_documents(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert got(op12_setsketch_near_dedup(spark, sf_dir)) == brute(rows)

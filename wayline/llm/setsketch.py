@@ -152,6 +152,33 @@ def _made(batches: Iterator[pa.RecordBatch], of: Callable[[np.ndarray], object],
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, kind)], ["c", "made"])
 
 
+def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``g, c``, a bit for each of the hub's shingles that the class has, and its ``others``."""
+    for batch in batches:
+        bits, others = [], []
+        for own, hub in zip(batch.column(2), batch.column(3)):
+            own, hub = (x.values.to_numpy(zero_copy_only=False) for x in (own, hub))
+            bits.append(np.packbits(np.isin(hub, own)).tobytes())
+            others.append(np.setdiff1d(own, hub, assume_unique=True))
+        more = [pa.array(bits, pa.binary()), pa.array(others, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *more], ["g", "c", "bits", "others"])
+
+
+def _outlined(rows: DataFrame, sets: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
+    """``g, c, bits, shared`` of rows ``g, c``: which of the hub's shingles a class has, and how many others that some class of the group has too.
+
+    Two classes of a group have no more shingles in common than the bits that are set in both and
+    the lesser of what they share otherwise. ``sizes`` has the ``size`` of each group of the ``total`` rows.
+    """
+    hubs = sizes.join(sets.withColumnRenamed("c", "g").withColumnRenamed("members", "hub"), "g")
+    met = uneven_join(rows.select("g", "c").join(sets, "c"), hubs, ["g"], "size", total).select("g", "c", "members", "hub")
+    met = materialize(met.mapInArrow(_against, "g bigint, c bigint, bits binary, others array<bigint>"), "outlines")
+    alone = met.select("g", "c", F.explode("others").alias("h")).groupBy("g", "h").agg(F.count("*").alias("many"), F.min("c").alias("c")).where("many = 1")
+    alone = alone.groupBy("g", "c").agg(F.count("*").alias("alone"))
+    shared = F.size("others") - F.coalesce("alone", F.lit(0))
+    return materialize(met.join(alone, ["g", "c"], "left").select("g", "c", "bits", shared.alias("shared")), "outlined")
+
+
 def _text_key() -> list:
     return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
 
@@ -205,6 +232,12 @@ def _band_keys(sketches: np.ndarray) -> np.ndarray:
     return wide.view(np.uint64)[:, :, 0]
 
 
+def _outlines(payload: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ``bits``, a row each, and ``shared``; rows of a group have as many bits as its hub has shingles."""
+    bits = np.frombuffer(b"".join(payload.field("bits").to_pylist()), np.uint8).reshape(len(payload), -1)
+    return bits, payload.field("shared").to_numpy(zero_copy_only=False)
+
+
 def _alike(group: int, held: list[pa.Array], passing: list[pa.Array], banded: bool, best: bool) -> pa.RecordBatch:
     """``a, b, root, g, more`` of the pairs of different components whose sizes and registers allow the similarity; ``root`` is the passing one's.
 
@@ -223,6 +256,7 @@ def _alike(group: int, held: list[pa.Array], passing: list[pa.Array], banded: bo
         for to, what in ((sketches, "sketch"), (fine, "fine")):
             if what in payload.type.names:
                 to.append(np.frombuffer(b"".join(payload.field(what).to_pylist()), np.uint8).reshape(len(ids), -1))
+    outlines = [_outlines(side[2]) for side in (held, passing)] if "bits" in held[2].type.names else []
     looks, keys = fine or sketches, [_band_keys(x) for x in sketches] if banded else []
     found: list[list[np.ndarray]] = [[] for _ in PAIRS]
     for i in range(len(c[0])):
@@ -234,6 +268,10 @@ def _alike(group: int, held: list[pa.Array], passing: list[pa.Array], banded: bo
             at = at[same.any(axis=1) & (bands[0][i] >> same.argmax(axis=1) & 1 == 1)]
             if not best:
                 at = at[(c[1][at] > c[0][i]) | ~np.isin(c[1][at], c[0])]
+        if outlines and len(at):
+            (bits, shared), (their_bits, their_shared) = outlines
+            common = np.bitwise_count(their_bits[at] & bits[i]).sum(axis=1, dtype=np.int64) + np.minimum(their_shared[at], shared[i])
+            at = at[100 * common >= PERCENT * (n[0][i] + n[1][at] - common)]
         if len(at):
             # at a similarity below the likeliest the likelihood still rises
             least = PROBABLY[looks[0].shape[1]]
@@ -275,8 +313,8 @@ def _linked(group: int, held: list[pa.Array], passing: list[pa.Array]) -> pa.Rec
 
 
 def _likely(held: DataFrame, passing: DataFrame, classes: DataFrame, banded: bool, best: bool = False) -> DataFrame:
-    """The PAIRS of rows ``g, c, root`` (``banded``: and ``bands``) of either side that may be linked."""
-    payload = F.struct(*[x for x in classes.columns if x != "c"], *["bands"] * banded).alias("sketch")
+    """The PAIRS of rows ``g, c, root`` (and others of the payload) of either side that may be linked; ``banded``: they have ``bands``."""
+    payload = F.struct(*[x for x in [*classes.columns, *held.columns] if x not in ("g", "c", "root")]).alias("sketch")
     sketched = lambda rows: rows.join(classes, "c").select("g", "c", "root", payload)
     kernel = partial(_alike, banded=banded, best=best)
     return materialize(_blocks(sketched(held), sketched(passing), "sketch", kernel, ", ".join(f"{x} bigint" for x in PAIRS), SKETCHES), "likely")
@@ -364,10 +402,16 @@ def class_components(classes: DataFrame, sets_of: Callable[[DataFrame], DataFram
         total = named.count()
         apart = materialize(uneven_join(named, most, ["g"], "size", total), "left")
         discard(named)
-        held = apart.where("root <> most") if best else apart.join(again, ["g", "c"], "left_semi")
-        known = classes if best else classes.join(fine_of(apart.select("c").distinct()), "c")
-        likely = _likely(held.drop("most"), apart.drop("most"), known, True, best)
-        links = links_of(likely, "root")
+        known, rows = classes, apart
+        if not best:
+            ends = apart.select("c").union(apart.select("g")).distinct()
+            sets = sets_of(ends)
+            rows = rows.join(_outlined(rows, sets, most.select("g", "size"), total), ["g", "c"])
+            discard(sets)
+            known = classes.join(fine_of(apart.select("c").distinct()), "c")
+        held = rows.where("root <> most") if best else rows.join(again, ["g", "c"], "left_semi")
+        likely = _likely(held.drop("most"), rows.drop("most"), known, True, best)
+        links = links_of(likely, "b" if best else "root")  # one pair for each held row, or many
         roots = roots if links is None else _joined(roots, links)
         if best:  # who had one partner has been confirmed or not
             again = materialize(likely.where("more > 0").select("g", F.col("a").alias("c")).distinct(), "again")
