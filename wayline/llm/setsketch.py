@@ -9,7 +9,8 @@ for (0.8) a pair shares no band with a probability of 2e-9.
 
 Sets that are equal are one class. First each class of a band's bucket is compared
 with the bucket's hub, the class that meets most others. That connects nearly all
-that is alike; the buckets of one hub are one group from then on, in which each class
+that is alike; a hub most of whose classes have one better hub gives its buckets to that
+one first, and the buckets of one hub are one group from then on, in which each class
 is one row, however many buckets it shares. Where a
 group's classes are not all connected, those outside its largest component are
 compared with all others that they share a bucket and are not connected with: first each is confirmed
@@ -19,7 +20,9 @@ don't meet in pairs.
 For a candidate the likelihood of the counts of larger, smaller and equal registers
 gives the similarity; what it puts below PROBABLY is dropped (at 0.8 that is five standard
 deviations away), the others are confirmed on their full sets. The last comparison,
-of what is nearly alike in great numbers, has FINE registers for a sharper look.
+of what is nearly alike in great numbers, has FINE registers for a sharper look, and a bound
+that misses nothing: which of the hub's shingles both hold, and how many others each shares
+with any class of the group.
 
 Both comparisons are made in blocks (:func:`_blocks`): some of a group's rows on one
 side are held while those of the other side stream past, and only what is alike
