@@ -80,8 +80,9 @@ def most_frequent_value(spark: SparkSession, sf: str) -> DataFrame:
     """ SELECT floor(v / 50)::BIGINT AS b, count(*) FILTER (WHERE tet = 'click') AS click, count(*) FILTER (WHERE tet = 'view') AS view FROM ev WHERE tet IN ('click', 'view') GROUP BY 1"""
 )
 def stacked_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    e = A.events(spark, sf).select(F.floor(F.col("v") / 50).alias("b"), "tet")
-    return e.groupBy("b").pivot("tet", ["click", "view"]).agg(F.count(F.lit(1))).na.fill(0).select("b", "click", "view")
+    kinds = ["click", "view"]
+    e = A.events(spark, sf).where(F.col("tet").isin(kinds)).select(F.floor(F.col("v") / 50).alias("b"), "tet")  # a bin of other types only has no row
+    return e.groupBy("b").pivot("tet", kinds).agg(F.count(F.lit(1))).na.fill(0, kinds).select("b", *kinds)
 
 
 @query(" SELECT min(n) AS n FROM (SELECT count(*) AS n FROM ev GROUP BY cell ORDER BY n DESC LIMIT 3)")
