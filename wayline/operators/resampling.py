@@ -1,19 +1,25 @@
 """Correlation under permutation and resampling.
 
-Replicates are keys, so they run side by side; random orders and draws come from a
+Replicates run side by side, some to a task; random orders and draws come from a
 hash of the replicate and the row number, which any rerun of a lost task repeats.
+A task reads the rows as they lie in the shared folder, once for its replicates,
+so nothing is shuffled that grows with rows times replicates.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayline.functions.circular import correlation
+from wayline.functions.circular import correlation, ratio
+from wayline.functions.md5 import first_bits, spans
 from wayline.operators.sequence import CHUNK, running_sum
+from wayline.storage import materialize, read_batches
 
 HASH_BITS = 60
 
@@ -27,6 +33,79 @@ def _sums(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(correlation(F.col("x"), F.col("y")).alias("r"))
 
 
+#: Rows whose numbers of draws one task holds, a byte each.
+_SLOTS = 1 << 26
+#: Rows that one task puts into a random order at once, 16 bytes each.
+_SORTED = 1 << 22
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+_TOTALS = "rep int, " + ", ".join(f"{c} double" for c in _SUMS)
+
+
+def _moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each row what it adds to the sums; a row without ``x`` or ``y`` adds nothing."""
+    known = ~(np.isnan(x) | np.isnan(y))
+    x, y = np.where(known, x, 0.0), np.where(known, y, 0.0)
+    return np.stack([known.astype(float), x, y, x * x, y * y, x * y], axis=1)
+
+
+def _correlation_of_sums() -> Column:
+    n, sx, sy, sxx, syy, sxy = map(F.col, _SUMS)
+    return ratio(n * sxy - sx * sy, F.sqrt(F.greatest(n * sxx - sx * sx, F.lit(0.0))) * F.sqrt(F.greatest(n * syy - sy * sy, F.lit(0.0))))
+
+
+def _kept(rows: DataFrame, n: int, order: str) -> DataFrame:
+    """``rows`` as files of the shared folder, cut and sorted by ``order``."""
+    return materialize(rows.repartitionByRange(n // (1 << 19) + 1, order).sortWithinPartitions(order), "rows")
+
+
+def _side_by_side(rows: DataFrame, n: int, run: Callable[[int], pd.DataFrame], schema: str) -> DataFrame:
+    """What ``run`` gives for 0 to ``n``, each in a task of its own; written at once, as it takes long and is read more than once."""
+
+    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for task in part["id"].tolist():
+                yield run(task)
+
+    return materialize(rows.sparkSession.range(0, n, 1, n).mapInPandas(each, schema), "replicates")
+
+
+def _resampled(rows: DataFrame, n_slots: int, k: int, draws: Callable[[int], Iterator[np.ndarray]]) -> DataFrame:
+    """``rep`` and sums over the rows ``slot, x, y`` that ``draws`` takes for each of ``k`` replicates.
+
+    ``rows`` were kept in files; ``draws(rep)`` gives slots from 0 to ``n_slots``, as
+    many as there are. A task counts how often some replicates draw each slot and
+    then reads the rows once. Beyond ``_SLOTS`` rows a task looks at some of the
+    slots only, and draws are made again for each such range.
+    """
+    path, spark = rows._wayline_path, rows.sparkSession
+    n_ranges = -(-n_slots // _SLOTS)
+    width = -(-n_slots // n_ranges)
+    at_once = max(1, min(_SLOTS // width, k // (8 * spark.sparkContext.defaultParallelism)))
+    n_groups = -(-k // at_once)
+
+    def run(task: int) -> pd.DataFrame:
+        reps, low = range(task // n_ranges * at_once + 1, min(task // n_ranges * at_once + at_once, k) + 1), task % n_ranges * width
+        times = np.zeros((len(reps), width), np.uint8)  # a slot is drawn once on average, at most
+        for at, rep in enumerate(reps):
+            for slots in draws(rep):
+                inside = slots if n_ranges == 1 else slots[(slots >= low) & (slots < low + width)]
+                np.add.at(times[at], inside - low, np.uint8(1))
+        sums = np.zeros((len(reps), len(_SUMS)))
+        for slot, x, y in read_batches(path, ("slot", "x", "y")):
+            inside = (slot >= low) & (slot < low + width)
+            sums += times[:, slot[inside] - low].astype(float) @ _moments(x[inside], y[inside])
+        return pd.DataFrame(sums, columns=_SUMS).assign(rep=list(reps))[["rep", *_SUMS]]
+
+    parts = _side_by_side(rows, n_groups * n_ranges, run, _TOTALS)
+    return parts.groupBy("rep").agg(*[F.sum(c).alias(c) for c in _SUMS])
+
+
+def _centred(rows: DataFrame) -> DataFrame:
+    """``i, x, y`` less their means, so that little cancels."""
+    mean = rows.agg(F.avg("x"), F.avg("y")).first()
+    return rows.where("i is not null").select(F.col("i").cast("long").alias("i"), *[(F.col(c).cast("double") - F.lit(m or 0.0)).alias(c) for c, m in zip("xy", mean)])
+
+
 def _replicates(rows: DataFrame, k: int) -> DataFrame:
     return rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rep"))
 
@@ -112,12 +191,22 @@ def binned_bootstrap(rows: DataFrame, k: int = 100, percent: float = 5.0, low: f
         return rows.sparkSession.createDataFrame([(0, None, None, None)], "n_bins int, r double, low double, high double")
     width = (top - low) * percent / 100
     inside = rows.where(F.col("x").between(low, top)).select("i", "x", "y", F.least(F.floor((F.col("x") - low) / width), F.lit(math.ceil(100 / percent) - 1)).alias("bin"))
-    # numbers within a bin from 0, by the rows' own order
-    placed = running_sum(inside, F.lit(1), "at", ("bin",), "i").withColumn("at", F.col("at") - 1)
-    sizes = inside.groupBy("bin").agg(F.count("*").alias("n"))
-    poorest, n_bins = sizes.agg(F.min("n"), F.count("*")).first()
-    picks = sizes.select("bin", "n", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rep")).select("*", F.explode(F.sequence(F.lit(1), F.lit(poorest))).alias("d"))
-    picks = picks.select("bin", "rep", F.pmod(draw(seed, F.col("rep"), F.col("bin"), F.col("d")), F.col("n")).alias("at"))
-    r = _sums(picks.join(placed, ["bin", "at"]), "rep")
+    sizes = inside.groupBy("bin").agg(F.count("*").alias("n")).orderBy("bin").collect()  # 100 / percent rows
+    if not sizes:
+        return rows.sparkSession.createDataFrame([(0, None, None, None)], "n_bins int, r double, low double, high double")
+    poorest, starts = min(r.n for r in sizes), np.cumsum([0, *[r.n for r in sizes]]).tolist()
+    # bins one after the other, in each the rows' own order
+    starting = rows.sparkSession.createDataFrame([(r.bin, a) for r, a in zip(sizes, starts)], "bin long, __a long")
+    placed = running_sum(inside, F.lit(1), "at", ("bin",), "i").join(F.broadcast(starting), "bin")
+    means = inside.agg(F.avg("x"), F.avg("y")).first()
+    x, y = (F.col(c).cast("double") - F.lit(m or 0.0) for c, m in zip("xy", means))
+    kept = materialize(placed.select((F.col("at") - 1 + F.col("__a")).cast("long").alias("slot"), x.alias("x"), y.alias("y")), "rows")
+
+    def draws(rep: int) -> Iterator[np.ndarray]:
+        for (b, n), a in zip(sizes, starts):
+            for d in spans(1, poorest + 1):
+                yield (first_bits(f"{seed}:{rep}:{b}:", d) % np.uint64(n)).astype(np.int64) + a
+
+    r = _resampled(kept, starts[-1], k, draws).select(_correlation_of_sums().alias("r"))
     spread = F.percentile("r", F.array(F.lit(0.025), F.lit(0.975)))  # of k values
-    return r.agg(F.avg("r").alias("r"), spread.alias("s")).select(F.lit(n_bins).cast("int").alias("n_bins"), "r", F.col("s")[0].alias("low"), F.col("s")[1].alias("high"))
+    return r.agg(F.avg("r").alias("r"), spread.alias("s")).select(F.lit(len(sizes)).cast("int").alias("n_bins"), "r", F.col("s")[0].alias("low"), F.col("s")[1].alias("high"))
