@@ -29,12 +29,24 @@ def test_first_bits_are_those_of_the_library():
         assert first_bits(head, np.array(numbers)).tolist() == [drawn(f"{head}{k}") for k in numbers]
 
 
+def test_sign_bootstrap_in_ranges(spark, monkeypatch):
+    df, rows = table(spark, 40, 3, 0.0)
+    draws = [[drawn(f"0:{rep}:{i}") % 40 for i in range(40)] for rep in range(1, 61)]
+    own = np.corrcoef(df.x, df.y)[0, 1]
+    want = np.mean([np.sign(np.cov(df.x[d], df.y[d])[0, 1]) != np.sign(own) for d in draws])
+    assert 0 < want < 1
+    for most in (1 << 26, 13):
+        monkeypatch.setattr(resampling, "_SLOTS", most)
+        got = resampling.sign_bootstrap(rows, 60).first()
+        assert np.isclose(got.r, own) and np.isclose(got.p, want)
+
+
 def test_no_row_for_each_draw_in_the_plan(spark, monkeypatch):
     """What is joined, shuffled or sent to the driver doesn't grow with draws: rows times replicates."""
     df, rows = table(spark)
     kept = []
     monkeypatch.setattr(resampling, "materialize", lambda made, name: kept.append(made) or made_before(made, name))
-    for got in (resampling.binned_bootstrap(rows, 30),):
+    for got in (resampling.binned_bootstrap(rows, 30), resampling.sign_bootstrap(rows, 30)):
         assert got.first().r is not None
-    assert len(kept) == 2 and max(t.count() for t in kept) <= len(df)
+    assert len(kept) == 4 and max(t.count() for t in kept) <= len(df)
 

@@ -135,13 +135,16 @@ def permutation_test(rows: DataFrame, k: int = 100, tails: int = 2, seed: int =
 def sign_bootstrap(rows: DataFrame, k: int = 1000, seed: int = 0) -> DataFrame:
     """``r, p``: the share of samples drawn with replacement whose correlation has another sign."""
     n = max(rows.count(), 1)
-    drawn = _replicates(rows.select(F.col("i").alias("d")), k).select("rep", F.pmod(draw(seed, F.col("rep"), F.col("d")), F.lit(n)).alias("i"))
-    taken = drawn.groupBy("rep", "i").count().join(rows, "i")
-    mean = rows.agg(F.avg("x"), F.avg("y")).first()
-    c, x, y = F.col("count"), F.col("x") - F.lit(mean[0]), F.col("y") - F.lit(mean[1])  # centred, so that little cancels
-    sign = F.signum(F.sum(c) * F.sum(c * x * y) - F.sum(c * x) * F.sum(c * y))
-    own = _sums(rows).select(F.col("r").alias("__r"))
-    at = taken.groupBy("rep").agg(sign.alias("s")).crossJoin(F.broadcast(own))
+    kept = _kept(_centred(rows).withColumn("slot", F.col("i")), n, "i")
+    path = kept._wayline_path
+
+    def draws(rep: int) -> Iterator[np.ndarray]:
+        for (i,) in read_batches(path, ("i",)):
+            yield (first_bits(f"{seed}:{rep}:", i) % np.uint64(n)).astype(np.int64)
+
+    own = _sums(kept).select(F.col("r").alias("__r"))
+    sign = F.signum(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"))
+    at = _resampled(kept, n, k, draws).select(sign.alias("s")).crossJoin(F.broadcast(own))
     return at.agg(F.first("__r").alias("r"), F.avg((F.col("s") != F.signum("__r")).cast("double")).alias("p"))
 
 
