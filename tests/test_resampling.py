@@ -29,6 +29,17 @@ def test_first_bits_are_those_of_the_library():
         assert first_bits(head, np.array(numbers)).tolist() == [drawn(f"{head}{k}") for k in numbers]
 
 
+def test_permutations_in_parts(spark, monkeypatch):
+    """Orders made in several parts, as of tables that one task doesn't hold."""
+    df, rows = table(spark)
+    for most in (1 << 22, 100):
+        monkeypatch.setattr(resampling, "_SORTED", most)
+        got = {r.rep: r.r for r in resampling.permuted(rows, 4).collect()}
+        for rep in range(1, 5):
+            order = sorted(range(len(df)), key=lambda i: drawn(f"0:{rep}:{i}"))
+            assert np.isclose(got[rep], np.corrcoef(df.x, df.y[order])[0, 1], atol=1e-12)
+
+
 def test_sign_bootstrap_in_ranges(spark, monkeypatch):
     df, rows = table(spark, 40, 3, 0.0)
     draws = [[drawn(f"0:{rep}:{i}") % 40 for i in range(40)] for rep in range(1, 61)]
@@ -46,7 +57,7 @@ def test_no_row_for_each_draw_in_the_plan(spark, monkeypatch):
     df, rows = table(spark)
     kept = []
     monkeypatch.setattr(resampling, "materialize", lambda made, name: kept.append(made) or made_before(made, name))
-    for got in (resampling.binned_bootstrap(rows, 30), resampling.sign_bootstrap(rows, 30)):
+    for got in (resampling.binned_bootstrap(rows, 30), resampling.sign_bootstrap(rows, 30), resampling.permutation_test(rows, 30)):
         assert got.first().r is not None
-    assert len(kept) == 4 and max(t.count() for t in kept) <= len(df)
+    assert len(kept) == 6 and max(t.count() for t in kept) <= len(df)
 

@@ -9,6 +9,8 @@ so nothing is shuffled that grows with rows times replicates.
 from __future__ import annotations
 
 import math
+import os
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from wayline.functions.circular import correlation, ratio
 from wayline.functions.md5 import first_bits, spans
-from wayline.operators.sequence import CHUNK, running_sum
+from wayline.operators.sequence import running_sum
 from wayline.storage import materialize, read_batches
 
 HASH_BITS = 60
@@ -106,21 +108,49 @@ def _centred(rows: DataFrame) -> DataFrame:
     return rows.where("i is not null").select(F.col("i").cast("long").alias("i"), *[(F.col(c).cast("double") - F.lit(m or 0.0)).alias(c) for c, m in zip("xy", mean)])
 
 
-def _replicates(rows: DataFrame, k: int) -> DataFrame:
-    return rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rep"))
-
-
 def permuted(rows: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """``rep, r``: correlation of ``x`` with ``y`` in a random order, for ``k`` orders; ``i`` is dense from 0.
 
-    A value's place in its order is the number of smaller hashes, counted by chunks
-    of the range of hashes: no task sorts a whole replicate.
+    A task makes one order. Beyond ``_SORTED`` rows it deals them by hash to files of
+    its own folder first, and sorts one after the other.
     """
     n = max(rows.count(), 1)
-    chunk = max((1 << HASH_BITS) // max(n // CHUNK, 1), 1)
-    shuffled = _replicates(rows.select("i", "y"), k).withColumn("h", draw(seed, F.col("rep"), F.col("i")))
-    placed = running_sum(shuffled, F.lit(1), "at", ("rep",), "h", chunk).select("rep", "y", (F.col("at") - 1).alias("i"))
-    return _sums(placed.join(rows.select("i", "x"), "i"), "rep").select("rep", "r")
+    path = _kept(_centred(rows), n, "i")._wayline_path
+    bits = max(0, math.ceil(math.log2(n / _SORTED)))
+
+    def ordered(rep: int) -> Iterator[np.ndarray]:
+        """``y`` by the hashes of its rows, in parts."""
+        with tempfile.TemporaryDirectory() as folder:
+            names = [os.path.join(folder, str(b)) for b in range(1 << bits)]
+            files = [open(name, "wb") for name in names]
+            try:
+                for i, y in read_batches(path, ("i", "y")):
+                    h = first_bits(f"{seed}:{rep}:", i)
+                    part = (h >> np.uint64(HASH_BITS - bits)).astype(np.uint16)
+                    order = np.argsort(part, kind="stable")
+                    pairs = np.stack([h, y.view(np.uint64)], axis=1)[order]
+                    ends = np.cumsum(np.bincount(part, minlength=len(files)))
+                    for file, a, b in zip(files, [0, *ends], ends):
+                        file.write(pairs[a:b].tobytes())
+            finally:
+                for file in files:
+                    file.close()
+            for name in names:
+                pairs = np.fromfile(name, np.uint64).reshape(-1, 2)
+                os.remove(name)
+                y = pairs[:, 1].view(float)[np.argsort(pairs[:, 0], kind="stable")]
+                del pairs
+                yield y
+
+    def run(task: int) -> pd.DataFrame:
+        rep, first, sums = task + 1, 0, np.zeros(len(_SUMS))
+        for y in ordered(rep):
+            for i, x in read_batches(path, ("i", "x"), "i", first, first + len(y)):
+                sums += _moments(x, y[i - first]).sum(axis=0)
+            first += len(y)
+        return pd.DataFrame([sums], columns=_SUMS).assign(rep=rep)[["rep", *_SUMS]]
+
+    return _side_by_side(rows, k, run, _TOTALS).select("rep", _correlation_of_sums().alias("r"))
 
 
 def permutation_test(rows: DataFrame, k: int = 100, tails: int = 2, seed: int = 0) -> DataFrame:
