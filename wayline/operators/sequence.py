@@ -274,29 +274,46 @@ def scan_chunks(
     near = place < overlap if ahead else place >= chunk - overlap
     home = F.struct(c.alias("__c"), F.lit(True).alias("__home"))
     beside = F.when(near, F.struct((c - 1 if ahead else c + 1).alias("__c"), F.lit(False).alias("__home")))
-    cut = df.select("*", F.inline(F.filter(F.array(home, beside), lambda s: s.isNotNull())))
+    # a series of few rows is one chunk, of number 0, and a task takes many of them
+    sizes = df.groupBy(*names).agg(F.count("*").alias("__rows"))
+    n = sizes.agg(F.sum("__rows")).first()[0] or 0
+    if names:
+        long = sizes.where(F.col("__rows") > chunk).select(*names, F.lit(True).alias("__long"))  # one of ``chunk`` rows at most
+        marked = df.join(F.broadcast(long), names, "left").withColumn("__long", F.coalesce("__long", F.lit(False)))
+    else:
+        marked = df.withColumn("__long", F.lit(n > chunk))
+    one = F.array(F.struct(F.lit(0).cast("long").alias("__c"), F.lit(True).alias("__home")))
+    cut = marked.select("*", F.inline(F.when(F.col("__long"), F.filter(F.array(home, beside), lambda s: s.isNotNull())).otherwise(one)))
+    by_key = F.xxhash64(*names) if names else F.lit(0).cast("long")
+    dealt = F.when(F.col("__long"), by_key).otherwise(F.pmod(by_key, F.lit(n // chunk + 1)))
+    cut = cut.withColumn("__task", dealt).drop("__long")
     kept = [*names, order]
     kinds = [f"{k} {df.schema[k].dataType.simpleString()}" for k in kept] + [f"{k} {t}" for k, t in made.items()]
     state = "array<double>"
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order, ascending=not ahead)
-        inside = g["__home"].to_numpy(bool)
-        before = g["__start"].iloc[0] if "__start" in g else None
-        before = None if before is None else np.asarray(before, float)
-        if not inside.all():
-            before = step(g[~inside], before)[1]
-        rows = g[inside]
-        out = rows[[*kept, "__c"]]
-        boxed = lambda values: pd.Series(values, out.index, dtype=object)
-        if not len(rows):
-            return out.assign(**{k: boxed([]) for k in [*made, "__before", "__after"]})
-        columns, after = step(rows, before)
-        rest = [None] * (len(rows) - 1)
-        return out.assign(**{k: boxed(v) for k, v in columns.items()}, __before=boxed([before, *rest]), __after=boxed([*rest, after]))
+        """The chunks of one number of one or many series."""
+        g = g.sort_values([*names, order], ascending=[True] * len(names) + [not ahead], ignore_index=True)
+        series = g.groupby(names, sort=False, dropna=False).ngroup().to_numpy() if names else np.zeros(len(g), int)
+        first = np.flatnonzero(np.diff(series, prepend=-1))
+        home, starts = g["__home"].to_numpy(bool), g["__start"].tolist() if "__start" in g else None
+        columns = {k: np.empty(len(g), object) for k in [*made, "__before", "__after"]}
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(g)]):
+            before = None if starts is None or starts[a] is None else np.asarray(starts[a], float)
+            inner = int(home[a:b].argmax()) if home[a:b].any() else b - a  # what leads up to the chunk comes first
+            if inner:
+                before = step(g.iloc[a : a + inner], before)[1]
+            if a + inner == b:
+                continue
+            values, after = step(g.iloc[a + inner : b], before)
+            for k, v in values.items():
+                for at, x in enumerate(v, a + inner):
+                    columns[k][at] = x
+            columns["__before"][a + inner], columns["__after"][b - 1] = before, after
+        return g[[*kept, "__c"]].assign(**columns)[home]
 
     schema = ", ".join([*kinds[: len(kept)], "__c bigint", *kinds[len(kept) :], f"__before {state}", f"__after {state}"])
-    done = materialize(cut.groupBy(*names, "__c").applyInPandas(run, schema), "scanned")
+    done = materialize(cut.groupBy("__task", "__c").applyInPandas(run, schema), "scanned")
     over = Window.partitionBy(*(names or [F.lit(0)])).orderBy(F.desc("__c") if ahead else F.asc("__c"))
     while True:
         ends = done.groupBy(*names, "__c").agg(F.first("__before", True).alias("b"), F.first("__after", True).alias("a"))
@@ -306,7 +323,7 @@ def scan_chunks(
         wrong = materialize(ends.where(~same).select(*names, "__c", "__start"), "again")
         if wrong.isEmpty():
             return done.select(*kept, *made)
-        again = cut.where("__home").join(wrong, [*names, "__c"]).groupBy(*names, "__c").applyInPandas(run, schema)
+        again = cut.where("__home").join(wrong, [*names, "__c"]).groupBy("__task", "__c").applyInPandas(run, schema)
         after = materialize(done.join(wrong, [*names, "__c"], "left_anti").unionByName(again), "scanned")
         discard(done)
         done = after
