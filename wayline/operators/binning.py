@@ -71,7 +71,8 @@ def gaussian(sigma: float) -> list[tuple[int, int, float]]:
 def gaussian_taps(sigma: float) -> list[float]:
     r = int(4 * sigma + 0.5)
     g = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(-r, r + 1)]
-    return [x / sum(g) for x in g]
+    total = sum(g)
+    return [x / total for x in g]
 
 
 def rate_map(

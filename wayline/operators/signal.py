@@ -10,7 +10,7 @@ the recording; ``order`` numbers its samples from 0 without gaps.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,7 @@ from wayline.functions.circular import ratio
 from wayline.operators.binning import gaussian_taps
 from wayline.operators.detection import find_events
 from wayline.operators.sequence import CHUNK, framed, smooth
-from wayline.storage import materialize
+from wayline.storage import materialize, read_batches
 
 #: Seconds of signal on each side from which the amplitude of ripples is made.
 ANALYTIC_S = 10.0
@@ -314,17 +314,58 @@ def power_spectrum(df: DataFrame, value: str, fs: float, max_freq: float = 125.0
     return s.select(F.col("k").alias("i"), freq.alias("freq"), power.alias("power")).where(F.col("freq") <= max_freq)
 
 
+def _correlated(x: np.ndarray, taps: np.ndarray, block: int) -> np.ndarray:
+    """Sums of ``taps`` times the samples from each place on, where all are there; of ``block`` taps at a time."""
+    size = len(x) - len(taps) + 1
+    n = 1 << (size + min(block, len(taps)) - 2).bit_length()
+    out = np.zeros(size)
+    for a in range(0, len(taps), block):
+        part = taps[a : a + block]
+        y = np.fft.irfft(np.fft.rfft(x[a : a + len(part) - 1 + size], n) * np.fft.rfft(part[::-1], n), n)
+        out += y[len(part) - 1 : len(part) - 1 + size]
+    return out
+
+
+def _smoothed_power(power: DataFrame, sigma: float, chunk: int = 1 << 18) -> DataFrame:
+    """``i, soft``: ``power``, kept in files with ``i`` dense from 0, under a Gaussian of ``sigma`` samples; goes on beyond its ends with its end samples.
+
+    The Gaussian may be many chunks wide, so a task reads what lies around its chunk
+    from the files instead of getting copies of rows.
+    """
+    path, spark = power._wayline_path, power.sparkSession
+    last = power.agg(F.max("i")).first()[0]
+    if last is None:
+        return power.select("i", F.col("power").alias("soft"))
+    ends = {r.i: r.power for r in power.where(F.col("i").isin(0, last)).collect()}
+    r = int(4 * sigma + 0.5)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taps = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+        taps /= taps.sum()
+        for part in parts:
+            for c in part["id"].tolist():
+                first, after = c * chunk, min(c * chunk + chunk, last + 1)
+                x = np.full(after - first + 2 * r, ends[0])
+                x[max(0, last + 1 - first + r) :] = ends[last]
+                for i, v in read_batches(path, ("i", "power"), "i", first - r, after + r):
+                    x[i - (first - r)] = v
+                yield pd.DataFrame({"i": np.arange(first, after), "soft": _correlated(x, taps, chunk)})
+
+    n = last // chunk + 1
+    return materialize(spark.range(0, n, 1, n).mapInPandas(run, "i long, soft double"), "soft")
+
+
 def band_peak(power: DataFrame, smoothing_hz: float, band: tuple[float, float], width: float = 2.0) -> DataFrame:
     """``peak_freq, peak_power, s2n`` of a smoothed power spectrum.
 
     The largest power inside the band, ties to the lower frequency, and the mean
     power less than half of ``width`` from it by the mean of the rest.
     """
-    step = power.where("i = 1").agg(F.max("freq")).first()[0] or 1.0
+    kept = power.select(F.col("i").cast("long").alias("i"), "freq", F.coalesce("power", F.lit(0.0)).alias("power"))
+    kept = materialize(kept.repartitionByRange("i").sortWithinPartitions("i"), "power")  # tasks read stretches of it
+    step = kept.where("i = 1").agg(F.max("freq")).first()[0] or 1.0
     sigma = max(smoothing_hz / step, 1e-9)
-    taps = np.array(gaussian_taps(sigma))
-    soft = in_chunks(power, F.col("power"), lambda x, inside: {"soft": _convolved(x, taps)}, {"soft": "double"}, len(taps) // 2, edge="nearest")
-    soft = soft.withColumn("freq", F.col("i") * step)
+    soft = _smoothed_power(kept, sigma).withColumn("freq", F.col("i") * step)
     inside = (F.col("freq") > band[0]) & (F.col("freq") < band[1])
     best = soft.where(inside).agg(F.max(F.struct(F.col("soft"), (-F.col("freq")).alias("f"))).alias("best"))
     best = best.select((-F.col("best.f")).alias("peak_freq"), F.col("best.soft").alias("peak_power"))
